@@ -14,6 +14,7 @@ Rows are independent: repeated rows, ties and extra columns pass through unchang
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 _SPACES = regex.compile(f"[{_WS}]+")
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+")
 _END = "</w>"
+_NONE = 1 << 60
 #: Pieces whose tokens a worker remembers, and pairs whose verdict it remembers, at most.
 CACHE_PIECES, CACHE_PAIRS = 300_000, 2_000_000
 
@@ -63,7 +65,10 @@ class Bpe:
         for t, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = t
         self.n = len(self.tokens)
-        self.longest = max(len(t.removesuffix(_END)) for t in self.vocab)
+        self.reach: dict[str, int] = {}  # the longest token by its first two characters
+        for t in self.vocab:
+            t = t.removesuffix(_END)
+            self.reach[t[:2]] = max(self.reach.get(t[:2], 0), len(t))
         self.bytes = dict(zip(range(256), _byte_chars(), strict=True))
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
         self.pieces: dict[str, bytes] = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
@@ -76,20 +81,45 @@ class Bpe:
 
     def merge(self, s: list[str]) -> list[str]:
         """Exact merging: the pair of lowest rank first, the leftmost of equal ones."""
-        s = list(s)
-        while len(s) > 1:
-            rank, at = min((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            s[at : at + 2] = [s[at] + s[at + 1]]
+        if len(s) > 100:
+            return self._merge_long(s)
+        s, get = list(s), self.ranks.get
+        ranks = [get(p, _NONE) for p in zip(s, s[1:], strict=False)]
+        while ranks and (least := min(ranks)) != _NONE:
+            i = ranks.index(least)
+            s[i] += s.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((s[i], s[i + 1]), _NONE)
+            if i:
+                ranks[i - 1] = get((s[i - 1], s[i]), _NONE)
         return s
 
+    def _merge_long(self, symbols: list[str]) -> list[str]:
+        """The same with a heap and links, so that a piece of any length takes n log n steps."""
+        s: list[str | None] = list(symbols)
+        after, before = [*range(1, len(s)), -1], [*range(-1, len(s) - 1)]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)) if (r := self.ranks.get((a, b))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if s[i] != a or j < 0 or s[j] != b:
+                continue
+            s[i], s[j], after[i] = a + b, None, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (r := self.ranks.get((s[x], s[y]))) is not None:
+                    heapq.heappush(heap, (r, x, s[x], s[y]))
+        return [x for x in s if x is not None]
+
     def propose(self, s: list[str]) -> list[int]:
         """Greedy longest match over the characters of a piece."""
-        text, end, i, out = "".join(s)[: -len(_END)], len(s), 0, []
+        text, end, i, out, get = "".join(s)[: -len(_END)], len(s), 0, [], self.vocab.get
         while i < end:
-            for j in range(min(end, i + self.longest), i, -1):
-                if (t := self.vocab.get(text[i:j] + _END if j == end else text[i:j])) is not None:
+            for j in range(min(end, i + self.reach.get(text[i : i + 2], 1)), i, -1):
+                if (t := get(text[i:j] + _END if j == end else text[i:j])) is not None:
                     out.append(t)
                     i = j
                     break
