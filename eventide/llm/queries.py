@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, simhash, substring_dedup
+from . import bpe, exact_dedup, line_dedup, mixing, sharding, simhash, substring_dedup
 from .common import table
 
 
@@ -20,6 +20,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", "copies", "copy", "shuffle_key", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_md5"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", sharding.size_of(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    return sharding.assign(docs).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,11 +40,19 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
+    "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -66,4 +84,34 @@ ORACLE_SQL: dict[str, str] = {
                    count(*) OVER (PARTITION BY norm) AS group_size
             FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k""",
+    "op5_mixing": r"""
+        WITH s AS (SELECT source, count(*) AS n, sqrt(count(*)) AS weight FROM documents GROUP BY source),
+        m AS (
+            SELECT source, (SELECT sum(n) FROM s) * (weight / (SELECT sum(weight) FROM s)) / n AS mean FROM s),
+        p AS (
+            SELECT source, mean, k, exp(-mean) * CASE WHEN k = 0 THEN 1 ELSE
+                   (SELECT product(mean / j) FROM range(1, k + 1) t(j)) END AS p
+            FROM m, range(0, 60) r(k)),
+        c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
+        u AS (
+            SELECT *, (('0x' || substr(md5('20240501:' || doc_id || ':0'), 1, 13))::BIGINT + 0.5)
+                      / 4503599627370496::DOUBLE AS u FROM documents),
+        n AS (
+            SELECT doc_id, u.source, text,
+                   (SELECT count(*) FROM c WHERE c.source = u.source AND c.cdf <= u.u AND c.cdf < 0.99999999999999) AS copies
+            FROM u)
+        SELECT doc_id, source, copies, copy, md5('20240502:' || doc_id || ':' || copy) AS shuffle_key,
+               md5(coalesce(text, '')) AS text_md5
+        FROM (SELECT *, unnest(range(0, copies)) AS copy FROM n)""",
+    "op10_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        x AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
+        k AS (
+            SELECT doc_id, i, line, translate(trim(line, E' \t\n\x0b\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM x),
+        f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (f.key IS NOT NULL) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+        FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id""",
 }
