@@ -71,3 +71,10 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         held += n or 0
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def settled(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that are worked out once a row. A filter or a later column that uses them
+    isn't rewritten in terms of their expressions: a one-row generator stands between."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_settled")
+    return df.select("*", one).select(*[c for c in df.columns if c not in cols], *[F.col(f"_settled.{n}") for n in cols])

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, sharding, simhash, substring_dedup
+from . import (
+    bpe,
+    exact_dedup,
+    line_dedup,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    quotation,
+    sharding,
+    simhash,
+    substring_dedup,
+)
 from .common import table
 
 
@@ -20,6 +31,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotation.format_chats(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth", "place", "quote_levels", "n_quoted", F.sha2(F.encode("own_text", "UTF-8"), 256).alias("own_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "source", "copies", "copy", "shuffle_key", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_md5"))
@@ -40,6 +60,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -48,10 +72,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_quotation": op4_quotation,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
 
