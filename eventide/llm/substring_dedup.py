@@ -3,19 +3,21 @@
 A window is ``window`` consecutive words of one document. Its minimiser is the smallest hash
 of the ``mmer``-word groups in it. Neighbouring windows mostly share their minimiser: they
 travel together as one packed string of words to the minimiser's bucket, at most ``RUN``
-windows each. Equal windows have equal minimisers, so they meet in one bucket; there, sorting
-brings equal windows together (hashes first, then the words' bytes decide) and gives the
-smallest doc_id in which each window starts. Words covered by a window that also starts in a
+windows each; a task's packed strings for one bucket are compressed together. Equal windows
+have equal minimisers, so they meet in one bucket; there, sorting brings equal windows
+together (hashes first, then the words' bytes decide) and gives the smallest doc_id in which
+each window starts. Words covered by a window that also starts in a
 document with a smaller doc_id are removed.
 
 Equal packed strings are combined where they are made, so a passage in a third of all
-documents sends one row a slice, not one a document. Windows are judged on the input. Null
+documents sends its words once a task, not once a document. Windows are judged on the input. Null
 and short texts have no window. A null doc_id counts as larger than any other. Rows that
 repeat a doc_id are judged each by its own text and never against each other. Repeats inside
 one document stay. Extra columns are ignored.
 
-A task holds one minimiser's distinct packed strings at a time; ``mmer`` bounds how common a
-minimiser can be, and longer groups make rarer minimisers but more packed text.
+A task holds one bucket's distinct packed strings at a time, so the number of buckets grows
+with the text (``BUCKET_BYTES``). A minimiser can't be split over buckets; longer groups of
+words make rarer minimisers but more packed text.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,11 @@ WINDOW, MMER = 13, 3
 RUN = 64
 #: Words of a document that are looked at together; the next piece overlaps it by a window.
 SEGMENT = 200_000
-#: Packed strings a bucket task gathers, over whole minimisers, before it sorts them.
+#: Text bytes a bucket aims at (packed, about three times that), and buckets a task at least.
+BUCKET_BYTES, BUCKETS_A_TASK = 8_000_000, 16
+#: Packed bytes a task gathers before it compresses and sends them, by bucket.
+FLUSH_BYTES = 24_000_000
+#: Occurrences that are judged at once.
 GATHER = 40_000
 _LAST = 2**63 - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -98,9 +105,9 @@ def _sliding_min(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (n - size)], h[n - size :]) if n > size else h
 
 
-def _pack(rows: list[tuple[int, int, int, list[bytes]]], window: int, mmer: int) -> dict[bytes, list]:
-    """Packed strings of some documents (doc, sum, first word, words), each with its minimiser
-    and where it occurs."""
+def _pack(rows: list[tuple[int, int, int, list[bytes]]], window: int, mmer: int, found: dict[bytes, list]) -> int:
+    """Add the packed strings of some documents (doc, sum, first word, words), each with its
+    minimiser and its occurrences. Returns the bytes added."""
     flat = b"\n".join(b" ".join(r[3]) for r in rows)
     text = _Bytes(flat)
     starts, ends, row = _words(text.data)
@@ -119,25 +126,62 @@ def _pack(rows: list[tuple[int, int, int, list[bytes]]], window: int, mmer: int)
     first = np.flatnonzero(run % RUN == 0)
     last = np.append(first[1:], len(real)) - 1
     word0 = np.searchsorted(row, np.arange(len(rows)))
-    at = real[first] - word0[owner[first]] + np.array([r[2] for r in rows])[owner[first]]
-    found: dict[bytes, list] = {}
     occ = np.empty(len(first), _OCC)
-    occ["doc"], occ["sum"] = np.array([r[0] for r in rows], np.int64)[owner[first]], np.array([r[1] for r in rows], np.uint32)[owner[first]]
-    occ["at"] = at
-    raw = occ.tobytes()
-    for i, (a, b, m) in enumerate(zip(starts[real[first]].tolist(), ends[real[last] + window - 1].tolist(), least[first].view(np.int64).tolist(), strict=True)):
+    docs, sums, ats = (np.array([r[k] for r in rows], t) for k, t in ((0, np.int64), (1, np.uint32), (2, np.int64)))
+    occ["doc"], occ["sum"], occ["at"] = docs[owner[first]], sums[owner[first]], real[first] - word0[owner[first]] + ats[owner[first]]
+    raw, added = occ.tobytes(), 0
+    for i, (a, b, m) in enumerate(zip(starts[real[first]].tolist(), ends[real[last] + window - 1].tolist(), least[first].tolist(), strict=True)):
         if (e := found.get(packed := flat[a:b])) is None:
             found[packed] = [m, raw[16 * i : 16 * i + 16]]
+            added += b - a + 64
         else:
             e[1] += raw[16 * i : 16 * i + 16]
-    return found
-
-
-def super_kmers(docs: DataFrame, text: str = "text", window: int = WINDOW, mmer: int = MMER) -> DataFrame:
-    """minimiser, packed, occ: the distinct packed strings of each slice of the input, with the
-    documents and word positions where they begin."""
+            added += 16
+    return added
+
+
+def _blob(items: list[tuple[bytes, list]]) -> bytes:
+    """Packed strings and their occurrences, by column, compressed."""
+    occ = np.frombuffer(b"".join(e[1] for _, e in items), _OCC)
+    counts = np.array([len(e[1]) // _OCC.itemsize for _, e in items], np.uint32)
+    doc = np.diff(occ["doc"], prepend=0)
+    body = b"\n".join(p for p, _ in items)
+    head = np.array([len(items), len(occ)], np.uint32)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), counts.tobytes(), doc.tobytes(), occ["sum"].tobytes(), occ["at"].tobytes(), body]))
+
+
+def _open(blob: bytes) -> Iterator[tuple[bytes, bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, m = np.frombuffer(raw, np.uint32, 2).tolist()
+    at = 8
+    counts = np.frombuffer(raw, np.uint32, n, at)
+    occ = np.empty(m, _OCC)
+    occ["doc"] = np.cumsum(np.frombuffer(raw, np.int64, m, at + 4 * n))
+    occ["sum"] = np.frombuffer(raw, np.uint32, m, at + 4 * n + 8 * m)
+    occ["at"] = np.frombuffer(raw, np.uint32, m, at + 4 * n + 12 * m)
+    ends = (np.cumsum(counts) * _OCC.itemsize).tolist()
+    data = occ.tobytes()
+    for packed, a, b in zip(raw[at + 4 * n + 16 * m :].split(b"\n"), [0, *ends[:-1]], ends, strict=True):
+        yield packed, data[a:b]
+
+
+def _send(found: dict[bytes, list], buckets: int) -> pa.RecordBatch:
+    items = list(found.items())
+    bucket = (np.array([e[0] for _, e in items], np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    stops = np.flatnonzero(np.diff(bucket[order])) + 1
+    groups = np.split(order, stops)
+    blobs = [_blob([items[i] for i in g.tolist()]) for g in groups]
+    return pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]]) for g in groups], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+
+def super_kmers(docs: DataFrame, buckets: int, text: str = "text", window: int = WINDOW, mmer: int = MMER) -> DataFrame:
+    """bucket, blob: the distinct packed strings of a task's documents, with the documents and
+    word positions where they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, list] = {}
+        held = 0
         for batch in batches:
             for part in slices(batch, text):
                 rows = []
@@ -147,10 +191,14 @@ def super_kmers(docs: DataFrame, text: str = "text", window: int = WINDOW, mmer:
                     for at in range(0, len(ws) - window + 1, SEGMENT):
                         rows.append((_LAST if i is None else i, zlib.crc32(raw), at, ws[at : at + SEGMENT + window - 1]))
                 if rows:
-                    found = _pack(rows, window, mmer)
-                    yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found.values()], pa.int64()), pa.array(list(found), pa.binary()), pa.array([e[1] for e in found.values()], pa.binary())], names=["minimiser", "packed", "occ"])
+                    held += _pack(rows, window, mmer, found)
+                if held >= FLUSH_BYTES:
+                    yield _send(found, buckets)
+                    found, held = {}, 0
+        if found:
+            yield _send(found, buckets)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).mapInArrow(run, "minimiser bigint, packed binary, occ binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).mapInArrow(run, "bucket bigint, blob binary")
 
 
 def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -235,20 +283,20 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, mm
         held: dict[bytes, bytes] = {}
         at = None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("minimiser", "packed", "occ")]
-            for m, packed, occ in zip(*cols, strict=True):
-                if m != at:
-                    if len(held) >= GATHER and (out := _judge(held, window)) is not None:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+                if bucket != at:
+                    if held and (out := _judge(held, window)) is not None:
                         yield out
-                    if len(held) >= GATHER:
-                        held = {}
-                    at = m
-                held[packed] = held[packed] + occ if packed in held else occ
+                    held, at = {}, bucket
+                for packed, occ in _open(blob.as_py()):
+                    held[packed] = held[packed] + occ if packed in held else occ
         if held and (out := _judge(held, window)) is not None:
             yield out
 
-    packed = super_kmers(docs, text, window, mmer)
-    dealt = packed.repartition(shuffle_partitions(docs.sparkSession), "minimiser").sortWithinPartitions("minimiser")
+    tasks = shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    packed = super_kmers(docs, max(BUCKETS_A_TASK * tasks, size // BUCKET_BYTES), text, window, mmer)
+    dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "doc bigint, sum bigint, start bigint, stop bigint")
 
 
