@@ -203,29 +203,45 @@ def tokenizer(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_bytes", decoded: str = "decoded") -> DataFrame:
-    """Add the token ids of ``text`` (binary, little-endian unsigned 32 bit) and their decoding.
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_bytes", decoded: str | None = None) -> DataFrame:
+    """Add the token ids of ``text`` (binary, little-endian unsigned 32 bit) and, if ``decoded``
+    names a column, the text that they decode to.
 
     A narrow step: no shuffle, a task holds one slice of a batch. ``path`` is the tokenizer file
-    on the workers. Columns named like the two results are replaced.
+    on the workers. Columns named like the results are replaced.
     """
     keep = [c for c in docs.columns if c not in (ids, decoded)]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
+    added = [T.StructField(ids, T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    schema = T.StructType([*(docs.schema[c] for c in keep), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
             for part in slices(batch, text):
                 coded = bpe.encode([t or "" for t in part.column(text).to_pylist()])
-                back = [bpe.decode(c) for c in coded]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(coded, pa.binary()), pa.array(back, pa.string())], names=[*part.schema.names, ids, decoded])
+                new = [pa.array(coded, pa.binary()), *([pa.array(map(bpe.decode, coded), pa.string())] if decoded else [])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
 
     return docs.select(*keep).mapInArrow(run, schema)
 
 
+def decode(tokens: DataFrame, path: str, ids: str = "token_bytes", decoded: str = "decoded") -> DataFrame:
+    """Add the text that a column of token ids decodes to; null decodes to the empty text."""
+    keep = [c for c in tokens.columns if c != decoded]
+    schema = T.StructType([*(tokens.schema[c] for c in keep), T.StructField(decoded, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path)
+        for batch in batches:
+            for part in slices(batch, ids):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([bpe.decode(i or b"") for i in part.column(ids).to_pylist()], pa.string())], names=schema.names)
+
+    return tokens.select(*keep).mapInArrow(run, schema)
+
+
 def digest(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Per row: doc_id, the number of tokens and SHA-256 of the ids and of the decoded text."""
-    out = encode_decode(docs.select("doc_id", text), path, text)
+    out = encode(docs.select("doc_id", text), path, text, decoded="decoded")
     return out.select(
         "doc_id",
         F.expr("cast(octet_length(token_bytes) div 4 as bigint)").alias("n_tokens"),
