@@ -75,7 +75,8 @@ def masks(blocks: int, distance: int) -> list[int]:
 
 
 def forest(fps: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges that connect what is linked within the list, each to a node already reached."""
+    """Edges that connect what is linked within the list, each to a node already reached.
+    ``fps`` are unsigned."""
     order = np.argsort(nodes, kind="stable")
     left_f, left_n = fps[order], nodes[order]
     us, vs = [], []
@@ -116,6 +117,7 @@ def links(nodes: DataFrame, distance: int, blocks: int) -> DataFrame:
             cols = [batch.column(c) for c in ("fps", "nodes")]
             offsets = np.asarray(cols[0].offsets) - cols[0].offsets[0].as_py()
             fps, ids = (c.flatten().to_numpy(zero_copy_only=False) for c in cols)
+            fps = fps.view(np.uint64)  # the bits of a negative number are counted after its sign is dropped
             size = np.diff(offsets)
             pairs = offsets[:-1][size == 2]  # most lists are of two
             near = np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= distance
