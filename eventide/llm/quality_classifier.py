@@ -1,9 +1,9 @@
 """Quality classifier: a sparse rule ensemble.
 
-Statistics of a text are Spark columns. A small forest is fitted to them; every path from a
-root to a node is a conjunctive rule over thresholds. Lasso logistic regression weighs the
-rules and sets most weights to zero, and the rules that remain are compiled to one column
-expression, so scoring a corpus is a narrow native step without a model object.
+Statistics of a text are counted with numpy. A small forest is fitted to them; every path from
+a root to a node is a conjunctive rule over thresholds. Lasso logistic regression weighs the
+rules and sets most weights to zero, and the rules that remain are compiled to one Spark
+column expression over the statistics, so scoring is a narrow step without a model object.
 
 The forest and the weights are fitted on about ``MAX_TRAIN`` labelled rows, taken by a hash of
 their id. Labels, language, source and id are never inputs of a score. Null and empty texts
@@ -17,40 +17,66 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
+from operator import eq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import settled, shuffle_partitions, stored
-from .docstats import n_of, with_words
+from .common import shuffle_partitions, slices, stored
 
 #: Labelled rows that are fitted on at most, on average.
 MAX_TRAIN = 20_000
-TREES, DEPTH, PENALTY = 16, 3, 0.002
+TREES, DEPTH, PENALTY = 16, 3, 0.001
 THRESHOLD = 0.3
 
 Condition = tuple[int, bool, float]  # feature, whether at most (else over) the threshold
 Rule = tuple[Condition, ...]
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and ``x``, an array of statistics of the whole text."""
-    w = with_words(docs, text).withColumns({"_n": F.greatest(F.size("_w"), F.lit(1)).cast("double"), "_c": F.greatest(F.length("_t"), F.lit(1)).cast("double"), "_k": F.greatest(F.size("_l"), F.lit(1)).cast("double")})
-    t = F.col("_t")
-    stats = [
-        F.log1p(F.size("_w")),
-        F.length(t) / F.col("_n"),
-        *[n_of(t, c) / F.col("_n") for c in ("|", "#", "*$%&", "!", ".", ",", "?", "<>{}[]", ":;/@_=\\")],
-        n_of(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") / F.col("_c"),
-        n_of(t, "0123456789") / F.col("_c"),
-        F.size("_l") / F.col("_n"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))) / F.col("_k"),
-        F.size(F.array_distinct("_w")) / F.col("_n"),
-        F.size(F.filter("_w", lambda x: F.length(x) <= 3)) / F.col("_n"),
+#: Bytes that are counted together; each class is a share of the words.
+_CLASSES = (b"|", b"#", b"*$%&", b"!", b".", b",", b"?", b"<>{}[]", b":;/@_=\\", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789")
+_CLASS = np.zeros((256, len(_CLASSES)))
+for _k, _c in enumerate(_CLASSES):
+    _CLASS[list(_c), _k] = 1
+
+
+def statistics(text: str | None) -> list[float]:
+    """Statistics of one whole text, from its UTF-8 bytes, words and lines."""
+    raw = (text or "").encode("utf-8")
+    ws = raw.split()
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    n, k = max(1, len(ws)), max(1, len(lines))
+    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASS / n
+    return [
+        math.log1p(len(ws)),
+        len(raw) / n,
+        *counts.tolist(),
+        len(lines) / n,
+        (len(lines) - len(set(lines))) / k,
+        len(set(ws)) / n,
+        sum(len(w) <= 3 for w in ws) / n,
+        sum(map(eq, ws, ws[1:])) / n,
     ]
-    return settled(w, x=F.array(*[s.cast("double") for s in stats])).select("doc_id", "x")
+
+
+def features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with ``x``, an array of statistics in place of the text; a narrow step."""
+    keep = [c for c in docs.columns if c not in ("x", text)]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("x", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                x = pa.array([statistics(t) for t in part.column(text).to_pylist()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), x], names=schema.names)
+
+    return docs.select(*keep, text).mapInArrow(run, schema)
 
 
 def paths(tree: str) -> set[Rule]:
@@ -97,7 +123,7 @@ def fit(labelled: DataFrame, seed: int = 11) -> RuleEnsemble:
     share = data.agg(F.avg("label")).first()[0]
     if share is None or share in (0.0, 1.0):
         return constant(share)
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, minInstancesPerNode=5, featuresCol="v", labelCol="label", subsamplingRate=0.8)
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, minInstancesPerNode=3, featureSubsetStrategy="onethird", featuresCol="v", labelCol="label", subsamplingRate=0.8)
     model = forest.fit(data.withColumn("v", array_to_vector("x")))
     rules = sorted(set().union(*[paths(t.toDebugString) for t in model.trees]))
     if not rules:
@@ -120,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     n = usable.count()
     sample = usable.where(F.pmod(F.xxhash64(F.lit("train"), "_id"), F.lit(max(1, n))) < bound)  # about ``bound`` rows of two numbers
     chosen = docs.select("doc_id", text).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
-    stats = features(chosen, text).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "x", "label")
+    stats = features(chosen.select("doc_id", "label", text), text)
     tasks = min(4, shuffle_partitions(docs.sparkSession))
     return fit(stored(stats.repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "x"), "train"))
 
@@ -128,14 +154,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     model = train(docs, labels, text, label)
-    scored = features(docs, text).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
+    scored = features(docs.select("doc_id", text), text).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts, with their own columns, in one narrow pass."""
     model = train(docs, labels, text, label)
-    own = F.struct(*docs.columns).alias("_own")
-    packed = docs.select(own, F.col(text).alias("_text"))
-    scored = features(packed.select(F.col("_own").alias("doc_id"), F.col("_text")), "_text")
-    return scored.where(model.score() >= threshold).select("doc_id.*")
+    packed = docs.select(F.struct(*docs.columns).alias("_own"), F.col(text).alias("_text"))
+    return features(packed, "_text").where(model.score() >= threshold).select("_own.*")
