@@ -70,13 +70,17 @@ def link(parsed: DataFrame) -> DataFrame:
 
 def threads(parents: DataFrame, rounds: int = 64) -> DataFrame:
     """me, up (the thread's first message) and depth, by pointer jumping: each round doubles the
-    distance, and is written to the shared folder. ``parents``: me, parent (null at a start)."""
-    now = stored(parents.select("me", F.coalesce("parent", "me").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")), "threads")
+    distance for messages that haven't reached their start, and is written to the shared folder.
+    ``parents``: me, parent (null at a start)."""
+    start = F.col("parent").isNull()
+    now = stored(parents.select("me", F.coalesce("parent", "me").alias("up"), F.when(start, 0).otherwise(1).alias("depth"), start.alias("done")), "threads")
     for _ in range(rounds):
-        if now.where("depth > 0").select(F.col("up").alias("me")).join(now.where("depth > 0"), "me", "left_semi").isEmpty():
-            return now
-        above = now.select(F.col("me").alias("_me"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        now = stored(now.join(above, F.col("up") == F.col("_me")).select("me", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth")), "threads")
+        going = now.where("not done")
+        if going.isEmpty():
+            return now.drop("done")
+        above = now.select(F.col("me").alias("_me"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        moved = going.join(above, F.col("up") == F.col("_me")).select("me", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        now = stored(now.where("done").unionByName(moved), "threads")
     raise RuntimeError(f"the threads did not settle in {rounds} rounds")
 
 
