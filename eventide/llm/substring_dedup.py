@@ -39,7 +39,7 @@ RUN = 64
 #: Words of a document that are looked at together; the next piece overlaps it by a window.
 SEGMENT = 200_000
 #: Text bytes a bucket aims at (packed, about three times that), and buckets a task at least.
-BUCKET_BYTES, BUCKETS_A_TASK = 8_000_000, 16
+BUCKET_BYTES, BUCKETS_A_TASK = 3_000_000, 6
 #: Packed bytes a task gathers before it compresses and sends them, by bucket.
 FLUSH_BYTES = 24_000_000
 #: Occurrences that are judged at once.
@@ -61,24 +61,41 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
+class _Powers:
+    """base ** n for arrays of n below 2 ** 32, from two tables."""
+
+    def __init__(self, base: int):
+        self.low = _powers(np.uint64(base), (1 << 16) - 1)
+        self.high = _powers(np.uint64(pow(base, 1 << 16, 1 << 64)), (1 << 16) - 1)
+
+    def __call__(self, n: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return self.low[n & 0xFFFF] * self.high[n >> 16]
+
+    def block(self, k: int, n: int) -> np.ndarray:
+        """The powers from k * 2 ** 16 on, n of them."""
+        with np.errstate(over="ignore"):
+            return self.low[:n] * self.high[k]
+
+
 class _Bytes:
-    """Hashes of byte ranges in constant time each, from running sums."""
+    """Hashes of byte ranges in constant time each, from running sums (8 bytes a byte)."""
 
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up = down = np.ones(1, np.uint64)
+    up, down = _Powers(int(_BASE)), _Powers(pow(int(_BASE), -1, 1 << 64))
 
     def __init__(self, data: bytes):
         self.data = np.frombuffer(data, np.uint8)
         n = len(self.data)
-        if len(_Bytes.up) <= n:
-            _Bytes.up, _Bytes.down = _powers(_BASE, n), _powers(self.inverse, n)
+        self.sums = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            sums = (self.data.astype(np.uint64) + np.uint64(1)) * self.up[:n]
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sums, dtype=np.uint64)])
+            for k, at in enumerate(range(0, n, 1 << 16)):
+                part = self.data[at : at + (1 << 16)].astype(np.uint64) + np.uint64(1)
+                np.cumsum(part * self.up.block(k, len(part)), out=self.sums[at + 1 : at + 1 + len(part)])
+                self.sums[at + 1 : at + 1 + len(part)] += self.sums[at]
 
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            h = (self.sums[b] - self.sums[a]) * self.down[a]
+            h = (self.sums[b] - self.sums[a]) * self.down(a)
             return _mix(h + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
