@@ -166,9 +166,10 @@ def conflicts(a: Column, b: Column) -> Column:
 
 def entity_conflict(a: Column, b: Column, suffixes: Sequence[str]) -> Column:
     """Both lists have entities with the same suffix and share none of them."""
+    ending = lambda c, suffix: F.filter(c, lambda e: F.endswith(e, F.lit(suffix)))
     out = F.lit(False)
-    for s in suffixes:
-        x, y = (F.filter(c, lambda e, s=s: F.endswith(e, F.lit(s))) for c in (a, b))
+    for suffix in suffixes:
+        x, y = ending(a, suffix), ending(b, suffix)
         out = out | ((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y))
     return out
 

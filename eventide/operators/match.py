@@ -18,7 +18,8 @@ def hard_identities(signals: DataFrame, events: DataFrame) -> DataFrame:
     (kind, key) of exploded keys rather than a join with or."""
 
     def keys(df: DataFrame, id_col: str) -> DataFrame:
-        pairs = F.explode(F.flatten(F.array(*[F.transform(F.coalesce(k, X.empty()), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("key"))) for k in IDENTITIES]))).alias("p")
+        of = lambda kind: F.transform(F.coalesce(kind, X.empty()), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+        pairs = F.explode(F.flatten(F.array(*[of(k) for k in IDENTITIES]))).alias("p")
         return df.select(id_col, pairs).select(id_col, "p.kind", "p.key").where("key <> ''").distinct()
 
     hit = keys(signals, "signal_id").join(keys(events, "event_id"), ["kind", "key"])
