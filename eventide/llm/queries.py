@@ -141,4 +141,70 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (f.key IS NOT NULL) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id""",
+    "op9_quality_rules": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+            FROM documents),
+        u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        g AS (
+            SELECT doc_id, i, string_agg(word, ' ') OVER ahead AS s, count(*) OVER ahead = 3 AS whole
+            FROM u WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+        r AS (SELECT doc_id, i, whole AND count(*) OVER (PARTITION BY doc_id, whole, s) > 1 AS rep FROM g),
+        c AS (
+            SELECT doc_id, bool_or(rep) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS cov FROM r),
+        n AS (SELECT doc_id, count(*) FILTER (cov) AS n_rep FROM c GROUP BY doc_id),
+        k AS (
+            SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+                   coalesce(n_rep, 0) AS n_repeat_words, len(l) AS n_lines, len(list_distinct(w)) AS n_distinct,
+                   length(regexp_replace(t, '[^A-Z]', '', 'g')) AS caps, length(regexp_replace(t, '[^!]', '', 'g')) AS excl,
+                   length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits
+            FROM d LEFT JOIN n USING (doc_id)),
+        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM k)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR n_distinct * 50 < n_words OR n_symbols * 5 > n_words OR caps * 5 > word_chars * 2
+                    OR excl * 5 > n_words OR n_dup_lines * 2 > n_lines OR word_chars < n_words * 2
+                    OR word_chars > n_words * 20 OR digits * 2 > word_chars) AS kept
+        FROM f""",
+    "op4_quotation": r"""
+        WITH RECURSIVE l AS (
+            SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM conversations),
+        p AS (
+            SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]*)+)', 1), '[ \t]', '', 'g')) AS level,
+                   regexp_replace(line, '^[ \t]*((?:>[ \t]*)+)', '') AS body FROM l),
+        q AS (
+            SELECT *, translate(trim(regexp_replace(body, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm,
+                   coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY i), 0) AS below FROM p),
+        own AS (SELECT * FROM q WHERE level = 0 AND NOT (below > 0 AND norm LIKE '%:')),
+        here AS (SELECT conv_id, norm, min(turn) AS ft FROM own WHERE norm <> '' GROUP BY ALL),
+        anywhere AS (
+            SELECT norm, conv_id AS ac, ft AS at_ FROM (
+                SELECT *, row_number() OVER (PARTITION BY norm ORDER BY conv_id, ft) AS n FROM here) WHERE n = 1),
+        v AS (
+            SELECT q.conv_id, q.turn, level,
+                   CASE WHEN h.ft < q.turn THEN q.conv_id WHEN ac < q.conv_id OR (ac = q.conv_id AND at_ < q.turn) THEN ac END AS pc,
+                   CASE WHEN h.ft < q.turn THEN h.ft WHEN ac < q.conv_id OR (ac = q.conv_id AND at_ < q.turn) THEN at_ END AS pt
+            FROM q LEFT JOIN here h ON h.conv_id = q.conv_id AND h.norm = q.norm LEFT JOIN anywhere a ON a.norm = q.norm
+            WHERE level > 0 AND q.norm <> ''),
+        b AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, (pc = conv_id) DESC, pc DESC, pt DESC) AS r
+            FROM (SELECT conv_id, turn, level, pc, pt, count(*) AS n FROM v WHERE pc IS NOT NULL GROUP BY ALL)),
+        prev AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS pv FROM conversations),
+        par AS (
+            SELECT x.conv_id, x.turn, coalesce(b.pc, CASE WHEN pv IS NOT NULL THEN x.conv_id END) AS pc, coalesce(b.pt, pv) AS pt
+            FROM prev x LEFT JOIN b ON b.conv_id = x.conv_id AND b.turn = x.turn AND b.r = 1),
+        tree AS (
+            SELECT conv_id, turn, pc, pt, conv_id AS tc, turn AS tt, 0::BIGINT AS depth FROM par WHERE pc IS NULL
+            UNION ALL
+            SELECT c.conv_id, c.turn, c.pc, c.pt, t.tc, t.tt, t.depth + 1 FROM par c JOIN tree t ON c.pc = t.conv_id AND c.pt = t.turn),
+        o AS (
+            SELECT q.conv_id, q.turn, CAST(max(q.level) AS BIGINT) AS quote_levels, count(*) FILTER (q.level > 0) AS n_quoted,
+                   trim(coalesce(string_agg(q.body, chr(10) ORDER BY q.i) FILTER (NOT (q.level > 0 OR (q.below > 0 AND q.norm LIKE '%:'))), ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS own_text
+            FROM q GROUP BY ALL)
+        SELECT t.conv_id, t.turn, c.role, t.pc AS parent_conv, t.pt AS parent_turn, t.tc AS thread_conv, t.tt AS thread_turn, t.depth,
+               row_number() OVER (PARTITION BY t.tc, t.tt ORDER BY t.depth, t.conv_id, t.turn) - 1 AS place,
+               quote_levels, n_quoted, sha256(own_text) AS own_sha256
+        FROM tree t JOIN o USING (conv_id, turn) JOIN conversations c USING (conv_id, turn)""",
 }
