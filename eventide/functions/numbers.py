@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def clip(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Within 0 and 1; null stays null (least and greatest alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def log_score(c: Column, cap: float) -> Column:
@@ -42,7 +43,7 @@ def sigmoid(c: Column) -> Column:
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two arrays of the same length, within -1 and 1."""
     s = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))
+    return F.when(s.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s)))
 
 
 def rank_bucket(c: Column) -> Column:

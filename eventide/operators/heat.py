@@ -59,7 +59,7 @@ def aggregate(scores: DataFrame, cfg: HeatConfig = HeatConfig()) -> DataFrame:
         F.max(F.when(F.col("basis") == "native_heat", F.struct("native_heat", "score"))).alias("native"),
         F.bool_or(F.col("score_status") == "ok").alias("ok"), F.bool_and(F.col("basis") == "rss_presence_only").alias("feeds"),
     )
-    score = F.when(F.col("native").isNotNull(), F.col("native.score")).when(F.col("n_s") > 0, F.least(F.lit(1.0), F.col("best_s") + bonus(F.col("n_s")))).when(F.col("feeds"), F.col("best")).otherwise(F.least(F.lit(1.0), F.col("best") + bonus(F.col("n"))))
+    score = F.when(F.col("best").isNull(), None).when(F.col("native").isNotNull(), F.col("native.score")).when(F.col("n_s") > 0, F.least(F.lit(1.0), F.col("best_s") + bonus(F.col("n_s")))).when(F.col("feeds"), F.col("best")).otherwise(F.least(F.lit(1.0), F.col("best") + bonus(F.col("n"))))
     return a.select("event_id", "platform", score.alias("score"), F.when(score.isNull(), "unknown").when(F.col("ok"), "ok").otherwise("partial").alias("status"), F.col("n").alias("members")).withColumns({"bucket": N.score_bucket(F.col("score")), "strength": N.strength(F.col("score"))})
 
 

@@ -122,7 +122,7 @@ def heat_signal_scores(spark, d):
     SELECT event_id, platform, max(score) AS best, count(score) AS n, max(score) FILTER (basis = 'samples') AS best_s, count(score) FILTER (basis = 'samples') AS n_s,
            max(native_heat) FILTER (basis = 'native_heat') AS native, bool_or(score_status = 'ok') AS ok, bool_and(basis = 'rss_presence_only') AS feeds
     FROM scored GROUP BY ALL),
-b AS (SELECT *, CASE WHEN native IS NOT NULL THEN native / (native + 1e7) WHEN n_s > 0 THEN least(1, best_s + 0.05 * least(3, n_s - 1)) WHEN feeds THEN best ELSE least(1, best + 0.05 * least(3, n - 1)) END AS score FROM a)
+b AS (SELECT *, CASE WHEN best IS NULL THEN NULL WHEN native IS NOT NULL THEN native / (native + 1e7) WHEN n_s > 0 THEN least(1, best_s + 0.05 * least(3, n_s - 1)) WHEN feeds THEN best ELSE least(1, best + 0.05 * least(3, n - 1)) END AS score FROM a)
 SELECT event_id, platform, round(score, 6) AS score, CASE WHEN score IS NULL THEN 'unknown' WHEN ok THEN 'ok' ELSE 'partial' END AS status, n AS members,
        CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 0.7 THEN 'strong' WHEN score >= 0.45 THEN 'medium' ELSE 'weak' END AS strength FROM b""")
 def heat_aggregate(spark, d):
