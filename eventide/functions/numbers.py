@@ -8,9 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _bound(c: Column) -> Column:
+    """Within 0 and 1, for values that the caller knows not to be null."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+
 def clip(c: Column) -> Column:
     """Within 0 and 1; null stays null (least and greatest alone would skip it)."""
-    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+    return F.when(c.isNotNull(), _bound(c))
 
 
 def log_score(c: Column, cap: float) -> Column:
@@ -18,7 +23,7 @@ def log_score(c: Column, cap: float) -> Column:
 
 
 def rank_score(c: Column) -> Column:
-    return F.when(c > 0, clip(1 - (c - 1) / 20))
+    return F.when(c > 0, _bound(1 - (c - 1) / 20))
 
 
 def native_score(c: Column, half: float = 1e7) -> Column:
@@ -29,7 +34,7 @@ def weighted_available(parts: list[tuple[Column, float]]) -> Column:
     """Weighted mean over the parts that are known, clipped; null if none is."""
     total = reduce(lambda a, b: a + b, [F.coalesce(c * w, F.lit(0.0)) for c, w in parts])
     weight = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), w).otherwise(0.0) for c, w in parts])
-    return F.when(weight > 0, clip(total / weight))
+    return F.when(weight > 0, _bound(total / weight))
 
 
 def saturating(c: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import identity as I
 from .functions import numbers as N
 from .functions import text as X
-from .operators import classify, evaluate, guardrails, heat, match, normalize, observe, official, report, retrieve, review, trend
+from .operators import classify, evaluate, filters, guardrails, heat, match, normalize, observe, official, report, retrieve, review, trend
 from .plans import resolution, window_report
 from .sources import readers, writers
 
@@ -494,3 +494,40 @@ def presence_sessions(spark, d):
     from .streaming import rounds
 
     return rounds.presence_sessions(observations(spark, d)).select("event_id", "platform", "n")
+
+
+@query(f"""WITH {OBS} SELECT observation_id FROM obs WHERE run_id % 7 <> 0 AND observation_id % 5 <> 0 AND observed_at > TIMESTAMP '2024-01-10' AND observed_at <= TIMESTAMP '2024-01-20'""")
+def accepted_signals(spark, d):
+    o = observations(spark, d).withColumns({"audit_only": F.col("run_id") % 7 == 0, "contributes": F.lit(True), "relation_decision": F.when(F.col("observation_id") % 5 == 0, "rejected"), "published_at": F.lit(None).cast("timestamp")})
+    return filters.accepted_signals(o, F.lit(START), F.lit(END)).select("observation_id")
+
+
+@query(f"""WITH {OBS} SELECT DISTINCT event_id FROM obs e WHERE EXISTS (SELECT 1 FROM obs i WHERE i.event_id = e.event_id AND i.platform = 'zhihu' AND i.observed_at > TIMESTAMP '2024-01-19' AND i.observed_at <= TIMESTAMP '2024-01-20')""")
+def current_attention(spark, d):
+    o = observations(spark, d)
+    return filters.current_attention(o.select("event_id").distinct(), o.withColumn("signal_role", F.when(F.col("platform") == "zhihu", "topic_discovery")), F.lit(END))
+
+
+@query(f"""WITH {OBS}, e AS (SELECT event_id, min(observed_at) AS f, max(observed_at) AS l FROM obs WHERE observation_id % 40 = 0 GROUP BY event_id)
+SELECT 'evt_' || event_id AS event_id FROM e WHERE f <= TIMESTAMP '2024-01-20' AND l >= TIMESTAMP '2024-01-17' AND event_id % 6 <> 0""")
+def candidate_events(spark, d):
+    e = observations(spark, d).where("observation_id % 40 = 0").groupBy("event_id").agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"))
+    e = e.select(F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("event_id"), F.when(F.col("event_id") % 6 == 0, "merged").otherwise("active").alias("status"), "first_seen_at", "last_seen_at")
+    return filters.candidate_events(e, F.lit(START), F.lit(END)).select("event_id")
+
+
+@query("""WITH s AS (SELECT DISTINCT o_orderkey AS signal_id, o_custkey AS ref FROM orders), o AS (SELECT o_custkey AS ref, max(o_orderdate) AS t FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT signal_id, CAST(epoch(t) AS BIGINT) AS seconds FROM s LEFT JOIN o USING (ref)""")
+def signal_observed_time(spark, d):
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("signal_id"), F.lit("s").alias("source_id"), F.lit("p").alias("platform"), F.array(F.col("o_custkey").cast("string")).alias("refs"), _utc("o_orderdate").alias("observed_at"), "o_orderstatus")
+    return filters.observed_time(o.drop("observed_at", "o_orderstatus"), o.where("o_orderstatus = 'F'")).select("signal_id", F.unix_seconds("observed_at").alias("seconds"))
+
+
+@query(f"""WITH {OBS} SELECT run_id, count(DISTINCT observation_id) AS rounds, count(DISTINCT platform) AS platforms, bool_and(list_complete) AS complete FROM obs GROUP BY run_id""")
+def collection_provenance(spark, d):
+    return filters.provenance(observations(spark, d).withColumn("round_id", F.col("observation_id"))).select("run_id", "rounds", "platforms", "complete")
+
+
+@query("""SELECT lower(c_mktsegment) AS email, max(c_custkey) AS delivery_id FROM customer GROUP BY 1""")
+def latest_deliveries(spark, d):
+    return filters.latest_per_address(_t(spark, d, "customer").select(F.col("c_mktsegment").alias("email"), F.col("c_custkey").alias("delivery_id")))

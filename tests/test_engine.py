@@ -10,7 +10,7 @@ from eventide import config as C
 from eventide.functions import identity as I
 from eventide.functions import numbers as N
 from eventide.functions import text as X
-from eventide.operators import classify, evaluate, guardrails, heat, match, normalize, observe, official, report, retrieve, review, trend
+from eventide.operators import classify, evaluate, filters, guardrails, heat, match, normalize, observe, official, report, retrieve, review, trend
 from eventide.plans import resolution, window_report
 from eventide.sources import readers, writers
 
@@ -328,6 +328,23 @@ def test_feed(spark):
     assert [(r["rank"], r["title"], r["url"], r["hot_value"]) for r in got] == [(1, "A & B", "https://a", 12345), (2, "C", "", None)]
 
 
+def test_statuses_and_site_search(spark):
+    p = '{"data":{"statuses":[{"idstr":"1","text":"short","long_text":{"long_text_content":"the long text"},"created_at":"Mon Sep 14 00:00:00 +0000 2026","reposts_count":3}]}}'
+    got = filters.statuses(spark.createDataFrame([(p,)], "payload string")).first()
+    assert (got["status_id"], got["text"], got["created_at"], got["reposts"], got["likes"]) == ("1", "the long text", T0, 3, None)
+    pages = ['{"code":"0","data":{"records":[{"title":"<em>A</em>","url":"https://a","displayTime":1789344000000}]}}', '{"code":"1"}', '<script>var docArr = [{"title":"B","url":"https://b","pubtime":"2026-09-14 08:00:00"},{"title":"","url":"https://c"}];</script>']
+    got = filters.site_search(spark.createDataFrame([(x,) for x in pages], "payload string")).orderBy("title").collect()
+    assert [(r["title"], r["published_at"]) for r in got] == [("A", T0), ("B", T0)]
+
+
+def test_card_texts(spark):
+    s = F.array(F.struct(F.lit("official").alias("platform"), F.lit("o").alias("text")), F.struct(F.lit("weibo").alias("platform"), F.lit("w").alias("text")), F.struct(F.lit("zhihu").alias("platform"), F.lit(" ").alias("text")))
+    assert one(spark, filters.card_summary(s)) == "w"
+    assert one(spark, filters.representatives(F.col("a")), a=["1", "2", "3", "4"]) == ["1", "3", "4"]
+    assert one(spark, filters.representatives(F.col("a")), a=["1"]) == ["1"]
+    assert one(spark, filters.trend_label(F.lit("rising"), F.lit(120.0), F.lit(False))) == "rising, seen for 2 h"
+
+
 def test_articles(spark):
     html = "<html><head><title>x</title><meta property='og:title' content='The title'></head><body><nav>menu menu menu menu menu</nav><p>" + "long paragraph " * 8 + "</p><p>short</p><script>var a = 'not text not text';</script></body></html>"
     got = readers.articles(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).orderBy("page_id").collect()
