@@ -61,9 +61,10 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataF
 
 
 def block_count(n: int, distance: int) -> int:
-    """Fewest blocks for which a chance meeting in a deal is rare: n fingerprints over the values
-    of ``blocks - distance`` blocks give less than one neighbour in 16. Any count is exact."""
-    return next((b for b in range(distance + 1, 17) if n <= 2.0 ** (64 * (b - distance) / b) / 16), 16)
+    """Blocks for which a chance meeting in a deal is rare: n fingerprints over the values of
+    ``blocks - distance`` blocks give less than one neighbour in 16. Any count is exact; three
+    blocks in common at least, so that small and large inputs are dealt alike."""
+    return next((b for b in range(distance + 3, 17) if n <= 2.0 ** (64 * (b - distance) / b) / 16), 16)
 
 
 def masks(blocks: int, distance: int) -> list[int]:
