@@ -52,7 +52,8 @@ def lexical_tokens(c: Column) -> Column:
     digits whole; lower case, repeats kept."""
     runs = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(rf"([a-z0-9]+|[{CJK}]+)"), F.lit(1))
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(rf"^[{CJK}]{{2,}}$"), pairs(r)).otherwise(F.array(r))))
+    cut = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(rf"^[{CJK}]{{2,}}$"), pairs(r)).otherwise(F.array(r))))
+    return F.when(c.rlike(f"[{CJK}]"), cut).otherwise(runs)  # most texts have no pairs to cut
 
 
 def ngrams(c: Column, low: int, high: int) -> Column:

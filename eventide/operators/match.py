@@ -33,21 +33,25 @@ def embedding_gate(score: Column, anchored: Column) -> Column:
 def pair_features(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:  # noqa: B008
     """Features of candidate pairs. Columns a_* are the signal's, b_* the event's: title, text,
     entities, actions, keywords, time; bm25, embedding, rerank (null: none), id_match, url_match."""
-    ta, tb = X.normalize_space(F.col("a_title")), X.normalize_space(F.col("b_title"))
     hours = N.hours_between(F.col("a_time"), F.col("b_time"))
     known = F.coalesce(hours <= cfg.window_hours, F.lit(False))
+    # What several features read is worked out once a pair.
+    shared = {f"_{s}": X.normalize_space(F.col(f"{s}_title")) for s in "ab"} | {f"_f{s}": X.facts(F.col(f"{s}_title")) for s in "ab"} | {"_text": X.normalize_space(F.col("b_text"))}
+    pairs = pairs.withColumns(shared)
+    pairs = pairs.withColumns({f"_g{s}": X.ngrams(F.col(f"_{s}"), 2, 4) for s in "ab"})
+    ta, tb = F.col("_a"), F.col("_b")
     p = pairs.withColumns({
         "hard": F.coalesce("id_match", F.lit(False)) | F.coalesce("url_match", F.lit(False)),
         "containment": X.title_containment(F.col("a_title"), F.col("b_title")) | ((ta == tb) & (ta != "")),
-        "ngram": X.jaccard(X.ngrams(ta, 2, 4), X.ngrams(tb, 2, 4)),
-        "keyword": X.term_overlap(F.col("a_keywords"), X.normalize_space(F.col("b_text"))),
+        "ngram": X.jaccard(F.col("_ga"), F.col("_gb")),
+        "keyword": X.term_overlap(F.col("a_keywords"), F.col("_text")),
         "entity": X.jaccard(F.col("a_entities"), F.col("b_entities")),
         "action": X.jaccard(F.col("a_actions"), F.col("b_actions")),
         "bm25_part": N.saturating(F.col("bm25")),
         "in_window": known,
         "time_conflict": F.coalesce(hours > cfg.window_hours, F.lit(False)),
         "entity_conflict": X.entity_conflict(F.col("a_entities"), F.col("b_entities"), COMPARABLE_ENTITY_SUFFIXES),
-        "fact_conflicts": X.conflicts(X.facts(F.col("a_title")), X.facts(F.col("b_title"))),
+        "fact_conflicts": X.conflicts(F.col("_fa"), F.col("_fb")),
     })
     p = p.withColumn("anchored", F.col("containment") | ((F.col("entity") > 0) & (F.col("action") > 0)))
     gate = embedding_gate(F.col("embedding"), F.col("anchored"))
@@ -62,7 +66,7 @@ def pair_features(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFra
         F.when(F.col("keyword") >= cfg.keyword_high, "keyword_overlap"), F.when((F.col("ngram") >= cfg.ngram_high) | (F.col("bm25_part") >= cfg.bm25_min), "bm25_ngram"),
         F.when((F.col("entity") > 0) & ~F.col("time_conflict"), "entity_time_rule"), F.when(F.col("embedding") >= cfg.embedding_candidate, "embedding_rerank"), F.when(F.col("rerank").isNotNull(), "cross_encoder"),
     ))
-    return p.withColumns({"any_conflict": conflict, "semantic_support": support, "matched_by": matched})
+    return p.withColumns({"any_conflict": conflict, "semantic_support": support, "matched_by": matched}).drop(*shared, "_ga", "_gb")
 
 
 def confidence(cfg: MatchConfig = MatchConfig()) -> Column:  # noqa: B008

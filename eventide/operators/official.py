@@ -28,10 +28,11 @@ def support(events: DataFrame, pool: DataFrame, end: Column, cfg: SupportConfig
     cand = top_k(bm25(e, pool, "event_id", "item_id", "q", "text"), ["event_id"], recall, F.desc("score"), F.asc("item_id"))
     b = pool.select("item_id", *[F.col(c).alias(f"b_{c}") for c in ("title", "text", "entities", "status", "url", "published_at")])
     p = cand.join(events, "event_id").join(b, "item_id")
+    p = p.withColumns({"_fa": X.facts(F.col("title")), "_fb": X.facts(F.col("b_title")), "_text": X.normalize_space(F.col("b_text"))})
     ta, tb = X.normalize_space(F.col("title")), X.normalize_space(F.col("b_title"))
-    clash = (F.size(X.conflicts(X.facts(F.col("title")), X.facts(F.col("b_title")))) > 0) | X.entity_conflict(F.col("entities"), F.col("b_entities"), COMPARABLE_ENTITY_SUFFIXES)
+    clash = (F.size(X.conflicts(F.col("_fa"), F.col("_fb"))) > 0) | X.entity_conflict(F.col("entities"), F.col("b_entities"), COMPARABLE_ENTITY_SUFFIXES)
     apart = (F.size("entities") > 0) & (F.size("b_entities") > 0) & ~F.arrays_overlap("entities", "b_entities")
-    text = X.normalize_space(F.col("b_text"))
+    text = F.col("_text")
     hits = F.size(F.filter("keywords", lambda k: F.contains(text, k)))
     keyword = X.term_overlap(F.col("keywords"), text)
     ngram = X.containment(X.ngrams(ta, 2, 3), X.ngrams(tb, 2, 3))

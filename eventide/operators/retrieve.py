@@ -10,6 +10,10 @@ from ..functions import numbers as N
 from ..functions import text as X
 
 
+#: Distinct query terms that are sent to the documents; more meet them by a shuffle.
+BROADCAST_TERMS = 100_000
+
+
 def postings(docs: DataFrame, id_col: str, text: str, by: list[str] | None = None) -> DataFrame:
     """by, id, term, tf, len: one row a term of a document."""
     t = docs.select(*(by or []), F.col(id_col).alias("id"), X.lexical_tokens(F.col(text)).alias("w")).withColumn("len", F.size("w"))
@@ -24,8 +28,12 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, query_
     dropped before anything is counted per term."""
     by = by or []
     terms = queries.select(*by, F.col(query_id).alias("q"), F.explode(F.array_distinct(X.lexical_tokens(F.col(query_text)))).alias("term"))
-    size = docs.select(*by, F.size(X.lexical_tokens(F.col(doc_text))).alias("len")).groupBy(*by).agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    post = postings(docs, doc_id, doc_text, by).join(terms.select(*by, "term").distinct(), [*by, "term"], "left_semi")
+    tokens = docs.select(*by, F.col(doc_id).alias("id"), X.lexical_tokens(F.col(doc_text)).alias("w")).select("*", F.size("w").alias("len"))
+    size = tokens.groupBy(*by).agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    wanted = terms.select(*by, "term").distinct()
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    post = tokens.select(*by, "id", "len", F.explode("w").alias("term")).join(F.broadcast(wanted) if few else wanted, [*by, "term"], "left_semi")
+    post = post.groupBy(*by, "id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = post.groupBy(*by, "term").agg(F.count("*").alias("df"))
     joined = post.join(df, [*by, "term"]).join(terms, [*by, "term"])
     joined = joined.join(size, by) if by else joined.join(F.broadcast(size))  # one row
