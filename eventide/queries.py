@@ -437,10 +437,10 @@ def official_agenda(spark, d):
     return official.agenda(items, F.lit(START), F.lit(END)).select(F.substring("event_id", 10, 24).alias("digest"), "items", "sources")
 
 
-@query("""SELECT CAST(s_nationkey AS BIGINT) AS event_id, list_sort(list(DISTINCT CAST(s_suppkey AS VARCHAR))) AS source_ids FROM supplier GROUP BY ALL""")
+@query("""SELECT CAST(s_nationkey AS BIGINT) AS event_id, array_to_string(list_sort(list(DISTINCT CAST(s_suppkey AS VARCHAR))), ',') AS source_ids FROM supplier GROUP BY ALL""")
 def merged_events(spark, d):
     e = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("event_id"), F.lit(START).alias("first_seen_at"), F.lit(END).alias("last_seen_at"), F.array(F.col("s_suppkey").cast("string")).alias("source_ids"), X.empty().alias("urls"), F.col("s_nationkey").cast("bigint").alias("target_id"))
-    return match.merge_events(e.drop("target_id"), e.select("event_id", "target_id")).select("event_id", "source_ids")
+    return match.merge_events(e.drop("target_id"), e.select("event_id", "target_id")).select("event_id", F.array_join("source_ids", ",").alias("source_ids"))
 
 
 @query()
@@ -472,7 +472,7 @@ def official_support(spark, d):
 
 
 @query(f"""WITH {OBS}, l AS (SELECT event_id, platform, observed_at, observation_id, score - lag(score) OVER (PARTITION BY event_id, platform ORDER BY observed_at, observation_id) AS dl FROM obs)
-SELECT event_id, platform, observed_at, CASE WHEN dl IS NULL THEN 'unknown' WHEN dl >= 0.05 THEN 'rising' WHEN dl <= -0.05 THEN 'cooling' ELSE 'stable' END AS trend FROM l""")
+SELECT event_id, platform, epoch_us(observed_at) AS observed_us, CASE WHEN dl IS NULL THEN 'unknown' WHEN dl >= 0.05 THEN 'rising' WHEN dl <= -0.05 THEN 'cooling' ELSE 'stable' END AS trend FROM l""")
 def streamed_trend(spark, d):
     """The stream of observations, drained once, with state by series."""
     import tempfile
@@ -484,7 +484,8 @@ def streamed_trend(spark, d):
     observations(spark, d).select("event_id", "platform", "observed_at", "observation_id", "score").write.parquet(f"{base}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
     rounds.running_trend(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(once=True).start().awaitTermination()
-    return spark.read.schema("event_id bigint, platform string, observed_at timestamp, trend string").parquet(f"{base}/out")
+    out = spark.read.schema("event_id bigint, platform string, observed_at timestamp, trend string").parquet(f"{base}/out")
+    return out.select("event_id", "platform", F.unix_micros("observed_at").alias("observed_us"), "trend")
 
 
 @query(f"""WITH {OBS}, g AS (SELECT event_id, platform, observed_at, CASE WHEN date_diff('microsecond', lag(observed_at) OVER w, observed_at) < 7200000000 THEN 0 ELSE 1 END AS brk FROM obs WHERE present WINDOW w AS (PARTITION BY event_id, platform ORDER BY observed_at)),
