@@ -36,7 +36,7 @@ _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}
 _END = "</w>"
 _NONE = 1 << 60
 #: Pieces whose tokens a worker remembers, and pairs whose verdict it remembers, at most.
-CACHE_PIECES, CACHE_PAIRS = 300_000, 2_000_000
+CACHE_PIECES, CACHE_PAIRS = 500_000, 2_000_000
 
 
 def _byte_chars() -> list[str]:
