@@ -24,6 +24,9 @@ PUBLIC_HEAT_TERMS = ("全网热议", "公众热议", "广泛关注", "全民关
 FACT_TERMS = ("证实", "确认", "事实证明", "已坐实")
 GENERIC_TOPICS = ("热议", "热搜", "热点")
 HARMLESS_FLAGS = ("missing_summary", "missing_author", "html_summary", "no_raw_metrics", "rss_order_not_official_rank", "missing_hot_value")
+PLATFORM_LABELS = {"zhihu": "知乎", "weibo": "微博", "official": "官媒"}
+RELATIVE_TIMES = ("今天", "昨天", "昨日", "今日", "明天", "前天", "本周", "上周", "这周", "今年", "去年", "本月", "上月", "刚刚", "小时前", "分钟前")
+TECHNICAL_REVIEWS = ("technical_error",)
 COMPARABLE_ENTITY_SUFFIXES = ("公司", "大学", "医院", "法院")
 
 # Orders of the sort key, lower first.
@@ -60,6 +63,7 @@ class MatchConfig:
     margin: float = 0.03
     rrf_k: int = 60
     use_embedding: bool = False
+    use_reranker: bool = False
 
 
 @dataclass(frozen=True)
@@ -104,3 +108,11 @@ class Dictionaries:
     actions: tuple[str, ...] = ACTIONS
     markers: tuple[str, ...] = ENTITY_MARKERS
     event_types: tuple = field(default=EVENT_TYPES)
+
+
+def profile(name: str) -> MatchConfig:
+    """The matching profile ``rules``, ``hybrid`` or ``hybrid_rerank``; the last two use scores of
+    an embedding, the last also a reranker's, where the caller supplies them."""
+    if name not in ("rules", "hybrid", "hybrid_rerank"):
+        raise ValueError(f"unknown matching profile: {name}")
+    return MatchConfig(use_embedding=name != "rules", use_reranker=name == "hybrid_rerank")

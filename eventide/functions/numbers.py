@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..config import RELATIVE_TIMES
+
 
 def _bound(c: Column) -> Column:
     """Within 0 and 1, for values that the caller knows not to be null."""
@@ -120,3 +122,19 @@ def publication_exclusion(published: Column, start: Column, end: Column) -> Colu
 def slot(ts: Column, minutes: int) -> Column:
     """Number of the sampling slot that a time falls in."""
     return F.floor(F.unix_seconds(ts) / (60 * minutes))
+
+
+def occurrence_problem(c: Column) -> Column:
+    """Why a stated time of occurrence is dropped: null if it is complete with a zone (or wasn't
+    stated), ``llm_occurrence_timezone_missing`` for a date or time without one, else
+    ``llm_invalid_occurrence_time``."""
+    full = c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$") & F.try_to_timestamp(F.regexp_replace(c, r"T(\d\d:\d\d)([Z+-])", "T$1:00$2")).isNotNull()
+    bare = c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?)?$") & F.try_to_timestamp(F.substring(c, 1, 10)).isNotNull()
+    return F.when(c.isNull() | full, None).when(bare, "llm_occurrence_timezone_missing").otherwise("llm_invalid_occurrence_time")
+
+
+def reference_date(title: Column, body: Column, fetched: Column, words: tuple[str, ...] = RELATIVE_TIMES) -> Column:
+    """The local date (UTC+8) that relative words such as "yesterday" count from; null if the text
+    has none or wasn't fetched at a known time."""
+    text = F.concat(F.coalesce(title, F.lit("")), F.coalesce(body, F.lit("")))
+    return F.when(text.rlike("|".join(words)), F.date_format(F.from_utc_timestamp(fetched, "Asia/Shanghai"), "yyyy-MM-dd"))

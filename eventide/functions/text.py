@@ -189,3 +189,8 @@ def quotes_verified(quotes: Column, title: Column, body: Column) -> Column:
 
 def strip_emoji(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]|\[[^\[\]\s]{1,8}\]", "")
+
+
+def remap_ids(ids: Column, aliases: Column) -> Column:
+    """Identifiers with their real names out of the map ``aliases``; unknown ones stay."""
+    return F.transform(ids, lambda x: F.coalesce(F.try_element_at(aliases, x), x))

@@ -57,3 +57,17 @@ def classify(rows: DataFrame) -> DataFrame:
         "k_presence": -F.coalesce("presence", F.lit(0)).cast("int"), "k_delta": _rank("rank_delta", C.DELTA_RANK), "k_hit": _rank("search_hit", C.HIT_RANK), "k_freshness": _rank("freshness", C.FRESHNESS_RANK),
         "k_health": _rank("health", C.HEALTH_RANK), "k_noise": F.size(F.coalesce("flags", F.array().cast("array<string>"))),
     })
+
+
+def evidence(rows: DataFrame) -> DataFrame:
+    """Adds ``evidence``, the summary of what a class rests on: lead, platform_evidence,
+    official_evidence, limitations, and whether its wording must be careful. ``rows`` has title,
+    category, four platform booleans, support_status, coverage, n_references, limitations and
+    missing_fields."""
+    fields = ("weibo_topn", "zhihu_topn", "weibo_search", "zhihu_search")
+    named = ("weibo_topn", "zhihu_topn", "weibo_cli", "zhihu_search")
+    platforms = F.array_compact(F.array(*[F.when(F.col(f), F.lit(n)) for f, n in zip(fields, named, strict=True)]))
+    lead = F.concat(F.coalesce("title", F.lit("")), F.lit(" classified as "), F.col("category"), F.when(F.size(platforms) > 0, " from current 24h evidence").otherwise(""))
+    official = F.when(F.col("support_status") != "not_checked", F.array(F.concat(F.col("support_status"), F.lit("; coverage="), F.coalesce("coverage", F.lit("none")), F.lit("; references="), F.coalesce(F.col("n_references"), F.lit(0)).cast("string")))).otherwise(F.array().cast("array<string>"))
+    both = F.array_distinct(F.concat("limitations", "missing_fields"))
+    return rows.withColumn("evidence", F.struct(lead.alias("lead"), platforms.alias("platform_evidence"), official.alias("official_evidence"), both.alias("limitations"), (F.col("support_status") == "not_found").alias("conservative_language_required")))

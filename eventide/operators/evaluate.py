@@ -25,9 +25,8 @@ def compare(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def summary(cases: DataFrame, by: list[str]) -> DataFrame:
     """Passes by each column of ``by`` alone, in one pass of grouping sets."""
-    cases.createOrReplaceTempView("_cases")
-    sets = ", ".join(f"({b})" for b in by)
-    return cases.sparkSession.sql(f"SELECT {', '.join(by)}, count(*) AS n, count_if(passed) AS passed FROM _cases GROUP BY GROUPING SETS ({sets}, ())")
+    sets = cases.groupingSets([[F.col(b)] for b in by] + [[]], *[F.col(b) for b in by])
+    return sets.agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
 
 
 def split_leaks(cases: DataFrame) -> DataFrame:
@@ -44,3 +43,25 @@ def regressions(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 def mean_absolute_error(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"), F.count(F.col(a) - F.col(b)).alias("n"))
+
+
+def changed_labels(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """Cases of the baseline that are gone or whose expected values changed: no comparison holds
+    while there are any."""
+    j = baseline.select("case_id", F.to_json("expected").alias("was")).join(current.select("case_id", F.to_json("expected").alias("now")), "case_id", "left")
+    return j.where(~F.col("was").eqNullSafe(F.col("now"))).select("case_id", F.when(F.col("now").isNull(), "missing").otherwise("relabelled").alias("problem"))
+
+
+def ablation(baseline: DataFrame, runs: DataFrame) -> DataFrame:
+    """profile, cases, passed, fixed, regressed: every profile's run (case_id, profile, passed)
+    over the baseline's cases. One join on the case; counts combine before they are shuffled."""
+    j = runs.select("profile", "case_id", "passed").join(baseline.select("case_id", F.col("passed").alias("was")), "case_id")
+    c = F.col
+    return j.groupBy("profile").agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"), F.count_if(c("passed") & ~c("was")).alias("fixed"), F.count_if(~c("passed") & c("was")).alias("regressed"))
+
+
+def suite(cases: DataFrame, actual: DataFrame) -> DataFrame:
+    """kind, n, passed, failed, rate over all cases (case_id, kind, expected) and what was found
+    (case_id, actual). A case without a result fails."""
+    done = compare(cases.select("case_id", "expected"), actual)
+    return cases.join(done, "case_id", "left").groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.coalesce("passed", F.lit(False))).alias("passed")).withColumns({"failed": F.col("n") - F.col("passed"), "rate": F.round(F.col("passed") / F.col("n"), 6)})

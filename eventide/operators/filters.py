@@ -146,3 +146,28 @@ def trend_label(trend: Column, minutes: Column, stale: Column) -> Column:
     """A trend in words."""
     span = F.when(minutes >= 60, F.concat(F.floor(minutes / 60).cast("string"), F.lit(" h"))).otherwise(F.concat(F.floor(minutes).cast("string"), F.lit(" min")))
     return F.when(stale, "no recent observation").when(trend == "unknown", "not comparable").otherwise(F.concat_ws(", ", trend, F.when(minutes.isNotNull(), F.concat(F.lit("seen for "), span))))
+
+
+#: Flags of a trend that can't be told, the first that applies, and what they mean.
+UNKNOWN_TREND = {
+    "source_unavailable": "最近一次来源采集失败，无法比较",
+    "stale_observation": "最近观测已过期，缺少近期可比数据",
+    "incomplete_list": "榜单数据不完整，无法连续比较",
+    "missing_sampling_config": "未配置采样间隔，无法确认观测是否连续",
+    "no_window_observations": "本期没有可用的榜单采集记录",
+    "observation_gap": "相邻采集间隔过长，无法连续比较",
+    "incomparable_scope": "前后采集的榜单范围不一致",
+    "sampling_changed": "前后采样口径不一致",
+    "score_config_changed": "前后热度计算口径不一致",
+    "incomparable_scores": "前后两轮热度数据不满足可比条件",
+}
+
+
+def unknown_trend_reason(flags: Column, seen: Column, present: Column, platform: Column) -> Column:
+    """Why a trend isn't known, in words: by flag, then by how often the event was seen."""
+    gone = F.coalesce(~present, F.lit(False))
+    few = F.when(platform == "weibo", "缺少两轮可比的CLI互动指标").otherwise("缺少两轮可比的榜位或热度指标")
+    by_flag = F.coalesce(*[F.when(F.array_contains(flags, f), F.lit(text)) for f, text in UNKNOWN_TREND.items()])
+    once = F.when(gone, "仅有1次在榜观测，最近一轮已离榜，缺少连续可比热度").otherwise("仅有1次在榜观测，需要两次连续可比数据")
+    rest = F.when(seen == 1, once).when(gone, "最近一轮已离榜，缺少连续两轮在榜热度").when(F.array_contains(flags, "insufficient_trend_metrics"), few)
+    return F.when(flags.isNull(), "本期未保存趋势观测数据").otherwise(F.coalesce(by_flag, rest, F.when(F.array_contains(flags, "insufficient_history"), "有效历史不足，需要两次连续可比数据"), F.lit("缺少连续可比的榜单观测数据")))

@@ -81,3 +81,14 @@ def revisions(new: DataFrame, stored: DataFrame, volatile: tuple[str, ...] = ())
 
 def page(df: DataFrame, limit: int, offset: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(200, limit)))
+
+
+def trial_audit(runs: DataFrame, deliveries: DataFrame, since: Column, until: Column) -> DataFrame:
+    """subject, status, n, attention: runs and deliveries that started in [since, until] by status,
+    and runs that still run an hour after they began (``stale``). Attention: anything that
+    failed, waits, is partial or stale, or wasn't sent."""
+    inside = (F.col("started_at") >= since) & (F.col("started_at") <= until)
+    r = runs.where(inside).groupBy("status").agg(F.count("*").alias("n")).select(F.lit("run").alias("subject"), "status", "n", F.col("status").isin("failed", "partial", "queued", "running").alias("attention"))
+    d = deliveries.where(inside).groupBy("status").agg(F.count("*").alias("n")).select(F.lit("delivery").alias("subject"), "status", "n", (F.col("status") != "sent").alias("attention"))
+    old = runs.where((F.col("status") == "running") & (F.col("started_at") < until - F.expr("interval 1 hour"))).groupBy("status").agg(F.count("*").alias("n")).select(F.lit("stale").alias("subject"), "status", "n", F.lit(True).alias("attention"))
+    return r.unionByName(d).unionByName(old)

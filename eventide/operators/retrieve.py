@@ -84,3 +84,13 @@ def capped(ranked: DataFrame, per: str, cap: int, limit: int, query_id: str, *or
     """At most ``cap`` rows of each ``per`` and ``limit`` in all, for each query."""
     first = top_k(ranked.drop("rank"), [query_id, per], cap, *order).drop("rank")
     return top_k(first, [query_id], limit, *order)
+
+
+def select_candidates(pool: DataFrame, ranked: DataFrame, query_id: str, doc_id: str, limit: int = 20) -> DataFrame:
+    """query_id, doc_id, method: a query's whole pool if it fits the limit, else what retrieval
+    ranked within the limit (rank from 1). Pools are counted before they meet their sizes."""
+    size = pool.groupBy(query_id).agg(F.count_distinct(doc_id).alias("_n"))
+    best = ranked.where(F.col("rank") <= limit).select(query_id, doc_id, F.lit(True).alias("_hit"))
+    j = pool.select(query_id, doc_id).distinct().join(size, query_id).join(best, [query_id, doc_id], "left")
+    method = F.when(F.col("_n") <= limit, "all_within_limit").otherwise("retrieved")
+    return j.where((F.col("_n") <= limit) | F.col("_hit")).select(query_id, doc_id, method.alias("method"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import TECHNICAL_REVIEWS
 from ..functions import identity as I
 
 
@@ -19,15 +23,33 @@ def relation_key(identity: Column, candidate: Column, conflicts: Column) -> Colu
 
 def consolidate(tasks: DataFrame, hours: float = 24) -> DataFrame:
     """Pending tasks of one relation within ``hours`` of the group's first, as one: relation_key,
-    group, n, first_at, last_at, evidence. Each group starts at the first task that the one
-    before no longer reaches (folded in order over a relation's own tasks)."""
-    ordered = F.array_sort(F.collect_list(F.struct("observed_at", "task_id", "evidence")))
-    g = tasks.groupBy("relation_key").agg(ordered.alias("t"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("s"), F.array().cast("array<timestamp>").alias("g"))
-    near = lambda acc, x: acc["s"].isNotNull() & ((F.unix_micros(x["observed_at"]) - F.unix_micros(acc["s"])) / 3.6e9 <= hours)
-    fold = F.aggregate("t", start, lambda acc, x: F.struct(F.when(near(acc, x), acc["s"]).otherwise(x["observed_at"]).alias("s"), F.concat(acc["g"], F.array(F.when(near(acc, x), acc["s"]).otherwise(x["observed_at"]))).alias("g")), lambda acc: acc["g"])
-    flat = g.withColumn("g", fold).select("relation_key", F.explode(F.arrays_zip("t", "g")).alias("z")).select("relation_key", "z.g", "z.t.*")
-    return flat.groupBy("relation_key", "g").agg(F.count("*").alias("n"), F.min("observed_at").alias("first_at"), F.max("observed_at").alias("last_at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence")).drop("g")
+    n, first_at, last_at, evidence. Each group starts at the first task that the one before no
+    longer reaches.
+
+    A pause of over ``hours`` starts a group anyway, so tasks are cut there first; each stretch is
+    read in order as a stream of sorted batches that carries one time, whatever its length."""
+    w = Window.partitionBy("relation_key").orderBy("observed_at", "task_id")
+    pause = F.coalesce((F.unix_micros("observed_at") - F.unix_micros(F.lag("observed_at").over(w))) / 3.6e9 > hours, F.lit(True))
+    cut = tasks.select("relation_key", "observed_at", "task_id", "evidence").withColumn("_pause", pause).withColumn("_stretch", F.sum(F.col("_pause").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    span = int(hours * 3_600_000_000)
+    times = cut.select("relation_key", "_stretch", F.unix_micros("observed_at").alias("_us")).distinct().repartition("relation_key", "_stretch").sortWithinPartitions("relation_key", "_stretch", "_us")
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first = None, 0
+        for batch in batches:
+            keys, at, out = list(zip(*[c.to_pylist() for c in batch.columns[:2]], strict=True)), batch.column(2).to_pylist(), []
+            for key, t in zip(keys, at, strict=True):
+                if key != now or t - first > span:
+                    now, first = key, t
+                out.append(first)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=["relation_key", "_stretch", "_us", "_start"])
+
+    kind = tasks.schema["relation_key"].dataType.simpleString()
+    groups = times.mapInArrow(starts, f"relation_key {kind}, _stretch bigint, _us bigint, _start bigint").drop("_stretch")
+    flat = tasks.select("relation_key", "observed_at", "evidence", F.unix_micros("observed_at").alias("_us")).join(groups, ["relation_key", "_us"])
+    n = flat.groupBy("relation_key", "_start").agg(F.count("*").alias("n"), F.min("observed_at").alias("first_at"), F.max("observed_at").alias("last_at"))
+    kinds = flat.select("relation_key", "_start", F.explode("evidence").alias("e")).distinct().groupBy("relation_key", "_start").agg(F.array_sort(F.collect_list("e")).alias("evidence"))
+    return n.join(kinds, ["relation_key", "_start"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(tasks.schema["evidence"].dataType))).drop("_start")
 
 
 def exclusive_pairs(claims: DataFrame, task: str, key: str) -> DataFrame:
@@ -82,3 +104,34 @@ def queue(tasks: DataFrame, scope: DataFrame) -> DataFrame:
 def latest_decision(history: DataFrame) -> DataFrame:
     w = Window.partitionBy("task_id").orderBy(F.desc("decided_at"), F.desc("decision_id"))
     return history.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def technical_only(category: Column, flags: Column) -> Column:
+    """A review that only a technical fault made: its category says so and no flag is a conflict."""
+    return F.coalesce(category.isin(*TECHNICAL_REVIEWS), F.lit(False)) & ~F.exists(F.coalesce(flags, F.array().cast("array<string>")), lambda f: F.contains(f, F.lit("conflict")))
+
+
+def recover(reviews: DataFrame, accepted: DataFrame, hours: float = 24) -> DataFrame:
+    """review_id, event_id, basis, success_at: pending technical reviews that a later accepted
+    result of the same topic retires.
+
+    ``reviews``: review_id, status, category, flags, item_ids, identity (arrays), first_failed_at,
+    last_failed_at; ``accepted``: event_id, event_signal_id, action, review_required, blocked,
+    flags, item_ids, identity, observed_at. Topics are the same if all items of the review are
+    among the accepted ones, or if both have exactly the same identities and none is a mere
+    signal. A topic of the microblog platform is recovered within ``hours`` only. Reviews and
+    results meet on exploded items or on the whole identity, never all with all."""
+    none = F.array().cast("array<string>")
+    old = reviews.where((F.col("status") == "pending") & technical_only(F.col("category"), F.col("flags")))
+    old = old.select("review_id", F.array_distinct("item_ids").alias("items"), F.array_sort(F.array_distinct(F.coalesce("identity", none))).alias("ident"), "first_failed_at", "last_failed_at")
+    good = F.col("action").isin("create", "merge") & ~F.col("review_required") & ~F.col("blocked") & ~F.exists(F.coalesce("flags", none), lambda f: F.contains(f, F.lit("conflict")))
+    new = accepted.where(good & F.col("observed_at").isNotNull()).select("event_id", "event_signal_id", F.array_distinct("item_ids").alias("items"), F.array_sort(F.array_distinct(F.coalesce("identity", none))).alias("ident"), "observed_at")
+    shared = old.select("review_id", F.size("items").alias("want"), F.explode("items").alias("item")).join(new.select("event_id", "event_signal_id", "observed_at", F.explode("items").alias("item")), "item")
+    by_items = shared.groupBy("review_id", "event_id", "event_signal_id", "observed_at", "want").agg(F.count("*").alias("n")).where("n = want").select("review_id", "event_id", "observed_at")
+    strong = old.where((F.size("ident") > 0) & ~F.exists("ident", lambda k: F.startswith(k, F.lit("signal:"))))
+    by_topic = strong.select("review_id", "ident").join(new.select("event_id", "observed_at", "ident"), "ident").select("review_id", "event_id", "observed_at")
+    hits = by_items.withColumn("basis", F.lit("items")).unionByName(by_topic.withColumn("basis", F.lit("topic"))).join(old, "review_id")
+    weak = F.exists("ident", lambda k: F.startswith(k, F.lit("weibo:")))
+    late = (F.unix_micros("observed_at") - F.unix_micros("first_failed_at")) / 3.6e9
+    ok = hits.where((F.col("observed_at") > F.col("last_failed_at")) & (~weak | (late <= hours)))
+    return ok.groupBy("review_id").agg(F.min(F.struct("observed_at", "event_id", "basis")).alias("x")).select("review_id", "x.event_id", "x.basis", F.col("x.observed_at").alias("success_at"))

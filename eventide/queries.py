@@ -16,7 +16,7 @@ from .functions import identity as I
 from .functions import numbers as N
 from .functions import text as X
 from .operators import classify, evaluate, filters, guardrails, heat, match, normalize, observe, official, report, retrieve, review, trend
-from .plans import resolution, window_report
+from .plans import briefing, resolution, round_record, window_report
 from .sources import readers, writers
 
 END = datetime(2024, 1, 20)
@@ -458,7 +458,21 @@ def extracted_signals(spark, d):
     return normalize.extract_signals(normalize.source_signals(items), "run").select("item_id", "event_signal_id", "keywords", "event_type", "is_weak_signal", "confidence")
 
 
-@query()
+_IN_WINDOW = _PAIR.replace("FROM events)", "FROM events WHERE ts > TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20')").replace("SELECT event_id, platform, round(delta", ", tr AS (SELECT event_id, platform, round(delta") + ")"
+
+
+@query(f"""WITH {_IN_WINDOW.replace("FROM v)\n, tr", "FROM v), tr")},
+st AS (SELECT event_id, platform, max(observed_at) FILTER (present) AS last_seen FROM obs GROUP BY ALL),
+g AS (SELECT *, coalesce(present, false) AND collection_status = 'succeeded' AND list_complete AS good FROM obs),
+gj AS (SELECT *, CASE WHEN good AND coalesce(lag(good) OVER w, false) AND date_diff('microsecond', lag(observed_at) OVER w, observed_at) / 6e7 <= 1440 AND lag(topn_scope) OVER w = topn_scope THEN 0 ELSE 1 END AS brk FROM g WINDOW w AS (PARTITION BY event_id, platform ORDER BY observed_at, observation_id)),
+gi AS (SELECT *, coalesce(sum(brk) OVER (PARTITION BY event_id, platform ORDER BY observed_at DESC, observation_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM gj),
+seg AS (SELECT event_id, platform, count(*) AS n, least(1440, date_diff('microsecond', min(observed_at), max(observed_at)) / 6e7) AS minutes FROM gi WHERE island = 0 AND good GROUP BY ALL),
+la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, platform ORDER BY observed_at DESC, observation_id DESC) AS n FROM obs) WHERE n = 1),
+j AS (SELECT la.event_id, la.platform, la.present, la.rank, la.score, st.last_seen, date_diff('microsecond', st.last_seen, TIMESTAMP '2024-01-20') / 6e7 > 1440 AS stale, tr.trend, seg.n, seg.minutes
+      FROM la JOIN st USING (event_id, platform) LEFT JOIN tr USING (event_id, platform) LEFT JOIN seg USING (event_id, platform)),
+rr AS (SELECT event_id, platform, count(DISTINCT run_id) AS recent FROM obs WHERE present AND observed_at > TIMESTAMP '2024-01-13' GROUP BY ALL)
+SELECT event_id, platform, CAST(row_number() OVER (PARTITION BY platform ORDER BY CASE WHEN present THEN 0 WHEN present IS NULL THEN 1 ELSE 2 END, coalesce(rank, 9999), coalesce(score, -1) DESC, event_id) AS INTEGER) AS place, present, recent AS rounds,
+       CASE WHEN last_seen IS NULL THEN NULL WHEN stale THEN 'unknown' ELSE coalesce(trend, 'unknown') END AS trend, round(CASE WHEN NOT stale AND n > 1 THEN minutes END, 6)::DOUBLE AS duration_minutes FROM j LEFT JOIN rr USING (event_id, platform)""")
 def window_report_ranking(spark, d):
     return window_report.window_report(observations(spark, d).withColumn("ingested_at", F.col("observed_at")), START, END, _wide()).select("event_id", "platform", "place", "present", "rounds", "trend", F.round("duration_minutes", 6).alias("duration_minutes"))
 
@@ -532,3 +546,172 @@ def collection_provenance(spark, d):
 @query("""SELECT lower(c_mktsegment) AS email, max(c_custkey) AS delivery_id FROM customer GROUP BY 1""")
 def latest_deliveries(spark, d):
     return filters.latest_per_address(_t(spark, d, "customer").select(F.col("c_mktsegment").alias("email"), F.col("c_custkey").alias("delivery_id")))
+
+
+@query(f"""WITH {_BM25}, p AS (SELECT item_id, doc_id FROM benchmark JOIN documents ON source = 'src' || (item_id % 20) WHERE doc_id % (1 + item_id % 5) = 0),
+n AS (SELECT item_id, count(*) AS c FROM p GROUP BY item_id),
+r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS k FROM p JOIN sc USING (item_id, doc_id))
+SELECT p.item_id, p.doc_id, CASE WHEN c <= 20 THEN 'all_within_limit' ELSE 'retrieved' END AS method FROM p JOIN n USING (item_id) LEFT JOIN r USING (item_id, doc_id) WHERE c <= 20 OR k <= 20""")
+def candidate_selection(spark, d):
+    b, docs = _t(spark, d, "benchmark"), _t(spark, d, "documents")
+    pool = b.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source")).join(docs.select("doc_id", "source"), "source").where("doc_id % (1 + item_id % 5) = 0")
+    scored = retrieve.bm25(b, docs, "item_id", "doc_id", "text", "text").join(pool.select("item_id", "doc_id"), ["item_id", "doc_id"])
+    ranked = retrieve.top_k(scored, ["item_id"], 20, F.desc(F.round("score", 9)), F.asc("doc_id"))
+    return retrieve.select_candidates(pool, ranked, "item_id", "doc_id")
+
+
+WINDOW = (datetime(1996, 1, 1), datetime(1997, 1, 1))
+_CITED = """m AS (SELECT o_custkey AS event_id, o_orderkey AS item_id, o_orderdate AS t_at, o_orderkey % 10 = 0 AND o_orderdate <= TIMESTAMP '1996-01-01' AS prior,
+        CASE WHEN o_orderkey % 6 <> 0 THEN 'https://x.org/' || o_orderkey END AS url, 'T' || (o_orderkey % 3) AS title, o_orderpriority AS source_name, o_orderstatus = 'F' AS official FROM orders),
+ci AS (SELECT event_id, item_id, t_at, url, title, source_name, official, prior FROM m
+       WHERE (NOT (item_id % 13 = 0) AND item_id % 17 <> 0 OR prior) AND CASE WHEN official THEN prior OR (t_at > TIMESTAMP '1996-01-01' AND t_at <= TIMESTAMP '1997-01-01') ELSE t_at > TIMESTAMP '1996-01-01' AND t_at <= TIMESTAMP '1997-01-01' END)"""
+
+
+def _cited(spark, d):
+    o = _t(spark, d, "orders")
+    k, t = F.col("o_orderkey"), _utc("o_orderdate")
+    members = o.select(F.col("o_custkey").alias("event_id"), k.alias("item_id"), t.alias("observed_at"), (k % 10 == 0).alias("prior"))
+    items = o.select(
+        k.alias("item_id"), F.when(k % 6 != 0, F.concat(F.lit("https://x.org/"), k.cast("string"))).alias("url"), F.concat(F.lit("T"), (k % 3).cast("string")).alias("title"), F.col("o_orderpriority").alias("source_name"),
+        F.when(F.col("o_orderstatus") == "F", "official_news").otherwise("community").alias("source_type"), F.lit("x").alias("platform"), t.alias("published_at"), t.alias("fetched_at"), (k % 13 == 0).alias("audit_only"), (k % 17 != 0).alias("contributes"),
+    )
+    return briefing.citations(members, items, F.lit(WINDOW[0]), F.lit(WINDOW[1]))
+
+
+@query(f"""WITH {_CITED} SELECT event_id, item_id, CASE WHEN official THEN 'official_support' ELSE 'supporting' END AS role, prior AS is_prior, url IS NULL AS missing_url FROM ci""")
+def briefing_citations(spark, d):
+    return _cited(spark, d).select("event_id", "item_id", "role", "is_prior", "missing_url")
+
+
+_CARDS = f"""{_CITED}, e AS (SELECT c_custkey AS event_id, 'T' || (c_custkey % 4) AS title, ['A_x', 'C_x', 'E_x', 'F_x'][1 + c_custkey % 4] AS category, c_custkey % 2 = 0 AS z, c_custkey % 3 = 0 AS w, c_custkey % 4 = 3 AS o FROM customer),
+a AS (SELECT event_id, count(*) AS n, count(DISTINCT source_name) FILTER (official) AS sources, max(t_at) FILTER (official) AS latest, bool_or(official AND NOT prior) AS fresh, bool_or(prior) AS any_prior, list(DISTINCT title) AS titles FROM ci GROUP BY event_id),
+k AS (SELECT e.*, coalesce(n, 0) AS n, coalesce(sources, 0) AS sources, latest, coalesce(fresh, false) AS fresh, coalesce(any_prior, false) AS any_prior, coalesce(list_contains(titles, title), false) AS quoted FROM e LEFT JOIN a USING (event_id)),
+cards AS (SELECT *, CASE WHEN n = 0 THEN 'missing_current_citation' END AS excluded, '本期见于' || coalesce(nullif(array_to_string(list_filter([CASE WHEN z THEN '知乎' END, CASE WHEN w THEN '微博' END, CASE WHEN fresh THEN '官媒' END], lambda x: x IS NOT NULL), '、'), ''), '待确认来源') || '。'
+    || CASE WHEN any_prior THEN '官媒依据含此前报道，不代表官媒本期新发布报道。' ELSE '' END || CASE WHEN o THEN '' ELSE '话题信息来自平台讨论，暂无已接纳的官媒依据。' END AS summary FROM k)"""
+
+
+def _briefing_cards(spark, d):
+    k = F.col("c_custkey")
+    events = _t(spark, d, "customer").select(k.alias("event_id"), F.concat(F.lit("T"), (k % 4).cast("string")).alias("title"), F.element_at(F.array(*map(F.lit, ("A_x", "C_x", "E_x", "F_x"))), (1 + k % 4).cast("int")).alias("category"), (k % 2 == 0).alias("zhihu_topn"), (k % 3 == 0).alias("weibo_topn"), (k % 4 == 3).alias("official_source"))
+    return briefing.cards(events, _cited(spark, d), "本期")
+
+
+@query(f"WITH {_CARDS} SELECT event_id, n AS n_citations, sources AS official_sources, quoted AS title_is_source_quote, excluded, summary FROM cards")
+def briefing_cards(spark, d):
+    return _briefing_cards(spark, d).select("event_id", "n_citations", "official_sources", "title_is_source_quote", "excluded", "summary")
+
+
+@query(f"""WITH {_CARDS}, s AS (SELECT *, unnest(list_filter([CASE WHEN z AND w THEN 'shared' END, CASE WHEN z THEN 'zhihu' END, CASE WHEN w THEN 'weibo' END, CASE WHEN fresh AND category = 'F_x' THEN 'official' END, category[1]], lambda x: x IS NOT NULL)) AS section FROM cards WHERE excluded IS NULL),
+r AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 7 <> 0 END AS present, CASE WHEN section = 'zhihu' THEN event_id % 30 END AS rank, (event_id % 100) / 100.0::DOUBLE AS score FROM s)
+SELECT section, event_id, CAST(row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section IN ('zhihu', 'weibo') THEN CASE WHEN present THEN 0 WHEN present IS NULL THEN 1 ELSE 2 END WHEN section = 'official' THEN -sources ELSE 0 END,
+    CASE WHEN section = 'zhihu' THEN rank WHEN section = 'official' THEN -epoch_us(latest) ELSE 0 END, CASE WHEN section IN ('zhihu', 'weibo') THEN -score ELSE 0 END, CASE WHEN section IN ('zhihu', 'weibo', 'official') THEN '' ELSE title END, event_id) AS INTEGER) AS place FROM r""")
+def briefing_sections(spark, d):
+    k = F.col("c_custkey")
+    ranking = _t(spark, d, "customer").select(k.alias("event_id"), F.explode(F.array(F.lit("zhihu"), F.lit("weibo"))).alias("platform"), F.when(k % 5 != 0, k % 7 != 0).alias("present"), (k % 30).alias("rank"), ((k % 100) / 100).alias("score"))
+    return briefing.sections(_briefing_cards(spark, d), ranking)
+
+
+@query(f"""WITH {_CARDS} SELECT count(*) FILTER (excluded IS NOT NULL) AS excluded, count(*) FILTER (excluded IS NULL AND category = 'F_x') AS official_news, count(*) FILTER (excluded IS NULL AND category <> 'F_x') AS community_events,
+(SELECT count(*) FROM supplier WHERE s_suppkey % 4 = 0) AS sources_in_doubt, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS pending_reviews FROM cards""")
+def briefing_risks(spark, d):
+    health = _t(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 4 == 0, "stale").otherwise("ok").alias("health"))
+    tasks = _t(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "P", "pending").otherwise("resolved").alias("status"))
+    return briefing.risks(_briefing_cards(spark, d), health, tasks)
+
+
+@query(f"""WITH {OBS}, e AS (SELECT DISTINCT event_id, platform FROM obs),
+r AS (SELECT DISTINCT CAST(floor(epoch(observed_at) / 86400) AS BIGINT) AS day FROM obs),
+x AS (SELECT day, p.platform, day % 5 <> 0 AS succeeded, day % 7 <> 0 AS complete FROM r CROSS JOIN (SELECT unnest(['zhihu', 'weibo']) AS platform) p),
+h AS (SELECT CASE WHEN event_id % 10 = 0 THEN event_id + 1 ELSE event_id END AS event_id, platform, CAST(floor(epoch(observed_at) / 86400) AS BIGINT) AS day, min(1 + observation_id % 30) AS rank, round(max(score) * 1000, 6) AS heat FROM obs GROUP BY ALL),
+y AS (SELECT e.event_id, e.platform, x.day, h.rank, h.heat, CASE WHEN h.event_id IS NOT NULL AND succeeded THEN true WHEN h.event_id IS NULL AND succeeded AND complete THEN false END AS present
+      FROM e JOIN x USING (platform) LEFT JOIN h ON h.event_id = e.event_id AND h.platform = e.platform AND h.day = x.day)
+SELECT event_id, platform, day, present, CASE WHEN present AND platform = 'zhihu' THEN rank END AS rank, CASE WHEN present THEN heat END AS native_heat, CASE WHEN present THEN (event_id % 10) / 10.0::DOUBLE END AS score FROM y""")
+def recorded_round(spark, d):
+    o = observations(spark, d).withColumn("day", F.floor(F.unix_seconds("observed_at") / 86400))
+    rid, n, key = F.concat_ws(":", "platform", "day"), F.col("day"), F.concat(F.lit("h"), F.col("event_id").cast("string"))
+    platforms = F.explode(F.array(F.lit("zhihu"), F.lit("weibo"))).alias("platform")
+    rounds = o.select("day").distinct().select("day", platforms).select("day", "platform", rid.alias("round_id"), F.timestamp_seconds(n * 86400).alias("observed_at"), (n % 5 != 0).alias("succeeded"), (n % 7 != 0).alias("complete"), F.lit("a").alias("scope"))
+    items = o.select(rid.alias("round_id"), key.alias("content_hash"), (1 + F.col("observation_id") % 30).alias("rank"), F.round(F.col("score") * 1000, 6).alias("native_heat"))
+    ids = o.select("event_id").distinct()
+    tracked = o.select("event_id", "platform").distinct()
+    scores = tracked.join(rounds.select("platform", "round_id"), "platform").withColumn("score", F.col("event_id") % 10 / 10)
+    out = round_record.record_round(tracked, rounds, items, ids.select(key.alias("content_hash"), "event_id"), ids.where("event_id % 10 = 0").select(key.alias("content_hash"), (F.col("event_id") + 1).alias("event_id")), scores)
+    return out.select("event_id", "platform", "day", "present", "rank", "native_heat", "score")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS review_id, o_custkey AS item, o_orderdate AS failed, CASE o_orderkey % 4 WHEN 0 THEN 'signal:' WHEN 1 THEN 'weibo:' ELSE 'url:' END || (o_custkey % 300) AS ident
+    FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus <> 'P' AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0),
+a AS (SELECT o_orderkey AS event_id, o_custkey AS item, o_orderdate AS t_at, CASE o_orderkey % 4 WHEN 0 THEN 'signal:' WHEN 1 THEN 'weibo:' ELSE 'url:' END || (o_custkey % 300) AS ident FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 5 <> 0),
+h AS (SELECT review_id, event_id, t_at, failed, r.ident, 'items' AS basis FROM r JOIN a ON a.item = r.item OR a.item + 1 = r.item
+      UNION ALL SELECT review_id, event_id, t_at, failed, r.ident, 'topic' FROM r JOIN a ON a.ident = r.ident WHERE r.ident NOT LIKE 'signal:%'),
+k AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY t_at, event_id, basis) AS n FROM h WHERE t_at > failed AND (r.ident NOT LIKE 'weibo:%' OR date_diff('microsecond', failed, t_at) / 3.6e9 <= 24 * 90))
+SELECT review_id, event_id, basis FROM k WHERE n = 1""".replace("r.ident NOT LIKE 'weibo", "ident NOT LIKE 'weibo"))
+def recovered_reviews(spark, d):
+    o = _t(spark, d, "orders")
+    k, t = F.col("o_orderkey"), _utc("o_orderdate")
+    ident = F.array(F.concat(F.when(k % 4 == 0, "signal:").when(k % 4 == 1, "weibo:").otherwise("url:"), (F.col("o_custkey") % 300).cast("string"))).alias("identity")
+    reviews = o.where(k % 3 == 0).select(k.alias("review_id"), F.when(F.col("o_orderstatus") == "P", "resolved").otherwise("pending").alias("status"), F.when(k % 7 == 0, "candidate").otherwise("technical_error").alias("category"), F.array(F.when(k % 11 == 0, "time_conflict").otherwise("x")).alias("flags"), F.array("o_custkey").alias("item_ids"), ident, t.alias("first_failed_at"), t.alias("last_failed_at"))
+    accepted = o.where(k % 3 == 1).select(k.alias("event_id"), k.alias("event_signal_id"), F.lit("merge").alias("action"), (k % 5 == 0).alias("review_required"), F.lit(False).alias("blocked"), X.empty().alias("flags"), F.array(F.col("o_custkey"), F.col("o_custkey") + 1).alias("item_ids"), ident, t.alias("observed_at"))
+    return review.recover(reviews, accepted, 24 * 90).select("review_id", "event_id", "basis")
+
+
+_RUNS = "b AS (SELECT doc_id, doc_id % 4 <> 0 AS was FROM labels), r AS (SELECT doc_id, unnest(['rules', 'hybrid', 'hybrid_rerank']) AS profile FROM labels), j AS (SELECT profile, was, (doc_id + len(profile)) % 5 <> 0 AS now FROM r JOIN b USING (doc_id))"
+
+
+@query(f"WITH {_RUNS} SELECT profile, count(*) AS cases, count(*) FILTER (now) AS passed, count(*) FILTER (now AND NOT was) AS fixed, count(*) FILTER (was AND NOT now) AS regressed FROM j GROUP BY profile")
+def profile_ablation(spark, d):
+    case = F.col("doc_id").alias("case_id")
+    base = _t(spark, d, "labels").select(case, (F.col("doc_id") % 4 != 0).alias("passed"))
+    runs = _t(spark, d, "labels").select(case, F.explode(F.array(*map(F.lit, ("rules", "hybrid", "hybrid_rerank")))).alias("profile")).withColumn("passed", (F.col("case_id") + F.length("profile")) % 5 != 0)
+    return evaluate.ablation(base, runs)
+
+
+@query("""WITH c AS (SELECT doc_id, lang AS kind, quality = 1 - toxic AND doc_id % 9 <> 0 AS ok FROM labels JOIN documents USING (doc_id))
+SELECT kind, count(*) AS n, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) / count(*)::DOUBLE, 6) AS rate FROM c GROUP BY kind""")
+def evaluation_suite(spark, d):
+    rows = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id").withColumn("case_id", F.col("doc_id"))
+    made = lambda c: F.create_map(F.lit("answer"), c.cast("string"))
+    return evaluate.suite(rows.select("case_id", F.col("lang").alias("kind"), made(F.col("quality")).alias("expected")), rows.where("doc_id % 9 <> 0").select("case_id", made(1 - F.col("toxic")).alias("actual")))
+
+
+@query("""WITH r AS (SELECT o_orderdate AS t, CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'O' THEN 'succeeded' ELSE 'failed' END AS status FROM orders), s AS (SELECT l_shipdate AS t, CASE WHEN l_returnflag = 'N' THEN 'sent' ELSE 'pending' END AS status FROM lineitem)
+SELECT 'run' AS subject, status, count(*) AS n, status <> 'succeeded' AS attention FROM r WHERE t BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-01-01' GROUP BY status
+UNION ALL SELECT 'delivery', status, count(*), status <> 'sent' FROM s WHERE t BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-01-01' GROUP BY status
+UNION ALL SELECT 'stale', status, count(*), true FROM r WHERE status = 'running' AND t < TIMESTAMP '1996-12-31 23:00:00' GROUP BY status""")
+def trial_audit(spark, d):
+    runs = _t(spark, d, "orders").select(_utc("o_orderdate").alias("started_at"), F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "O", "succeeded").otherwise("failed").alias("status"))
+    sent = _t(spark, d, "lineitem").select(_utc("l_shipdate").alias("started_at"), F.when(F.col("l_returnflag") == "N", "sent").otherwise("pending").alias("status"))
+    return report.trial_audit(runs, sent, F.lit(WINDOW[0]), F.lit(WINDOW[1]))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, c_name AS title, ['A_x', 'C_x', 'E_x', 'F_x'][1 + c_custkey % 4] AS category, list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'weibo_topn' END, CASE WHEN c_custkey % 3 = 0 THEN 'zhihu_topn' END, CASE WHEN c_custkey % 5 = 0 THEN 'weibo_cli' END, CASE WHEN c_custkey % 7 = 0 THEN 'zhihu_search' END], lambda x: x IS NOT NULL) AS p,
+    ['supported', 'weak_supported', 'not_found', 'not_checked'][1 + c_custkey % 4] AS s, c_custkey % 6 AS n FROM customer)
+SELECT id, title || ' classified as ' || category || CASE WHEN len(p) > 0 THEN ' from current 24h evidence' ELSE '' END AS lead, array_to_string(p, ',') AS platform_evidence, CASE WHEN s = 'not_checked' THEN '' ELSE s || '; coverage=single_source; references=' || n END AS official_evidence, s = 'not_found' AS careful FROM c""")
+def classification_evidence(spark, d):
+    k = F.col("c_custkey")
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (1 + k % 4).cast("int"))
+    rows = _t(spark, d, "customer").select(k.alias("id"), F.col("c_name").alias("title"), pick("A_x", "C_x", "E_x", "F_x").alias("category"), (k % 2 == 0).alias("weibo_topn"), (k % 3 == 0).alias("zhihu_topn"), (k % 5 == 0).alias("weibo_search"), (k % 7 == 0).alias("zhihu_search"), pick("supported", "weak_supported", "not_found", "not_checked").alias("support_status"), F.lit("single_source").alias("coverage"), (k % 6).alias("n_references"), X.empty().alias("limitations"), X.empty().alias("missing_fields"))
+    return classify.evidence(rows).select("id", "evidence.lead", F.array_join("evidence.platform_evidence", ",").alias("platform_evidence"), F.array_join("evidence.official_evidence", ",").alias("official_evidence"), F.col("evidence.conservative_language_required").alias("careful"))
+
+
+@query("""WITH t AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS s FROM orders)
+SELECT id, CASE id % 5 WHEN 1 THEN 'llm_occurrence_timezone_missing' WHEN 2 THEN 'llm_occurrence_timezone_missing' WHEN 4 THEN 'llm_invalid_occurrence_time' END AS problem FROM t""")
+def occurrence_times(spark, d):
+    k, s = F.col("o_orderkey"), F.date_format(_utc("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss")
+    stated = F.when(k % 5 == 0, F.concat(s, F.lit("Z"))).when(k % 5 == 1, s).when(k % 5 == 2, F.substring(s, 1, 10)).when(k % 5 == 3, F.concat(s, F.lit("+08:00"))).otherwise(F.concat(F.lit("about "), s))
+    return _t(spark, d, "orders").select(k.alias("id"), N.occurrence_problem(stated).alias("problem"))
+
+
+@query("""WITH h AS (SELECT o_orderkey AS id, o_orderkey % 10 AS v FROM orders) SELECT id, CASE WHEN id % 13 = 0 THEN '本期未保存趋势观测数据' WHEN v = 0 THEN '最近一次来源采集失败，无法比较' WHEN v = 1 THEN '相邻采集间隔过长，无法连续比较' WHEN id % 3 = 1 AND v % 2 = 0 THEN '仅有1次在榜观测，最近一轮已离榜，缺少连续可比热度'
+  WHEN id % 3 = 1 THEN '仅有1次在榜观测，需要两次连续可比数据' WHEN v % 2 = 0 THEN '最近一轮已离榜，缺少连续两轮在榜热度' WHEN v = 3 THEN CASE WHEN id % 4 = 1 THEN '缺少两轮可比的CLI互动指标' ELSE '缺少两轮可比的榜位或热度指标' END WHEN v = 5 THEN '有效历史不足，需要两次连续可比数据' ELSE '缺少连续可比的榜单观测数据' END AS reason FROM h""")
+def unknown_trend_reasons(spark, d):
+    k = F.col("o_orderkey")
+    v = k % 10
+    flag = F.when(v == 0, F.array(F.lit("observation_gap"), F.lit("source_unavailable"))).when(v == 1, F.array(F.lit("observation_gap"))).when(v == 3, F.array(F.lit("insufficient_trend_metrics"))).when(v == 5, F.array(F.lit("insufficient_history"))).otherwise(X.empty())
+    return _t(spark, d, "orders").select(k.alias("id"), filters.unknown_trend_reason(F.when(k % 13 != 0, flag), k % 3, v % 2 != 0, F.when(k % 4 == 1, "weibo").otherwise("zhihu")).alias("reason"))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderstatus = 'F')""")
+def resumed_work(spark, d):
+    o = _t(spark, d, "orders")
+    return writers.pending(o.select("o_orderkey"), o.where("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_orderstatus").alias("version")), ["o_orderkey"], "F")

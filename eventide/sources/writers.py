@@ -25,3 +25,28 @@ def append_log(df: DataFrame, path: str, ts: str = "ts") -> None:
 
 def export(df: DataFrame, path: str, kind: str = "json") -> None:
     df.write.mode("overwrite").format(kind).save(path)
+
+
+def backup(tables: dict[str, DataFrame], folder: str, stamp: str) -> str:
+    """Each table as Parquet under a new folder, which must not exist; read back and counted
+    before its name is returned, so that the caller clears nothing that isn't saved."""
+    target = f"{folder.rstrip('/')}/before-fresh-{stamp}"
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{target}/{name}")
+        saved, had = df.sparkSession.read.parquet(f"{target}/{name}").count(), df.count()
+        if saved != had:
+            raise RuntimeError(f"{name}: {saved} of {had} rows were saved; nothing was cleared")
+    return target
+
+
+def pending(work: DataFrame, done: DataFrame, key: list[str], version: str) -> DataFrame:
+    """What is left after an interruption: rows whose key wasn't finished under the same version."""
+    return work.join(done.where(F.col("version") == version).select(*key).distinct(), key, "left_anti")
+
+
+def evaluation_report(summary: DataFrame, path: str) -> None:
+    """Results by kind as JSON and as lines of a Markdown table."""
+    summary.write.mode("overwrite").json(f"{path}/json")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in summary.columns]), F.lit(" |"))
+    head = summary.sparkSession.createDataFrame([(0, "| " + " | ".join(summary.columns) + " |"), (1, "|" + "-|" * len(summary.columns))], "k int, value string")
+    head.unionByName(summary.select(F.lit(2).alias("k"), row.alias("value"))).orderBy("k", "value").select("value").write.mode("overwrite").text(f"{path}/md")

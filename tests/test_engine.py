@@ -11,7 +11,7 @@ from eventide.functions import identity as I
 from eventide.functions import numbers as N
 from eventide.functions import text as X
 from eventide.operators import classify, evaluate, filters, guardrails, heat, match, normalize, observe, official, report, retrieve, review, trend
-from eventide.plans import resolution, window_report
+from eventide.plans import briefing, resolution, round_record, window_report
 from eventide.sources import readers, writers
 
 T0 = datetime(2026, 9, 14)
@@ -394,6 +394,140 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {(r["end"] - T0).total_seconds() / 3600: r["n"] for r in windows}[3] == 2  # (1, 3] holds 2 and 3
 
 
+# briefings, recording, recovery, evaluation of profiles
+
+CITED = "event_id string, item_id int, observed_at timestamp, prior boolean"
+ITEM = "item_id int, url string, title string, source_name string, source_type string, platform string, published_at timestamp, fetched_at timestamp, audit_only boolean, contributes boolean"
+CARD_EVENT = "event_id string, title string, category string, zhihu_topn boolean, weibo_topn boolean, official_source boolean"
+
+
+def _cited(spark):
+    day, week = timedelta(hours=2), timedelta(days=7)
+    members = [("e1", 1, T0 - day, False), ("e1", 1, T0 - day, False), ("e1", 2, None, False), ("e1", 3, None, True), ("e2", 4, T0 - week, False), ("e3", 5, T0 - day, False), ("e1", 6, None, False)]
+    items = [
+        (1, "https://x.org/1", "t1", "a", "community", "zhihu", None, T0, None, None), (2, None, "n", "b", "official_news", "official", T0 - day, T0, False, True),
+        (3, "https://x.org/3", "n", "c", "official_news", "official", T0 - week, T0, True, False), (4, "https://x.org/4", "n", "d", "community", "weibo", None, T0, False, True),
+        (5, "https://x.org/5", "n", "e", "community", "weibo", None, T0, True, True), (6, " ", "n", "c", "official_news", "official", T0 - week, T0, False, True),
+    ]
+    return briefing.citations(spark.createDataFrame(members, CITED), spark.createDataFrame(items, ITEM), F.lit(T0 - timedelta(days=1)), F.lit(T0))
+
+
+def test_citations(spark):
+    got = {(r["event_id"], r["item_id"]): (r["role"], r["is_prior"], r["missing_url"]) for r in _cited(spark).collect()}
+    assert got == {("e1", 1): ("supporting", False, False), ("e1", 2): ("official_support", False, True), ("e1", 3): ("official_support", True, False)}
+
+
+def test_cards_and_sections(spark):
+    events = spark.createDataFrame([("e1", "t1", "A_x", True, True, True), ("e2", "t2", "E_x", False, True, False), ("e1", "t1", "A_x", True, True, True), ("e4", None, "F_x", None, None, None)], CARD_EVENT)
+    cards = briefing.cards(events, _cited(spark), "本期").cache()
+    got = {r["event_id"]: r for r in cards.collect()}
+    assert len(got) == cards.count() == 3
+    assert (got["e1"]["n_citations"], got["e1"]["official_sources"], got["e1"]["title_is_source_quote"], got["e1"]["excluded"]) == (3, 2, True, None)
+    assert got["e1"]["summary"] == "本期见于知乎、微博、官媒。官媒依据含此前报道，不代表官媒本期新发布报道。"
+    assert got["e2"]["excluded"] == got["e4"]["excluded"] == "missing_current_citation"
+    ranking = spark.createDataFrame([], "event_id string, platform string, present boolean, rank int, score double")
+    assert sorted((r["section"], r["event_id"], r["place"]) for r in briefing.sections(cards, ranking).collect()) == [("A", "e1", 1), ("shared", "e1", 1), ("weibo", "e1", 1), ("zhihu", "e1", 1)]
+    risk = briefing.risks(cards, spark.createDataFrame([("ok",), ("stale",)], "health string"), spark.createDataFrame([("pending",)], "status string")).first()
+    assert risk.asDict() == {"excluded": 2, "official_news": 0, "community_events": 1, "sources_in_doubt": 1, "pending_reviews": 1}
+
+
+def test_platform_sections_follow_their_own_ranking(spark):
+    flags = {"official_sources": F.lit(0), "official_latest": F.lit(None).cast("timestamp"), "official_new": F.lit(False), "excluded": F.lit(None).cast("string")}
+    cards = spark.createDataFrame([(k, "t", "E_x", True, False, False) for k in ("a", "b", "c", "d")], CARD_EVENT).withColumns(flags)
+    ranking = spark.createDataFrame([("a", "zhihu", False, 1, 1.0), ("b", "zhihu", True, 9, 0.1), ("c", "zhihu", True, 2, 0.1)], "event_id string, platform string, present boolean, rank int, score double")
+    assert [r["event_id"] for r in briefing.sections(cards, ranking).where("section = 'zhihu'").orderBy("place").collect()] == ["c", "b", "d", "a"]
+
+
+def test_record_round(spark):
+    tracked = spark.createDataFrame([("e1", "zhihu"), ("e2", "zhihu"), ("e3", "weibo")], "event_id string, platform string")
+    rounds = spark.createDataFrame([("r1", "zhihu", T0, True, True, "s"), ("r2", "zhihu", T0 + timedelta(hours=1), False, True, "s"), ("w1", "weibo", T0, True, False, "s")], "round_id string, platform string, observed_at timestamp, succeeded boolean, complete boolean, scope string")
+    items = spark.createDataFrame([("r1", "h1", 5, 9.0), ("r1", "h1", 3, None), ("r1", "hx", 1, 1.0), ("r2", "h1", 2, 9.0)], "round_id string, content_hash string, rank int, native_heat double")
+    pairs = lambda *rows: spark.createDataFrame(list(rows), "content_hash string, event_id string")
+    scores = spark.createDataFrame([("e1", "zhihu", "r1", 0.5), ("e2", "zhihu", "r1", 0.6)], "event_id string, platform string, round_id string, score double")
+    run = lambda over: {(r["event_id"], r["round_id"]): (r["present"], r["rank"], r["native_heat"], r["score"]) for r in round_record.record_round(tracked, rounds, items, pairs(("h1", "e1")), over, scores).collect()}
+    got = run(spark.createDataFrame([], "content_hash string, event_id string"))
+    assert got == {("e1", "r1"): (True, 3, 9.0, 0.5), ("e2", "r1"): (False, None, None, None), ("e1", "r2"): (None, None, None, None), ("e2", "r2"): (None, None, None, None), ("e3", "w1"): (None, None, None, None)}
+    assert run(pairs(("h1", "e2")))[("e2", "r1")] == (True, 3, 9.0, 0.6)
+
+
+def test_recovery_of_technical_reviews(spark):
+    h = lambda n: T0 + timedelta(hours=n)
+    old = "review_id int, status string, category string, flags array<string>, item_ids array<int>, identity array<string>, first_failed_at timestamp, last_failed_at timestamp"
+    new = "event_id string, event_signal_id string, action string, review_required boolean, blocked boolean, flags array<string>, item_ids array<int>, identity array<string>, observed_at timestamp"
+    t = "technical_error"
+    reviews = spark.createDataFrame([
+        (1, "pending", t, [], [1, 2], ["url:a"], h(0), h(1)), (2, "pending", t, [], [9], ["url:k"], h(0), h(1)), (3, "pending", t, ["time_conflict"], [1], ["url:k"], h(0), h(1)),
+        (4, "pending", "candidate", None, [1], ["url:k"], h(0), h(1)), (5, "done", t, None, [1], None, h(0), h(1)), (6, "pending", t, None, [8], ["signal:x"], h(0), h(1)),
+        (7, "pending", t, None, [1], ["weibo:z"], h(-48), h(1)), (8, "pending", t, None, [1], ["url:b"], h(0), h(5)), (9, "pending", t, None, [], None, h(0), h(1)),
+    ], old)
+    accepted = spark.createDataFrame([("e1", "s1", "merge", False, False, None, [1, 2, 2], ["url:k"], h(3)), ("e0", "s0", "merge", True, False, [], [9], ["url:k"], h(2)), ("e2", "s2", "create", False, False, [], [7], ["signal:x"], h(3))], new)
+    assert {(r["review_id"], r["event_id"], r["basis"]) for r in review.recover(reviews, accepted).collect()} == {(1, "e1", "items"), (2, "e1", "topic")}
+
+
+def test_consolidation_equals_a_plain_loop(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(f"k{rnd.randrange(4)}", T0 + timedelta(minutes=rnd.randrange(20_000)), i, [f"x{i % 3}"]) for i in range(600)] + [("k0", T0, 1000 + i, None) for i in range(50)] + [(None, T0, 2000, [])]
+    got = sorted((r["relation_key"] or "", r["first_at"], r["last_at"], r["n"], tuple(r["evidence"])) for r in review.consolidate(spark.createDataFrame(rows, "relation_key string, observed_at timestamp, task_id int, evidence array<string>")).collect())
+    want, key, group = [], object(), None
+    for k, t, _, e in sorted(((k, t, i, e) for k, t, i, e in rows if k), key=lambda r: r[:3]):
+        if k != key or t - group[1] > timedelta(hours=24):
+            key, group = k, [k, t, t, 0, set()]
+            want.append(group)
+        group[2], group[3] = t, group[3] + 1
+        group[4] |= set(e or [])
+    assert got == sorted((*g[:4], tuple(sorted(g[4]))) for g in want)
+
+
+def test_profiles_and_suites(spark):
+    base = spark.createDataFrame([(1, True), (2, False), (3, True)], "case_id int, passed boolean")
+    runs = spark.createDataFrame([("rules", 1, False), ("rules", 2, True), ("rules", 3, True), ("rules", 4, True), ("hybrid", 1, True)], "profile string, case_id int, passed boolean")
+    assert {tuple(r) for r in evaluate.ablation(base, runs).collect()} == {("rules", 3, 2, 1, 1), ("hybrid", 1, 1, 0, 0)}
+    cases = "case_id int, kind string, expected map<string,string>"
+    a, b = spark.createDataFrame([(1, "m", {"x": "1"}), (2, "m", {"x": "2"}), (3, "n", {"y": "1"})], cases), spark.createDataFrame([(1, "m", {"x": "1"}), (2, "m", {"x": "3"})], cases)
+    assert {tuple(r) for r in evaluate.changed_labels(a, b).collect()} == {(2, "relabelled"), (3, "missing")}
+    found = spark.createDataFrame([(1, {"x": "1", "z": "0"}), (2, {"x": "9"})], "case_id int, actual map<string,string>")
+    assert {tuple(r) for r in evaluate.suite(a, found).collect()} == {("m", 2, 1, 1, 0.5), ("n", 1, 0, 1, 0.0)}
+    assert C.profile("hybrid").use_embedding and not C.profile("hybrid").use_reranker and C.profile("hybrid_rerank").use_reranker
+    with pytest.raises(ValueError):
+        C.profile("x")
+
+
+@pytest.mark.parametrize("stated,problem", [("2026-09-14T08:00:00Z", None), ("2026-09-14T08:00+08:00", None), (None, None), ("2026-09-14", "llm_occurrence_timezone_missing"), ("2026-09-14T08:00", "llm_occurrence_timezone_missing"), ("2026-13-40", "llm_invalid_occurrence_time"), ("昨天", "llm_invalid_occurrence_time"), ("", "llm_invalid_occurrence_time")])
+def test_occurrence_times(spark, stated, problem):
+    assert spark.createDataFrame([(stated,)], "t string").select(N.occurrence_problem(F.col("t"))).first()[0] == problem
+
+
+def test_relative_words_aliases_and_reasons(spark):
+    at = F.lit(datetime(2026, 9, 14, 20))
+    assert one(spark, N.reference_date(F.col("t"), F.lit(None).cast("string"), at), t="昨天发生") == "2026-09-15"
+    assert one(spark, N.reference_date(F.col("t"), F.lit(""), at), t="九月发生") is None
+    assert one(spark, X.remap_ids(F.col("a"), F.create_map(F.lit("document:0"), F.lit("s7"))), a=["document:0", "other"]) == ["s7", "other"]
+    why = lambda flags, seen, present, p: one(spark, filters.unknown_trend_reason(F.col("f"), F.lit(seen), F.lit(present), F.lit(p)), f=flags)
+    assert why(["observation_gap", "stale_observation"], 1, True, "zhihu").startswith("最近观测已过期")
+    assert why([], 1, True, "zhihu").startswith("仅有1次在榜观测，需要") and why([], 2, False, "weibo").startswith("最近一轮已离榜")
+    assert why(["insufficient_trend_metrics"], 2, True, "weibo") == "缺少两轮可比的CLI互动指标"
+
+
+def test_backup_resume_and_report_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, version string")
+    target = writers.backup({"t": df}, str(tmp_path), "1")
+    assert spark.read.parquet(f"{target}/t").count() == 2
+    with pytest.raises(Exception, match="(?i)exists"):
+        writers.backup({"t": df}, str(tmp_path), "1")
+    assert [r["id"] for r in writers.pending(df.select("id"), df, ["id"], "a").collect()] == [2]
+    writers.evaluation_report(df, str(tmp_path / "r"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "r/md")).collect()] == ["| id | version |", "|-|-|", "| 1 | a |", "| 2 | b |"]
+    assert spark.read.json(str(tmp_path / "r/json")).count() == 2
+
+
+def test_candidates_fit_or_are_retrieved(spark):
+    pool = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3), ("b", 3)], "q string, d int")
+    ranked = spark.createDataFrame([("b", 3, 1), ("b", 1, 2), ("b", 2, 3)], "q string, d int, rank int")
+    assert {tuple(r) for r in retrieve.select_candidates(pool, ranked, "q", "d", 2).collect()} == {("a", 1, "all_within_limit"), ("a", 2, "all_within_limit"), ("b", 3, "retrieved"), ("b", 1, "retrieved")}
+
+
 def test_entry_without_the_corpus_operators(monkeypatch):
     import importlib
     import sys
