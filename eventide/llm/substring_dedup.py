@@ -42,6 +42,8 @@ SEGMENT = 200_000
 BUCKET_BYTES, BUCKETS_A_TASK = 3_000_000, 6
 #: Packed bytes a task gathers before it compresses and sends them, by bucket.
 FLUSH_BYTES = 24_000_000
+#: Zstandard level of what is sent: 7 % smaller than at 3 for some 20 CPU seconds more a GB of text.
+LEVEL = 6
 #: Occurrences that are judged at once.
 GATHER = 40_000
 _LAST = 2**63 - 1
@@ -157,6 +159,17 @@ def _pack(rows: list[tuple[int, int, int, list[bytes]]], window: int, mmer: int,
     return added
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of a column of numbers, all first ones, then all second ones: they compress better."""
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def _numbers(raw: bytes, kind: type, n: int, at: int) -> np.ndarray:
+    """The column of n numbers whose ``_planes`` begin at ``at``."""
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n)
+
+
 def _blob(items: list[tuple[bytes, list]]) -> bytes:
     """Packed strings and their occurrences, by column, compressed."""
     occ = np.frombuffer(b"".join(e[1] for _, e in items), _OCC)
@@ -164,18 +177,18 @@ def _blob(items: list[tuple[bytes, list]]) -> bytes:
     doc = np.diff(occ["doc"], prepend=0)
     body = b"\n".join(p for p, _ in items)
     head = np.array([len(items), len(occ)], np.uint32)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), counts.tobytes(), doc.tobytes(), occ["sum"].tobytes(), occ["at"].tobytes(), body]))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([head.tobytes(), _planes(counts), _planes(doc), _planes(occ["sum"]), _planes(occ["at"]), body]))
 
 
 def _open(blob: bytes) -> Iterator[tuple[bytes, bytes]]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, m = np.frombuffer(raw, np.uint32, 2).tolist()
     at = 8
-    counts = np.frombuffer(raw, np.uint32, n, at)
+    counts = _numbers(raw, np.uint32, n, at)
     occ = np.empty(m, _OCC)
-    occ["doc"] = np.cumsum(np.frombuffer(raw, np.int64, m, at + 4 * n))
-    occ["sum"] = np.frombuffer(raw, np.uint32, m, at + 4 * n + 8 * m)
-    occ["at"] = np.frombuffer(raw, np.uint32, m, at + 4 * n + 12 * m)
+    occ["doc"] = np.cumsum(_numbers(raw, np.int64, m, at + 4 * n))
+    occ["sum"] = _numbers(raw, np.uint32, m, at + 4 * n + 8 * m)
+    occ["at"] = _numbers(raw, np.uint32, m, at + 4 * n + 12 * m)
     ends = (np.cumsum(counts) * _OCC.itemsize).tolist()
     data = occ.tobytes()
     for packed, a, b in zip(raw[at + 4 * n + 16 * m :].split(b"\n"), [0, *ends[:-1]], ends, strict=True):
