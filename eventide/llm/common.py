@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path, shared_dir, stored
+
+__all__ = ["CHUNK_CHARS", "SPACE", "WORD", "ascii_lower", "equal_rows", "new_path", "numbered", "one_each", "settled", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_key", "words"]
+
 #: The white space every contract speaks of: space, tab, line feed, vertical tab, form feed, return.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,29 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is
-    unset (tests on one machine) a temporary folder is set as the checkpoint folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to a new table in the shared folder and read it back: the lineage ends there and
-    a lost executor costs no earlier stage."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -56,8 +35,7 @@ def ascii_lower(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """The maximal runs of other characters than ``SPACE``; null gives an empty array."""
-    flat = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(F.length(flat) > 0, F.split(flat, " ")).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -78,3 +56,52 @@ def settled(df: DataFrame, **cols: Column) -> DataFrame:
     isn't rewritten in terms of their expressions: a one-row generator stands between."""
     one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_settled")
     return df.select("*", one).select(*[c for c in df.columns if c not in cols], *[F.col(f"_settled.{n}") for n in cols])
+
+
+def text_key(text: Column) -> Column:
+    """MD5 of a text (null counts as empty): with the doc_id it names a row where ids repeat or lack."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def one_each(docs: DataFrame, verdict: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay by ``verdict`` (doc_id, raw, stays, for every row or for those
+    that go or repeat; raw is the ``text_key``). Of rows that agree in doc_id and text one stays,
+    whatever their other columns hold. Rows that go are named by id and text, never by id alone."""
+    marks = stored(verdict.groupBy("doc_id", "raw").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("raw").alias("_mark"), "stays"), "marks")
+    named = docs.select(F.struct(*docs.columns).alias("_own"), F.col("doc_id").cast("bigint").alias("_doc"), text_key(F.col(text)).alias("_raw"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_raw") == F.col("_mark"))
+    single = named.join(marks, same, "left_anti").select("_own.*")
+    repeated = marks.where("stays")
+    if repeated.isEmpty():
+        return single
+    # Combined in the tasks that read them: a row that repeats without end sends one a task.
+    first = named.join(repeated, same, "left_semi").groupBy("_doc", "_raw").agg(F.min_by("_own", F.xxhash64("_own")).alias("_own"))
+    return single.unionByName(first.select("_own.*"))
+
+
+def equal_rows(docs: DataFrame) -> DataFrame:
+    """The hash ``_h`` of rows that stand in ``docs`` more than once (few, or none)."""
+    return docs.select(F.xxhash64(*docs.columns).alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
+
+
+#: Copies of one row that one task makes at once.
+_COPIES = 10_000
+
+
+def numbered(docs: DataFrame, name: str = "_k") -> DataFrame:
+    """The rows with a number that tells equal rows apart (0, 1, ...; 0 for most).
+
+    Rows whose hash repeats are counted, which combines them in the tasks that read them, and
+    made again from their count in pieces: a row that makes up a third of the table is dealt like
+    any other rows. Columns of map type can't be counted."""
+    repeated = stored(equal_rows(docs), "repeated")
+    own = docs.columns
+    if repeated.isEmpty():
+        return docs.withColumn(name, F.lit(0).cast("bigint"))
+    keyed = docs.withColumn("_h0", F.xxhash64(*own))
+    single = keyed.join(repeated, F.col("_h0") == F.col("_h"), "left_anti").drop("_h0").withColumn(name, F.lit(0).cast("bigint"))
+    counted = keyed.join(repeated, F.col("_h0") == F.col("_h"), "left_semi").groupBy(*own).agg(F.count("*").alias("_n"))
+    pieces = counted.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(_COPIES).cast("bigint"))))
+    dealt = pieces.repartition(shuffle_partitions(docs.sparkSession), F.xxhash64(*own), "_at")
+    copies = dealt.withColumn(name, F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + (_COPIES - 1), F.col("_n") - 1)))).drop("_n", "_at")
+    return single.unionByName(copies)
