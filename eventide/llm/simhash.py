@@ -7,10 +7,12 @@ many blocks, and only fingerprints of one deal are compared. A deal of more than
 fingerprints is cut into chunks and every pair of chunks becomes one bounded list; a list
 gives a spanning forest of its links instead of all pairs, which keeps every component whole.
 
-Copies share a fingerprint and are never compared. Null or blank texts have fingerprint zero
-and are linked like any other. Rows with a null doc_id get a fingerprint, and the component of
-the ids that share it, or null if none does. Repeated rows change nothing; an empty table
-gives an empty result; extra columns are ignored.
+Copies share a fingerprint and are never compared: nodes are fingerprints. Null or blank texts
+have fingerprint zero and are linked like any other. Rows with a null doc_id take part; a
+component is named by its smallest doc_id, or null if none of its rows has one. Repeated rows
+change nothing, and rows that repeat a doc_id are linked each by its own text; ``keep_one``
+keeps one row of each component (smallest doc_id, nulls last, then smallest MD5 of the text).
+An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import one_each, slices, stored, text_key
 from .graph import components
 
 #: Fingerprints that are compared with each other in one list, at most about twice this.
@@ -50,14 +52,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
-    """doc_id and fp of each row; a narrow step."""
+    """doc_id, raw (the ``text_key``) and fp of each row; a narrow step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([fingerprint(t, shingle) for t in part.column(text).to_pylist()], pa.int64())], names=["doc_id", "fp"])
+            for part in slices(batch):
+                fps = pa.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("raw"), fps], names=["doc_id", "raw", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col(text)).alias("raw"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, raw binary, fp bigint")
 
 
 def block_count(n: int, distance: int) -> int:
@@ -75,31 +79,30 @@ def masks(blocks: int, distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def forest(fps: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges that connect what is linked within the list, each to a node already reached.
+def forest(fps: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges that connect what is linked within the list, each to a fingerprint already reached.
     ``fps`` are unsigned."""
-    order = np.argsort(nodes, kind="stable")
-    left_f, left_n = fps[order], nodes[order]
+    left = np.sort(fps)
     us, vs = [], []
-    while len(left_n) > 1:
-        queue = [(left_f[0], left_n[0])]
-        left_f, left_n = left_f[1:], left_n[1:]
-        while queue and len(left_n):
-            f, n = queue.pop()
-            near = np.bitwise_count(left_f ^ f) <= distance
+    while len(left) > 1:
+        queue = [left[0]]
+        left = left[1:]
+        while queue and len(left):
+            f = queue.pop()
+            near = np.bitwise_count(left ^ f) <= distance
             if near.any():
-                us.append(left_n[near])
-                vs.append(np.full(len(us[-1]), n))
-                queue += list(zip(left_f[near], left_n[near], strict=True))
-                left_f, left_n = left_f[~near], left_n[~near]
+                us.append(left[near])
+                vs.append(np.full(len(us[-1]), f))
+                queue += list(left[near])
+                left = left[~near]
     return us, vs
 
 
 def links(nodes: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """Edges (u, v) between nodes within ``distance`` bits that connect the same components as
-    all such pairs. ``nodes``: fp (distinct) and node."""
+    """Edges (u, v) between fingerprints within ``distance`` bits that connect the same components
+    as all such pairs. ``nodes``: fp (distinct)."""
     deal = F.explode(F.array(*[F.struct(F.lit(i).alias("deal"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks(blocks, distance))]))
-    dealt = nodes.select("fp", "node", deal.alias("d")).select("fp", "node", "d.deal", "d.part")
+    dealt = nodes.select("fp", deal.alias("d")).select("fp", "d.deal", "d.part")
     sizes = dealt.groupBy("deal", "part").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / GROUP)
     mine = F.pmod(F.xxhash64("fp", "deal"), chunks)
@@ -109,42 +112,48 @@ def links(nodes: DataFrame, distance: int, blocks: int) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
         .where("chunks = 1 or other <> mine")
         .groupBy("deal", "part", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        .agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes"))
-        .select("fps", "nodes")
+        .agg(F.collect_list("fp").alias("fps"))
+        .select("fps")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c) for c in ("fps", "nodes")]
-            offsets = np.asarray(cols[0].offsets) - cols[0].offsets[0].as_py()
-            fps, ids = (c.flatten().to_numpy(zero_copy_only=False) for c in cols)
-            fps = fps.view(np.uint64)  # the bits of a negative number are counted after its sign is dropped
+            col = batch.column("fps")
+            offsets = np.asarray(col.offsets) - col.offsets[0].as_py()
+            fps = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64)  # the bits of a negative number are counted after its sign is dropped
             size = np.diff(offsets)
             pairs = offsets[:-1][size == 2]  # most lists are of two
             near = np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= distance
-            us, vs = [ids[pairs][near]], [ids[pairs + 1][near]]
+            us, vs = [fps[pairs][near]], [fps[pairs + 1][near]]
             for k in np.flatnonzero(size > 2).tolist():
-                a, b = offsets[k], offsets[k + 1]
-                u, v = forest(fps[a:b], ids[a:b], distance)
+                u, v = forest(fps[offsets[k] : offsets[k + 1]], distance)
                 us += u
                 vs += v
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64), pa.int64()) for x in (us, vs)], names=["u", "v"])
 
     return lists.mapInArrow(run, "u bigint, v bigint")
 
 
+def _grouped(docs: DataFrame, text: str, shingle: int, distance: int, blocks: int | None) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, raw, fp), and per fp its component's first row (void, doc_id, raw)."""
+    printed = stored(fingerprints(docs, text, shingle), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "raw")
+    nodes = stored(printed.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    least = components(links(nodes.select("fp"), distance, blocks or block_count(nodes.count(), distance)))
+    named = stored(nodes.join(least, nodes["fp"] == least["u"], "left").select("fp", "first", F.coalesce("v", "fp").alias("group")), "named")
+    best = named.groupBy("group").agg(F.min("first").alias("best"))
+    return printed, named.join(best, "group").select("fp", "best")
+
+
 def near_groups(docs: DataFrame, text: str = "text", shingle: int = 4, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that is
     reachable over links of at most ``distance`` differing bits."""
-    printed = stored(fingerprints(docs, text, shingle), "fingerprints")
-    nodes = stored(printed.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    least = components(links(nodes, distance, blocks or block_count(nodes.count(), distance)))
-    named = nodes.join(least, nodes["node"] == least["u"], "left").select("fp", F.coalesce("v", "node").alias("component_id"))
-    return printed.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    printed, best = _grouped(docs, text, shingle, distance, blocks)
+    return printed.join(best, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id. Rows without a doc_id
-    stay unless a document with their fingerprint has one."""
-    gone = near_groups(docs, text, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+def keep_one(docs: DataFrame, text: str = "text", shingle: int = 4, distance: int = 4, blocks: int | None = None) -> DataFrame:
+    """One row of each component, with its own columns."""
+    printed, best = _grouped(docs, text, shingle, distance, blocks)
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("raw") == F.col("best.raw"))
+    return one_each(docs, printed.join(best, "fp").select("doc_id", "raw", stays.alias("stays")), text)
