@@ -11,8 +11,9 @@ SYMBOLS = "#*$%&|<>"
 
 
 def n_of(text: Column, chars: str) -> Column:
-    """How many characters of a text are among ``chars``."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("bigint")
+    """How many characters of a text are among ``chars`` (ASCII)."""
+    class_ = "".join(c if c.isalnum() else f"\\{c}" for c in chars)
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{class_}]", ""))).cast("bigint")
 
 
 def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -21,25 +22,20 @@ def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return settled(t, _w=words(F.col("_t")), _l=F.filter(F.split("_t", "\n"), lambda x: F.length(F.trim(x, F.lit(SPACE))) > 0))
 
 
-def _after(array: str, k: int) -> Column:
-    """The array without its first ``k`` elements."""
-    return F.slice(array, F.lit(k + 1), F.greatest(F.size(array) - k, F.lit(0)))
-
-
 def repeat_words(df: DataFrame, n: int = 3) -> DataFrame:
     """Adds n_repeat_words: the words in ``n``-word windows that the text holds twice or more.
 
-    Windows are sorted by hash and position, and equal neighbours mark a repeat. The marked
-    starts, in order, each cover the words up to the next start, ``n`` at most: n log n steps a
-    text. Each step is a column of its own, so that none is worked out twice."""
-    shifted = F.arrays_zip(*[_after("_w", k).alias(f"w{k}") for k in range(n)])
-    window = F.transform(F.slice(shifted, F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(0))), lambda x, i: F.struct(F.xxhash64(*[x[f"w{k}"] for k in range(n)]).alias("h"), i.alias("i")))
-    df = settled(df, _s=F.sort_array(window))
-    size = F.size("_s")
-    last = F.lit(None).cast("struct<h:bigint,i:int>")
-    around = F.arrays_zip(F.col("_s").alias("x"), F.concat(F.array(last), F.slice("_s", F.lit(1), F.greatest(size - 1, F.lit(0)))).alias("a"), _after("_s", 1).alias("b"))
-    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
-    marked = F.filter(around, lambda r: r["x"].isNotNull() & (same(r["x"], r["a"]) | same(r["x"], r["b"])))
-    df = settled(df, _m=F.sort_array(F.transform(marked, lambda r: r["x"]["i"])))
-    cover = F.zip_with("_m", _after("_m", 1), lambda p, q: F.least(F.lit(n), F.coalesce(q - p, F.lit(n))).cast("bigint"))
-    return settled(df, n_repeat_words=F.aggregate(cover, F.lit(0).cast("bigint"), lambda a, x: a + x)).drop("_s", "_m")
+    Windows are bare hashes first; a text with as many distinct ones as windows repeats nothing.
+    In other texts windows are sorted by hash and position, and equal neighbours mark a repeat. The
+    marked starts, in order, each cover the words up to the next start, ``n`` at most: n log n
+    steps a text. Each step is a column of its own, so that none is worked out twice."""
+    windows = F.greatest(F.size("_w") - n + 1, F.lit(0))
+    df = settled(df, _h=F.transform(F.slice("_w", F.lit(1), windows), lambda x, i: F.xxhash64(x, *[F.get("_w", i + k) for k in range(1, n)])))
+    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    df = settled(df, _s=F.when(repeats, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(none))
+    same = lambda x, i: F.coalesce(F.get("_s", i)["h"] == x["h"], F.lit(False))
+    marked = F.filter("_s", lambda x, i: same(x, i - 1) | same(x, i + 1))
+    df = settled(df, _m=F.sort_array(F.transform(marked, lambda x: x["i"])))
+    cover = F.transform("_m", lambda p, k: F.least(F.lit(n), F.coalesce(F.get("_m", k + 1) - p, F.lit(n))).cast("bigint"))
+    return settled(df, n_repeat_words=F.aggregate(cover, F.lit(0).cast("bigint"), lambda a, x: a + x)).drop("_h", "_s", "_m")
