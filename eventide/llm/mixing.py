@@ -3,12 +3,15 @@
 A source with n rows and target weight w (of weights that sum to 1) gets a mean repetition
 rate of ``rows * w / n``, where ``rows`` is the size aimed at. Each document's copies are a
 Poisson draw with that mean, by inverting the distribution at a uniform number that a seeded
-hash of its doc_id gives: the draw needs no coordination and a lost task repeats it exactly.
+hash of its name gives: the draw needs no coordination and a lost task repeats it exactly.
 Copies are then dealt to tasks, and ordered there, by another seeded hash: a global shuffle.
 
-A missing source (null) is a source of its own. Rows that repeat a doc_id or lack one draw
-alike and keep their copies. An empty table gives an empty result. Extra columns travel with
-their row; columns named like those added are replaced.
+A row's name is its doc_id (or the word null), the MD5 of its text and its number among equal
+rows. So rows without a doc_id, rows that repeat one and rows that repeat whole draw each for
+itself and are dealt like any others. A missing source (null) is a source of its own. Weights
+must be finite, not negative and one a source, or an error is raised. An empty table gives an
+empty result. Extra columns travel with their row; columns named like those added are replaced;
+columns of map type can't be counted.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import numbered, shuffle_partitions, stored
 
 SEED, TEMPERATURE = 20240501, 0.5
 #: A mean above this is drawn as the sum of several draws, so that exp(-mean) stays exact.
@@ -33,6 +36,13 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("bigint") + 0.5) / float(1 << 52)
 
 
+def _check(weights: DataFrame) -> None:
+    bad = F.col("weight").isNull() | F.isnan("weight") | (F.col("weight") < 0) | (F.col("weight") == float("inf"))
+    wrong = weights.groupBy("_s").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad")).where("n > 1 or bad > 0").first()
+    if wrong is not None:
+        raise ValueError(f"source {wrong['_s']!r} has {wrong['n']} weights, {wrong['bad']} of them null, negative or not finite")
+
+
 def means(docs: DataFrame, source: str = "source", weights: DataFrame | None = None, temperature: float = TEMPERATURE, rows: int | None = None) -> DataFrame:
     """source and mean (copies a document) for every source.
 
@@ -43,6 +53,7 @@ def means(docs: DataFrame, source: str = "source", weights: DataFrame | None = N
         n = n.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(float(temperature))))
     else:
         w = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("weight"))
+        _check(w)
         n = n.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").fillna(0.0, ["weight"])
     n = stored(n, "sources")
     total = n.agg(F.sum("weight").alias("w"), F.sum("n").alias("n")).first()
@@ -59,16 +70,19 @@ def _inverse(means_: DataFrame) -> DataFrame:
     return means_.withColumn("draws", draws).withColumn("cdf", F.aggregate(F.sequence(F.lit(1), F.lit(_TERMS)), first, step, lambda acc: acc["c"]))
 
 
-def mix(docs: DataFrame, source: str = "source", seed: int = SEED, **targets) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", text: str = "text", seed: int = SEED, **targets) -> DataFrame:
     """Every document as often as drawn, in a global shuffle, with ``copies`` (drawn in all),
     ``copy`` (from 0) and ``shuffle_key``; tasks hold ascending keys."""
     table = stored(_inverse(means(docs, source, **targets)), "means").withColumnRenamed("source", "_source")
     few = table.count() <= BROADCAST_SOURCES
     own = [c for c in docs.columns if c not in ("copies", "copy", "shuffle_key")]
-    named = docs.select(*own).join(F.broadcast(table) if few else table, F.col(source).eqNullSafe(F.col("_source")))
-    draw = lambda j: F.size(F.filter("cdf", lambda c: c <= F.least(uniform(F.lit(seed), F.col("doc_id"), j), F.lit(_TOP)))).cast("bigint")
+    body = F.coalesce(F.col(text), F.lit("")) if text in own else F.lit("")
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(body.cast("binary")), F.col("_k").cast("string"))
+    named = numbered(docs.select(*own)).select(F.struct(*own).alias("_own"), F.col(source).alias("_of"), name.alias("_name"))
+    named = named.join(F.broadcast(table) if few else table, F.col("_of").eqNullSafe(F.col("_source")))
+    draw = lambda j: F.size(F.filter("cdf", lambda c: c <= F.least(uniform(F.lit(seed), F.col("_name"), j), F.lit(_TOP)))).cast("bigint")
     copies = F.aggregate(F.sequence(F.lit(0), F.col("draws") - 1), F.lit(0).cast("bigint"), lambda acc, j: acc + draw(j))
     drawn = named.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
-    key = F.md5(F.encode(F.concat_ws(":", F.lit(str(seed + 1)), F.col("doc_id").cast("string"), F.col("copy").cast("string")), "UTF-8"))
-    keyed = drawn.select(*own, "copies", "copy", key.alias("shuffle_key"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed + 1)), "_name", F.col("copy").cast("string")).cast("binary"))
+    keyed = drawn.select("_own.*", "copies", "copy", key.alias("shuffle_key"))
     return keyed.repartition(shuffle_partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
