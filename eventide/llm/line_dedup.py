@@ -10,7 +10,9 @@ so deleting a batch restores the state before it.
 To drop lines, (document, key hash) pairs travel to the shard's task, preceded by the shard's
 filter; what passes the filter is looked up in the shard's exact keys. A shard with many pairs
 is dealt to several tasks, each with a copy of the filter. Pairs that hit go back to their
-documents.
+documents. The number of shards follows that of the frequent keys: it doubles, and the filters
+are built anew from the exact counts, before a shard holds more than about ``SHARD_KEYS`` of
+them (24 bytes each), which bounds what one task holds and what a copy costs at any size.
 
 Each row is one document. Null text counts as one empty line. Keys shorter than ``min_chars``
 never drop. Rows that repeat a doc_id count and are judged each by its own text; a null doc_id
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, ascii_lower, new_path, shuffle_partitions, slices, stored
 
 THRESHOLD, MIN_CHARS = 10, 1
+#: Frequent keys of a shard, on average at most.
+SHARD_KEYS = 50_000
 _LAST = 2**63 - 1
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _SLOTS = 4
@@ -65,24 +69,44 @@ class CuckooFilter:
         return (self.cells[a] == p[:, None]).any(1) | (self.cells[b] == p[:, None]).any(1)
 
     def add(self, h: np.ndarray) -> bool:
-        """False if a hash found no place; the filter must then be rebuilt larger."""
+        """False if a hash found no place; the filter must then be rebuilt larger.
+
+        All hashes look for a free cell at once, in their first and then in their second bucket; those
+        that find none each push out a print at random, and what was pushed out looks further."""
         rng = np.random.default_rng(len(h))
-        for p, a, b in zip(*self._places(h), strict=True):
-            at = a
-            for kick in range(500):
-                free = np.flatnonzero(self.cells[at] == 0)
-                if not len(free) and kick == 0:
-                    at = b
-                    free = np.flatnonzero(self.cells[at] == 0)
-                if len(free):
-                    self.cells[at, free[0]] = p
-                    break
-                k = rng.integers(_SLOTS)
-                p, self.cells[at, k] = self.cells[at, k], p
-                at = at ^ (self._jump(np.array([p]))[0] & np.uint64(len(self.cells) - 1))
-            else:
-                return False
-        return True
+        prints, first, second = self._places(h)
+        left = self._fill(prints, first)
+        prints, at = prints[left], second[left]
+        left = self._fill(prints, at)
+        prints, at, mask = prints[left], at[left], np.uint64(len(self.cells) - 1)
+        for _ in range(500):
+            if not len(prints):
+                return True
+            turn = np.zeros(len(at), bool)
+            turn[np.unique(at, return_index=True)[1]] = True  # one push a bucket; the others wait
+            k = rng.integers(_SLOTS, size=int(turn.sum()))
+            pushed = self.cells[at[turn], k]
+            self.cells[at[turn], k] = prints[turn]
+            prints = np.concatenate([pushed, prints[~turn]])
+            at = np.concatenate([at[turn] ^ (self._jump(pushed) & mask), at[~turn]])
+            left = self._fill(prints, at)
+            prints, at = prints[left], at[left]
+        return not len(prints)
+
+    def _fill(self, prints: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Put prints into free cells of their buckets; tells which are left."""
+        order = np.argsort(at, kind="stable")
+        begin = np.flatnonzero(np.diff(at[order], prepend=at[order[:1]] + np.uint64(1)) != 0) if len(at) else order
+        nth = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))  # among those of one bucket
+        cells = self.cells[at[order]]
+        free = cells == 0
+        fits = nth < free.sum(axis=1)
+        cell = (np.cumsum(free, axis=1) == (nth + 1)[:, None]).argmax(axis=1)
+        rows = order[fits]
+        self.cells[at[rows], cell[fits]] = prints[rows]
+        left = np.ones(len(at), bool)
+        left[rows] = False
+        return left
 
     def remove(self, h: np.ndarray) -> None:
         """Forget hashes that were added before."""
@@ -118,9 +142,9 @@ def line_keys(text: Column, min_chars: int = MIN_CHARS) -> Column:
 
 
 def _pairs(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
-    """doc, sum (CRC-32 of the text), digest and h of every distinct line key of every row."""
+    """doc, sum (64-bit hash of the text), digest and h of every distinct line key of every row."""
     key = F.explode(line_keys(F.col(text), min_chars)).alias("key")
-    out = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.crc32(F.coalesce(text, F.lit(""))).alias("sum"), key)
+    out = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("sum"), key)
     out = out.select("doc", "sum", F.substring(F.unhex(F.sha2("key", 256)), 1, 16).alias("digest"))
     return out.withColumn("h", F.xxhash64("digest"))
 
@@ -130,7 +154,7 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS):
         self.spark, self.path = spark, path or new_path(spark, "line-index")
-        self.shards, self.threshold, self.min_chars, self.version = shards or 4 * shuffle_partitions(spark), threshold, min_chars, 0
+        self.shards, self.threshold, self.min_chars, self.version = shards or 16, threshold, min_chars, 0
 
     def counts(self) -> DataFrame:
         return self.spark.read.schema("digest binary, h bigint, n bigint, before bigint").parquet(f"{self.path}/counts-{self.version}").select("digest", "h", "n")
@@ -164,12 +188,17 @@ class LineIndex:
         changes = self.spark.read.schema("digest binary, h bigint, n bigint, before bigint").parquet(full)
         if old:
             changes.where("n > 0").write.parquet(f"{self.path}/counts-{old + 1}")
+        self.version += 1
+        frequent = self._frequent(changes).count()
+        shards = self.shards
+        while shards * SHARD_KEYS < frequent:
+            shards *= 2
+        grown, self.shards = shards > self.shards, shards
+        state = self.spark.read.schema("shard int, filter binary").parquet(f"{self.path}/filters-{old}") if old and not grown else self.spark.createDataFrame([], "shard int, filter binary")
         moved = changes.where(crossed[0] != crossed[1]).groupBy(self._shard().alias("shard")).agg(F.collect_list(F.when(crossed[0], F.col("h"))).alias("add"), F.collect_list(F.when(crossed[1], F.col("h"))).alias("drop"))
         all_ = self._frequent(changes).groupBy(self._shard().alias("shard")).agg(F.collect_list("h").alias("all"))
-        state = self.filters() if old else self.spark.createDataFrame([], "shard int, filter binary")
-        self.version += 1
-        todo = state.join(moved, "shard", "full_outer").join(all_, "shard", "left")
-        todo.select("shard", "filter", "add", "drop", "all").mapInArrow(_update, "shard int, filter binary").write.parquet(f"{self.path}/filters-{self.version}")
+        todo = state.join(moved, "shard", "full_outer").join(all_, "shard", "full_outer").withColumn("anew", F.lit(grown))
+        todo.select("shard", "filter", "add", "drop", "all", "anew").mapInArrow(_update, "shard int, filter binary").write.parquet(f"{self.path}/filters-{self.version}")
         return self
 
     def hits(self, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -177,7 +206,7 @@ class LineIndex:
         spark, tasks = self.spark, shuffle_partitions(self.spark)
         load = self.counts().groupBy(self._shard().alias("shard")).agg(F.sum("n").alias("load"))
         total = load.agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
-        aim = max(1, total // (16 * tasks))
+        aim = max(1, total // (4 * tasks))
         salts = stored(load.select("shard", F.ceil(F.col("load") / aim).cast("int").alias("salts")), "salts")  # one row a shard
         blank = {"doc": F.lit(0).cast("bigint"), "sum": F.lit(0).cast("bigint"), "h": F.lit(0).cast("bigint")}
         exact = self._frequent(self.counts()).groupBy(self._shard().alias("shard")).agg(F.collect_list("h").alias("hs"), F.collect_list("digest").alias("digests"))
@@ -194,8 +223,9 @@ def _update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             add, drop, every = (np.array(r[c] or [], np.int64) for c in ("add", "drop", "all"))
             f = CuckooFilter.of(r["filter"])
-            f.remove(drop)
-            room = f.cells.size * 0.85 >= len(every)
+            if not r["anew"]:
+                f.remove(drop)
+            room = f.cells.size * 0.85 >= len(every) and not r["anew"]
             out.append((f if room and f.add(add) else CuckooFilter.build(every)).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(out, pa.binary())], names=["shard", "filter"])
 
@@ -229,7 +259,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_lines(docs: DataFrame, index: LineIndex, text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and kept (the other lines joined by line feeds) of each row."""
     hits = index.hits(docs, text).groupBy("doc", "sum").agg(F.collect_set("digest").alias("hits"))
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).withColumns({"doc": F.coalesce("doc_id", F.lit(_LAST)), "sum": F.crc32(F.coalesce(text, F.lit("")))})
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).withColumns({"doc": F.coalesce("doc_id", F.lit(_LAST)), "sum": F.xxhash64(F.coalesce(text, F.lit("")))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
