@@ -12,17 +12,24 @@ document with a smaller doc_id are removed.
 Equal packed strings are combined where they are made, so a passage in a third of all
 documents sends its words once a task, not once a document. Windows are judged on the input. Null
 and short texts have no window. A null doc_id counts as larger than any other. Rows that
-repeat a doc_id are judged each by its own text and never against each other. Repeats inside
-one document stay. Extra columns are ignored.
+repeat a doc_id are judged each by its own text and never against each other; rows that agree
+in doc_id and text are one document, whose places count once however often it stands in the
+table. Repeats inside one document stay. Extra columns are ignored.
+
+A document is named by its doc_id, and where ids repeat or are null also by the 64-bit hash of
+its text.
 
 A task holds one bucket's distinct packed strings at a time, so the number of buckets grows
-with the text (``BUCKET_BYTES``). A minimiser can't be split over buckets; longer groups of
-words make rarer minimisers but more packed text.
+with the text (``BUCKET_BYTES``), and that of tasks too (``TASK_BYTES``). A group of words that is
+frequent in the language would be the minimiser of ever more windows, all in one bucket. Such
+minimisers are looked for in a sample of the documents; windows that have one go by a second
+minimiser, of longer groups (``LONG_MMER``), together with the first. Equal windows still meet: which
+minimisers are split is settled before any window is sent, and changes where windows meet, not
+whether.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +40,20 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, slices
 
-WINDOW, MMER = 13, 3
+WINDOW, MMER, LONG_MMER = 13, 3, 8
+#: Documents in which frequent minimisers are looked for: this many, or this share if it is more;
+#: and the windows, as a multiple of what a bucket should get, from which a minimiser is split.
+SAMPLE_DOCS, SAMPLE_SHARE, HOT_SHARE = 4_000, 0.001, 4.0
+#: Least windows of a sample that make a minimiser frequent.
+HOT_WINDOWS = 50
 #: Windows in one packed string at most.
 RUN = 64
 #: Words of a document that are looked at together; the next piece overlaps it by a window.
 SEGMENT = 200_000
 #: Text bytes a bucket aims at (packed, about three times that), and buckets a task at least.
 BUCKET_BYTES, BUCKETS_A_TASK = 3_000_000, 6
+#: Text bytes that a task of the second half gets at most, on average.
+TASK_BYTES = 128_000_000
 #: Packed bytes a task gathers before it compresses and sends them, by bucket.
 FLUSH_BYTES = 24_000_000
 #: Zstandard level of what is sent: 7 % smaller than at 3 for some 20 CPU seconds more a GB of text.
@@ -48,7 +62,8 @@ LEVEL = 6
 GATHER = 40_000
 _LAST = 2**63 - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_OCC = np.dtype([("doc", "<i8"), ("sum", "<u4"), ("at", "<u4")])
+_OCC = np.dtype([("doc", "<i8"), ("sum", "<i8"), ("at", "<u4")])
+_NONE = np.zeros(0, np.uint64)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -124,19 +139,30 @@ def _sliding_min(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (n - size)], h[n - size :]) if n > size else h
 
 
-def _pack(rows: list[tuple[int, int, int, list[bytes]]], window: int, mmer: int, found: dict[bytes, list]) -> int:
+def _minimisers(word: np.ndarray, window: int, mmer: int) -> np.ndarray:
+    """The minimiser of the window that starts at each word."""
+    with np.errstate(over="ignore"):
+        group = np.zeros(max(0, len(word) - mmer + 1), np.uint64)
+        for k in range(mmer):
+            group = group * np.uint64(0xFF51AFD7ED558CCD) + word[k : len(word) - mmer + 1 + k]
+    return _sliding_min(_mix(group), window - mmer + 1)
+
+
+def _pack(rows: list[tuple[int, int, int, list[bytes]]], window: int, mmer: int, found: dict[bytes, list], hot: np.ndarray = _NONE) -> int:
     """Add the packed strings of some documents (doc, sum, first word, words), each with its
-    minimiser and its occurrences. Returns the bytes added."""
+    minimiser and its occurrences. Returns the bytes added. ``hot``: minimisers to split, sorted."""
     flat = b"\n".join(b" ".join(r[3]) for r in rows)
     text = _Bytes(flat)
     starts, ends, row = _words(text.data)
     word = text.hash(starts, ends)
-    with np.errstate(over="ignore"):
-        group = np.zeros(max(0, len(word) - mmer + 1), np.uint64)
-        for k in range(mmer):
-            group = group * np.uint64(0xFF51AFD7ED558CCD) + word[k : len(word) - mmer + 1 + k]
-    least = _sliding_min(_mix(group), window - mmer + 1)  # of the window that starts at each word
+    least = _minimisers(word, window, mmer)
     real = np.flatnonzero(row[: len(least)] == row[window - 1 :])  # windows inside one document
+    if len(hot):
+        split = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least)
+        if len(split):
+            second = _minimisers(word, window, min(LONG_MMER, window))
+            with np.errstate(over="ignore"):
+                least[split] = _mix(least[split] * np.uint64(3) + second[split])
     least, owner = least[real], row[real]
     fresh = np.ones(len(real), bool)
     fresh[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
@@ -146,16 +172,16 @@ def _pack(rows: list[tuple[int, int, int, list[bytes]]], window: int, mmer: int,
     last = np.append(first[1:], len(real)) - 1
     word0 = np.searchsorted(row, np.arange(len(rows)))
     occ = np.empty(len(first), _OCC)
-    docs, sums, ats = (np.array([r[k] for r in rows], t) for k, t in ((0, np.int64), (1, np.uint32), (2, np.int64)))
+    docs, sums, ats = (np.array([r[k] for r in rows], np.int64) for k in range(3))
     occ["doc"], occ["sum"], occ["at"] = docs[owner[first]], sums[owner[first]], real[first] - word0[owner[first]] + ats[owner[first]]
-    raw, added = occ.tobytes(), 0
+    raw, size, added = occ.tobytes(), _OCC.itemsize, 0
     for i, (a, b, m) in enumerate(zip(starts[real[first]].tolist(), ends[real[last] + window - 1].tolist(), least[first].tolist(), strict=True)):
         if (e := found.get(packed := flat[a:b])) is None:
-            found[packed] = [m, raw[16 * i : 16 * i + 16]]
+            found[packed] = [m, raw[size * i : size * i + size]]
             added += b - a + 64
         else:
-            e[1] += raw[16 * i : 16 * i + 16]
-            added += 16
+            e[1] += raw[size * i : size * i + size]
+            added += size
     return added
 
 
@@ -187,11 +213,11 @@ def _open(blob: bytes) -> Iterator[tuple[bytes, bytes]]:
     counts = _numbers(raw, np.uint32, n, at)
     occ = np.empty(m, _OCC)
     occ["doc"] = np.cumsum(_numbers(raw, np.int64, m, at + 4 * n))
-    occ["sum"] = _numbers(raw, np.uint32, m, at + 4 * n + 8 * m)
-    occ["at"] = _numbers(raw, np.uint32, m, at + 4 * n + 12 * m)
+    occ["sum"] = _numbers(raw, np.int64, m, at + 4 * n + 8 * m)
+    occ["at"] = _numbers(raw, np.uint32, m, at + 4 * n + 16 * m)
     ends = (np.cumsum(counts) * _OCC.itemsize).tolist()
     data = occ.tobytes()
-    for packed, a, b in zip(raw[at + 4 * n + 16 * m :].split(b"\n"), [0, *ends[:-1]], ends, strict=True):
+    for packed, a, b in zip(raw[at + 4 * n + 20 * m :].split(b"\n"), [0, *ends[:-1]], ends, strict=True):
         yield packed, data[a:b]
 
 
@@ -205,30 +231,58 @@ def _send(found: dict[bytes, list], buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]]) for g in groups], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
-def super_kmers(docs: DataFrame, buckets: int, text: str = "text", window: int = WINDOW, mmer: int = MMER) -> DataFrame:
-    """bucket, blob: the distinct packed strings of a task's documents, with the documents and
-    word positions where they begin."""
+def _frequent(docs: DataFrame, buckets: int, n: int, window: int, mmer: int) -> np.ndarray:
+    """Minimisers that more windows of a sample have than a bucket should get, sorted: at most
+    ``buckets / HOT_SHARE`` of them, and few in practice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                words = [(t or "").encode("utf-8").split() for t in part.column("text").to_pylist()]
+                flat = b"\n".join(b" ".join(w) for w in words)
+                text = _Bytes(flat)
+                starts, ends, row = _words(text.data)
+                least = _minimisers(text.hash(starts, ends), window, mmer)
+                keys, counts = np.unique(least[row[: len(least)] == row[window - 1 :]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64), pa.int64()), pa.array(counts, pa.int64())], names=["m", "n"])
+
+    sample = docs.select("text").sample(min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / max(1, n))), seed=1)
+    counts = sample.mapInArrow(run, "m bigint, n bigint").groupBy("m").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(HOT_WINDOWS, HOT_SHARE * total / buckets)
+    return np.sort(np.array([r["m"] for r in counts.where(F.col("n") >= least).select("m").toLocalIterator()], np.int64).view(np.uint64))
+
+
+def super_kmers(docs: DataFrame, buckets: int, window: int = WINDOW, mmer: int = MMER, hot: np.ndarray = _NONE) -> DataFrame:
+    """bucket, blob: the distinct packed strings of a task's documents (doc, sum, text), with the
+    documents and word positions where they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, list] = {}
+        seen: set[tuple[int, int]] = set()  # documents that may stand here again
         held = 0
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch):
                 rows = []
-                for i, t in zip(part.column("doc_id").to_pylist(), part.column(text).to_pylist(), strict=True):
-                    raw = (t or "").encode("utf-8")
-                    ws = raw.split()
+                for i, s, t in zip(*(part.column(c).to_pylist() for c in ("doc", "sum", "text")), strict=True):
+                    if s:
+                        if (i, s) in seen:
+                            continue
+                        seen.add((i, s))
+                        held += 200
+                    ws = (t or "").encode("utf-8").split()
                     for at in range(0, len(ws) - window + 1, SEGMENT):
-                        rows.append((_LAST if i is None else i, zlib.crc32(raw), at, ws[at : at + SEGMENT + window - 1]))
+                        rows.append((i, s, at, ws[at : at + SEGMENT + window - 1]))
                 if rows:
-                    held += _pack(rows, window, mmer, found)
+                    held += _pack(rows, window, mmer, found, hot)
                 if held >= FLUSH_BYTES:
-                    yield _send(found, buckets)
-                    found, held = {}, 0
+                    if found:
+                        yield _send(found, buckets)
+                    found, seen, held = {}, set(), 0
         if found:
             yield _send(found, buckets)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).mapInArrow(run, "bucket bigint, blob binary")
+    return docs.select("doc", "sum", "text").mapInArrow(run, "bucket bigint, blob binary")
 
 
 def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -244,11 +298,25 @@ def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> n
     return out
 
 
+def _once(occ: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place once: a document that stands in several rows has sent its places as often."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    maybe = np.flatnonzero((counts > 1)[owner] & (occ["sum"] != 0))
+    if not len(maybe):
+        return occ, counts
+    order = maybe[np.lexsort((occ["at"][maybe], occ["sum"][maybe], occ["doc"][maybe], owner[maybe]))]
+    again = np.flatnonzero((owner[order[1:]] == owner[order[:-1]]) & (occ[order[1:]] == occ[order[:-1]])) + 1
+    stay = np.ones(len(occ), bool)
+    stay[order[again]] = False
+    return occ[stay], np.bincount(owner[stay], minlength=len(counts))
+
+
 def _judge(packed: dict[bytes, bytes], window: int) -> pa.RecordBatch | None:
     """Spans of words to remove, from all packed strings of some minimisers."""
     flat = b"\n".join(packed)
     occ = np.frombuffer(b"".join(packed.values()), _OCC)
     counts = np.fromiter(map(len, packed.values()), np.int64, len(packed)) // _OCC.itemsize
+    occ, counts = _once(occ, counts)
     base = np.cumsum(counts) - counts
     lowest = np.minimum.reduceat(occ["doc"], base)
     text = _Bytes(flat)
@@ -305,9 +373,18 @@ def _judge(packed: dict[bytes, bytes], window: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["doc", "sum", "start", "stop"])
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, mmer: int = MMER) -> DataFrame:
-    """doc, sum, start, stop: word ranges to remove, of documents named by doc_id (null: the
-    largest bigint) and the CRC-32 of the text; ranges may overlap."""
+def _named(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, text, doc (null: the largest bigint) and sum: zero, or the 64-bit hash of the text if
+    the doc_id is null or may repeat."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    unique = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    return rows.withColumns({"doc": F.coalesce("doc_id", F.lit(_LAST)), "sum": F.when(F.col("doc_id").isNull(), hashed).otherwise(0) if unique else hashed})
+
+
+def repeated_spans(named: DataFrame, window: int = WINDOW, mmer: int = MMER) -> DataFrame:
+    """doc, sum, start, stop: word ranges to remove, of documents named as by ``_named``; ranges may
+    overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, bytes] = {}
@@ -323,24 +400,25 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = WINDOW, mm
         if held and (out := _judge(held, window)) is not None:
             yield out
 
-    tasks = shuffle_partitions(docs.sparkSession)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    packed = super_kmers(docs, max(BUCKETS_A_TASK * tasks, size // BUCKET_BYTES), text, window, mmer)
+    total = named.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    tasks = max(shuffle_partitions(named.sparkSession), total["b"] // TASK_BYTES)
+    buckets = max(BUCKETS_A_TASK * tasks, total["b"] // BUCKET_BYTES)
+    packed = super_kmers(named, buckets, window, mmer, _frequent(named, buckets, total["n"], window, mmer))
     dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "doc bigint, sum bigint, start bigint, stop bigint")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, mmer: int = MMER) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of each row."""
-    spans = repeated_spans(docs, text, window, mmer).groupBy("doc", "sum").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).withColumns({"doc": F.coalesce("doc_id", F.lit(_LAST)), "sum": F.crc32(F.coalesce(text, F.lit("")))})
-    joined = named.join(spans, ["doc", "sum"], "left").select("doc_id", text, "spans")
+    named = _named(docs, text)
+    spans = repeated_spans(named, window, mmer).groupBy("doc", "sum").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = named.join(spans, ["doc", "sum"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch):
                 n, gone, kept = [], [], []
-                for t, spans in zip(part.column(text).to_pylist(), part.column("spans").to_pylist(), strict=True):
+                for t, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
                     ws = (t or "").encode("utf-8").split()
                     stay = np.ones(len(ws), bool)
                     for s in spans or ():
