@@ -8,8 +8,8 @@ column expression over the statistics, so scoring is a narrow step without a mod
 The forest and the weights are fitted on about ``MAX_TRAIN`` labelled rows, taken by a hash of
 their id. Labels, language, source and id are never inputs of a score. Null and empty texts
 have all statistics at zero and get a score like any other. Rows with a null or repeated id
-are scored each by its text. Labels of ids that aren't there, null labels and repeated labels
-(counted once a row) do no harm. With no labels, or labels of one kind, the score of every
+are scored each by its text; of rows that repeat a labelled id one is fitted on. Labels of ids that aren't there, null labels and repeated labels
+(the larger counts) do no harm. With no labels, or labels of one kind, the score of every
 text is the share of label 1 (or a half). Extra columns are ignored.
 """
 
@@ -33,6 +33,8 @@ from .common import shuffle_partitions, slices, stored
 #: Labelled rows that are fitted on at most, on average.
 MAX_TRAIN = 20_000
 TREES, DEPTH, PENALTY = 16, 3, 0.001
+#: The lasso stops after this many steps, or when a step changes little: each is a job over the sample.
+STEPS, TOLERANCE = 25, 1e-4
 THRESHOLD = 0.3
 
 Condition = tuple[int, bool, float]  # feature, whether at most (else over) the threshold
@@ -129,7 +131,7 @@ def fit(labelled: DataFrame, seed: int = 11) -> RuleEnsemble:
     if not rules:
         return constant(share)
     fired = data.select("label", array_to_vector(F.array(*[F.when(holds(r), 1.0).otherwise(0.0) for r in rules])).alias("v"))
-    lasso = LogisticRegression(featuresCol="v", labelCol="label", elasticNetParam=1.0, regParam=PENALTY, maxIter=60, standardization=True)
+    lasso = LogisticRegression(featuresCol="v", labelCol="label", elasticNetParam=1.0, regParam=PENALTY, maxIter=STEPS, tol=TOLERANCE, standardization=True)
     fitted = lasso.fit(fired)
     chosen = [(r, float(w)) for r, w in zip(rules, fitted.coefficients.toArray(), strict=True) if w]
     return RuleEnsemble([r for r, _ in chosen], [w for _, w in chosen], float(fitted.intercept))
@@ -146,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     n = usable.count()
     sample = usable.where(F.pmod(F.xxhash64(F.lit("train"), "_id"), F.lit(max(1, n))) < bound)  # about ``bound`` rows of two numbers
     chosen = docs.select("doc_id", text).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
-    stats = features(chosen.select("doc_id", "label", text), text)
+    stats = features(chosen.select("doc_id", "label", text), text).groupBy("doc_id", "label").agg(F.min("x").alias("x"))  # once an id, however often it stands there
     tasks = min(4, shuffle_partitions(docs.sparkSession))
     return fit(stored(stats.repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "x"), "train"))
 
