@@ -19,7 +19,7 @@ from . import (
     simhash,
     substring_dedup,
 )
-from .common import table
+from .common import stored, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +36,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quotation.format_chats(table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "turn", "role", "parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth", "place", "quote_levels", "n_quoted", F.sha2(F.encode("own_text", "UTF-8"), 256).alias("own_sha256"))
+    """One row a message, with its place in its conversation and the part of the conversation it is
+    stored in: the part's size and the hash of its texts in reply order."""
+    out = stored(quotation.parts(quotation.format_chats(table(spark, sf_dir, "conversations"))), "chats")
+    texts = F.array_join(F.transform("messages", lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit(":"), m["text"])), "\n")
+    whole = quotation.conversations(out).select("thread_conv", "thread_turn", "part", F.size("messages").cast("bigint").alias("part_size"), F.sha2(F.encode(texts, "UTF-8"), 256).alias("part_sha256"))
+    out = out.join(whole, ["thread_conv", "thread_turn", "part"], "left")
+    return out.select("conv_id", "turn", "role", "parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth", "place", "quote_levels", "n_quoted", F.sha2(F.encode("own_text", "UTF-8"), 256).alias("own_sha256"), "part", "part_size", "part_sha256")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +51,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", sharding.size_of(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    return sharding.assign(docs).withColumn("grown_shard", F.lit(None).cast("int"))
+    """Whole records go through both passes; the columns are worked out from the written buckets."""
+    out = sharding.assign(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", sharding.size_of(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,14 +127,17 @@ ORACLE_SQL: dict[str, str] = {
                    (SELECT product(mean / j) FROM range(1, k + 1) t(j)) END AS p
             FROM m, range(0, 60) r(k)),
         c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
+        k AS (
+            SELECT doc_id, source, text, coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':'
+                   || (row_number() OVER (PARTITION BY doc_id, source, text) - 1) AS name FROM documents),
         u AS (
-            SELECT *, (('0x' || substr(md5('20240501:' || doc_id || ':0'), 1, 13))::BIGINT + 0.5)
-                      / 4503599627370496::DOUBLE AS u FROM documents),
+            SELECT *, (('0x' || substr(md5('20240501:' || name || ':0'), 1, 13))::BIGINT + 0.5)
+                      / 4503599627370496::DOUBLE AS u FROM k),
         n AS (
-            SELECT doc_id, u.source, text,
+            SELECT doc_id, u.source, text, name,
                    (SELECT count(*) FROM c WHERE c.source = u.source AND c.cdf <= u.u AND c.cdf < 0.99999999999999) AS copies
             FROM u)
-        SELECT doc_id, source, copies, copy, md5('20240502:' || doc_id || ':' || copy) AS shuffle_key,
+        SELECT doc_id, source, copies, copy, md5('20240502:' || name || ':' || copy) AS shuffle_key,
                md5(coalesce(text, '')) AS text_md5
         FROM (SELECT *, unnest(range(0, copies)) AS copy FROM n)""",
     "op10_line_dedup": r"""
@@ -172,25 +182,37 @@ ORACLE_SQL: dict[str, str] = {
             SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM conversations),
         p AS (
-            SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]*)+)', 1), '[ \t]', '', 'g')) AS level,
-                   regexp_replace(line, '^[ \t]*((?:>[ \t]*)+)', '') AS body FROM l),
+            SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*(>[> \t]*)', 1), '[ \t]', '', 'g')) AS level,
+                   regexp_replace(line, '^[ \t]*(>[> \t]*)', '') AS body FROM l),
         q AS (
             SELECT *, translate(trim(regexp_replace(body, '[\x20\x09-\x0D]+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm,
                    coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY i), 0) AS below FROM p),
-        own AS (SELECT * FROM q WHERE level = 0 AND NOT (below > 0 AND norm LIKE '%:')),
-        here AS (SELECT conv_id, norm, min(turn) AS ft FROM own WHERE norm <> '' GROUP BY ALL),
+        kinds AS (
+            SELECT *, CASE WHEN level > 0 THEN level WHEN below > 0 AND norm LIKE '%:' THEN -1 ELSE 0 END AS kind FROM q),
+        runs AS (
+            SELECT *, sum(CASE WHEN kind = pk AND norm <> '' AND pn <> '' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run
+            FROM (SELECT *, lag(kind) OVER w AS pk, lag(norm) OVER w AS pn FROM kinds WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i))),
+        pas AS (
+            SELECT conv_id, turn, run, kind, string_agg(norm, chr(10) ORDER BY i) AS h, count(*) AS weight
+            FROM runs WHERE norm <> '' AND kind >= 0 GROUP BY ALL),
+        units AS (
+            SELECT conv_id, turn, run, kind, h, weight, true AS whole FROM pas
+            UNION ALL SELECT r.conv_id, r.turn, r.run, r.kind, r.norm, 1, false
+            FROM runs r JOIN pas p USING (conv_id, turn, run) WHERE p.weight > 1 AND r.norm <> '' AND r.kind >= 0),
+        here AS (SELECT conv_id, h, min(turn) AS ft FROM units WHERE kind = 0 GROUP BY ALL),
         anywhere AS (
-            SELECT norm, conv_id AS ac, ft AS at_ FROM (
-                SELECT *, row_number() OVER (PARTITION BY norm ORDER BY conv_id, ft) AS n FROM here) WHERE n = 1),
-        v AS (
-            SELECT q.conv_id, q.turn, level,
-                   CASE WHEN h.ft < q.turn THEN q.conv_id WHEN ac < q.conv_id OR (ac = q.conv_id AND at_ < q.turn) THEN ac END AS pc,
-                   CASE WHEN h.ft < q.turn THEN h.ft WHEN ac < q.conv_id OR (ac = q.conv_id AND at_ < q.turn) THEN at_ END AS pt
-            FROM q LEFT JOIN here h ON h.conv_id = q.conv_id AND h.norm = q.norm LEFT JOIN anywhere a ON a.norm = q.norm
-            WHERE level > 0 AND q.norm <> ''),
+            SELECT h, conv_id AS ac, ft AS at_ FROM (
+                SELECT *, row_number() OVER (PARTITION BY h ORDER BY conv_id, ft) AS n FROM here) WHERE n = 1),
+        v0 AS (
+            SELECT u.conv_id, u.turn, u.run, u.kind AS level, weight, whole,
+                   CASE WHEN h.ft < u.turn THEN u.conv_id WHEN ac < u.conv_id OR (ac = u.conv_id AND at_ < u.turn) THEN ac END AS pc,
+                   CASE WHEN h.ft < u.turn THEN h.ft WHEN ac < u.conv_id OR (ac = u.conv_id AND at_ < u.turn) THEN at_ END AS pt
+            FROM units u LEFT JOIN here h ON h.conv_id = u.conv_id AND h.h = u.h LEFT JOIN anywhere a ON a.h = u.h
+            WHERE u.kind > 0),
+        v AS (SELECT *, bool_or(whole) OVER (PARTITION BY conv_id, turn, run) AS settled FROM v0 WHERE pc IS NOT NULL),
         b AS (
             SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, (pc = conv_id) DESC, pc DESC, pt DESC) AS r
-            FROM (SELECT conv_id, turn, level, pc, pt, count(*) AS n FROM v WHERE pc IS NOT NULL GROUP BY ALL)),
+            FROM (SELECT conv_id, turn, level, pc, pt, sum(weight) AS n FROM v WHERE whole OR NOT settled GROUP BY ALL)),
         prev AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS pv FROM conversations),
         par AS (
             SELECT x.conv_id, x.turn, coalesce(b.pc, CASE WHEN pv IS NOT NULL THEN x.conv_id END) AS pc, coalesce(b.pt, pv) AS pt
@@ -202,9 +224,18 @@ ORACLE_SQL: dict[str, str] = {
         o AS (
             SELECT q.conv_id, q.turn, CAST(max(q.level) AS BIGINT) AS quote_levels, count(*) FILTER (q.level > 0) AS n_quoted,
                    trim(coalesce(string_agg(q.body, chr(10) ORDER BY q.i) FILTER (NOT (q.level > 0 OR (q.below > 0 AND q.norm LIKE '%:'))), ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS own_text
-            FROM q GROUP BY ALL)
-        SELECT t.conv_id, t.turn, c.role, t.pc AS parent_conv, t.pt AS parent_turn, t.tc AS thread_conv, t.tt AS thread_turn, t.depth,
-               row_number() OVER (PARTITION BY t.tc, t.tt ORDER BY t.depth, t.conv_id, t.turn) - 1 AS place,
-               quote_levels, n_quoted, sha256(own_text) AS own_sha256
-        FROM tree t JOIN o USING (conv_id, turn) JOIN conversations c USING (conv_id, turn)""",
+            FROM q GROUP BY ALL),
+        m AS (
+            SELECT t.conv_id, t.turn, c.role, t.pc AS parent_conv, t.pt AS parent_turn, t.tc AS thread_conv, t.tt AS thread_turn, t.depth,
+                   row_number() OVER (PARTITION BY t.tc, t.tt ORDER BY t.depth, t.conv_id, t.turn) - 1 AS place,
+                   quote_levels, n_quoted, own_text
+            FROM tree t JOIN o USING (conv_id, turn) JOIN conversations c USING (conv_id, turn)),
+        s AS (SELECT *, place // 200 AS part FROM m),
+        w AS (
+            SELECT thread_conv, thread_turn, part, count(*) AS part_size,
+                   sha256(string_agg(coalesce(role, '') || ':' || own_text, chr(10) ORDER BY place)) AS part_sha256
+            FROM s GROUP BY ALL)
+        SELECT conv_id, turn, role, parent_conv, parent_turn, thread_conv, thread_turn, depth, place, quote_levels, n_quoted,
+               sha256(own_text) AS own_sha256, part, part_size, part_sha256
+        FROM s JOIN w USING (thread_conv, thread_turn, part)""",
 }

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe, exact_dedup, graph, line_dedup, mixing, quality_classifier, quality_rules, quotation, sharding, simhash, substring_dedup
+from eventide.llm import bpe, common, exact_dedup, graph, line_dedup, mixing, quality_classifier, quality_rules, quotation, sharding, simhash, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, shard string"
@@ -98,6 +98,23 @@ def test_substrings_of_odd_rows(odd, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_equal_rows_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FLUSH_BYTES", 20_000)  # the same row is sent many times
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, text)] + [(None, text)] * 10_000 + [(None, text + " tail")] * 2 + [(7, "x " + text), (7, "quite another text of the same id")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(1, 400, 0, 1), (None, 400, 400, 10_000), (None, 401, 400, 2), (7, 401, 400, 1), (7, 7, 0, 1)}
+
+
+def test_frequent_minimisers_are_split(spark, docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", 1)
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0.01)
+    named = substring_dedup._named(docs, "text")
+    assert len(substring_dedup._frequent(named, 100, 50, 13, 3)) > 10
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == brute_substrings(fixture_docs(), 13)
+
+
 def test_hash_collisions_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring_dedup._Bytes, "hash", lambda self, a, b: np.zeros(len(a), np.uint64))
     occ = lambda d: np.array([(d, 0, 0)], substring_dedup._OCC).tobytes()
@@ -162,11 +179,16 @@ def test_dense_groups_are_chunked(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 8)
     rng = random.Random(1)
     prints = {i: (0xABCDEF0123456789 ^ sum(1 << b for b in rng.sample(range(64), 5))) for i in range(120)}
-    rows = [(f - (1 << 64) if f >> 63 else f, i) for i, f in prints.items()]
-    edges = simhash.links(spark.createDataFrame(rows, "fp bigint, node bigint").dropDuplicates(["fp"]), 4, 7)
+    signed = {i: f - (1 << 64) if f >> 63 else f for i, f in prints.items()}
+    edges = simhash.links(spark.createDataFrame([(f,) for f in set(signed.values())], "fp bigint"), 4, 7)
     labels = {r["u"]: r["v"] for r in graph.components(edges).collect()}
-    kept = {r[1] for r in rows}
-    assert {i: labels.get(i, i) for i in kept} == brute_components(prints, 4)
+    groups = defaultdict(set)
+    for i, f in signed.items():
+        groups[labels.get(f, f)].add(i)
+    want = defaultdict(set)
+    for i, top in brute_components(prints, 4).items():
+        want[top].add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
 def test_simhash_of_odd_rows(odd, empty):
@@ -177,6 +199,33 @@ def test_simhash_of_odd_rows(odd, empty):
     assert simhash.keep_one(odd).columns == odd.columns
 
 
+LOST = [(1, "alpha beta"), (None, "alphabeta"), (None, "a unique text nobody else has"), (None, "another unique"), (5, "alphabetax"), (6, "alpha betax"), (5, "unique five"), (7, "same"), (7, "same"), (7, "sa me"), (None, "null twice"), (None, "null twice"), (None, None), (8, " ")]
+
+
+def test_no_row_is_lost_for_its_id(spark):
+    """Null and repeated ids: one row of each group stays, whatever shares its id."""
+    d = spark.createDataFrame([(*r, k) for k, r in enumerate(LOST)], "doc_id bigint, text string, _raw int").repartition(3)
+    texts = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in exact_dedup.drop_copies(d).collect())
+    assert texts == sorted([(False, 1, "alpha beta"), (True, 0, "a unique text nobody else has"), (True, 0, "another unique"), (False, 6, "alpha betax"), (False, 5, "unique five"), (False, 7, "sa me"), (True, 0, "null twice"), (False, 8, " ")])
+    prints = defaultdict(list)
+    for i, t in LOST:
+        prints[brute_fingerprint(t)].append((i is None, i or 0, hashlib.md5((t or "").encode()).digest(), t))
+    named = dict(enumerate(sorted(prints)))
+    tops = defaultdict(list)
+    for k, top in brute_components(named, 4).items():
+        tops[top] += prints[named[k]]
+    want = Counter((None if void else i, t) for void, i, _, t in map(min, tops.values()))
+    assert Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(d).collect()) == want
+
+
+def test_hot_rows_are_counted(spark):
+    d = spark.createDataFrame([(1, "hot row")] * 25_003 + [(2, "b"), (None, None), (None, None)], "doc_id bigint, text string").repartition(4)
+    got = Counter(tuple(r) for r in common.numbered(d).collect())
+    assert got == Counter([(1, "hot row", k) for k in range(25_003)] + [(2, "b", 0), (None, None, 0), (None, None, 1)])
+    assert exact_dedup.drop_copies(d).count() == 3
+    assert sorted(r["text"] for r in simhash.keep_one(d.where("text is not null")).collect()) == ["b", "hot row"]
+
+
 def test_components_of_long_paths(spark):
     n = 200
     order = random.Random(2).sample(range(n), n)
@@ -206,6 +255,30 @@ def test_classifier_without_labels(odd, empty, spark):
     assert quality_classifier.keep(odd, one).columns == odd.columns
 
 
+def test_scores_against_plain_python(spark, odd):
+    """The compiled column against rules that plain Python reads."""
+    d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.train(d, labels)
+    assert model.rules
+    for df in (d, odd):
+        for r in df.select("doc_id", "text").join(quality_classifier.classify(df, labels), "doc_id").collect() if df is d else []:
+            x = quality_classifier.statistics(r["text"])
+            z = model.intercept + sum(w for rule, w in zip(model.rules, model.weights, strict=True) if all((x[f] <= t) == below for f, below, t in rule))
+            assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+    got = quality_classifier.features(odd.select("text")).select(model.score().alias("score")).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_classifier_with_odd_labels(spark, docs):
+    """Repeated and null labels, a labelled id that stands in many rows."""
+    rows = [(r[0], int(len(r[1] or "") > 200), 0) for r in fixture_docs()]
+    labels = spark.createDataFrame(rows + rows[:5] + [(None, 1, 0), (3, None, None), (10**9, 1, 1)], "doc_id bigint, quality int, toxic int")
+    many = docs.unionByName(docs.where("doc_id = 36").crossJoin(spark.range(300)).drop("id"))
+    got = quality_classifier.classify(many, labels).collect()
+    assert len(got) == many.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == 36}) == 1
+
+
 def test_tree_paths():
     tree = "header\n  If (feature 0 <= 1.5)\n   If (feature 2 <= 0.1)\n    Predict: 1.0\n   Else (feature 2 > 0.1)\n    Predict: 0.0\n  Else (feature 0 > 1.5)\n   Predict: 0.0\n"
     assert quality_classifier.paths(tree) == {((0, True, 1.5),), ((0, False, 1.5),), ((0, True, 1.5), (2, True, 0.1)), ((0, True, 1.5), (2, False, 0.1))}
@@ -225,26 +298,44 @@ def brute_chats(rows):
             out.append((m[1].count(">") if m else 0, body, " ".join(words(body)).translate({c: c + 32 for c in range(65, 91)})))
         return out
 
+    def passages(lines):
+        """Runs of lines of one kind, broken by blank lines: (level, lines); attributions are no kind."""
+        out, last = [], None
+        for k, (level, _, normal) in enumerate(lines):
+            if not level and k + 1 < len(lines) and lines[k + 1][0] and normal.endswith(":"):
+                level = None
+            if level is not None and normal:
+                if level != last:
+                    out.append((level, []))
+                out[-1][1].append(normal)
+            last = level if normal else None
+        return out
+
     parsed = {(c, t): parse(x) for c, t, _, x in rows}
     own = {n: [x for k, x in enumerate(p) if x[0] == 0 and not (k + 1 < len(p) and p[k + 1][0] and x[2].endswith(":"))] for n, p in parsed.items()}
     first_here, first = {}, {}
-    for (c, t), lines in sorted(own.items()):
-        for _, _, normal in lines:
-            if normal:
-                first_here.setdefault((c, normal), t)
-                first.setdefault(normal, (c, t))
+    for (c, t), lines in sorted(parsed.items()):
+        for level, body in passages(lines):
+            for unit in {"\n".join(body), *body} if level == 0 else ():
+                first_here.setdefault((c, unit), t)
+                first.setdefault(unit, (c, t))
     parent = {}
     for n in sorted(parsed):
         votes = Counter()
-        for level, _, normal in parsed[n]:
-            if level and normal:
-                of = None
-                if first_here.get((n[0], normal), n[1]) < n[1]:
-                    of = (n[0], first_here[n[0], normal])
-                elif normal in first and first[normal] < n:
-                    of = first[normal]
-                if of:
-                    votes[level, of] += 1
+
+        def known(unit, n=n):
+            if first_here.get((n[0], unit), n[1]) < n[1]:
+                return (n[0], first_here[n[0], unit])
+            return first[unit] if unit in first and first[unit] < n else None
+
+        for level, body in passages(parsed[n]):
+            if level:
+                if of := known("\n".join(body)):
+                    votes[level, of] += len(body)
+                else:
+                    for x in body:
+                        if of := known(x):
+                            votes[level, of] += 1
         previous = max((m for m in parsed if m[0] == n[0] and m < n), default=None)
         parent[n] = max(votes, key=lambda v: (-v[0], votes[v], v[1][0] == n[0], v[1]))[1] if votes else previous
     out = {}
@@ -267,6 +358,10 @@ CHATS = [
     (3, 5, "system", "Thanks"),
     (3, 7, "user", "> Thanks\n> \n>> It depends.\nok"),
     (4, 1, "user", "> only a quote"),
+    (5, 1, "user", "Thanks\nfor the\nlong answer\n\nBye"),
+    (5, 2, "assistant", "for the"),
+    (5, 3, "user", "> Thanks\n> for  the\n> long ANSWER\nindeed"),
+    (5, 4, "user", "> for the\n> unknown line\n> Bye\n>> Thanks\n ok"),
 ]
 
 
@@ -277,8 +372,30 @@ def test_quotation(spark):
     got = {(r["conv_id"], r["turn"]): ((r["parent_conv"], r["parent_turn"]) if r["parent_conv"] is not None else None, (r["thread_conv"], r["thread_turn"]), r["depth"], r["own_text"]) for r in out.collect()}
     assert got == want
     assert got[1, 3][0] == (1, 2) and got[2, 0][0] == (1, 1) and got[1, 2][3] == "I ask again"
-    threads = quotation.conversations(out).collect()
+    assert got[5, 3][0] == (5, 1)  # the whole passage, not its first line's oldest original
+    threads = quotation.conversations(quotation.parts(out)).collect()
     assert sum(len(t["messages"]) for t in threads) == len(CHATS)
+    whole = {(t["thread_conv"], t["thread_turn"]): [m["text"] for m in t["messages"]] for t in threads}
+    for top, texts in whole.items():
+        members = sorted((want[n][2], n) for n in want if want[n][1] == top)
+        assert texts == [want[n][3] for _, n in members]
+
+
+def test_quote_marks_without_end(spark):
+    rows = [(1, 0, "user", "long line"), (1, 1, "user", ">" * 1_000_000 + " long line\n" + "> " * 50_000 + "x\nok"), (2, 0, "user", "a\n" * 100_000 + "end")]
+    got = {(r["conv_id"], r["turn"]): r for r in quotation.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert got[1, 1]["quote_levels"] == 1_000_000 and got[1, 1]["own_text"] == "ok" and got[1, 1]["parent_turn"] == 0
+    assert len(got[2, 0]["own_text"]) == 200_003
+
+
+def test_conversations_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(quotation, "PART", 3)
+    rows = [(1, t, "user", f"line {t}") for t in range(8)] + [(1, 2, "user", "line 2 again")] * 5 + [(None, 1, None, "alone"), (2, None, "user", None)]
+    out = quotation.parts(quotation.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")))
+    got = quotation.conversations(out).collect()
+    assert max(len(r["messages"]) for r in got) == 3 and sum(len(r["messages"]) for r in got) == len(rows)
+    long = sorted((r["part"], [m["text"] for m in r["messages"]]) for r in got if r["part"] is not None)
+    assert [x for _, m in long for x in m] == ["line 0", "line 1", "line 2", *["line 2 again"] * 5, *[f"line {t}" for t in range(3, 8)]]
 
 
 def test_quotation_of_odd_rows(spark):
@@ -298,11 +415,12 @@ def test_long_threads(spark):
 # 5
 
 
-def brute_copies(doc_id, mean):
+def brute_copies(doc_id, text, mean, k=0):
     draws = max(1, math.ceil(mean / 16))
     n = 0
+    name = f"{'null' if doc_id is None else doc_id}:{hashlib.md5((text or '').encode()).hexdigest()}:{k}"
     for j in range(draws):
-        u = (int(hashlib.md5(f"{mixing.SEED}:{doc_id}:{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        u = (int(hashlib.md5(f"{mixing.SEED}:{name}:{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         p = c = math.exp(-mean / draws)
         k = 0
         while c <= min(u, 1 - 1e-14) and k < 128:
@@ -318,7 +436,7 @@ def test_mixing(docs, aim):
     rows = fixture_docs()
     n = Counter(r[3] for r in rows)
     total = sum(math.sqrt(x) for x in n.values())
-    want = {r[0]: brute_copies(r[0], (aim or len(rows)) * math.sqrt(n[r[3]]) / total / n[r[3]]) for r in rows}
+    want = {r[0]: brute_copies(r[0], r[1], (aim or len(rows)) * math.sqrt(n[r[3]]) / total / n[r[3]]) for r in rows}
     got = mixing.mix(docs, rows=aim).collect()
     assert Counter(r["doc_id"] for r in got) == {i: c for i, c in want.items() if c}
     assert len({(r["doc_id"], r["copy"]) for r in got}) == len(got)
@@ -331,6 +449,18 @@ def test_mixing_to_weights(spark, odd, empty):
     assert abs(got["rare"] - 15_000) < 600 and abs(got["often"] - 5_000) < 350
     assert mixing.mix(empty).count() == 0
     assert mixing.mix(odd.withColumn("copy", F.lit("c"))).select("text").columns == ["text"]
+    for bad in ([("rare", 1.0), ("rare", 2.0)], [("rare", -1.0)], [("rare", float("nan"))], [("rare", None)]):
+        with pytest.raises(ValueError):
+            mixing.mix(d, weights=spark.createDataFrame(bad, "source string, weight double"))
+
+
+def test_mixing_of_rows_without_ids(spark):
+    """Null ids and equal rows draw each for itself and have keys of their own."""
+    rows = [(None, "same", "s")] * 300 + [(None, f"t{i}", "s") for i in range(300)] + [(5, f"u{i}", "s") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)).collect()
+    assert len({r["shuffle_key"] for r in got}) == len(got)
+    want = Counter({("same"): sum(brute_copies(None, "same", 1.0, k) for k in range(300))} | {f"t{i}": brute_copies(None, f"t{i}", 1.0) for i in range(300)} | {f"u{i}": brute_copies(5, f"u{i}", 1.0) for i in range(300)})
+    assert Counter(r["text"] for r in got) == +want
 
 
 # 6
@@ -354,10 +484,54 @@ def test_sharding(spark, n):
         assert abs(np.corrcoef(range(n), [place[i] for i in range(n)])[0, 1]) < 0.15
 
 
+def test_one_order_for_a_seed(spark, odd, monkeypatch):
+    """Neither the session's partitions nor those of the input move a row; whole records move."""
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    d = spark.createDataFrame([(i, f"text {i}", f"s{i % 3}") for i in range(2000)] + [(3, "equal rows", "s")] * 500, "doc_id bigint, text string, source string")
+    orders = []
+    for n, parts in ((4, 3), (7, 11)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        orders.append(sorted((r["shard"], r["slot"], r["doc_id"], r["text"], r["source"]) for r in sharding.assign(d.repartition(parts)).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert orders[0] == orders[1]
+    assert Counter(x[2:] for x in orders[0]) == Counter(tuple(r) for r in d.collect())
+    sizes = Counter(x[0] for x in orders[0])
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    monkeypatch.setattr(sharding, "FANOUT", 7)  # 50 buckets in 8 groups
+    got = sharding.assign(d).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == Counter(tuple(r) for r in d.collect())
+    assert sorted(r["slot"] * 40 + r["shard"] for r in got) == list(range(2500))
+    rows = sharding.assign(odd).collect()
+    assert Counter(r["text"] for r in rows) == Counter(r["text"] for r in odd.collect())
+
+
+def test_equal_rows_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 100)
+    d = spark.createDataFrame([(1, "hot")] * 5000 + [(2, "b")], "doc_id bigint, text string")
+    (rows, _), = sharding.shuffled(d, F.lit(1))
+    held = [r["count"] for r in rows.groupBy("bucket").count().collect()]
+    assert sum(held) == 5001 and max(held) < 200
+
+
+def test_the_query_of_sharding(spark):
+    from eventide.llm import queries
+
+    got = {r["doc_id"]: r for r in queries.op6_sharding(spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        raw = (r["text"] or "").encode()
+        g = got[r["doc_id"]]
+        assert (g["size"], g["text_crc32"], g["law"], g["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+    place = sorted(g["slot"] * 40 + g["shard"] for g in got.values())
+    assert place == list(range(len(rows)))
+
+
 def test_shards_are_written(odd, tmp_path, spark):
-    sharding.write_shards(odd.drop("shard"), str(tmp_path / "out"), shards=3)
+    sharding.write_shards(odd.drop("shard"), str(tmp_path / "out"), shards=3, file_rows=2)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert Counter(r["text"] for r in back.collect()) == Counter(r["text"] for r in odd.collect())
+    assert back.groupBy("shard", "part").count().agg(F.max("count")).first()[0] <= 2
 
 
 # 7
@@ -425,10 +599,26 @@ def test_index_grows_by_batches(spark, docs):
         index.insert(part, exact_dedup.signatures(part).select("key"))
     assert index.directory.depth >= 3
     whole = sorted(map(tuple, exact_dedup.exact_groups(docs).collect()))
-    assert sorted(map(tuple, index.lookup(exact_dedup.signatures(docs)).collect())) == whole
+    look = lambda x: sorted(map(tuple, x.lookup(exact_dedup.signatures(docs)).drop("raw", "best_n").collect()))
+    assert look(index) == whole
+    assert look(exact_dedup.ExtendibleIndex.open(spark, index.path, 2)) == whole
     assert index.entries().groupBy("bucket").count().agg(F.max("count")).first()[0] <= 3
 
 
+def test_inserts_touch_changed_buckets_only(spark):
+    d = spark.createDataFrame([(i, f"text number {i}") for i in range(400)], "doc_id bigint, text string")
+    index = exact_dedup.ExtendibleIndex(spark, bucket_rows=10)
+    index.insert(d, exact_dedup.signatures(d).select("key"))
+    one = spark.createDataFrame([(900, "text number 7"), (3, "text number 7 7")], "doc_id bigint, text string")
+    index.insert(one, exact_dedup.signatures(one).select("key"))
+    live = Counter(index.directory.buckets.values())
+    assert live[2] <= 4 and live[1] >= 30
+    assert spark.read.parquet(f"{index.path}/v2").count() <= 40
+    both = d.unionByName(one)
+    got = sorted(map(tuple, index.lookup(exact_dedup.signatures(both)).drop("raw", "best_n").collect()))
+    assert got == sorted(map(tuple, exact_dedup.exact_groups(both).collect()))
+
+
 def test_exact_dedup_of_odd_rows(odd, empty):
     assert exact_dedup.exact_groups(odd).count() == odd.count()
     assert exact_dedup.exact_groups(empty).count() == 0
@@ -437,7 +627,7 @@ def test_exact_dedup_of_odd_rows(odd, empty):
 
 def test_directory_splits():
     d = exact_dedup.Directory()
-    d.split({0: 10, 1: 1, 5: 2}, 4, 3)
+    d.split(np.array([10, 1, 0, 0, 0, 2, 0, 0]), 4)
     assert (3, 0) in d.buckets and d.depth == 3
     slots = dict(d.slots())
     assert sorted(slots) == list(range(8)) and slots[4] == slots[7] == slots[5]
@@ -466,6 +656,38 @@ def test_quality_rules(docs, odd, empty):
     assert quality_rules.keep(odd).columns == odd.columns
 
 
+def brute_verdict(t):
+    w, lines = words(t), [x for x in (t or "").split("\n") if words(x)]
+    n_words, chars, symbols, dup, _, failed = brute_stats(t)
+    of = lambda good: sum(c in good for c in t or "")
+    bad = [len(set(w)) * 50 < n_words, symbols * 5 > n_words, of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 5 > chars * 2, of("!") * 5 > n_words, dup * 2 > len(lines), chars < n_words * 2 or chars > n_words * 20, of("0123456789") * 2 > chars]
+    return not failed and not any(bad)
+
+
+def test_quality_verdicts(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r["doc_id"]: brute_verdict(r["text"]) for r in rows.collect()}
+    assert {r["doc_id"]: r["kept"] for r in quality_rules.judge(rows).collect()} == want and len(set(want.values())) == 2
+    assert {r["doc_id"] for r in quality_rules.keep(rows).collect()} == {i for i, k in want.items() if k}
+
+
+def test_quality_rules_of_rows_without_ids(spark):
+    """A short row without an id doesn't take others with it."""
+    good = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(None, good), (None, "short"), (4, good + " more"), (4, "short too"), (4, good + " more")]
+    kept = quality_rules.keep(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter(tuple(r) for r in kept) == Counter([(None, good), (4, good + " more"), (4, good + " more")])
+
+
+def test_costs_of_rules_are_measured(docs):
+    slow = quality_rules.Rule("slow", lambda: F.length(F.sha2(F.repeat("_t", 50), 512)) < 0)
+    fast = quality_rules.Rule("fast", lambda: F.col("n_words") > 60)
+    got = quality_rules.measure(quality_rules.base(docs), (slow, fast))
+    n = quality_rules.base(docs).agg(F.avg((F.col("n_words") > 60).cast("int"))).first()[0]
+    assert got["slow"][0] > 3 * got["fast"][0] and abs(got["fast"][1] - n) < 1e-9 and got["slow"][1] == 0
+    assert [r.name for r in quality_rules.ranked(got, (slow, fast))] == ["fast", "slow"]
+
+
 def test_cascade_order_moves_cost_only(docs):
     measured = {r.name: (1.0 + k, 0.1 * (k % 3)) for k, r in enumerate(quality_rules.RULES)}
     order = quality_rules.ranked(measured)
@@ -511,6 +733,17 @@ def test_lines_are_reversible(spark, docs):
     assert alone == {i: x[2] for i, x in brute_lines([r for r in rows if r[0] % 2 == 0], 4).items()}
 
 
+def test_shards_follow_the_keys(spark, docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    index = line_dedup.LineIndex(spark, shards=1, threshold=2).insert(docs.where("doc_id % 3 = 0"))
+    few = index.shards
+    index.insert(docs.where("doc_id % 3 <> 0"))
+    assert index.shards > few >= 1
+    rows = fixture_docs()
+    got = {r["doc_id"]: r["kept"] for r in line_dedup.drop_lines(docs, index).collect()}
+    assert got == {i: x[2] for i, x in brute_lines(rows, 2).items()}
+
+
 def test_lines_of_odd_rows(odd, empty):
     assert line_dedup.dedup_lines(odd, threshold=2).count() == odd.count()
     assert line_dedup.dedup_lines(empty).count() == 0
@@ -519,7 +752,7 @@ def test_lines_of_odd_rows(odd, empty):
 def test_cuckoo_filter():
     h = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 3000)
     f = line_dedup.CuckooFilter.build(h)
-    assert f.contains(h).all()
+    assert f.contains(h).all() and (f.cells != 0).sum() == len(h)
     f.remove(h[:1000])
     assert f.contains(h[1000:]).all() and f.contains(h[:1000]).mean() < 0.02
     assert line_dedup.CuckooFilter.of(f.tobytes()).contains(h[1000:]).all()
@@ -544,7 +777,7 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in near} == set(brute_components(prints, 4).values())
     n = Counter(r["source"] for r in near)
     total = sum(math.sqrt(x) for x in n.values())
-    want = {r["doc_id"]: brute_copies(r["doc_id"], len(near) * math.sqrt(n[r["source"]]) / total / n[r["source"]]) for r in near}
+    want = {r["doc_id"]: brute_copies(r["doc_id"], r["text"], len(near) * math.sqrt(n[r["source"]]) / total / n[r["source"]]) for r in near}
     assert Counter(r["doc_id"] for r in mixed) == {i: c for i, c in want.items() if c}
     assert Counter(r["doc_id"] for r in tokens) == Counter(r["doc_id"] for r in mixed)
 
