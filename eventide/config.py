@@ -29,6 +29,25 @@ RELATIVE_TIMES = ("今天", "昨天", "昨日", "今日", "明天", "前天", "
 TECHNICAL_REVIEWS = ("technical_error",)
 COMPARABLE_ENTITY_SUFFIXES = ("公司", "大学", "医院", "法院")
 
+# What a title states that two titles can disagree on.
+DATE_PATTERN = r"(20\d{2})[-年/](\d{1,2})[-月/](\d{1,2})"
+MODEL_PATTERN = r"(?<![A-Za-z0-9])([A-Za-z]+-?\d+[A-Za-z]*)(?![A-Za-z0-9])"
+MODEL_YEAR_PATTERN = r"(20\d{2})款"
+EPISODE_PATTERN = r"第\s*(\d+)\s*[话期集章]"
+PLACE_PATTERN = r"(?:^|[，,：:。；;]|位于|来自)([\x{4e00}-\x{9fff}]{2,5}?)(?:全市|市|省)"
+NOT_PLACES = ("上市", "进入", "提醒", "宣布", "发布", "获批", "全国")
+BRIDGE_PATTERN = r"(?:^|市)([\x{4e00}-\x{9fff}]{2,8}?大桥)"
+TITLE_ACTIONS = {"recall": ("召回",), "release": ("发布", "亮相"), "cancel": ("取消", "不再安排"), "add": ("新开设", "新增", "增设")}
+TITLE_HAZARDS = {"rain": ("暴雨", "强降雨"), "heat": ("高温", "酷暑"), "earthquake": ("地震",), "typhoon": ("台风",), "snow": ("暴雪",)}
+
+# Flags under which two scores don't compare.
+SCORE_INVALID_FLAGS = ("incomparable_scores", "freshness_only_change", "sampling_changed", "score_config_changed")
+
+# Where a news page's text stands, and how lines begin that aren't part of it.
+ARTICLE_CONTAINERS = ("left_zw", "leftzw", "rm_txt_con", "article-content", "article_content", "articlecontent", "content_area", "main-aticle", "xlcontent", "main-content", "rich_media_content", "article-body", "articlebody", "detail")
+ARTICLE_NOISE = r"^(?:责任编辑|相关阅读|推荐阅读|版权声明|扫码|分享到|广告|返回顶部|总监制|监制[丨：:]|主编[丨：:]|编辑[丨：:&]|制图[丨：:]|策划[丨：:])"
+SENTENCE_FACTS = r"\d|发生|发布|通报|宣布|救援|调查|发运|获悉|启动"
+
 # Orders of the sort key, lower first.
 SUPPORT_RANK = {"supported": 0, "weak_supported": 1, "not_found": 2, "not_checked": 3}
 MATCH_RANK = {"natural_topn_overlap": 0, "search_supported": 1, "weak_search_supported": 2, "single_platform_only": 3, "official_only": 4, "none": 5, "unknown": 6}

@@ -129,10 +129,26 @@ def occurrence_problem(c: Column) -> Column:
     stated), ``llm_occurrence_timezone_missing`` for a date or time without one, else
     ``llm_invalid_occurrence_time``."""
     full = c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$") & F.try_to_timestamp(F.regexp_replace(c, r"T(\d\d:\d\d)([Z+-])", "T$1:00$2")).isNotNull()
-    bare = c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?)?$") & F.try_to_timestamp(F.substring(c, 1, 10)).isNotNull()
+    weekly = iso_week_day(c).isNotNull()
+    bare = weekly | c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?)?$") & F.try_to_timestamp(F.substring(c, 1, 10)).isNotNull()
     return F.when(c.isNull() | full, None).when(bare, "llm_occurrence_timezone_missing").otherwise("llm_invalid_occurrence_time")
 
 
+def report_date(c: Column) -> Column:
+    """The day of a report in UTC+8."""
+    return F.to_date(F.from_utc_timestamp(c, "Asia/Shanghai"))
+
+
+def iso_week_day(c: Column) -> Column:
+    """The date of a week date such as 2026-W36-2 or 2026W362; null if there is no such day."""
+    part = lambda g: F.regexp_extract(c, r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?$", g)
+    year, week, day = part(1).try_cast("int"), part(2).try_cast("int"), F.coalesce(F.nullif(part(3), F.lit("")).try_cast("int"), F.lit(1))
+    fourth = F.make_date(F.when(year > 0, year), F.lit(1), F.lit(4))  # always in week 1
+    monday = F.date_sub(fourth, F.weekday(fourth))
+    at = F.date_add(monday, (week - 1) * 7 + day - 1)
+    return F.when((week >= 1) & (F.weekofyear(at) == week), at)
+
+
 def reference_date(title: Column, body: Column, fetched: Column, words: tuple[str, ...] = RELATIVE_TIMES) -> Column:
     """The local date (UTC+8) that relative words such as "yesterday" count from; null if the text
     has none or wasn't fetched at a known time."""

@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import ACTIONS, ENTITY_MARKERS, EVENT_TYPES, GENERIC_KEYWORDS, QUESTION_SHELLS, TEMPLATE_PHRASES
+from ..config import (
+    ACTIONS,
+    BRIDGE_PATTERN,
+    DATE_PATTERN,
+    ENTITY_MARKERS,
+    EPISODE_PATTERN,
+    EVENT_TYPES,
+    GENERIC_KEYWORDS,
+    MODEL_PATTERN,
+    MODEL_YEAR_PATTERN,
+    NOT_PLACES,
+    PLACE_PATTERN,
+    QUESTION_SHELLS,
+    TEMPLATE_PHRASES,
+    TITLE_ACTIONS,
+    TITLE_HAZARDS,
+)
 
 CJK = r"\x{4e00}-\x{9fff}"
 _NONE = "array<string>"
+_LINK = r"(?i)https?://\S+|www\.\S+"
 
 
 def empty() -> Column:
     return F.array().cast(_NONE)
 
 
+def unescape_html(c: Column) -> Column:
+    """Every named and numeric character reference as its character. Only texts with an ampersand
+    go through Python, in Arrow batches; the names are those of Python's own table."""
+
+    @F.pandas_udf("string")
+    def mend(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: html.unescape(t) if t is not None else None)
+
+    return F.coalesce(mend(F.when(F.contains(c, F.lit("&")), c)), c)
+
+
 def strip_html(c: Column) -> Column:
-    """Tags become spaces; the common named and all numeric-free entities are unescaped first."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return F.replace(F.regexp_replace(c, "<[^>]+>", " "), F.lit(" "), F.lit(" "))
+    """Character references become characters, then tags become spaces."""
+    return F.replace(F.regexp_replace(unescape_html(c), "<[^>]+>", " "), F.lit("\u00a0"), F.lit(" "))
 
 
 def clean_title(c: Column) -> Column:
@@ -30,7 +58,7 @@ def clean_title(c: Column) -> Column:
 
 def clean_body(c: Column) -> Column:
     """No links, no template phrases, single spaces in a line, two line feeds in a row at most."""
-    c = F.regexp_replace(strip_html(c), r"https?://\S+", "")
+    c = F.regexp_replace(strip_html(c), _LINK, "")
     for phrase in TEMPLATE_PHRASES:
         c = F.replace(c, F.lit(phrase), F.lit(""))
     lines = F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
@@ -86,7 +114,7 @@ def title_containment(a: Column, b: Column, least: int = 6) -> Column:
 def phrases(c: Column) -> Column:
     """Hashtags, then quoted phrases of 2 to 30 characters, in order, once each."""
     tags = F.regexp_extract_all(c, F.lit(r"#([^#\s]+)#?"), F.lit(1))
-    quotes = F.regexp_extract_all(c, F.lit(r"[《“\"「『]([^《》“”\"「」『』]{2,30})[》”\"」』]"), F.lit(1))
+    quotes = F.regexp_extract_all(c, F.lit(r"[《「『“\"']([^》」』”\"']{2,30})[》」』”\"']"), F.lit(1))
     return F.array_distinct(F.concat(tags, quotes))
 
 
@@ -130,48 +158,79 @@ def keywords(c: Column, generic: Sequence[str] = GENERIC_KEYWORDS, listed: Seque
 
 def strip_question(c: Column) -> Column:
     """Without links, hashtag signs, question shells, and repeated punctuation."""
-    c = F.regexp_replace(F.regexp_replace(c, r"https?://\S+", ""), r"#([^#]+)#", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "|".join(QUESTION_SHELLS), ""), r"([!?！？。，,.])\1+", "$1"))
+    c = F.regexp_replace(F.regexp_replace(c, _LINK, ""), r"#([^#]+)#", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "|".join(QUESTION_SHELLS), ""), r"([!?！？。.,，、])\1+", "$1"))
+
+
+def term_edges(term: Column) -> Column:
+    """A term without the punctuation and white space at its ends."""
+    return F.regexp_replace(term, r"(?U)^[\s\p{Punct}\p{IsPunctuation}]+|[\s\p{Punct}\p{IsPunctuation}]+$", "")
 
 
 def facts(title: Column) -> Column:
     """What a title states that two titles can disagree on, as a struct of arrays."""
-    every = lambda pattern, group=1: F.array_distinct(F.regexp_extract_all(title, F.lit(pattern), F.lit(group)))
-    places = F.concat(every(rf"(?:^|[，。；：、\s])([{CJK}]{{2,5}}?)(?:全市|市|省)"), every(rf"(?:位于|来自)([{CJK}]{{2,5}}?)(?:全市|市|省)"))
-    not_places = r"上$|进入|提醒|宣布|发布|获批|全国"
-    action = F.array_compact(F.array(
-        F.when(title.rlike("召回"), "recall"), F.when(title.rlike("取消|不再安排"), "cancel"), F.when(title.rlike("新开设|新增|增设"), "add"),
-        F.when(title.rlike("发布|亮相") & ~title.rlike("召回|取消|不再安排|新开设|新增|增设"), "release"),
-    ))
-    hazard = F.array_compact(F.array(*[F.when(title.rlike(p), n) for n, p in (("rain", "暴雨"), ("heat", "高温"), ("earthquake", "地震"), ("typhoon", "台风"), ("snow", "暴雪"))]))
+    every = lambda pattern, group=1: F.regexp_extract_all(title, F.lit(pattern), F.lit(group))
+    once = F.array_distinct
+    says = lambda words: title.rlike("|".join(words))
+    parts = F.arrays_zip(*[every(DATE_PATTERN, g).alias(n) for g, n in ((1, "y"), (2, "m"), (3, "d"))])
+    two = lambda x: F.lpad(x, 2, "0")
+    day = lambda p: F.date_format(F.try_to_timestamp(F.concat_ws("-", p["y"], two(p["m"]), two(p["d"])), F.lit("yyyy-MM-dd")), "yyyy-MM-dd")
+    listed = lambda words: F.array_compact(F.array(*[F.when(says(w), F.lit(n)) for n, w in words.items()]))
+    found_actions = listed(TITLE_ACTIONS)
+    # A notice that is released about something else is about that alone.
+    action = F.when(F.size(found_actions) > 1, F.array_remove(found_actions, "release")).otherwise(found_actions)
     return F.struct(
-        every(r"(20\d\d[-年/]\d{1,2}[-月/]\d{1,2})").alias("date"),
-        F.transform(every(r"([A-Za-z]+-?\d+[A-Za-z]*)"), lambda m: F.lower(F.replace(m, F.lit("-"), F.lit("")))).alias("model"),
-        every(r"(20\d\d)款").alias("model_year"),
-        every(r"第\s*(\d+)\s*[话期集章]").alias("episode"),
-        F.filter(places, lambda p: ~p.rlike(not_places)).alias("location"),
-        every(rf"([{CJK}]{{2,8}}大桥)").alias("named_object"),
+        once(F.array_compact(F.transform(parts, day))).alias("explicit_date"),
+        once(F.transform(every(MODEL_PATTERN), lambda m: F.lower(F.replace(m, F.lit("-"), F.lit(""))))).alias("model"),
+        once(every(MODEL_YEAR_PATTERN)).alias("model_year"),
+        once(every(EPISODE_PATTERN)).alias("episode"),
+        once(F.filter(every(PLACE_PATTERN), lambda p: ~p.rlike("|".join(NOT_PLACES)))).alias("location"),
+        once(F.transform(every(BRIDGE_PATTERN), lambda b: F.regexp_replace(b, "^.*市", ""))).alias("named_object"),
         action.alias("action"),
-        hazard.alias("hazard"),
+        listed(TITLE_HAZARDS).alias("hazard"),
     )
 
 
-FACTS = ("date", "model", "model_year", "episode", "location", "named_object", "action", "hazard")
+FACTS = ("explicit_date", "model", "model_year", "episode", "location", "named_object", "action", "hazard")
+
+
+def _fact(a: Column, b: Column, name: str) -> Column:
+    """A fact of ``a`` for a comparison with ``b``: objects lose the places that either names."""
+    if name != "named_object":
+        return a[name]
+    bare = lambda v: F.aggregate(F.concat(a["location"], b["location"]), v, lambda acc, p: F.when(F.startswith(acc, p), F.substring(acc, F.length(p) + 1, F.length(acc))).otherwise(acc))
+    return F.transform(a[name], bare)
 
 
 def conflicts(a: Column, b: Column) -> Column:
     """Names of the facts on which two titles disagree: both state one and share none."""
-    clash = lambda n: F.when((F.size(a[n]) > 0) & (F.size(b[n]) > 0) & ~F.arrays_overlap(a[n], b[n]), f"{n}_conflict")
+    def clash(n: str) -> Column:
+        x, y = _fact(a, b, n), _fact(b, a, n)
+        return F.when((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y), F.lit(f"{n}_conflict"))
+
     return F.array_compact(F.array(*[clash(n) for n in FACTS]))
 
 
-def entity_conflict(a: Column, b: Column, suffixes: Sequence[str]) -> Column:
-    """Both lists have entities with the same suffix and share none of them."""
+def anchors(a: Column, b: Column) -> Column:
+    """What two titles both name that points to one event: a model or an object, as kind:value."""
+    shared = lambda n: F.transform(F.array_sort(F.array_intersect(_fact(a, b, n), _fact(b, a, n))), lambda v: F.concat(F.lit(f"{n}:"), v))
+    return F.concat(shared("model"), shared("named_object"))
+
+
+def entity_conflict(a: Column, b: Column, suffixes: Sequence[str], a_text: Column | None = None, b_text: Column | None = None) -> Column:
+    """Both lists have entities of one kind and share none of them. A kind is a suffix; with the
+    texts given, only entities that stand in their text count, and a Latin name that begins both
+    texts is a kind too."""
+    low = lambda c, text: F.transform(c if text is None else F.filter(c, lambda e: (e != "") & F.contains(F.lower(text), F.lower(e))), F.lower)
+    x, y = low(a, a_text), low(b, b_text)
     ending = lambda c, suffix: F.filter(c, lambda e: F.endswith(e, F.lit(suffix)))
+    kinds = [(ending(x, suffix), ending(y, suffix)) for suffix in suffixes]
+    if a_text is not None and b_text is not None:
+        leads = lambda c, text: F.filter(c, lambda e: e.rlike("^[a-z][a-z0-9-]*$") & F.startswith(F.lower(text), F.concat(e, F.lit(" "))))
+        kinds.append((leads(x, a_text), leads(y, b_text)))
     out = F.lit(False)
-    for suffix in suffixes:
-        x, y = ending(a, suffix), ending(b, suffix)
-        out = out | ((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y))
+    for p, q in kinds:
+        out = out | ((F.size(p) > 0) & (F.size(q) > 0) & ~F.arrays_overlap(p, q))
     return out
 
 

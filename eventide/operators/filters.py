@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import numbers as N
 from ..functions import text as X
+from .ranking import ranked
 
 
 def accepted_signals(signals: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -109,9 +110,40 @@ def candidate_context(events: DataFrame, contexts: DataFrame) -> DataFrame:
     return events.join(c, "event_id", "left").withColumn("context", F.coalesce(text, F.lit(""))).drop("c")
 
 
-def representatives(docs: Column) -> Column:
-    """The first and the last two of an ordered list, once each."""
-    return F.array_distinct(F.concat(F.slice(docs, 1, 1), F.when(F.size(docs) > 1, F.slice(docs, F.greatest(F.lit(2), F.size(docs) - 1), F.lit(2))).otherwise(F.slice(docs, 1, 0))))
+def representatives(docs: Column, n: int = 3) -> Column:
+    """The first and the last ``n - 1`` of an ordered list, once each."""
+    last = F.slice(docs, F.greatest(F.lit(2), F.size(docs) - (n - 2)), F.lit(n - 1))
+    return F.array_distinct(F.concat(F.slice(docs, 1, 1), F.when(F.size(docs) > 1, last).otherwise(F.slice(docs, 1, 0))))
+
+
+def literal_prefix(c: Column, prefix: str) -> Column:
+    """Whether a text begins with a prefix, whose wildcards count as themselves."""
+    return F.coalesce(F.startswith(c, F.lit(prefix)), F.lit(False))
+
+
+def discovery_first(signals: DataFrame) -> DataFrame:
+    """Adds place: discovered topics in their own order (``seq``), then what enriches them."""
+    return ranked(signals.withColumn("_late", (F.col("signal_role") == "search_enrichment").cast("int")), [], [F.asc("_late"), F.asc("seq")]).drop("_late")
+
+
+def merge_maps(left: Column, right: Column) -> Column:
+    """Both maps in one; where they share a key the right one wins."""
+    rest = F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k))
+    return F.coalesce(F.map_concat(rest, right), left, right)
+
+
+def known_entries(m: Column) -> Column:
+    """A map without its null values."""
+    return F.map_filter(m, lambda _, v: v.isNotNull())
+
+
+def validated_rounds(rounds: DataFrame) -> DataFrame:
+    """run_id, source_id, items, invalid, verdict: what a round would have brought, without writing it. An
+    item needs a title and a link or an id; a source without items, or of a failed fetch, doesn't pass."""
+    bad = F.filter("items", lambda i: (F.trim(F.coalesce(i["title"], F.lit(""))) == "") | ((F.trim(F.coalesce(i["url"], F.lit(""))) == "") & (F.trim(F.coalesce(i["external_id"], F.lit(""))) == "")))
+    items, invalid = F.size(F.coalesce("items", F.array())), F.greatest(F.size(bad), F.lit(0))
+    verdict = F.when(F.coalesce("status", F.lit("failed")) != "succeeded", "failed").when(items == 0, "empty").when(invalid > 0, "invalid_items").otherwise("passed")
+    return rounds.select("run_id", "source_id", items.alias("items"), invalid.alias("invalid"), verdict.alias("verdict"))
 
 
 def card_summary(sources: Column) -> Column:

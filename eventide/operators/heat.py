@@ -63,6 +63,31 @@ def aggregate(scores: DataFrame, cfg: HeatConfig = HeatConfig()) -> DataFrame:
     return a.select("event_id", "platform", score.alias("score"), F.when(score.isNull(), "unknown").when(F.col("ok"), "ok").otherwise("partial").alias("status"), F.col("n").alias("members")).withColumns({"bucket": N.score_bucket(F.col("score")), "strength": N.strength(F.col("score"))})
 
 
+#: The names under which a saved item may carry a metric, the first that is there.
+METRIC_ALIASES = {
+    "rank": ("rank", "platform_rank"),
+    "list_position": ("list_position",),
+    "native_heat": ("hot_value",),
+    "votes": ("vote_count", "vote_up_count"),
+    "comments": ("comment_count", "comments_count"),
+    "matched": ("matched_status_count",),
+    "search_total": ("weibo_search_total_number_proxy", "total_number_proxy"),
+    "reposts": ("top_status_repost_count", "reposts_count"),
+    "status_comments": ("top_status_comment_count", "comments_count"),
+    "likes": ("top_status_like_count", "attitudes_count"),
+}
+
+
+def from_raw_metrics(items: DataFrame, raw: str = "raw_metrics") -> DataFrame:
+    """Items with the metrics of their JSON ``raw``, whatever each is called there; the item's own
+    ``rank``, if it has one, comes first."""
+    first = lambda names: F.coalesce(*[F.get_json_object(raw, f"$.{n}").try_cast("double") for n in names])
+    cols = {metric: first(names) for metric, names in METRIC_ALIASES.items()}
+    if "rank" in items.columns:
+        cols["rank"] = F.coalesce(F.col("rank").cast("double"), cols["rank"])
+    return items.withColumns(cols).drop(raw)
+
+
 def answer_metrics(answers: DataFrame) -> DataFrame:
     """Sums over distinct answers: the largest of each metric per link, then the sum."""
     one = answers.groupBy("event_id", "url").agg(F.max("votes").alias("votes"), F.max("comments").alias("comments"))

@@ -8,11 +8,47 @@ from pyspark.sql import functions as F
 from ..config import COMPARABLE_ENTITY_SUFFIXES, MatchConfig
 from ..functions import numbers as N
 from ..functions import text as X
+from ..functions.settle import settled
+from .filters import representatives
+from .retrieve import bm25_top_k
 
 #: Kinds of identity; any one makes a signal and an event the same.
 IDENTITIES = ("signal_ids", "source_ids", "platform_ids", "canonical_ids", "urls")
 
 
+#: Rows of one key that meet each other in one task at most.
+CHUNK = 1_000
+
+
+def _chunks(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Keys with more than ``CHUNK`` rows, and into how many chunks each is cut."""
+    return rows.groupBy(*key).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name)).where(F.col(name) > 1)
+
+
+def pairs_between(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """The equi-join of two tables on ``key``, where a frequent key's rows are dealt to chunks and
+    every two chunks meet in a task of their own: no task sees more than two chunks."""
+    n, m = F.coalesce("_cl", F.lit(1)), F.coalesce("_cr", F.lit(1))
+    sized = lambda df: df.join(_chunks(left, key, "_cl"), key, "left").join(_chunks(right, key, "_cr"), key, "left")
+    mine = lambda df, k: F.pmod(F.xxhash64(*df.columns), k).cast("int")
+    to = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    x = sized(left).withColumn("_i", mine(left, n)).withColumn("_j", to(m)).drop("_cl", "_cr")
+    y = sized(right).withColumn("_j", mine(right, m)).withColumn("_i", to(n)).drop("_cl", "_cr")
+    return x.join(y, [*key, "_i", "_j"]).drop("_i", "_j")
+
+
+def pairs_within(rows: DataFrame, id_col: str, key: str) -> DataFrame:
+    """Distinct pairs a < b of ids that share a key. ``rows``: id and key, one row each; a frequent
+    key is cut into chunks as in ``pairs_between``."""
+    one = rows.select(F.col(id_col).alias("id"), key).distinct()
+    n = F.coalesce("_c", F.lit(1))
+    sized = one.join(_chunks(one, [key], "_c"), key, "left").withColumn("_mine", F.pmod(F.xxhash64("id"), n).cast("int"))
+    a = sized.withColumn("_i", F.col("_mine")).withColumn("_j", F.explode(F.sequence(F.col("_mine"), n - 1))).select(key, "_i", "_j", F.col("id").alias("x"))
+    b = sized.withColumn("_j", F.col("_mine")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_mine")))).select(key, "_i", "_j", F.col("id").alias("y"))
+    met = a.join(b, [key, "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("x") < F.col("y")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def hard_identities(signals: DataFrame, events: DataFrame) -> DataFrame:
     """signal_id, event_id, id_match, url_match: equality of any identity, as one equi-join on
     (kind, key) of exploded keys rather than a join with or."""
@@ -22,7 +58,7 @@ def hard_identities(signals: DataFrame, events: DataFrame) -> DataFrame:
         pairs = F.explode(F.flatten(F.array(*[of(k) for k in IDENTITIES]))).alias("p")
         return df.select(id_col, pairs).select(id_col, "p.kind", "p.key").where("key <> ''").distinct()
 
-    hit = keys(signals, "signal_id").join(keys(events, "event_id"), ["kind", "key"])
+    hit = pairs_between(keys(signals, "signal_id"), keys(events, "event_id"), ["kind", "key"])
     return hit.groupBy("signal_id", "event_id").agg(F.bool_or(F.col("kind") != "urls").alias("id_match"), F.bool_or(F.col("kind") == "urls").alias("url_match"))
 
 
@@ -37,8 +73,8 @@ def pair_features(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFra
     known = F.coalesce(hours <= cfg.window_hours, F.lit(False))
     # What several features read is worked out once a pair.
     shared = {f"_{s}": X.normalize_space(F.col(f"{s}_title")) for s in "ab"} | {f"_f{s}": X.facts(F.col(f"{s}_title")) for s in "ab"} | {"_text": X.normalize_space(F.col("b_text"))}
-    pairs = pairs.withColumns(shared)
-    pairs = pairs.withColumns({f"_g{s}": X.ngrams(F.col(f"_{s}"), 2, 4) for s in "ab"})
+    pairs = settled(pairs, **shared)
+    pairs = settled(pairs, **{f"_g{s}": X.ngrams(F.col(f"_{s}"), 2, 4) for s in "ab"})
     ta, tb = F.col("_a"), F.col("_b")
     p = pairs.withColumns({
         "hard": F.coalesce("id_match", F.lit(False)) | F.coalesce("url_match", F.lit(False)),
@@ -50,7 +86,7 @@ def pair_features(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFra
         "bm25_part": N.saturating(F.col("bm25")),
         "in_window": known,
         "time_conflict": F.coalesce(hours > cfg.window_hours, F.lit(False)),
-        "entity_conflict": X.entity_conflict(F.col("a_entities"), F.col("b_entities"), COMPARABLE_ENTITY_SUFFIXES),
+        "entity_conflict": X.entity_conflict(F.col("a_entities"), F.col("b_entities"), COMPARABLE_ENTITY_SUFFIXES, F.col("a_title"), F.col("b_title")),
         "fact_conflicts": X.conflicts(F.col("_fa"), F.col("_fb")),
     })
     p = p.withColumn("anchored", F.col("containment") | ((F.col("entity") > 0) & (F.col("action") > 0)))
@@ -126,16 +162,36 @@ def judged_policy(judgments: DataFrame) -> DataFrame:
     return n.select("signal_id", F.when((F.col("same") == 1) & (F.col("plausible") == 0), "merge").when((F.col("same") > 0) | (F.col("plausible") > 0), "candidate_review").otherwise("create").alias("decision"))
 
 
-def merge_events(events: DataFrame, merged_into: DataFrame) -> DataFrame:
-    """Events folded into their targets: first and last seen, and the union of their ids."""
-    to = events.join(merged_into, "event_id", "left").withColumn("event_id", F.coalesce("target_id", "event_id")).drop("target_id")
+def merge_events(events: DataFrame, merged_into: DataFrame, documents: int = 3) -> DataFrame:
+    """Events folded into their targets: first and last seen, the union of their ids, and, if they
+    have ``documents`` (an ordered list), at most three of them: the first and the latest."""
+    to = events.join(merged_into, "event_id", "left").withColumn("_from", F.col("event_id")).withColumn("event_id", F.coalesce("target_id", "event_id")).drop("target_id")
     ids = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return to.groupBy("event_id").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), ids("source_ids"), ids("urls"))
+    out = to.groupBy("event_id").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), ids("source_ids"), ids("urls"))
+    if "documents" not in events.columns:
+        return out
+    # Each event keeps its first and its latest before events meet: those are among the target's.
+    kept = representatives(F.array_distinct("documents"), documents)
+    flat = to.select("event_id", F.col("first_seen_at").alias("_at"), "_from", F.posexplode(kept).alias("_k", "document"))
+    folded = flat.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_from", "_k", "document"))).alias("_d"))
+    return out.join(folded.select("event_id", representatives(F.array_distinct(F.transform("_d", lambda d: d["document"])), documents).alias("documents")), "event_id", "left")
 
 
 def unordered_pairs(rows: DataFrame, id_col: str, key: str, judged: DataFrame | None = None) -> DataFrame:
     """a < b for rows that share a key (an array column), each pair once, without judged ones."""
-    k = rows.select(F.col(id_col), F.explode(key).alias("k")).distinct()
-    a, b = k.withColumnRenamed(id_col, "a"), k.withColumnRenamed(id_col, "b")
-    out = a.join(b, "k").where("a < b").select("a", "b").distinct()
+    out = pairs_within(rows.select(F.col(id_col), F.explode(key).alias("k")), id_col, "k")
     return out.join(judged.select("a", "b"), ["a", "b"], "left_anti") if judged is not None else out
+
+
+def duplicate_candidates(events: DataFrame, id_col: str, text: str, k: int = 20, judged: DataFrame | None = None, after: tuple | None = None) -> DataFrame:
+    """a < b, score: pairs of events to be judged as duplicates: each event with its ``k`` nearest by
+    BM25, both ways, without judged pairs and from the cursor ``after`` (a pair) on, so that a scan can
+    stop and go on. A set of at most ``k`` events with common terms is scanned whole."""
+    q = events.select(F.col(id_col).alias("q"), F.col(text).alias("text"))
+    near = bm25_top_k(q, q.select(F.col("q").alias("d"), "text"), "q", "d", "text", "text", k + 1).where("q <> d")
+    out = near.groupBy(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b")).agg(F.max("score").alias("score"))
+    if judged is not None:
+        out = out.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+    if after is not None:
+        out = out.where((F.col("a") > F.lit(after[0])) | ((F.col("a") == F.lit(after[0])) & (F.col("b") > F.lit(after[1]))))
+    return out

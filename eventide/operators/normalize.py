@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Dictionaries
+from ..config import NOISE_FLAGS, Dictionaries
 from ..functions import identity as I
 from ..functions import numbers as N
 from ..functions import text as X
+from ..functions.settle import let
 
 GOOD = ("topic_discovery", "search_enrichment", "official_evidence")
 
@@ -48,6 +49,42 @@ def normalize_items(raw: DataFrame) -> DataFrame:
     })
 
 
+#: Keys under which an item, its normalised form or its payload may name topics, in order.
+TOPIC_KEYS = ("topic", "topics", "topic_words", "hashtags", "query", "keyword", "keywords")
+
+
+def topics_of(*containers: Column) -> Column:
+    """The topics that JSON containers name under ``TOPIC_KEYS``, single or in a list, without hash
+    signs and blanks at their ends, once each."""
+    def named(json: Column, key: str) -> Column:
+        value = F.get_json_object(json, f"$.{key}")
+        listed = F.from_json(F.when(value.startswith("["), value), "array<string>")
+        return F.coalesce(listed, F.when(F.coalesce(value, F.lit("")) != "", F.array(value)), X.empty())
+
+    every = F.concat(*[named(json, key) for json in containers for key in TOPIC_KEYS])
+    return F.array_distinct(F.filter(F.transform(every, lambda t: F.trim(t, F.lit("# "))), lambda t: F.coalesce(t, F.lit("")) != ""))
+
+
+def match_documents(events: DataFrame) -> DataFrame:
+    """event_id, title, summary, entities, action_terms, keywords, event_time, urls, canonical_ids: what
+    of an event takes part in matching.
+
+    ``events`` has event_id, title, summary, primary_entity, entities, action_terms, keywords, event_time,
+    urls, canonical_ids and ``features``, a struct of entities, action_terms and event_time, or null. A
+    nested feature that is there counts even if it is empty; only if it is missing do the event's own
+    columns, and last its primary entity, stand in."""
+    none = X.empty()
+    nested = lambda n: F.col(f"features.{n}")
+    legacy = F.coalesce("entities", none)
+    entities = F.when(nested("entities").isNotNull(), nested("entities")).when(F.size(legacy) > 0, legacy).when(F.coalesce("primary_entity", F.lit("")) != "", F.array("primary_entity")).otherwise(none)
+    urls = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("urls", none))))
+    canonical = F.array_compact(F.transform(urls, I.canonical_id))
+    return events.select(
+        "event_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("summary", F.lit("")).alias("summary"), entities.alias("entities"), F.coalesce(nested("action_terms"), "action_terms", none).alias("action_terms"),
+        F.coalesce("keywords", none).alias("keywords"), F.coalesce(nested("event_time"), "event_time").alias("event_time"), urls.alias("urls"), F.array_sort(F.array_union(canonical, F.coalesce("canonical_ids", none))).alias("canonical_ids"),
+    )
+
+
 def split_valid(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Rows that pass all checks, and the others with the names of those they fail."""
     errors = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), n) for n, c in checks.items()]))
@@ -101,22 +138,39 @@ def extract_signals(signals: DataFrame, run_id: str, words: Dictionaries = Dicti
     })
 
 
-def search_relevance(parent: Column, title: Column, flags: Column, parent_question: Column, question: Column, noise: tuple[str, ...]) -> Column:
-    """Whether a search result belongs to the topic that was searched: (decision, confidence)."""
-    a, b = X.normalize_space(parent), X.normalize_space(title)
+def combined_text(title: Column, *others: Column) -> Column:
+    """All texts of an item that aren't empty, in one line."""
+    return F.array_join(F.filter(F.array(title, *others), lambda x: F.coalesce(x, F.lit("")) != ""), " ")
+
+
+def question_id(url: Column) -> Column:
+    """The question a link leads to, from its path or its query."""
+    path = F.regexp_extract(F.regexp_extract(url, r"^([^?#]*)", 1), r"/question/(\d+)", 1)
+    query = F.regexp_extract(url, r"[?&](?:question_id|question)=([^&#]+)", 1)
+    return F.coalesce(F.nullif(path, F.lit("")), F.nullif(query, F.lit("")))
+
+
+def search_relevance(parent_title: Column, parent_text: Column, title: Column, text: Column, flags: Column, parent_url: Column, url: Column, noise: tuple[str, ...] = NOISE_FLAGS, high: float = 0.45) -> Column:
+    """Whether a search result belongs to the topic that was searched: (decision, confidence,
+    audit_only). ``*_text``: the ``combined_text`` of each side.
+
+    A noise flag rejects. The same question, a title that stands in the other side's text, or
+    enough of the parent's terms accept. Everything else stays for the audit and supports nothing."""
+    a, b, whole_a, whole_b = (X.normalize_space(c) for c in (parent_title, title, parent_text, text))
     noisy = F.exists(flags, lambda f: f.isin(*noise) | F.endswith(f, F.lit("_conflict")))
-    same = F.coalesce(parent_question == question, F.lit(False))
-    inside = ((F.length(a) >= 4) & F.contains(b, a)) | ((F.length(b) >= 4) & F.contains(a, b))
-    o = X.containment(X.ngrams(a, 2, 4), X.ngrams(b, 2, 4))
-    confidence = F.when(noisy, 0.0).when(same, 0.95).when(inside, 0.88).when(o >= 0.45, F.least(F.lit(0.8), 0.45 + o)).when(o >= 0.25, F.least(F.lit(0.55), 0.2 + o)).otherwise(0.1)
-    decision = F.when(noisy, "rejected").when(same | inside | (o >= 0.45), "accepted").when(o >= 0.25, "audit_only").otherwise("rejected")
-    return F.struct(decision.alias("decision"), F.round(confidence, 4).alias("confidence"))
+    same = F.coalesce(question_id(parent_url) == question_id(url), F.lit(False))
+    inside = F.coalesce(((F.length(a) >= 4) & F.contains(whole_b, a)) | ((F.length(b) >= 4) & F.contains(whole_a, b)), F.lit(False))
+    terms = lambda c: F.array_distinct(F.concat(X.ngrams(c, 2, 4), F.filter(F.split(c, r"(?U)[\s\W_]+"), lambda w: F.length(w) >= 2)))
+    o = F.coalesce(X.containment(terms(a), terms(whole_b)), F.lit(0.0))
+    confidence = F.when(noisy, 0.0).when(same, 0.95).when(inside, 0.88).when(o >= high, F.least(F.lit(0.8), 0.45 + o)).when(o >= 0.25, F.least(F.lit(0.55), 0.2 + o)).otherwise(0.1)
+    decision = F.when(noisy, "rejected").when(same | inside | (o >= high), "accepted").otherwise("audit_only")
+    return F.struct(decision.alias("decision"), F.round(confidence, 4).alias("confidence"), (decision != "accepted").alias("audit_only"))
 
 
 def body_relevance(topic: Column, body: Column, rerank: Column) -> Column:
     """Conflicts, then length, then the reranker's bands decide about a sample's text."""
     clean = X.strip_emoji(X.clean_body(body))
-    clash = F.size(X.conflicts(X.facts(topic), X.facts(clean))) > 0
+    clash = let(lambda v: F.size(X.conflicts(v["a"], v["b"])) > 0, a=X.facts(topic), b=X.facts(clean))
     return F.when(clash, "rejected").when(F.length(clean) < 8, "rejected").when(rerank.isNull(), "audit_only").when(rerank >= 0.80, "accepted").when(rerank < 0.10, "rejected").otherwise("audit_only")
 
 

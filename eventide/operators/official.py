@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COMPARABLE_ENTITY_SUFFIXES, SupportConfig
 from ..functions import identity as I
 from ..functions import numbers as N
 from ..functions import text as X
-from .retrieve import bm25, top_k
+from ..functions.settle import settled
+from .ranking import ranked
+from .retrieve import bm25_top_k
 
 
 def query_text(title: Column, entities: Column, keywords: Column) -> Column:
@@ -21,21 +23,21 @@ def query_text(title: Column, entities: Column, keywords: Column) -> Column:
 def support(events: DataFrame, pool: DataFrame, end: Column, cfg: SupportConfig = SupportConfig(), recall: int = 20) -> DataFrame:  # noqa: B008
     """event_id, support_status, n_supported, best_item of every event.
 
-    Candidates are the best of BM25, joined on terms. A pair drops on conflicts or disjoint
+    Candidates are the best of BM25. A pair drops on conflicts or disjoint
     entities; it counts with strong text agreement; it is supported if the source is in use, has
     link, title and time, and is fresh; else weakly."""
     e = events.withColumn("q", query_text(F.col("title"), F.col("entities"), F.col("keywords")))
-    cand = top_k(bm25(e, pool, "event_id", "item_id", "q", "text"), ["event_id"], recall, F.desc("score"), F.asc("item_id"))
+    cand = bm25_top_k(e, pool, "event_id", "item_id", "q", "text", recall)
     b = pool.select("item_id", *[F.col(c).alias(f"b_{c}") for c in ("title", "text", "entities", "status", "url", "published_at")])
     p = cand.join(events, "event_id").join(b, "item_id")
-    p = p.withColumns({"_fa": X.facts(F.col("title")), "_fb": X.facts(F.col("b_title")), "_text": X.normalize_space(F.col("b_text"))})
-    ta, tb = X.normalize_space(F.col("title")), X.normalize_space(F.col("b_title"))
-    clash = (F.size(X.conflicts(F.col("_fa"), F.col("_fb"))) > 0) | X.entity_conflict(F.col("entities"), F.col("b_entities"), COMPARABLE_ENTITY_SUFFIXES)
+    p = settled(p, _fa=X.facts(F.col("title")), _fb=X.facts(F.col("b_title")), _text=X.normalize_space(F.col("b_text")), _ta=X.normalize_space(F.col("title")), _tb=X.normalize_space(F.col("b_title")))
+    p = settled(p, _clash=F.size(X.conflicts(F.col("_fa"), F.col("_fb"))) > 0, _ga=X.ngrams(F.col("_ta"), 2, 3), _gb=X.ngrams(F.col("_tb"), 2, 3))
+    clash = F.col("_clash") | X.entity_conflict(F.col("entities"), F.col("b_entities"), COMPARABLE_ENTITY_SUFFIXES, F.col("title"), F.col("b_title"))
     apart = (F.size("entities") > 0) & (F.size("b_entities") > 0) & ~F.arrays_overlap("entities", "b_entities")
     text = F.col("_text")
     hits = F.size(F.filter("keywords", lambda k: F.contains(text, k)))
     keyword = X.term_overlap(F.col("keywords"), text)
-    ngram = X.containment(X.ngrams(ta, 2, 3), X.ngrams(tb, 2, 3))
+    ngram = X.containment(F.col("_ga"), F.col("_gb"))
     strong = X.title_containment(F.col("title"), F.col("b_title")) | ((keyword >= cfg.keyword_min) & (hits >= cfg.keyword_count)) | (ngram >= cfg.ngram_min)
     fresh = N.hours_between(end, F.col("b_published_at")) <= cfg.fresh_days * 24
     good = (F.col("b_status") == "use") & I.safe_url(F.col("b_url")) & (F.col("b_title") != "") & fresh
@@ -59,5 +61,5 @@ def agenda(items: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 def sections_order(events: DataFrame) -> DataFrame:
-    w = Window.orderBy(F.desc("sources"), F.desc("last_at"), "event_id")
-    return events.withColumn("place", F.row_number().over(w))
+    """Adds place: by sources, latest report and id, over all events."""
+    return ranked(events, [], [F.desc("sources"), F.desc("last_at"), F.asc("event_id")])

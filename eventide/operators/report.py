@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import HARMLESS_FLAGS
 from ..functions import identity as I
+from .ranking import ranked
 
 
 def sections(cards: DataFrame) -> DataFrame:
@@ -14,7 +15,7 @@ def sections(cards: DataFrame) -> DataFrame:
     that shows it."""
     names = F.array_compact(F.array(F.concat(F.lit("category_"), "category"), F.when(F.col("zhihu_present"), "zhihu"), F.when(F.col("weibo_present"), "weibo")))
     s = cards.select("event_id", "title", F.explode(names).alias("section"))
-    return s.withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy("title", "event_id"))).select("section", "event_id", "place")
+    return ranked(s, ["section"], [F.asc("title"), F.asc("event_id")]).select("section", "event_id", "place")
 
 
 def review(cards: DataFrame, citations: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Bm25Config
-from ..functions import numbers as N
 from ..functions import text as X
-
+from ..sources.shared import stored
 
 #: Distinct query terms that are sent to the documents; more meet them by a shuffle.
 BROADCAST_TERMS = 100_000
+#: Queries that are sent to the documents at once.
+BLOCK_QUERIES = 10_000
+#: Scores that a task works out at once, and best rows that it keeps before it hands them on.
+_CELLS, _KEPT = 2_000_000, 500_000
 
 
 def postings(docs: DataFrame, id_col: str, text: str, by: list[str] | None = None) -> DataFrame:
@@ -43,21 +52,180 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, query_
     return joined.groupBy(*by, F.col("q").alias(query_id), F.col("id").alias(doc_id)).agg(F.sum(part).alias("score"))
 
 
+class _Best:
+    """The k best (score, id) of every query, and of every group if there are groups: higher scores
+    first, then smaller ids. Scores that agree in nine digits tie."""
+
+    def __init__(self, k: int):
+        self.k, self.rows, self.least = k, {}, {}
+
+    def add(self, scores: np.ndarray, ids: list, groups: list | None, floor: float) -> None:
+        """``scores``: documents x queries; those not over ``floor`` don't count."""
+        scores = np.round(scores, 9)
+        parts: dict = {}
+        for i, g in enumerate(groups if groups is not None else ()):
+            parts.setdefault(g, []).append(i)
+        for g, at in parts.items() if groups is not None else [(None, None)]:
+            part, names = (scores, ids) if at is None else (scores[at], [ids[i] for i in at])
+            least = self.least.setdefault(g, np.full(scores.shape[1], floor))
+            good = (part >= least) & (part > floor)
+            for q in np.flatnonzero(good.any(axis=0)).tolist():
+                rows = self.rows.setdefault((q, g), [])
+                hit = np.flatnonzero(good[:, q]).tolist()
+                rows += zip((-part[hit, q]).tolist(), (names[i] for i in hit), strict=True)
+                rows.sort()
+                del rows[self.k :]
+                if len(rows) == self.k:
+                    least[q] = -rows[-1][0]
+
+    def rows_held(self) -> int:
+        return len(self.rows) * self.k
+
+    def batch(self, id_type: pa.DataType, group_type: pa.DataType) -> pa.RecordBatch:
+        flat = [(q, g, i, -s) for (q, g), rows in self.rows.items() for s, i in rows]
+        self.rows, self.least = {}, {}
+        cols = list(zip(*flat, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], group_type), pa.array(cols[2], id_type), pa.array(cols[3], pa.float64())], names=["_q", "_g", "_id", "score"])
+
+
+def _named(best: DataFrame, ids: list, queries: DataFrame, query_id: str, doc_id: str, per: str | None) -> DataFrame:
+    """The best rows of the tasks with the queries' own ids (of a block) instead of their numbers."""
+    kind = queries.schema[query_id].dataType.simpleString()
+    names = best.sparkSession.createDataFrame(list(enumerate(ids)), f"_q int, _name {kind}")
+    return best.join(F.broadcast(names), "_q").select(F.col("_name").alias(query_id), F.col("_id").alias(doc_id), *([F.col("_g").alias(per)] if per else []), "score")
+
+
+def _block(queries: DataFrame, *cols: Column) -> list | None:
+    """The rows of a stated query set if it is one block, else null."""
+    rows = queries.select(*cols).limit(BLOCK_QUERIES + 1).collect()
+    return rows if len(rows) <= BLOCK_QUERIES else None
+
+
+def bm25_top_k(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, query_text: str, doc_text: str, k: int, per: str | None = None, only: DataFrame | None = None, cfg: Bm25Config = Bm25Config()) -> DataFrame:  # noqa: B008
+    """The k best documents of every query by BM25: query_id, doc_id, score, rank (and ``per``: the k
+    best of each of its values). Scores tie in nine digits; then the smaller doc_id is first.
+    ``only``: pairs (query_id, doc_id) that may be found; counts are still over all documents.
+
+    A bounded query set travels to the documents, which are read twice, for the counts and for
+    the scores. A task sums the scores of some documents for all queries at once and keeps the
+    best, so that no posting is shuffled and a frequent term is no hot key. A query set of more
+    than ``BLOCK_QUERIES`` queries or ``BROADCAST_TERMS`` terms meets the documents on terms instead."""
+    order = [query_id, per] if per else [query_id]
+    rows = _block(queries, F.col(query_id), F.array_distinct(X.lexical_tokens(F.col(query_text))))
+    terms = sorted({t for _, w in rows or () for t in w})
+    if rows is None or len(terms) > BROADCAST_TERMS:
+        scored = bm25(queries, docs, query_id, doc_id, query_text, doc_text, cfg=cfg)
+        if only is not None:
+            scored = scored.join(only.select(query_id, doc_id).distinct(), [query_id, doc_id])
+        if per:
+            scored = scored.join(docs.select(doc_id, per), doc_id)
+        return top_k(scored, order, k, F.desc(F.round("score", 9)), F.asc(doc_id))
+    spark, number = docs.sparkSession, {t: i for i, t in enumerate(terms)}
+    owners = [(number[t], q) for q, (_, w) in enumerate(rows) for t in w]
+    owners.sort()
+    who = np.array([q for _, q in owners], np.int64)
+    begin = np.searchsorted([t for t, _ in owners], np.arange(len(terms) + 1))
+    wanted = pa.array(terms, pa.string())
+
+    def counts_of(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, term and count of each posting of a wanted term, and the documents' lengths."""
+        tokens = pa.ListArray.from_arrays(pa.array(np.asarray(tokens.offsets) - tokens.offsets[0].as_py(), pa.int32()), tokens.flatten())
+        size = np.diff(np.asarray(tokens.offsets))
+        term = pc.fill_null(pc.index_in(tokens.flatten(), value_set=wanted), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(size)), size)[term >= 0]
+        pair, tf = np.unique(doc * max(1, len(terms)) + term[term >= 0], return_counts=True)
+        return pair // max(1, len(terms)), pair % max(1, len(terms)), tf, size
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(len(terms), np.int64), 0, 0
+        for batch in batches:
+            _, term, _, size = counts_of(batch.column("w"))
+            df += np.bincount(term, minlength=len(terms))
+            n, total = n + len(size), total + int(size.sum())
+        hit = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hit, [-1, -2]]), pa.int64()), pa.array(np.concatenate([df[hit], [n, total]]), pa.int64())], names=["term", "n"])
+
+    text = X.lexical_tokens(F.col(doc_text)).alias("w")
+    seen = {r["term"]: r["n"] for r in docs.select(text).mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, total = seen.get(-1, 0), seen.get(-2, 0)
+    average = total / n if total else 1.0
+    df = np.array([seen.get(t, 0) for t in range(len(terms))], float)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    groups = docs.schema[per].dataType.simpleString() if per else "string"
+    id_kind = docs.schema[doc_id].dataType.simpleString()
+    read = docs.select(F.col(doc_id).alias("_id"), (F.col(per) if per else F.lit(None).cast("string")).alias("_g"), text)
+    if only is not None:
+        ids = spark.createDataFrame([(r[0], q) for q, r in enumerate(rows)], f"_name {queries.schema[query_id].dataType.simpleString()}, _q int")
+        allowed = only.select(F.col(query_id).alias("_name"), F.col(doc_id).alias("_id")).join(F.broadcast(ids), "_name").groupBy("_id").agg(F.collect_set("_q").alias("_only"))  # as many as queries at most
+        read = read.join(allowed, "_id")
+
+    masked, grouped = only is not None, per is not None
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, step = _Best(k), max(1, _CELLS // max(1, len(rows)))
+        kinds = None
+        for whole in batches:
+            kinds = whole.schema.field("_id").type, whole.schema.field("_g").type
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                doc, term, tf, size = counts_of(batch.column("w"))
+                part = idf[term] * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * size[doc] / average))
+                many = begin[term + 1] - begin[term]  # queries of each posting's term
+                to = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[term], many)
+                cells = np.bincount(np.repeat(doc, many) * len(rows) + who[to], np.repeat(part, many), batch.num_rows * len(rows)).reshape(batch.num_rows, len(rows))
+                if masked:
+                    for i, qs in enumerate(batch.column("_only").to_pylist()):
+                        keep = cells[i, qs]
+                        cells[i] = 0
+                        cells[i, qs] = keep
+                best.add(cells, batch.column("_id").to_pylist(), batch.column("_g").to_pylist() if grouped else None, 0.0)
+                if best.rows_held() > _KEPT and grouped:
+                    yield best.batch(*kinds)
+        if kinds:
+            yield best.batch(*kinds)
+
+    found = read.mapInArrow(score, f"_q int, _g {groups}, _id {id_kind}, score double")
+    return top_k(_named(found, [r[0] for r in rows], queries, query_id, doc_id, per), order, k, F.desc(F.round("score", 9)), F.asc(doc_id))
+
+
 def top_k(scored: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     """Rows ranked from 1 within ``by``; Spark limits each task's groups before the shuffle."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, vector: str, k: int, max_queries: int = 10_000) -> DataFrame:
+def dense_top_k(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, vector: str, k: int) -> DataFrame:
     """query_id, doc_id, score, rank by the dot product of unit vectors, against every row.
 
-    A stated, bounded query set travels to the documents, which are read once and keep the k
-    best a task before they are shuffled."""
-    few = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("_v"))
-    if few.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; search them in blocks")
-    scored = docs.select(F.col(doc_id), F.col(vector)).join(F.broadcast(few)).select(F.col("_q").alias(query_id), doc_id, N.dot(F.col("_v"), F.col(vector)).alias("score"))
-    return top_k(scored, [query_id], k, F.desc("score"), F.asc(doc_id))
+    A block of queries travels to the documents, which are read once a block; a task multiplies
+    matrices and keeps the k best of each query. Blocks after the first are found by a hash of the
+    id; their results are written one after the other, so only one block is held at once."""
+    blocks = -(-queries.count() // BLOCK_QUERIES) or 1
+    one = lambda part: _dense_block(part.select(query_id, vector).collect(), queries, docs, query_id, doc_id, vector, k)
+    if blocks == 1:
+        return one(queries)
+    blocks *= 2  # of half the size on average, so that chance doesn't overfill one
+    mine = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [stored(one(queries.where(mine == b)), "dense") for b in range(blocks)])
+
+
+def _dense_block(rows: list, queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, vector: str, k: int) -> DataFrame:
+    wanted = np.array([r[1] for r in rows], float).T if rows else np.zeros((0, 0))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, step, kind = _Best(k), max(1, _CELLS // max(1, len(rows))), None
+        for whole in batches:
+            kind = whole.schema.field("_id").type
+            for at in range(0, whole.num_rows if rows else 0, step):
+                batch = whole.slice(at, step)
+                ids = batch.column("_id").to_pylist()
+                vectors = batch.column("_v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+                best.add(np.clip(vectors @ wanted, -1.0, 1.0), ids, None, -2.0)
+        if kind is not None:
+            yield best.batch(kind, pa.string())
+
+    read = docs.where(F.col(vector).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(vector).alias("_v"))
+    found = read.mapInArrow(score, f"_q int, _g string, _id {docs.schema[doc_id].dataType.simpleString()}, score double")
+    return top_k(_named(found, [r[0] for r in rows], queries, query_id, doc_id, None), [query_id], k, F.desc("score"), F.asc(doc_id))
 
 
 def reciprocal_ranks(*ranked: DataFrame, by: list[str], k: int = 60) -> DataFrame:

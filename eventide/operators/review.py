@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..config import TECHNICAL_REVIEWS
 from ..functions import identity as I
+from ..sources.shared import stored
+from .match import pairs_within
 
 
 def topic_identity(question: Column, hashtag: Column, url: Column, signal_id: Column, run_id: Column) -> Column:
@@ -53,9 +55,13 @@ def consolidate(tasks: DataFrame, hours: float = 24) -> DataFrame:
 
 
 def exclusive_pairs(claims: DataFrame, task: str, key: str) -> DataFrame:
-    """Pairs of tasks (a < b) that claim the same thing: a self equi-join on the claimed key."""
-    a, b = claims.select(F.col(task).alias("a"), key).distinct(), claims.select(F.col(task).alias("b"), key).distinct()
-    return a.join(b, key).where("a < b").select("a", "b").distinct()
+    """Pairs of tasks (a < b) that claim the same thing; frequent claims are cut into chunks."""
+    return pairs_within(claims.select(F.col(task).alias("_task"), F.col(key).alias("_claim")), "_task", "_claim")
+
+
+def exclusive_groups(claims: DataFrame, task: str, key: str) -> DataFrame:
+    """key, n, first: claims of several tasks, with the smallest task; no pairs are made."""
+    return claims.groupBy(key).agg(F.count_distinct(task).alias("n"), F.min(task).alias("first")).where("n > 1")
 
 
 def owned_elsewhere(claims: DataFrame, owners: DataFrame, key: str) -> DataFrame:
@@ -66,7 +72,7 @@ def owned_elsewhere(claims: DataFrame, owners: DataFrame, key: str) -> DataFrame
 def batch_allowed(selected: DataFrame, claims: DataFrame, owners: DataFrame, task: str, key: str) -> bool:
     """All or nothing: no two tasks share a claim, none is owned by another event."""
     mine = claims.join(selected, task, "left_semi")
-    return exclusive_pairs(mine, task, key).isEmpty() and owned_elsewhere(mine, owners, key).isEmpty()
+    return exclusive_groups(mine, task, key).isEmpty() and owned_elsewhere(mine, owners, key).isEmpty()
 
 
 def reuse_decisions(tasks: DataFrame, decided: DataFrame, hours: float = 24) -> DataFrame:
@@ -84,15 +90,36 @@ def recovered(failures: DataFrame, successes: DataFrame) -> DataFrame:
 
 
 def run_scope(runs: DataFrame, root: str, limit: int = 50) -> DataFrame:
-    """A run and all runs that descend from it, level by level (parent_run_id, run_id)."""
-    seen = runs.where(F.col("run_id") == root).select("run_id")
-    level = seen
+    """A run and all runs that descend from it (parent_run_id, run_id). Each round doubles the
+    generations that are known: a run's ancestor is the ancestor of its ancestor, and what is found
+    is written, so that plans stay small and rounds grow with the log of the depth."""
+    up = stored(runs.select("run_id", "parent_run_id", (F.col("run_id") == root).alias("in_scope")), "runs")
     for _ in range(limit):
-        level = runs.join(level.withColumnRenamed("run_id", "parent_run_id"), "parent_run_id").select("run_id").join(seen, "run_id", "left_anti").distinct()
-        if level.isEmpty():
-            return seen
-        seen = seen.unionByName(level)
-    raise RuntimeError(f"runs nest deeper than {limit}")
+        above = up.select(F.col("run_id").alias("_id"), F.col("parent_run_id").alias("_up"), F.col("in_scope").alias("_in"))
+        now = stored(up.join(above, (F.col("parent_run_id") == F.col("_id")) & ~F.col("in_scope"), "left").select("run_id", F.when(F.col("_id").isNotNull(), F.col("_up")).alias("parent_run_id"), (F.col("in_scope") | F.coalesce("_in", F.lit(False))).alias("in_scope")), "runs")
+        if now.where("not in_scope and parent_run_id is not null").isEmpty():
+            return now.where("in_scope").select("run_id").distinct()
+        up = now
+    raise RuntimeError(f"runs nest deeper than 2 to the power {limit}, or in a circle")
+
+
+def build_queue(candidates: DataFrame, pending: DataFrame, decided: DataFrame, hours: float = 24) -> DataFrame:
+    """What new candidates for review become: relation_key, task_id, action, n, evidence, decision.
+
+    ``candidates``: relation_key, task_id, observed_at, weak, evidence (an array); ``pending``: tasks that
+    wait (relation_key, task_id, observed_at, evidence); ``decided``: relation_key, decided_at, decision.
+    Candidates of one relation within ``hours`` are one. A decision that may be used again settles them
+    (``reuse``); else they add their evidence to a pending task of the relation whose time is within
+    ``hours`` (``update``, the latest one), or are a new task (``create``)."""
+    one = candidates.groupBy("relation_key").agg(F.count("*").alias("n"), F.min("task_id").alias("task_id"), F.max("observed_at").alias("observed_at"), F.bool_or("weak").alias("weak"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("evidence"))
+    known = reuse_decisions(one.drop("evidence", "n"), decided, hours).select("relation_key", "decision")
+    waiting = pending.select("relation_key", F.col("task_id").alias("_old"), F.col("observed_at").alias("_at"), F.col("evidence").alias("_had"))
+    near = F.abs(F.unix_micros("observed_at") - F.unix_micros("_at")) / 3.6e9 <= hours
+    last = one.select("relation_key", "observed_at").join(waiting, "relation_key").where(near).groupBy("relation_key").agg(F.max_by(F.struct("_old", "_had"), F.struct("_at", "_old")).alias("_w"))
+    j = one.join(known, "relation_key", "left").join(last, "relation_key", "left")
+    action = F.when(F.col("decision").isNotNull(), "reuse").when(F.col("_w").isNotNull(), "update").otherwise("create")
+    both = F.array_sort(F.array_union("evidence", F.coalesce("_w._had", F.array().cast(candidates.schema["evidence"].dataType))))
+    return j.select("relation_key", F.coalesce("_w._old", "task_id").alias("task_id"), action.alias("action"), "n", both.alias("evidence"), "decision")
 
 
 def queue(tasks: DataFrame, scope: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PLATFORM_LABELS
 from ..functions import numbers as N
+from ..operators.ranking import ranked
 
 
 def citations(members: DataFrame, items: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -63,7 +64,7 @@ def sections(cards_: DataFrame, ranking: DataFrame) -> DataFrame:
     news = F.struct((-F.col("official_sources")).cast("int").alias("a"), (-F.coalesce(F.unix_micros("official_latest"), F.lit(0))).cast("double").alias("b"), F.lit(0.0).alias("c"), F.lit("").alias("t"))
     title = F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.coalesce("title", F.lit("")).alias("t"))
     key = F.when(F.col("section").isin("zhihu", "weibo"), own).when(F.col("section") == "official", news).otherwise(title)
-    return j.withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy(key, "event_id"))).select("section", "event_id", "place")
+    return ranked(j.withColumn("_key", key), ["section"], [F.asc("_key"), F.asc("event_id")]).select("section", "event_id", "place")
 
 
 def risks(cards_: DataFrame, health: DataFrame, pending: DataFrame) -> DataFrame:

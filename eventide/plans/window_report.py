@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TrendConfig
-from ..operators import observe, trend
+from ..functions import numbers as N
+from ..operators import classify, observe, trend
 
 
 def window_report(observations: DataFrame, start: datetime, end: datetime, cfg: TrendConfig = TrendConfig()) -> DataFrame:  # noqa: B008
@@ -20,6 +21,31 @@ def window_report(observations: DataFrame, start: datetime, end: datetime, cfg:
     return trend.platform_ranking(out)
 
 
+def rebuilt_window(items: DataFrame, support: DataFrame, observations: DataFrame, start: datetime, end: datetime, cfg: TrendConfig = TrendConfig()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """Classifications and analyses of a window, from saved rounds and current associations alone.
+
+    ``items``: event_id, item_id, platform, signal_role, source_type, observed_at, published_at, rank,
+    audit_only, contributes, one row a round in which the item stood; its last one in (start, end] counts. Official
+    news must be published in the window. An event needs more than search results. ``support``: event_id,
+    support_status. Returns the events' classes and the report of ``window_report`` over those events."""
+    s, e = F.lit(start), F.lit(end)
+    inside = (F.col("observed_at") > s) & (F.col("observed_at") <= e) & ~F.coalesce("audit_only", F.lit(False)) & F.coalesce("contributes", F.lit(True))
+    official = F.col("source_type") == "official_news"
+    fresh = ~official | F.coalesce((F.col("published_at") > s) & (F.col("published_at") <= e), F.lit(False))
+    last = items.where(inside & fresh).groupBy("event_id", "item_id", "platform", "signal_role", "source_type").agg(F.max_by("rank", "observed_at").alias("rank"), F.max("observed_at").alias("observed_at"))
+    search = F.col("signal_role") == "search_enrichment"
+    on = lambda p, c: F.bool_or((F.col("platform") == p) & ~official & c)
+    found = last.groupBy("event_id").agg(
+        on("zhihu", ~search).alias("zhihu_topn"), on("weibo", ~search).alias("weibo_topn"), on("zhihu", search).alias("zhihu_search"), on("weibo", search).alias("weibo_search"),
+        F.bool_or(official).alias("official_source"), F.bool_or(~search).alias("_found"), N.rank_bucket(F.min(F.when(~search, F.col("rank")))).alias("rank_bucket"), F.max("observed_at").alias("_at"), F.count("*").alias("items"),
+    ).where("_found")
+    known = found.join(support.select("event_id", "support_status"), "event_id", "left").withColumn("support_status", F.coalesce("support_status", F.lit("not_checked")))
+    unknown = {"relation_confidence": F.lit(None).cast("double"), "presence": F.lit(1), "rank_delta": F.lit("unknown"), "search_hit": F.lit("unknown"), "health": F.lit("unknown"), "flags": F.array().cast("array<string>")}
+    rows = known.withColumns(unknown | {"freshness": N.freshness_bucket(N.hours_between(e, F.col("_at")))}).drop("_found", "_at")
+    classes = classify.classify(rows)
+    return classes, window_report(observations.join(found.select("event_id"), "event_id", "left_semi"), start, end, cfg)
+
+
 def rounds_in_window(rounds: DataFrame, windows: DataFrame) -> DataFrame:
     """Interval join of rounds with report windows (start, end]: both are dealt to days, so that
     only rounds and windows of one day meet."""

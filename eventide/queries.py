@@ -18,6 +18,7 @@ from .functions import text as X
 from .operators import classify, evaluate, filters, guardrails, heat, match, normalize, observe, official, report, retrieve, review, trend
 from .plans import briefing, resolution, round_record, window_report
 from .sources import readers, writers
+from .sources.shared import new_path
 
 END = datetime(2024, 1, 20)
 START = datetime(2024, 1, 10)
@@ -39,7 +40,9 @@ OBS = """obs AS (
            CASE WHEN event_id % 13 = 0 THEN false WHEN event_id % 19 = 0 THEN NULL ELSE true END AS present,
            CASE WHEN event_type IN ('view', 'click') AND event_id % 13 <> 0 AND event_id % 19 <> 0 THEN CAST(1 + event_id % 30 AS BIGINT) END AS rank,
            value / (value + 100) AS score, CASE WHEN event_id % 2 = 0 AND event_type IN ('view', 'click') THEN value * 1000 END AS native_heat,
-           CAST(floor(value) AS BIGINT) AS activity
+           CAST(floor(value) AS BIGINT) AS activity, CASE WHEN event_id % 29 = 0 THEN 'c2' ELSE 'c1' END AS component_signature,
+           CASE WHEN event_id % 37 = 0 THEN 'rss_presence_only' ELSE 'samples' END AS score_basis, CASE WHEN event_id % 41 = 0 THEN 'unknown' ELSE 'ok' END AS score_status,
+           CASE WHEN event_id % 43 = 0 THEN 'sampling_changed' ELSE 'x' END AS flag
     FROM events)"""
 
 
@@ -50,6 +53,7 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
         F.when(i % 17 == 0, "failed").otherwise("succeeded").alias("collection_status"), (i % 11 != 0).alias("list_complete"), F.when(i % 23 == 0, "top20").otherwise("top30").alias("topn_scope"),
         F.when(i % 13 == 0, False).when(i % 19 != 0, True).alias("present"), F.when(qa & (i % 13 != 0) & (i % 19 != 0), 1 + i % 30).alias("rank"), (F.col("value") / (F.col("value") + 100)).alias("score"),
         F.when(qa & (i % 2 == 0), F.col("value") * 1000).alias("native_heat"), F.floor("value").alias("activity"), F.lit("v1").alias("config_version"), F.lit("s").alias("sampling_signature"),
+        F.when(i % 29 == 0, "c2").otherwise("c1").alias("component_signature"), F.when(i % 37 == 0, "rss_presence_only").otherwise("samples").alias("score_basis"), F.when(i % 41 == 0, "unknown").otherwise("ok").alias("score_status"), F.array(F.when(i % 43 == 0, "sampling_changed").otherwise("x")).alias("flags"),
     )
 
 
@@ -150,21 +154,32 @@ def presence_distinct_rounds(spark, d):
     return observe.distinct_rounds(observations(spark, d), F.lit(END))
 
 
-_PAIR = f"""{OBS}, l AS (
-    SELECT *, lag(observed_at) OVER w AS p_at, lag(coalesce(present, false) AND collection_status = 'succeeded' AND list_complete) OVER w AS p_ok, lag(topn_scope) OVER w AS p_scope,
-           lag(rank) OVER w AS p_rank, lag(score) OVER w AS p_score, lag(native_heat) OVER w AS p_heat, lag(activity) OVER w AS p_act,
+def _pair(obs: str) -> str:
+    """The rule of the latest pair, over a table of observations: obs, ..., tr."""
+    return f"""{obs}, l AS (
+    SELECT *, lag(observed_at) OVER w AS p_at, lag(present) OVER w AS p_present, lag(collection_status) OVER w AS p_status, lag(list_complete) OVER w AS p_complete, lag(topn_scope) OVER w AS p_scope,
+           lag(rank) OVER w AS p_rank, lag(score) OVER w AS p_score, lag(native_heat) OVER w AS p_heat, lag(activity) OVER w AS p_act, lag(component_signature) OVER w AS p_comp,
+           lag(score_basis) OVER w AS p_basis, lag(score_status) OVER w AS p_known, lag(flag) OVER w AS p_flag,
            row_number() OVER (PARTITION BY event_id, platform ORDER BY observed_at DESC, observation_id DESC) AS n
     FROM obs WINDOW w AS (PARTITION BY event_id, platform ORDER BY observed_at, observation_id)),
 u AS (
-    SELECT *, coalesce(coalesce(present, false) AND collection_status = 'succeeded' AND list_complete AND p_ok AND p_scope = topn_scope
-              AND date_diff('microsecond', p_at, observed_at) / 6e7 <= 1440, false) AS usable FROM l WHERE n = 1),
+    SELECT *, component_signature = p_comp AND score_basis = p_basis AND flag <> 'sampling_changed' AND p_flag <> 'sampling_changed' AND score_status <> 'unknown' AND p_known <> 'unknown'
+              AND score IS NOT NULL AND p_score IS NOT NULL AS comp,
+           activity IS NOT NULL AND p_act IS NOT NULL AND score_basis <> 'rss_presence_only' AND p_basis <> 'rss_presence_only' AS active FROM l WHERE n = 1),
 v AS (
-    SELECT *, CASE WHEN NOT usable THEN NULL WHEN platform = 'zhihu' AND native_heat IS NOT NULL AND p_heat IS NOT NULL THEN 'native_heat'
-              WHEN platform = 'zhihu' AND rank IS NOT NULL AND p_rank IS NOT NULL THEN 'rank' WHEN platform <> 'zhihu' AND activity <> p_act THEN 'score' END AS basis FROM u),
+    SELECT *, CASE WHEN p_at IS NULL THEN 'insufficient_history' WHEN NOT (coalesce(present, false) AND coalesce(p_present, false)) THEN 'insufficient_trend_metrics'
+         WHEN NOT (collection_status = 'succeeded' AND p_status = 'succeeded' AND list_complete AND p_complete) THEN 'incomplete_list'
+         WHEN date_diff('microsecond', p_at, observed_at) / 6e7 > 1440 THEN 'observation_gap' WHEN topn_scope <> p_scope THEN 'incomparable_scope'
+         WHEN platform = 'zhihu' AND (native_heat IS NOT NULL OR p_heat IS NOT NULL) THEN CASE WHEN native_heat IS NULL OR p_heat IS NULL OR NOT comp THEN 'incomparable_scores' END
+         WHEN platform = 'zhihu' AND rank IS NOT NULL AND p_rank IS NOT NULL THEN NULL
+         WHEN platform = 'weibo' AND NOT active THEN 'insufficient_trend_metrics' WHEN NOT comp THEN 'incomparable_scores'
+         WHEN platform = 'weibo' AND activity = p_act THEN 'incomparable_scores' END AS reason FROM u),
+vb AS (
+    SELECT *, CASE WHEN reason IS NOT NULL THEN NULL WHEN platform = 'zhihu' AND native_heat IS NOT NULL THEN 'native_heat' WHEN platform = 'zhihu' AND rank IS NOT NULL AND p_rank IS NOT NULL THEN 'rank' ELSE 'score' END AS basis FROM v),
 x AS (
-    SELECT *, CASE basis WHEN 'native_heat' THEN CASE WHEN p_heat > 0 THEN (native_heat - p_heat) / p_heat ELSE 1 END WHEN 'rank' THEN p_rank - rank WHEN 'score' THEN score - p_score END AS delta,
-           CASE basis WHEN 'rank' THEN 1 ELSE 0.05 END AS lim FROM v)
-SELECT event_id, platform, round(delta, 6)::DOUBLE AS delta, basis, CASE WHEN delta IS NULL THEN 'unknown' WHEN delta >= lim THEN 'rising' WHEN delta <= -lim THEN 'cooling' ELSE 'stable' END AS trend FROM x"""
+    SELECT *, CASE basis WHEN 'native_heat' THEN CASE WHEN p_heat > 0 THEN (native_heat - p_heat) / p_heat WHEN native_heat > 0 THEN 1 ELSE 0 END WHEN 'rank' THEN p_rank - rank WHEN 'score' THEN score - p_score END AS delta,
+           CASE basis WHEN 'rank' THEN 1 ELSE 0.05 END AS lim FROM vb),
+tr AS (SELECT event_id, platform, round(delta, 6)::DOUBLE AS delta, basis, CASE WHEN delta IS NULL THEN 'unknown' WHEN delta >= lim THEN 'rising' WHEN delta <= -lim THEN 'cooling' ELSE 'stable' END AS trend, reason FROM x)"""
 
 
 def _wide():
@@ -173,7 +188,7 @@ def _wide():
     return TrendConfig(expected_interval_minutes=720)
 
 
-@query(f"WITH {_PAIR}")
+@query(f"WITH {_pair(OBS)} SELECT * FROM tr")
 def trend_latest_pair(spark, d):
     return trend.latest_pair(observations(spark, d), _wide()).withColumn("delta", F.round("delta", 6))
 
@@ -194,13 +209,13 @@ def continuous_segment(spark, d):
 @query(f"""WITH {OBS}, m AS (SELECT * FROM obs WHERE collection_status = 'succeeded' AND list_complete)
 SELECT o.observation_id, m.observation_id AS last_observation_id, m.rank AS last_rank
 FROM (SELECT *, row_number() OVER (PARTITION BY event_id, platform, observed_at ORDER BY observation_id DESC) AS k FROM m) m
-RIGHT JOIN (SELECT o.event_id, o.platform, o.observation_id, (SELECT max(m.observed_at) FROM m WHERE m.event_id = o.event_id AND m.platform = o.platform AND m.observed_at < o.observed_at) AS at FROM obs o WHERE o.observation_id % 4 = 0) o
+RIGHT JOIN (SELECT o.event_id, o.platform, o.observation_id, (SELECT max(m.observed_at) FROM m WHERE m.event_id = o.event_id AND m.platform = o.platform AND m.observed_at < o.observed_at) AS at FROM obs o) o
 ON m.event_id = o.event_id AND m.platform = o.platform AND m.observed_at = o.at AND m.k = 1""")
 def last_prior_observation(spark, d):
     o = observations(spark, d)
     main = o.where("collection_status = 'succeeded' and list_complete").select("event_id", "platform", "observed_at", "observation_id", "rank")
     main = report.latest_by(main, ["event_id", "platform", "observed_at"], "observation_id")
-    points = o.where("observation_id % 4 = 0").select("event_id", "platform", "observed_at", "observation_id")
+    points = o.select("event_id", "platform", "observed_at", "observation_id")
     return observe.last_before(points, main, ["event_id", "platform"]).select("observation_id", "last_observation_id", "last_rank")
 
 
@@ -222,10 +237,13 @@ def round_presence_matrix(spark, d):
 
 
 @query(f"""WITH {OBS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, platform ORDER BY observed_at DESC, observation_id DESC) AS n FROM obs) WHERE n = 1)
-SELECT event_id, platform, CAST(row_number() OVER (PARTITION BY platform ORDER BY CASE WHEN present THEN 0 WHEN present IS NULL THEN 1 ELSE 2 END, coalesce(rank, 9999), coalesce(score, -1) DESC, event_id) AS INTEGER) AS place FROM l""")
+SELECT event_id, platform, category, row_number() OVER (PARTITION BY platform, category ORDER BY CASE WHEN present THEN 0 ELSE 1 END, CASE WHEN platform = 'zhihu' THEN rank END NULLS LAST, score DESC NULLS LAST, duration_minutes DESC, event_id) AS place
+FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'A_x' WHEN 1 THEN 'C_x' ELSE 'E_x' END AS category, CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 90 END AS duration_minutes FROM l)""")
 def platform_rank_order(spark, d):
     last = report.latest_by(observations(spark, d), ["event_id", "platform"], "observed_at", "observation_id")
-    return trend.platform_ranking(last).select("event_id", "platform", "place")
+    k = F.col("event_id")
+    last = last.withColumns({"category": F.when(k % 3 == 0, "A_x").when(k % 3 == 1, "C_x").otherwise("E_x"), "duration_minutes": F.when(k % 4 != 0, (k % 90).cast("double"))})
+    return trend.platform_ranking(last).select("event_id", "platform", "category", "place")
 
 
 @query(r"""WITH d AS (SELECT doc_id, lang, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS title FROM documents)
@@ -242,15 +260,23 @@ def url_parts(spark, d):
     return _t(spark, d, "pages").select("page_id", I.host(u).alias("host"), I.url_key(u).alias("url_key"), I.safe_url(u).alias("safe"))
 
 
-@query(r"""SELECT page_id, length(replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]+>', ' ', 'g'), chr(160), ' ')) AS n FROM pages""")
+#: References as SQL replaces them; the ampersand's comes last, with or without its semicolon.
+_REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&apos;": "''", "&nbsp;": "\u00a0", "&hellip;": "…", "&ldquo;": "“", "&rdquo;": "”", "&mdash;": "—", "&ndash;": "–", "&copy;": "©", "&middot;": "·"}
+_UNESCAPED = "html"
+for _name, _char in _REFERENCES.items():
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_name}', '{_char}')"
+_UNESCAPED = f"regexp_replace({_UNESCAPED}, '&amp;?', '&', 'g')"
+
+
+@query(f"""SELECT page_id, sha256(replace(regexp_replace({_UNESCAPED}, '<[^>]+>', ' ', 'g'), chr(160), ' ')) AS digest FROM pages""")
 def html_strip(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.length(X.strip_html(F.col("html"))).cast("bigint").alias("n"))
+    return _t(spark, d, "pages").select("page_id", F.sha2(F.encode(X.strip_html(F.col("html")), "UTF-8"), 256).alias("digest"))
 
 
 @query()
 def article_extraction(spark, d):
     a = readers.articles(_t(spark, d, "pages"))
-    return a.select("page_id", "title", "body", readers.extract_summary(F.col("title"), F.col("body")).alias("summary"))
+    return a.select("page_id", "title", "body", "published_raw", "problem", readers.extract_summary(F.col("title"), F.col("body")).alias("summary"))
 
 
 _TOK = "regexp_extract_all(lower(coalesce({0}, '')), '([a-z0-9]+|[一-鿿]+)')"
@@ -271,15 +297,13 @@ sc AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS n FROM sc) WHERE n <= 10")
 def bm25_topk(spark, d):
-    s = retrieve.bm25(_t(spark, d, "benchmark"), _t(spark, d, "documents"), "item_id", "doc_id", "text", "text")
-    return retrieve.top_k(s, ["item_id"], 10, F.desc(F.round("score", 9)), F.asc("doc_id")).select("item_id", "doc_id", _r("score"))
+    return retrieve.bm25_top_k(_t(spark, d, "benchmark"), _t(spark, d, "documents"), "item_id", "doc_id", "text", "text", 10).select("item_id", "doc_id", _r("score"))
 
 
 @query(f"""WITH {_BM25}, r AS (SELECT s.item_id, s.doc_id, source, score, row_number() OVER (PARTITION BY s.item_id, source ORDER BY round(score, 9) DESC, s.doc_id) AS n FROM sc s JOIN documents USING (doc_id))
 SELECT item_id, doc_id, source, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r WHERE n <= 2) WHERE rank <= 8""")
 def capped_retrieval(spark, d):
-    docs = _t(spark, d, "documents")
-    s = retrieve.bm25(_t(spark, d, "benchmark"), docs, "item_id", "doc_id", "text", "text").join(docs.select("doc_id", "source"), "doc_id")
+    s = retrieve.bm25_top_k(_t(spark, d, "benchmark"), _t(spark, d, "documents"), "item_id", "doc_id", "text", "text", 2, per="source")
     return retrieve.capped(s, "source", 2, 8, "item_id", F.desc(F.round("score", 9)), F.asc("doc_id")).select("item_id", "doc_id", "source", "rank")
 
 
@@ -386,12 +410,12 @@ def guardrail_roll_up(spark, d):
     return guardrails.roll_up(guardrails.card_rules().check(cards, "id"), "id")
 
 
-@query("""WITH r AS (SELECT user_id % 40 AS run_id, CASE event_id % 3 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' ELSE 'skipped' END AS s FROM events WHERE user_id % 40 > 4 OR event_id % 3 > 0)
+@query("""WITH r AS (SELECT user_id % 40 AS run_id, CASE WHEN event_id % 3 = 0 AND user_id % 40 > 4 THEN 'succeeded' WHEN event_id % 3 = 1 THEN 'failed' ELSE 'skipped' END AS s FROM events)
 SELECT run_id, count(*) AS sources, count(*) FILTER (s = 'succeeded') AS succeeded, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'skipped') AS skipped,
  CASE WHEN count(*) FILTER (s = 'succeeded') = count(*) THEN 'succeeded' WHEN count(*) FILTER (s = 'succeeded') > 0 THEN 'partial' WHEN count(*) FILTER (s = 'skipped') > 0 THEN 'skipped' ELSE 'failed' END AS run_status FROM r GROUP BY run_id""")
 def collection_status(spark, d):
     i, u = F.col("event_id"), F.col("user_id") % 40
-    return report.collection_status(_t(spark, d, "events").where((u > 4) | (i % 3 > 0)).select(u.alias("run_id"), F.when(i % 3 == 0, "succeeded").when(i % 3 == 1, "failed").otherwise("skipped").alias("status")))
+    return report.collection_status(_t(spark, d, "events").select(u.alias("run_id"), F.when((i % 3 == 0) & (u > 4), "succeeded").when(i % 3 == 1, "failed").otherwise("skipped").alias("status")))
 
 
 @query("""WITH t AS (SELECT user_id AS k, ts, event_id FROM events WHERE event_type = 'error'),
@@ -414,19 +438,19 @@ def rounds_in_windows(spark, d):
     return window_report.rounds_in_window(_t(spark, d, "events").select("user_id", _utc("ts").alias("observed_at")), w).groupBy("window_id").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query(f"""WITH {_PAIR.replace('SELECT event_id, platform, round(delta', ', y AS (SELECT event_id, platform, round(delta')})
+@query(f"""WITH {_pair(OBS)}
 SELECT event_id, max(CASE WHEN platform = 'zhihu' THEN trend END) AS zhihu_trend, max(CASE WHEN platform = 'weibo' THEN trend END) AS weibo_trend,
- CASE count(*) FILTER (trend <> 'unknown') WHEN 2 THEN 'ok' WHEN 1 THEN 'partial' ELSE 'unknown' END AS status FROM y GROUP BY event_id""".replace("FROM x)", "FROM x)").replace("lim FROM v)\n, y", "lim FROM v), y"))
+ CASE count(*) FILTER (trend <> 'unknown') WHEN 2 THEN 'ok' WHEN 1 THEN 'partial' ELSE 'unknown' END AS status FROM tr GROUP BY event_id""")
 def event_heat_status(spark, d):
     t = trend.latest_pair(observations(spark, d), _wide()).withColumn("last_score", F.lit(None).cast("double"))
     return trend.event_heat(t).select("event_id", "zhihu_trend", "weibo_trend", "status")
 
 
-@query("""WITH k AS (SELECT c_custkey AS id, 'n' || c_nationkey AS key FROM customer WHERE c_custkey % 3 = 0), s AS (SELECT s_suppkey AS id, 'n' || s_nationkey AS key FROM supplier)
+@query("""WITH k AS (SELECT c_custkey AS id, 'n' || c_nationkey AS key FROM customer), s AS (SELECT s_suppkey AS id, 'n' || s_nationkey AS key FROM supplier)
 SELECT CAST(k.id AS VARCHAR) AS signal_id, CAST(s.id AS VARCHAR) AS event_id, false AS id_match, true AS url_match FROM k JOIN s USING (key)""")
 def hard_identity_matches(spark, d):
     none = {c: X.empty() for c in match.IDENTITIES}
-    a = _t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("signal_id"), "c_nationkey").withColumns(none | {"urls": F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")))})
+    a = _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("signal_id"), "c_nationkey").withColumns(none | {"urls": F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")))})
     b = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("event_id"), "s_nationkey").withColumns(none | {"urls": F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))})
     return match.hard_identities(a, b)
 
@@ -443,25 +467,28 @@ def merged_events(spark, d):
     return match.merge_events(e.drop("target_id"), e.select("event_id", "target_id")).select("event_id", F.array_join("source_ids", ",").alias("source_ids"))
 
 
+def _title():
+    """A text's first sentence."""
+    return F.trim(F.regexp_replace(F.regexp_extract(F.coalesce("text", F.lit("")), r"^\s*([^.!?。！？\n]*)", 1), r"\s+", " "))
+
+
 @query()
 def resolved_round(spark, d):
-    w = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 12)
-    side = lambda name, key, text, i: _t(spark, d, name).select(F.concat(F.lit(i), F.col(key).cast("string")).alias(i), F.array_join(w, " ").alias("title"), F.col(text).alias("text"), w.alias("keywords"), *[X.empty().alias(c) for c in ("entities", "actions", *match.IDENTITIES)], F.lit(None).cast("timestamp").alias("time"), F.lit(False).alias("weak"))
-    return resolution.resolve_round(side("benchmark", "item_id", "text", "signal_id"), side("documents", "doc_id", "text", "event_id"))
+    w = F.slice(F.split(_title(), " "), 1, 12)  # an event's keywords are few
+    side = lambda name, key, text, i: _t(spark, d, name).select(F.concat(F.lit(i), F.col(key).cast("string")).alias(i), F.col(key).alias("seq"), _title().alias("title"), F.col(text).alias("text"), w.alias("keywords"), *[X.empty().alias(c) for c in ("entities", "actions", *match.IDENTITIES)], F.lit(None).cast("timestamp").alias("time"), F.lit(False).alias("weak"))
+    out = resolution.resolve_in_order(side("benchmark", "item_id", "text", "signal_id"), side("documents", "doc_id", "text", "event_id"))
+    return out.select("signal_id", "event_id", "decision", "confidence", "status", "target")
 
 
 @query()
 def extracted_signals(spark, d):
     docs = _t(spark, d, "documents")
-    raw = docs.select(F.col("source").alias("source_id"), F.substring("text", 1, 60).alias("title"), F.lit(None).cast("string").alias("url"), F.lit("").alias("summary"), F.col("text").alias("content"), X.empty().alias("topics"), F.col("doc_id").cast("string").alias("external_id"), F.lit("2024-01-01T00:00:00Z").alias("published_raw"), F.lit(START).alias("fetched_at"))
+    raw = docs.select(F.col("source").alias("source_id"), _title().alias("title"), F.lit(None).cast("string").alias("url"), F.lit("").alias("summary"), F.col("text").alias("content"), X.empty().alias("topics"), F.col("doc_id").cast("string").alias("external_id"), F.lit("2024-01-01T00:00:00Z").alias("published_raw"), F.lit(START).alias("fetched_at"))
     items = normalize.normalize_items(raw).withColumns({"item_id": F.col("external_id"), "relation_decision": F.lit(None).cast("string"), "signal_role": F.lit("topic_discovery"), "source_status": F.lit("use"), "channel": F.lit(None).cast("string")})
     return normalize.extract_signals(normalize.source_signals(items), "run").select("item_id", "event_signal_id", "keywords", "event_type", "is_weak_signal", "confidence")
 
 
-_IN_WINDOW = _PAIR.replace("FROM events)", "FROM events WHERE ts > TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20')").replace("SELECT event_id, platform, round(delta", ", tr AS (SELECT event_id, platform, round(delta") + ")"
-
-
-@query(f"""WITH {_IN_WINDOW.replace("FROM v)\n, tr", "FROM v), tr")},
+@query(f"""WITH {_pair(OBS.replace("FROM events)", "FROM events WHERE ts > TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20')"))},
 st AS (SELECT event_id, platform, max(observed_at) FILTER (present) AS last_seen FROM obs GROUP BY ALL),
 g AS (SELECT *, coalesce(present, false) AND collection_status = 'succeeded' AND list_complete AS good FROM obs),
 gj AS (SELECT *, CASE WHEN good AND coalesce(lag(good) OVER w, false) AND date_diff('microsecond', lag(observed_at) OVER w, observed_at) / 6e7 <= 1440 AND lag(topn_scope) OVER w = topn_scope THEN 0 ELSE 1 END AS brk FROM g WINDOW w AS (PARTITION BY event_id, platform ORDER BY observed_at, observation_id)),
@@ -471,7 +498,7 @@ la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, platfo
 j AS (SELECT la.event_id, la.platform, la.present, la.rank, la.score, st.last_seen, date_diff('microsecond', st.last_seen, TIMESTAMP '2024-01-20') / 6e7 > 1440 AS stale, tr.trend, seg.n, seg.minutes
       FROM la JOIN st USING (event_id, platform) LEFT JOIN tr USING (event_id, platform) LEFT JOIN seg USING (event_id, platform)),
 rr AS (SELECT event_id, platform, count(DISTINCT run_id) AS recent FROM obs WHERE present AND observed_at > TIMESTAMP '2024-01-13' GROUP BY ALL)
-SELECT event_id, platform, CAST(row_number() OVER (PARTITION BY platform ORDER BY CASE WHEN present THEN 0 WHEN present IS NULL THEN 1 ELSE 2 END, coalesce(rank, 9999), coalesce(score, -1) DESC, event_id) AS INTEGER) AS place, present, recent AS rounds,
+SELECT event_id, platform, row_number() OVER (PARTITION BY platform ORDER BY CASE WHEN present THEN 0 ELSE 1 END, CASE WHEN platform = 'zhihu' THEN rank END NULLS LAST, score DESC NULLS LAST, coalesce(CASE WHEN NOT stale AND n > 1 THEN minutes END, 0) DESC, event_id) AS place, present, recent AS rounds,
        CASE WHEN last_seen IS NULL THEN NULL WHEN stale THEN 'unknown' ELSE coalesce(trend, 'unknown') END AS trend, round(CASE WHEN NOT stale AND n > 1 THEN minutes END, 6)::DOUBLE AS duration_minutes FROM j LEFT JOIN rr USING (event_id, platform)""")
 def window_report_ranking(spark, d):
     return window_report.window_report(observations(spark, d).withColumn("ingested_at", F.col("observed_at")), START, END, _wide()).select("event_id", "platform", "place", "present", "rounds", "trend", F.round("duration_minutes", 6).alias("duration_minutes"))
@@ -479,9 +506,9 @@ def window_report_ranking(spark, d):
 
 @query()
 def official_support(spark, d):
-    w = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 8)
-    e = _t(spark, d, "benchmark").select(F.col("item_id").alias("event_id"), F.array_join(w, " ").alias("title"), X.empty().alias("entities"), w.alias("keywords"))
-    pool = _t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.array_join(w, " ").alias("title"), "text", X.empty().alias("entities"), F.lit("use").alias("status"), F.lit("https://x.org").alias("url"), F.lit(START).alias("published_at"))
+    w = F.slice(F.split(_title(), " "), 1, 8)  # an event's keywords are few
+    e = _t(spark, d, "benchmark").select(F.col("item_id").alias("event_id"), _title().alias("title"), X.empty().alias("entities"), w.alias("keywords"))
+    pool = _t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), _title().alias("title"), "text", X.empty().alias("entities"), F.lit("use").alias("status"), F.lit("https://x.org").alias("url"), F.lit(START).alias("published_at"))
     return official.support(e, pool, F.lit(END))
 
 
@@ -489,15 +516,12 @@ def official_support(spark, d):
 SELECT event_id, platform, epoch_us(observed_at) AS observed_us, CASE WHEN dl IS NULL THEN 'unknown' WHEN dl >= 0.05 THEN 'rising' WHEN dl <= -0.05 THEN 'cooling' ELSE 'stable' END AS trend FROM l""")
 def streamed_trend(spark, d):
     """The stream of observations, drained once, with state by series."""
-    import tempfile
-    import uuid
-
     from .streaming import rounds
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}") + f"/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     observations(spark, d).select("event_id", "platform", "observed_at", "observation_id", "score").write.parquet(f"{base}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
-    rounds.running_trend(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(once=True).start().awaitTermination()
+    rounds.running_trend(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema("event_id bigint, platform string, observed_at timestamp, trend string").parquet(f"{base}/out")
     return out.select("event_id", "platform", F.unix_micros("observed_at").alias("observed_us"), "trend")
 
@@ -523,10 +547,10 @@ def current_attention(spark, d):
     return filters.current_attention(o.select("event_id").distinct(), o.withColumn("signal_role", F.when(F.col("platform") == "zhihu", "topic_discovery")), F.lit(END))
 
 
-@query(f"""WITH {OBS}, e AS (SELECT event_id, min(observed_at) AS f, max(observed_at) AS l FROM obs WHERE observation_id % 40 = 0 GROUP BY event_id)
+@query(f"""WITH {OBS}, e AS (SELECT event_id, min(observed_at) FILTER (observation_id % 40 = 0) AS f, max(observed_at) FILTER (observation_id % 40 = 0) AS l FROM obs GROUP BY event_id)
 SELECT 'evt_' || event_id AS event_id FROM e WHERE f <= TIMESTAMP '2024-01-20' AND l >= TIMESTAMP '2024-01-17' AND event_id % 6 <> 0""")
 def candidate_events(spark, d):
-    e = observations(spark, d).where("observation_id % 40 = 0").groupBy("event_id").agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"))
+    e = observations(spark, d).withColumn("observed_at", F.when(F.col("observation_id") % 40 == 0, F.col("observed_at"))).groupBy("event_id").agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"))
     e = e.select(F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("event_id"), F.when(F.col("event_id") % 6 == 0, "merged").otherwise("active").alias("status"), "first_seen_at", "last_seen_at")
     return filters.candidate_events(e, F.lit(START), F.lit(END)).select("event_id")
 
@@ -548,15 +572,14 @@ def latest_deliveries(spark, d):
     return filters.latest_per_address(_t(spark, d, "customer").select(F.col("c_mktsegment").alias("email"), F.col("c_custkey").alias("delivery_id")))
 
 
-@query(f"""WITH {_BM25}, p AS (SELECT item_id, doc_id FROM benchmark JOIN documents ON source = 'src' || (item_id % 20) WHERE doc_id % (1 + item_id % 5) = 0),
+@query(f"""WITH {_BM25}, p AS (SELECT item_id, doc_id FROM benchmark JOIN documents ON source = 'src' || (item_id % 20)),
 n AS (SELECT item_id, count(*) AS c FROM p GROUP BY item_id),
 r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS k FROM p JOIN sc USING (item_id, doc_id))
 SELECT p.item_id, p.doc_id, CASE WHEN c <= 20 THEN 'all_within_limit' ELSE 'retrieved' END AS method FROM p JOIN n USING (item_id) LEFT JOIN r USING (item_id, doc_id) WHERE c <= 20 OR k <= 20""")
 def candidate_selection(spark, d):
     b, docs = _t(spark, d, "benchmark"), _t(spark, d, "documents")
-    pool = b.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source")).join(docs.select("doc_id", "source"), "source").where("doc_id % (1 + item_id % 5) = 0")
-    scored = retrieve.bm25(b, docs, "item_id", "doc_id", "text", "text").join(pool.select("item_id", "doc_id"), ["item_id", "doc_id"])
-    ranked = retrieve.top_k(scored, ["item_id"], 20, F.desc(F.round("score", 9)), F.asc("doc_id"))
+    pool = b.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source")).join(docs.select("doc_id", "source"), "source")
+    ranked = retrieve.bm25_top_k(b, docs, "item_id", "doc_id", "text", "text", 20, only=pool)
     return retrieve.select_candidates(pool, ranked, "item_id", "doc_id")
 
 
@@ -603,8 +626,8 @@ def briefing_cards(spark, d):
 
 @query(f"""WITH {_CARDS}, s AS (SELECT *, unnest(list_filter([CASE WHEN z AND w THEN 'shared' END, CASE WHEN z THEN 'zhihu' END, CASE WHEN w THEN 'weibo' END, CASE WHEN fresh AND category = 'F_x' THEN 'official' END, category[1]], lambda x: x IS NOT NULL)) AS section FROM cards WHERE excluded IS NULL),
 r AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 7 <> 0 END AS present, CASE WHEN section = 'zhihu' THEN event_id % 30 END AS rank, (event_id % 100) / 100.0::DOUBLE AS score FROM s)
-SELECT section, event_id, CAST(row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section IN ('zhihu', 'weibo') THEN CASE WHEN present THEN 0 WHEN present IS NULL THEN 1 ELSE 2 END WHEN section = 'official' THEN -sources ELSE 0 END,
-    CASE WHEN section = 'zhihu' THEN rank WHEN section = 'official' THEN -epoch_us(latest) ELSE 0 END, CASE WHEN section IN ('zhihu', 'weibo') THEN -score ELSE 0 END, CASE WHEN section IN ('zhihu', 'weibo', 'official') THEN '' ELSE title END, event_id) AS INTEGER) AS place FROM r""")
+SELECT section, event_id, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section IN ('zhihu', 'weibo') THEN CASE WHEN present THEN 0 WHEN present IS NULL THEN 1 ELSE 2 END WHEN section = 'official' THEN -sources ELSE 0 END,
+    CASE WHEN section = 'zhihu' THEN rank WHEN section = 'official' THEN -epoch_us(latest) ELSE 0 END, CASE WHEN section IN ('zhihu', 'weibo') THEN -score ELSE 0 END, CASE WHEN section IN ('zhihu', 'weibo', 'official') THEN '' ELSE title END, event_id) AS place FROM r""")
 def briefing_sections(spark, d):
     k = F.col("c_custkey")
     ranking = _t(spark, d, "customer").select(k.alias("event_id"), F.explode(F.array(F.lit("zhihu"), F.lit("weibo"))).alias("platform"), F.when(k % 5 != 0, k % 7 != 0).alias("present"), (k % 30).alias("rank"), ((k % 100) / 100).alias("score"))
@@ -635,7 +658,7 @@ def recorded_round(spark, d):
     ids = o.select("event_id").distinct()
     tracked = o.select("event_id", "platform").distinct()
     scores = tracked.join(rounds.select("platform", "round_id"), "platform").withColumn("score", F.col("event_id") % 10 / 10)
-    out = round_record.record_round(tracked, rounds, items, ids.select(key.alias("content_hash"), "event_id"), ids.where("event_id % 10 = 0").select(key.alias("content_hash"), (F.col("event_id") + 1).alias("event_id")), scores)
+    out = round_record.record_round(tracked, rounds, items, ids.select(key.alias("content_hash"), "event_id"), ids.select(key.alias("content_hash"), F.when(F.col("event_id") % 10 == 0, F.col("event_id") + 1).otherwise(F.col("event_id")).alias("event_id")), scores)
     return out.select("event_id", "platform", "day", "present", "rank", "native_heat", "score")
 
 
@@ -666,12 +689,12 @@ def profile_ablation(spark, d):
     return evaluate.ablation(base, runs)
 
 
-@query("""WITH c AS (SELECT doc_id, lang AS kind, quality = 1 - toxic AND doc_id % 9 <> 0 AS ok FROM labels JOIN documents USING (doc_id))
+@query("""WITH c AS (SELECT doc_id, lang AS kind, quality = CASE WHEN doc_id % 9 = 0 THEN quality + 1 ELSE 1 - toxic END AS ok FROM labels JOIN documents USING (doc_id))
 SELECT kind, count(*) AS n, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) / count(*)::DOUBLE, 6) AS rate FROM c GROUP BY kind""")
 def evaluation_suite(spark, d):
     rows = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id").withColumn("case_id", F.col("doc_id"))
     made = lambda c: F.create_map(F.lit("answer"), c.cast("string"))
-    return evaluate.suite(rows.select("case_id", F.col("lang").alias("kind"), made(F.col("quality")).alias("expected")), rows.where("doc_id % 9 <> 0").select("case_id", made(1 - F.col("toxic")).alias("actual")))
+    return evaluate.suite(rows.select("case_id", F.col("lang").alias("kind"), made(F.col("quality")).alias("expected")), rows.select("case_id", made(F.when(F.col("doc_id") % 9 == 0, F.col("quality") + 1).otherwise(1 - F.col("toxic"))).alias("actual")))
 
 
 @query("""WITH r AS (SELECT o_orderdate AS t, CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'O' THEN 'succeeded' ELSE 'failed' END AS status FROM orders), s AS (SELECT l_shipdate AS t, CASE WHEN l_returnflag = 'N' THEN 'sent' ELSE 'pending' END AS status FROM lineitem)

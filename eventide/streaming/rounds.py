@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,9 @@ def distinct_observations(obs: DataFrame, late: str = "72 hours") -> DataFrame:
 
 
 def slot_counts(obs: DataFrame, slot: str = "1 hour", late: str = "72 hours") -> DataFrame:
-    """Rounds and best score by event, platform and sampling slot."""
+    """Rounds (counted exactly: a slot has few) and best score by event, platform and sampling slot."""
     w = obs.withWatermark("observed_at", late).groupBy(F.window("observed_at", slot), "event_id", "platform")
-    return w.agg(F.approx_count_distinct("run_id", 0.01).alias("rounds"), F.max("score").alias("score")).select("window.start", "window.end", "event_id", "platform", "rounds", "score")
+    return w.agg(F.size(F.collect_set("run_id")).cast("bigint").alias("rounds"), F.max("score").alias("score")).select("window.start", "window.end", "event_id", "platform", "rounds", "score")
 
 
 def rolling_presence(obs: DataFrame, size: str = "24 hours", slide: str = "1 hour", late: str = "72 hours") -> DataFrame:
@@ -35,23 +36,21 @@ def presence_sessions(obs: DataFrame, gap: str = "120 minutes", late: str = "72
 
 
 def running_trend(obs: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """Direction of each observation against the one before, with state by series. Rows of a
-    series are ordered inside a batch; older ones than the state are flagged late, not applied."""
+    """Direction of each observation against the one before, with state by series. What a series has
+    in one batch (bound it by files or rows a trigger) is ordered and compared as whole columns;
+    rows older than the state are flagged late, not applied."""
     out = "event_id bigint, platform string, observed_at timestamp, trend string"
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        f = pd.concat([x[["observed_at", "observation_id", "score"]] for x in frames]).sort_values(["observed_at", "observation_id"])
         last = state.get if state.exists else None
-        for f in [pd.concat(list(frames)).sort_values(["observed_at", "observation_id"])]:
-            rows = []
-            for r in f.itertuples():
-                at = r.observed_at.value
-                if last is not None and at < last[0]:
-                    rows.append((key[0], key[1], r.observed_at, "late"))
-                    continue
-                d = None if last is None else r.score - last[1]
-                rows.append((key[0], key[1], r.observed_at, "unknown" if d is None else "rising" if d >= threshold else "cooling" if d <= -threshold else "stable"))
-                last = (at, float(r.score))
-            state.update(last)
-            yield pd.DataFrame(rows, columns=["event_id", "platform", "observed_at", "trend"])
+        at, score = f["observed_at"].astype("int64").to_numpy(), f["score"].to_numpy(float)
+        late = at < last[0] if last else np.zeros(len(f), bool)
+        old = int(late.sum())  # they come first
+        change = np.diff(score[old:], prepend=last[1] if last else np.nan)
+        trend = np.select([np.isnan(change), change >= threshold, change <= -threshold], ["unknown", "rising", "cooling"], "stable")
+        if old < len(f):
+            state.update((int(at[-1]), float(score[-1])))
+        yield pd.DataFrame({"event_id": key[0], "platform": key[1], "observed_at": f["observed_at"].to_numpy(), "trend": ["late"] * old + trend.tolist()})
 
     return obs.groupBy("event_id", "platform").applyInPandasWithState(step, out, "at bigint, score double", "append", GroupStateTimeout.NoTimeout)

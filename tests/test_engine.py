@@ -346,16 +346,16 @@ def test_card_texts(spark):
 
 
 def test_articles(spark):
-    html = "<html><head><title>x</title><meta property='og:title' content='The title'></head><body><nav>menu menu menu menu menu</nav><p>" + "long paragraph " * 8 + "</p><p>short</p><script>var a = 'not text not text';</script></body></html>"
+    html = "<html><head><title>x</title><meta property='og:title' content='The title'></head><body><nav>menu menu menu menu menu</nav><article><p>" + "long paragraph " * 8 + "</p><p>short</p></article><script>var a = 'not text not text';</script></body></html>"
     got = readers.articles(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).orderBy("page_id").collect()
     assert got[0]["title"] == "The title" and got[0]["body"].startswith("long paragraph") and "menu" not in got[0]["body"] and "not text" not in got[0]["body"]
     assert got[1]["title"] is None and got[1]["body"] is None
 
 
 def test_summary_keeps_order_and_budget(spark):
-    body = "无关的一句话在这里。品牌召回通知发布于2026年。另一个无关的句子啊。品牌召回的范围很大哦。"
+    body = "无关的一句话在这里。品牌召回通知发布于2026年。另一个无关的句子啊。品牌召回的范围真的很大哦。"
     got = one(spark, readers.extract_summary(F.col("t"), F.col("b"), 2, 600), t="品牌召回", b=body)
-    assert got == "品牌召回通知发布于2026年。 品牌召回的范围很大哦。"
+    assert got == "品牌召回通知发布于2026年。\n品牌召回的范围真的很大哦。"
 
 
 def test_replay_and_normalisation(spark, tmp_path):
