@@ -29,6 +29,11 @@ def summary(cases: DataFrame, by: list[str]) -> DataFrame:
     return sets.agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
 
 
+def by_method(cases: DataFrame) -> DataFrame:
+    """method, n, passed over the methods that matched a case; a case counts for each of its methods."""
+    return cases.select("passed", F.explode(F.array_distinct("matched_by")).alias("method")).groupBy("method").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
+
+
 def split_leaks(cases: DataFrame) -> DataFrame:
     """Groups with cases in more than one split."""
     g = cases.select(F.explode("groups").alias("group"), "split")

@@ -23,12 +23,14 @@ def presence(hit: Column, succeeded: Column, complete: Column, same_scope: Colum
     return F.when(hit & succeeded, True).when(~hit & succeeded & complete & same_scope, False)
 
 
-def presence_matrix(tracked: DataFrame, rounds: DataFrame, hits: DataFrame) -> DataFrame:
+def presence_matrix(tracked: DataFrame, rounds: DataFrame, hits: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """tracked events x rounds of their platform with presence. ``tracked``: event_id, platform;
     ``rounds``: round_id, platform, observed_at, succeeded, complete, scope; ``hits``: event_id,
-    round_id. Events and rounds meet on the platform; the rounds of a report window are few."""
+    round_id. Events and rounds meet on the platform; a row an event and round is the result, so bound the
+    rounds by a report's window (``start``, ``end``]. Scopes compare with the round before, in the window or not."""
     previous = F.lag("scope").over(Window.partitionBy("platform").orderBy("observed_at", "round_id"))
     r = rounds.withColumn("same_scope", F.coalesce(previous == F.col("scope"), F.lit(True)))
+    r = r.where((F.col("observed_at") > start) & (F.col("observed_at") <= end)) if start is not None and end is not None else r
     h = hits.select("event_id", "round_id", F.lit(True).alias("hit")).distinct()
     m = tracked.join(r, "platform").join(h, ["event_id", "round_id"], "left")
     return m.withColumn("present", presence(F.coalesce("hit", F.lit(False)), F.col("succeeded"), F.col("complete"), F.col("same_scope"))).drop("hit")

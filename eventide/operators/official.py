@@ -47,6 +47,16 @@ def support(events: DataFrame, pool: DataFrame, end: Column, cfg: SupportConfig
     return out.select("event_id", F.when(F.col("n_supported") > 0, "supported").when(F.col("n") > 0, "weak_supported").otherwise("not_found").alias("support_status"), F.coalesce("n_supported", F.lit(0)).alias("n_supported"), "best_item")
 
 
+def best_freshness(refs: DataFrame, end: Column) -> DataFrame:
+    """event_id, freshness: the bucket of an event's freshest reference."""
+    return refs.groupBy("event_id").agg(N.freshness_bucket(F.min(N.hours_between(end, F.col("published_at")))).alias("freshness"))
+
+
+def reference_order(refs: DataFrame) -> DataFrame:
+    """Adds place: an event's references, supporting ones first, then by reranker (none last) and score."""
+    return ranked(refs, ["event_id"], [F.desc("supported"), F.desc_nulls_last("rerank"), F.desc("score"), F.asc("item_id")])
+
+
 def coverage(refs: DataFrame) -> DataFrame:
     """event_id, sources, stories, level: how many independent sources and stories support it."""
     out = refs.groupBy("event_id").agg(F.count_distinct("source_name").alias("sources"), F.count_distinct(X.normalize_words(F.col("title"))).alias("stories"))

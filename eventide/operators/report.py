@@ -68,6 +68,12 @@ def ledger(log: DataFrame) -> DataFrame:
     return log.rollup("task").agg(F.count("*").alias("requests"), F.coalesce(F.sum("charged"), F.lit(0)).alias("charged"), F.count_if(F.col("charged").isNull()).alias("unknown"))
 
 
+def budget(log: DataFrame, limit: int, reserve: int) -> DataFrame:
+    """One row: requests, charged, left, and whether another request that may cost ``reserve`` fits."""
+    a = log.agg(F.count("*").alias("requests"), F.coalesce(F.sum("charged"), F.lit(0)).alias("charged"))
+    return a.withColumns({"left": F.lit(limit) - F.col("charged"), "fits": F.col("charged") + reserve <= limit})
+
+
 def latest_by(df: DataFrame, key: list[str], *order: str) -> DataFrame:
     """The latest row of each key; ties by the later columns of ``order``."""
     w = Window.partitionBy(*key).orderBy(*[F.desc(o) for o in order])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PLATFORM_LABELS
+from ..functions import identity as I
 from ..functions import numbers as N
 from ..operators.ranking import ranked
 
@@ -67,6 +70,35 @@ def sections(cards_: DataFrame, ranking: DataFrame) -> DataFrame:
     return ranked(j.withColumn("_key", key), ["section"], [F.asc("_key"), F.asc("event_id")]).select("section", "event_id", "place")
 
 
+def publication_errors(cards_: DataFrame, cited: DataFrame, health: DataFrame, run_id: str, start: Column, end: Column, created: Column) -> DataFrame:
+    """event_id (null: the briefing's), error: everything that keeps a briefing from publication, once each.
+
+    ``cards_``: event_id, section, run_id, window_start, window_end, has_analysis, official_source, zhihu_topn,
+    weibo_topn; ``cited``: event_id, url, source_type, fetched_at, published_at, is_prior_report, prior_allowed;
+    ``health``: status of each source."""
+    of = lambda df, error, who="event_id": df.select(F.col(who).alias("event_id") if who else F.lit(None).cast(cards_.schema["event_id"].dataType).alias("event_id"), F.lit(error).alias("error"))
+    one = cards_.dropDuplicates(["event_id"])
+    official = F.col("source_type") == "official_news"
+    with_cards = cited.join(one.select("event_id", (F.col("zhihu_topn") | F.col("weibo_topn")).alias("_topn")), "event_id", "left")
+    inside = lambda c: (F.col(c) > start) & (F.col(c) <= end)
+    prior = F.coalesce(F.col("is_prior_report") & F.col("_topn") & F.col("prior_allowed"), F.lit(False))
+    supported = cited.where(official).select("event_id").distinct()
+    parts = [
+        of(cards_.groupBy("event_id", "section").count().where("count > 1"), "duplicate_in_section"),
+        of(cards_.where(~(F.col("run_id").eqNullSafe(F.lit(run_id)) & F.col("window_start").eqNullSafe(start) & F.col("window_end").eqNullSafe(end))), "classification_window_mismatch"),
+        of(cards_.where(~F.coalesce("has_analysis", F.lit(False))), "missing_platform_analysis"),
+        of(cards_.where("official_source").join(supported, "event_id", "left_anti"), "official_class_without_official_citation"),
+        of(cited.where(~I.safe_url(F.col("url"))), "invalid_url"),
+        of(cited.where(~official & ~F.coalesce(inside("fetched_at"), F.lit(False))), "citation_out_of_window"),
+        of(cited.where(F.col("fetched_at") > created), "citation_not_yet_collected"),
+        of(with_cards.where(official & ~F.coalesce(inside("published_at"), F.lit(False)) & ~prior), "official_publication_out_of_window"),
+        of(cards_.agg(F.count("*").alias("n")).where("n = 0"), "no_event_with_citations", None),
+        of(health.agg(F.count_if(F.col("status").isin("succeeded", "partial")).alias("n")).where("n = 0"), "no_usable_source", None),
+        of(cards_.sparkSession.range(1).where(~F.coalesce(start < end, F.lit(False))), "invalid_window", None),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def risks(cards_: DataFrame, health: DataFrame, pending: DataFrame) -> DataFrame:
     """One row: what a reader should know: excluded events, pending reviews, sources in doubt."""
     a = cards_.agg(F.count_if(F.col("excluded").isNotNull()).alias("excluded"), F.count_if(F.col("excluded").isNull() & F.col("category").startswith("F_")).alias("official_news"), F.count_if(F.col("excluded").isNull() & ~F.col("category").startswith("F_")).alias("community_events"))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from eventide.config import MatchConfig, TrendConfig
 from eventide.functions import numbers as N
 from eventide.functions import text as X
-from eventide.operators import filters, guardrails, match, normalize, ranking, retrieve, review, trend
-from eventide.plans import resolution
+from eventide.operators import evaluate, filters, guardrails, match, normalize, official, ranking, report, retrieve, review, trend
+from eventide.plans import briefing, resolution
 from eventide.sources import readers, shared
 
 T0 = datetime(2026, 9, 14)
@@ -314,6 +314,42 @@ def test_maps_documents_and_merges(spark):
     assert (r["event_id"], r["first_seen_at"], r["source_ids"], r["documents"]) == ("x", T0 - timedelta(1), ["1", "2"], ["d0", "d3", "d4"])
 
 
+def test_collection_never_stops(spark, tmp_path):
+    (tmp_path / "hot.json").write_text('{"payload": "[{\\"title\\": \\"a\\", \\"target\\": {\\"id\\": \\"1\\", \\"type\\": \\"question\\"}}, {\\"title\\": \\"b\\"}]"}\n')
+    (tmp_path / "empty.json").write_text('{"payload": "[]"}\n')
+    plan = [{"source_id": "h", "kind": "hot_list", "path": str(tmp_path / "hot.json"), "limit": 1}, {"source_id": "x", "kind": "nobody", "path": "."}, {"source_id": "gone", "kind": "hot_list", "path": str(tmp_path / "none.json")}, {"source_id": "e", "kind": "hot_list", "path": str(tmp_path / "empty.json")}]
+    items, outcomes = readers.collect(spark, plan, T0)
+    assert [(r["source_id"], r["rank"], r["title"]) for r in items.collect()] == [("h", 1, "a")]
+    assert {r["source_id"]: (r["status"], r["items"]) for r in outcomes.collect()} == {"h": ("succeeded", 1), "x": ("failed", 0), "gone": ("failed", 0), "e": ("skipped", 0)}
+    assert readers.collect(spark, plan[1:3], T0)[0].count() == 0
+
+
+def test_publication_errors(spark):
+    end = T0 + timedelta(1)
+    card = "event_id string, section string, run_id string, window_start timestamp, window_end timestamp, has_analysis boolean, official_source boolean, zhihu_topn boolean, weibo_topn boolean"
+    cite = "event_id string, url string, source_type string, fetched_at timestamp, published_at timestamp, is_prior_report boolean, prior_allowed boolean"
+    good = ("e", "s", "r", T0, end, True, True, True, False)
+    cards = [good, ("f", "s", "r", T0, end, True, False, True, False), ("f", "s", "r", T0, end, True, False, True, False), ("g", "s", "old", T0, end, None, True, False, False)]
+    inside, before = T0 + timedelta(hours=3), T0 - timedelta(hours=3)
+    cites = [("e", "https://x.org", "official_news", before, before, True, True), ("f", "ftp://x", "community", before, None, None, None), ("f", "https://x.org", "official_news", inside, before, True, False), ("f", "https://x.org", "community", end + timedelta(1), None, None, None)]
+    run = lambda a, b, status: {tuple(r) for r in briefing.publication_errors(spark.createDataFrame(a, card), spark.createDataFrame(b, cite), spark.createDataFrame([(status,)], "status string"), "r", F.lit(T0), F.lit(end), F.lit(end)).collect()}
+    assert run([good], cites[:1], "partial") == set()
+    assert run(cards, cites, "failed") == {("f", "duplicate_in_section"), ("g", "classification_window_mismatch"), ("g", "missing_platform_analysis"), ("g", "official_class_without_official_citation"), ("f", "invalid_url"), ("f", "citation_out_of_window"), ("f", "citation_not_yet_collected"), ("f", "official_publication_out_of_window"), (None, "no_usable_source")}
+    assert run([], [], "succeeded") == {(None, "no_event_with_citations")}
+
+
+def test_small_reports(spark):
+    log = spark.createDataFrame([(5,), (None,), (7,)], "charged int")
+    assert tuple(report.budget(log, 20, 8).first()) == (3, 12, 8, True) and not report.budget(log, 20, 9).first()["fits"]
+    refs = spark.createDataFrame([(1, T0 - timedelta(hours=100)), (1, T0 - timedelta(hours=30)), (2, None)], "event_id int, published_at timestamp")
+    assert dict(official.best_freshness(refs, F.lit(T0)).collect())[1] == "72h"
+    order = spark.createDataFrame([(1, 1, True, None, 9.0), (1, 2, True, 0.9, 1.0), (1, 3, False, 0.99, 9.0), (1, 4, True, 0.9, 2.0)], "event_id int, item_id int, supported boolean, rerank double, score double")
+    assert {r["item_id"]: r["place"] for r in official.reference_order(order).collect()} == {4: 1, 2: 2, 1: 3, 3: 4}
+    cases = spark.createDataFrame([(True, ["a", "b", "a"], 1.0, 1.5), (False, ["b"], 2.0, None)], "passed boolean, matched_by array<string>, e double, a double")
+    assert {tuple(r) for r in evaluate.by_method(cases).collect()} == {("a", 1, 1), ("b", 2, 1)}
+    assert tuple(evaluate.mean_absolute_error(cases, "e", "a").first()) == (0.5, 1)
+
+
 def test_shared_folder_must_be_set_on_a_cluster(spark):
     class Conf:
         def get(self, key, default=None):
