@@ -9,9 +9,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.settle import let, settled
 from ..sources.shared import new_path, shared_dir, stored
 
-__all__ = ["CHUNK_CHARS", "SPACE", "WORD", "ascii_lower", "equal_rows", "new_path", "numbered", "one_each", "settled", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_key", "words"]
+__all__ = ["CHUNK_CHARS", "SPACE", "WORD", "ascii_lower", "let", "new_path", "numbered", "one_each", "settled", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_key", "words"]
 
 #: The white space every contract speaks of: space, tab, line feed, vertical tab, form feed, return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -51,13 +52,6 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         yield batch.slice(start)
 
 
-def settled(df: DataFrame, **cols: Column) -> DataFrame:
-    """Add columns that are worked out once a row. A filter or a later column that uses them
-    isn't rewritten in terms of their expressions: a one-row generator stands between."""
-    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_settled")
-    return df.select("*", one).select(*[c for c in df.columns if c not in cols], *[F.col(f"_settled.{n}") for n in cols])
-
-
 def text_key(text: Column) -> Column:
     """MD5 of a text (null counts as empty): with the doc_id it names a row where ids repeat or lack."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
@@ -79,29 +73,25 @@ def one_each(docs: DataFrame, verdict: DataFrame, text: str = "text") -> DataFra
     return single.unionByName(first.select("_own.*"))
 
 
-def equal_rows(docs: DataFrame) -> DataFrame:
-    """The hash ``_h`` of rows that stand in ``docs`` more than once (few, or none)."""
-    return docs.select(F.xxhash64(*docs.columns).alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
-
-
 #: Copies of one row that one task makes at once.
 _COPIES = 10_000
 
 
-def numbered(docs: DataFrame, name: str = "_k") -> DataFrame:
-    """The rows with a number that tells equal rows apart (0, 1, ...; 0 for most).
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows as ``_own`` with ``_k``, a number that tells equal rows apart (0, 1, ...; 0 for most).
 
     Rows whose hash repeats are counted, which combines them in the tasks that read them, and
     made again from their count in pieces: a row that makes up a third of the table is dealt like
     any other rows. Columns of map type can't be counted."""
-    repeated = stored(equal_rows(docs), "repeated")
-    own = docs.columns
+    zero = F.lit(0).cast("bigint")
+    rows = docs.select(F.struct(*docs.columns).alias("_own")).withColumn("_hash", F.xxhash64("_own"))
+    repeated = stored(rows.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_hash").alias("_again")), "repeated")
     if repeated.isEmpty():
-        return docs.withColumn(name, F.lit(0).cast("bigint"))
-    keyed = docs.withColumn("_h0", F.xxhash64(*own))
-    single = keyed.join(repeated, F.col("_h0") == F.col("_h"), "left_anti").drop("_h0").withColumn(name, F.lit(0).cast("bigint"))
-    counted = keyed.join(repeated, F.col("_h0") == F.col("_h"), "left_semi").groupBy(*own).agg(F.count("*").alias("_n"))
-    pieces = counted.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(_COPIES).cast("bigint"))))
-    dealt = pieces.repartition(shuffle_partitions(docs.sparkSession), F.xxhash64(*own), "_at")
-    copies = dealt.withColumn(name, F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + (_COPIES - 1), F.col("_n") - 1)))).drop("_n", "_at")
-    return single.unionByName(copies)
+        return rows.select("_own", zero.alias("_k"))
+    again = F.col("_hash") == F.col("_again")
+    single = rows.join(repeated, again, "left_anti").select("_own", zero.alias("_k"))
+    counted = rows.join(repeated, again, "left_semi").groupBy("_own").agg(F.count("*").alias("_n"))
+    pieces = counted.withColumn("_at", F.explode(F.sequence(zero, F.col("_n") - 1, F.lit(_COPIES).cast("bigint"))))
+    dealt = pieces.repartition(shuffle_partitions(docs.sparkSession), F.xxhash64("_own"), "_at")
+    last = F.least(F.col("_at") + (_COPIES - 1), F.col("_n") - 1)
+    return single.unionByName(dealt.select("_own", F.explode(F.sequence("_at", last)).alias("_k")))

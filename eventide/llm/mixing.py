@@ -76,9 +76,9 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", seed: int =
     table = stored(_inverse(means(docs, source, **targets)), "means").withColumnRenamed("source", "_source")
     few = table.count() <= BROADCAST_SOURCES
     own = [c for c in docs.columns if c not in ("copies", "copy", "shuffle_key")]
-    body = F.coalesce(F.col(text), F.lit("")) if text in own else F.lit("")
-    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(body.cast("binary")), F.col("_k").cast("string"))
-    named = numbered(docs.select(*own)).select(F.struct(*own).alias("_own"), F.col(source).alias("_of"), name.alias("_name"))
+    body = F.coalesce(F.col("_own")[text], F.lit("")) if text in own else F.lit("")
+    name = F.concat_ws(":", F.coalesce(F.col("_own.doc_id").cast("string"), F.lit("null")), F.md5(body.cast("binary")), F.col("_k").cast("string"))
+    named = numbered(docs.select(*own)).select("_own", F.col("_own")[source].alias("_of"), name.alias("_name"))
     named = named.join(F.broadcast(table) if few else table, F.col("_of").eqNullSafe(F.col("_source")))
     draw = lambda j: F.size(F.filter("cdf", lambda c: c <= F.least(uniform(F.lit(seed), F.col("_name"), j), F.lit(_TOP)))).cast("bigint")
     copies = F.aggregate(F.sequence(F.lit(0), F.col("draws") - 1), F.lit(0).cast("bigint"), lambda acc, j: acc + draw(j))

@@ -42,28 +42,27 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 16
 
 
-def _bucketed(rows: DataFrame, own: list[str], buckets: int, first: int, seed: int) -> DataFrame:
+def _bucketed(rows: DataFrame, buckets: int, first: int, seed: int) -> DataFrame:
     """Pass 2 over rows that carry their bucket (from ``first`` on): each is put in the order of a
     hash, shuffled, and written with places."""
     tasks = max(min(buckets, OWN_TASKS), -(-buckets // BUCKETS_A_TASK))
-    row = F.struct(F.xxhash64(F.lit(seed + 1), *own, "_k").alias("h"), F.struct(*own).alias("r"))
+    row = F.struct(F.xxhash64(F.lit(seed + 1), "_own", "_k").alias("h"), F.col("_own").alias("r"))
     one = rows.select("bucket", row.alias("row")).repartition(tasks, "bucket").groupBy("bucket").agg(F.collect_list("row").alias("rows"))
     by_hash = lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0)
     mixed = one.select("bucket", F.array_sort("rows", by_hash).alias("rows")).sortWithinPartitions("bucket").select("bucket", F.shuffle("rows", seed + first).alias("rows"))
-    return stored(mixed.select("bucket", F.posexplode("rows").alias("place", "row")).select("row.r.*", "bucket", F.col("place").cast("bigint").alias("place")), "buckets")
+    return stored(mixed.select("bucket", F.posexplode("rows").alias("place", "row")).select(F.col("row.r").alias("_own"), "bucket", F.col("place").cast("bigint").alias("place")), "buckets")
 
 
 def shuffled(docs: DataFrame, row_bytes: Column, seed: int = SEED) -> list[tuple[DataFrame, int]]:
-    """The rows with ``bucket`` and ``place`` (from 0), written to the shared folder, as the groups of
-    buckets that follow each other, each with the number of rows in the groups before it."""
-    own = [c for c in docs.columns if c not in _ADDED]
+    """The rows (``_own``) with ``bucket`` and ``place`` (from 0), written to the shared folder, as the
+    groups of buckets that follow each other, each with the number of rows in the groups before it."""
     total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")).first()
     buckets = max(1, -(-total["n"] // BUCKET_ROWS), -(-total["b"] // BUCKET_BYTES))
-    scatter = F.pmod(F.xxhash64(F.lit(seed), *own, "_k"), F.lit(buckets))
-    rows = numbered(docs.select(*own)).withColumn("bucket", scatter)
+    own = [c for c in docs.columns if c not in _ADDED]
+    rows = numbered(docs.select(*own)).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "_own", "_k"), F.lit(buckets)))
     groups = -(-buckets // FANOUT)
     if groups == 1:
-        return [(_bucketed(rows, own, buckets, 0, seed), 0)]
+        return [(_bucketed(rows, buckets, 0, seed), 0)]
     path = new_path(docs.sparkSession, "groups")
     rows.withColumn("group_", F.floor(F.col("bucket") / FANOUT).cast("int")).write.partitionBy("group_").parquet(path)
     read = docs.sparkSession.read.parquet(path)
@@ -72,7 +71,7 @@ def shuffled(docs: DataFrame, row_bytes: Column, seed: int = SEED) -> list[tuple
     for g in range(groups):
         if sizes.get(g):
             part = read.where(F.col("group_") == g).drop("group_")
-            out.append((_bucketed(part, own, min(FANOUT, buckets - g * FANOUT), g * FANOUT, seed), before))
+            out.append((_bucketed(part, min(FANOUT, buckets - g * FANOUT), g * FANOUT, seed), before))
             before += sizes[g]
     return out
 
@@ -88,8 +87,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, text: str =
         before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select("bucket", (F.coalesce(F.sum("n").over(before), F.lit(0)) + start).alias("offset"))
         at = F.col("offset") + F.col("place")
-        own = [c for c in rows.columns if c not in _ADDED]
-        parts.append(rows.join(F.broadcast(offsets), "bucket").select(*own, F.lit("rows").alias("law"), (at % shards).cast("int").alias("shard"), F.expr(f"(offset + place) div {int(shards)}").alias("slot")))
+        parts.append(rows.join(F.broadcast(offsets), "bucket").select("_own.*", F.lit("rows").alias("law"), (at % shards).cast("int").alias("shard"), F.expr(f"(offset + place) div {int(shards)}").alias("slot")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -220,7 +220,7 @@ def test_no_row_is_lost_for_its_id(spark):
 
 def test_hot_rows_are_counted(spark):
     d = spark.createDataFrame([(1, "hot row")] * 25_003 + [(2, "b"), (None, None), (None, None)], "doc_id bigint, text string").repartition(4)
-    got = Counter(tuple(r) for r in common.numbered(d).collect())
+    got = Counter((*r["_own"], r["_k"]) for r in common.numbered(d).collect())
     assert got == Counter([(1, "hot row", k) for k in range(25_003)] + [(2, "b", 0), (None, None, 0), (None, None, 1)])
     assert exact_dedup.drop_copies(d).count() == 3
     assert sorted(r["text"] for r in simhash.keep_one(d.where("text is not null")).collect()) == ["b", "hot row"]
@@ -501,6 +501,9 @@ def test_one_order_for_a_seed(spark, odd, monkeypatch):
     got = sharding.assign(d).collect()
     assert Counter((r["doc_id"], r["text"], r["source"]) for r in got) == Counter(tuple(r) for r in d.collect())
     assert sorted(r["slot"] * 40 + r["shard"] for r in got) == list(range(2500))
+    clash = odd.withColumns({c: F.lit(1) for c in ("_k", "_own", "_hash", "offset", "n", "row", "bucket")})
+    assert set(clash.columns) - {"shard", "bucket"} < set(sharding.assign(clash).columns)
+    assert set(clash.columns) <= set(mixing.mix(clash).columns)
     rows = sharding.assign(odd).collect()
     assert Counter(r["text"] for r in rows) == Counter(r["text"] for r in odd.collect())
 
