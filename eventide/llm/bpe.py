@@ -36,7 +36,9 @@ _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}
 _END = "</w>"
 _NONE = 1 << 60
 #: Pieces whose tokens a worker remembers, and pairs whose verdict it remembers, at most.
-CACHE_PIECES, CACHE_PAIRS = 500_000, 2_000_000
+CACHE_PIECES, CACHE_PAIRS = 500_000, 500_000
+#: New pieces that are encoded at once, at most.
+LEARN_PIECES = 25_000
 
 
 def _byte_chars() -> list[str]:
@@ -181,8 +183,9 @@ class Bpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         cuts = [self.cut(t) for t in texts]
         if new := list({p for c in cuts for p in c}.difference(self.pieces)):
-            for at in range(0, len(new), CACHE_PIECES // 2):
-                self.learn(new[at : at + CACHE_PIECES // 2])
+            step = min(LEARN_PIECES, CACHE_PIECES // 2)
+            for at in range(0, len(new), step):
+                self.learn(new[at : at + step])
         out = []
         for c in cuts:
             try:
