@@ -107,7 +107,7 @@ def links(nodes: DataFrame, distance: int, blocks: int) -> DataFrame:
     chunks = F.ceil(F.col("n") / GROUP)
     mine = F.pmod(F.xxhash64("fp", "deal"), chunks)
     lists = (
-        dealt.join(sizes, ["deal", "part"])
+        dealt.join(sizes.hint("merge"), ["deal", "part"])  # deals are many times what their source's size suggests
         .withColumn("chunks", chunks).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
         .where("chunks = 1 or other <> mine")
