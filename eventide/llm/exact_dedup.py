@@ -126,13 +126,14 @@ def _combined(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, list] = {}
-            for i, t, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "raw")), strict=True):
-                norm, key, sha = _signature(t)
-                rank = (-len(t or ""), _NO_ID if i is None else i, raw)
-                if (e := found.get(norm)) is None:
-                    found[norm] = [key, sha, 1, rank, 1]
-                else:
-                    _join(e, 1, rank, 1)
+            for part in slices(batch):
+                for i, t, raw in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "raw")), strict=True):
+                    norm, key, sha = _signature(t)
+                    rank = (-len(t or ""), _NO_ID if i is None else i, raw)
+                    if (e := found.get(norm)) is None:
+                        found[norm] = [key, sha, 1, rank, 1]
+                    else:
+                        _join(e, 1, rank, 1)
             yield _rows(found)
 
     return _raw(docs, text).mapInArrow(run, _ENTRY)
