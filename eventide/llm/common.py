@@ -30,8 +30,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ascii_lower(c: Column) -> Column:
-    """A-Z to a-z and nothing else."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z to a-z and nothing else. Pure ASCII, which most lines are, has nothing else to lower."""
+    letters = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(letters)
 
 
 def words(c: Column) -> Column:
@@ -64,12 +65,13 @@ def one_each(docs: DataFrame, verdict: DataFrame, text: str = "text") -> DataFra
     marks = stored(verdict.groupBy("doc_id", "raw").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("raw").alias("_mark"), "stays"), "marks")
     named = docs.select(F.struct(*docs.columns).alias("_own"), F.col("doc_id").cast("bigint").alias("_doc"), text_key(F.col(text)).alias("_raw"))
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_raw") == F.col("_mark"))
-    single = named.join(marks, same, "left_anti").select("_own.*")
+    # Marks grow with the documents, so they are never broadcast, and small inputs show it.
+    single = named.join(marks.hint("merge"), same, "left_anti").select("_own.*")
     repeated = marks.where("stays")
     if repeated.isEmpty():
         return single
     # Combined in the tasks that read them: a row that repeats without end sends one a task.
-    first = named.join(repeated, same, "left_semi").groupBy("_doc", "_raw").agg(F.min_by("_own", F.xxhash64("_own")).alias("_own"))
+    first = named.join(repeated.hint("merge"), same, "left_semi").groupBy("_doc", "_raw").agg(F.min_by("_own", F.xxhash64("_own")).alias("_own"))
     return single.unionByName(first.select("_own.*"))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import ranked
-from .common import SPACE, ascii_lower, stored
+from .common import SPACE, ascii_lower, let, stored
 
 _MARK = r"^[ \t]*(>[> \t]*)"
 #: Messages of a thread that are gathered in one row at most.
@@ -40,7 +40,7 @@ _NEW = ("parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth", "pl
 
 
 def _normal(line: Column) -> Column:
-    return ascii_lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+    return let(lambda v: ascii_lower(v["x"]), x=F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
 
 
 def parse(text: Column) -> Column:
