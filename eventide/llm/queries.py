@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    decontaminate,
     exact_dedup,
+    filter_audit,
     line_dedup,
     mixing,
     quality_classifier,
@@ -18,6 +20,7 @@ from . import (
     sharding,
     simhash,
     substring_dedup,
+    turn_repair,
 )
 from .common import stored, table
 
@@ -76,6 +79,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
@@ -87,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op11_decontamination": op11_decontamination,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -238,4 +257,64 @@ ORACLE_SQL: dict[str, str] = {
         SELECT conv_id, turn, role, parent_conv, parent_turn, thread_conv, thread_turn, depth, place, quote_levels, n_quoted,
                sha256(own_text) AS own_sha256, part, part_size, part_sha256
         FROM s JOIN w USING (thread_conv, thread_turn, part)""",
+    "op11_decontamination": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS uid, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        g AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS s
+            FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i) WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT size FROM g),
+        p AS (
+            SELECT uid, i, size, array_to_string(w[i:i + size - 1], ' ') AS s
+            FROM d, sizes, LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS i)),
+        m AS (SELECT uid, i, p.size, item_id FROM p JOIN g ON g.size = p.size AND g.s = p.s),
+        h AS (
+            SELECT uid, count(*) AS n_hit
+            FROM (SELECT DISTINCT uid, unnest(range(i, i + size)) AS pos FROM m) GROUP BY uid),
+        t AS (
+            SELECT uid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT uid, item_id::VARCHAR AS item FROM m WHERE item_id IS NOT NULL) GROUP BY uid)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (uid) LEFT JOIN t USING (uid)""",
+    "op12_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (
+            SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        f AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+                    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+                    regexp_matches(t, '[#$%&*|]'), coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)] AS fails
+            FROM d LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+        x AS (SELECT unnest(range(1, 6)) AS k),
+        o AS (
+            SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM x a, x b, x c, x d, x e
+            WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+        s AS (
+            SELECT part, ks, k AS step, ks[k] AS f, n, good, toxic, fails[ks[k]] AS failed,
+                   len(list_filter(ks[1:k - 1], lambda j: fails[j])) > 0 AS earlier,
+                   len(list_filter(fails, lambda z: z)) = 1 AS lone
+            FROM c, o, x),
+        r AS (
+            SELECT part, ks, step, f,
+                   coalesce(sum(n) FILTER (NOT failed AND NOT earlier), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (failed AND NOT earlier), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (failed AND earlier), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (failed AND lone), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (failed AND NOT earlier), 0)::BIGINT AS good_lost,
+                   coalesce(sum(toxic) FILTER (failed AND NOT earlier), 0)::BIGINT AS toxic_lost
+            FROM s GROUP BY part, ks, step, f)
+        SELECT part, array_to_string(list_transform(ks, lambda j: substr('ABCDE', j, 1)), '') AS filter_order, step::INT AS step,
+               kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+        FROM r""",
 }
