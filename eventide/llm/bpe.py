@@ -19,6 +19,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ _END = "</w>"
 _NONE = 1 << 60
 #: Pieces whose tokens a worker remembers, and pairs whose verdict it remembers, at most.
 CACHE_PIECES, CACHE_PAIRS = 500_000, 500_000
-#: New pieces that are encoded at once, at most.
-LEARN_PIECES = 25_000
+#: New pieces that are encoded at once, at most, and pieces of texts whose tokens are held at once.
+LEARN_PIECES, HELD_PIECES = 25_000, 400_000
 
 
 def _byte_chars() -> list[str]:
@@ -138,8 +139,8 @@ class Bpe:
         ids = [-pair - 1] if pair < 0 else [*divmod(pair, self.n)]
         return self.merge([c for i in ids for c in self._split(i)]) == [self.tokens[i] for i in ids]
 
-    def learn(self, new: list[str]) -> None:
-        """Encode pieces that no cache has yet."""
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Encode pieces that no cache has yet, and remember them."""
         if len(self.pieces) + len(new) > CACHE_PIECES:
             self.pieces = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
         if len(self.pairs) > CACHE_PAIRS:
@@ -162,9 +163,12 @@ class Bpe:
         good = np.array([self.pairs[c] for c in distinct.tolist()], bool)
         failed = counts == 0
         failed[of[~good[back]]] = True
+        learned = {}
         for k, bad in enumerate(failed.tolist()):
             ids = [self.vocab[t] for t in self.merge(marks[k]) if t in self.vocab] if bad else proposals[k]
-            self.pieces[new[k]] = np.array(ids, "<u4").tobytes()
+            learned[new[k]] = np.array(ids, "<u4").tobytes()
+        self.pieces |= learned
+        return learned
 
     def cut(self, text: str) -> list[str]:
         """The pieces of a text. Special tokens' own strings are pieces by themselves."""
@@ -180,20 +184,19 @@ class Bpe:
             out += _PIECE.findall(_SPACES.sub(" ", part).lower() if not part.isascii() else part.lower())
         return out
 
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. Learning may empty the cache, so what these pieces need is held here."""
+        held = {p: i for p in set(pieces) if (i := self.pieces.get(p)) is not None}
+        new = list(set(pieces).difference(held))
+        for at in range(0, len(new), LEARN_PIECES):
+            held |= self.learn(new[at : at + LEARN_PIECES])
+        return list(map(held.__getitem__, pieces))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cuts = [self.cut(t) for t in texts]
-        if new := list({p for c in cuts for p in c}.difference(self.pieces)):
-            step = min(LEARN_PIECES, CACHE_PIECES // 2)
-            for at in range(0, len(new), step):
-                self.learn(new[at : at + step])
-        out = []
-        for c in cuts:
-            try:
-                out.append(b"".join(map(self.pieces.__getitem__, c)))
-            except KeyError:  # the cache was emptied meanwhile
-                self.learn(sorted(set(c).difference(self.pieces)))
-                out.append(b"".join(map(self.pieces.__getitem__, c)))
-        return out
+        flat = list(chain.from_iterable(cuts))
+        ids = list(chain.from_iterable(self.ids_of(flat[at : at + HELD_PIECES]) for at in range(0, len(flat), HELD_PIECES)))
+        return [b"".join(ids[a:b]) for a, b in pairwise([0, *accumulate(map(len, cuts))])]
 
     def decode(self, ids: bytes) -> str:
         """The tokens' strings joined by one space, as a tokenizer without a decoder does."""

@@ -8,11 +8,12 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.settle import let, settled
 from ..sources.shared import new_path, shared_dir, stored
 
-__all__ = ["CHUNK_CHARS", "SPACE", "WORD", "ascii_lower", "let", "new_path", "numbered", "one_each", "settled", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_key", "words"]
+__all__ = ["CHUNK_CHARS", "COPIES", "SPACE", "WORD", "ascii_lower", "let", "new_path", "numbered", "one_each", "settled", "row_key", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_key", "words"]
 
 #: The white space every contract speaks of: space, tab, line feed, vertical tab, form feed, return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -58,6 +59,23 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def _mapped(kind: T.DataType) -> bool:
+    """Whether a type holds a map somewhere."""
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return isinstance(kind, T.MapType) or any(map(_mapped, inner))
+
+
+def row_key(docs: DataFrame, packed: str = "_own") -> Column:
+    """What rows packed as ``packed`` are hashed and compared by: the row itself, in which the JSON of
+    a column stands for one that holds maps (a map of a row in the order of its keys)."""
+    held = {f.name: f.dataType for f in docs.schema if _mapped(f.dataType)}
+    if not held:
+        return F.col(packed)
+    own = lambda c: F.col(packed).getField(c)
+    sort = lambda c, kind: F.sort_array(F.map_entries(c)) if isinstance(kind, T.MapType) and not _mapped(kind.valueType) else c
+    return F.struct(*[F.to_json(F.struct(sort(own(c), held[c]).alias("c"))).alias(c) if c in held else own(c).alias(c) for c in docs.columns])
+
+
 def one_each(docs: DataFrame, verdict: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay by ``verdict`` (doc_id, raw, stays, for every row or for those
     that go or repeat; raw is the ``text_key``). Of rows that agree in doc_id and text one stays,
@@ -71,12 +89,12 @@ def one_each(docs: DataFrame, verdict: DataFrame, text: str = "text") -> DataFra
     if repeated.isEmpty():
         return single
     # Combined in the tasks that read them: a row that repeats without end sends one a task.
-    first = named.join(repeated.hint("merge"), same, "left_semi").groupBy("_doc", "_raw").agg(F.min_by("_own", F.xxhash64("_own")).alias("_own"))
+    first = named.join(repeated.hint("merge"), same, "left_semi").groupBy("_doc", "_raw").agg(F.min_by("_own", F.xxhash64(row_key(docs))).alias("_own"))
     return single.unionByName(first.select("_own.*"))
 
 
 #: Copies of one row that one task makes at once.
-_COPIES = 10_000
+COPIES = 10_000
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -84,16 +102,16 @@ def numbered(docs: DataFrame) -> DataFrame:
 
     Rows whose hash repeats are counted, which combines them in the tasks that read them, and
     made again from their count in pieces: a row that makes up a third of the table is dealt like
-    any other rows. Columns of map type can't be counted."""
+    any other rows. ``_hash`` is that of the row."""
     zero = F.lit(0).cast("bigint")
-    rows = docs.select(F.struct(*docs.columns).alias("_own")).withColumn("_hash", F.xxhash64("_own"))
+    rows = docs.select(F.struct(*docs.columns).alias("_own")).withColumn("_hash", F.xxhash64(row_key(docs)))
     repeated = stored(rows.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_hash").alias("_again")), "repeated")
     if repeated.isEmpty():
-        return rows.select("_own", zero.alias("_k"))
+        return rows.select("_own", zero.alias("_k"), "_hash")
     again = F.col("_hash") == F.col("_again")
-    single = rows.join(repeated, again, "left_anti").select("_own", zero.alias("_k"))
-    counted = rows.join(repeated, again, "left_semi").groupBy("_own").agg(F.count("*").alias("_n"))
-    pieces = counted.withColumn("_at", F.explode(F.sequence(zero, F.col("_n") - 1, F.lit(_COPIES).cast("bigint"))))
-    dealt = pieces.repartition(shuffle_partitions(docs.sparkSession), F.xxhash64("_own"), "_at")
-    last = F.least(F.col("_at") + (_COPIES - 1), F.col("_n") - 1)
-    return single.unionByName(dealt.select("_own", F.explode(F.sequence("_at", last)).alias("_k")))
+    single = rows.join(repeated, again, "left_anti").select("_own", zero.alias("_k"), "_hash")
+    counted = rows.join(repeated, again, "left_semi").groupBy(row_key(docs).alias("_key"), "_hash").agg(F.first("_own").alias("_own"), F.count("*").alias("_n"))
+    pieces = counted.withColumn("_at", F.explode(F.sequence(zero, F.col("_n") - 1, F.lit(COPIES).cast("bigint"))))
+    dealt = pieces.repartition(shuffle_partitions(docs.sparkSession), "_hash", "_at")
+    last = F.least(F.col("_at") + (COPIES - 1), F.col("_n") - 1)
+    return single.unionByName(dealt.select("_own", F.explode(F.sequence("_at", last)).alias("_k"), "_hash"))

@@ -212,36 +212,37 @@ class ExtendibleIndex:
             out = out.unionByName(part.join(F.broadcast(wanted) if len(numbers) <= BROADCAST_SLOTS else wanted, "bucket", "left_semi"))
         return out
 
-    def _slots(self) -> DataFrame:
-        slots = self.directory.slots()
+    def _slots(self, directory: Directory) -> DataFrame:
+        slots = directory.slots()
         df = self.spark.createDataFrame(slots, "slot bigint, bucket bigint")
         return F.broadcast(df) if len(slots) <= BROADCAST_SLOTS else df
 
     def insert(self, docs: DataFrame, keys: DataFrame, text: str = "text") -> ExtendibleIndex:
-        """Merge a batch. ``keys``: its column ``key``, for counting (see ``signatures``)."""
-        spark, owners, d = self.spark, shuffle_partitions(self.spark), self.directory
-        touched = keys.withColumn("slot", _prefix("key", d.depth)).join(self._slots(), "slot").select("bucket").distinct()
+        """Merge a batch. ``keys``: its column ``key``, for counting (see ``signatures``). The index
+        changes once the new version's files are there: an insert that failed can be repeated."""
+        spark, owners, d = self.spark, shuffle_partitions(self.spark), Directory(dict(self.directory.buckets))
+        touched = keys.withColumn("slot", _prefix("key", d.depth)).join(self._slots(d), "slot").select("bucket").distinct()
         numbers = {r["bucket"] for r in touched.toLocalIterator()}  # of a directory that the driver holds
         changed = {b for b in d.buckets if number(b) in numbers}
         old = self.entries(changed).drop("bucket") if any(d.buckets[b] for b in changed) else None
         mine = keys.select("key") if old is None else keys.select("key").unionByName(old.select("key"))
-        self.rows += keys.count()
-        capacity = self.bucket_rows or max(16, self.rows // (BUCKETS_A_TASK * owners))
-        finest = max(d.depth, math.ceil(math.log2(max(2, self.rows / capacity))) + 2)
+        rows, version = self.rows + keys.count(), self.version + 1
+        capacity = self.bucket_rows or max(16, rows // (BUCKETS_A_TASK * owners))
+        finest = max(d.depth, math.ceil(math.log2(max(2, rows / capacity))) + 2)
         counts = np.zeros(1 << finest, np.int64)
         for r in mine.select(_prefix("key", finest).alias("p"), "key").distinct().groupBy("p").count().toLocalIterator():
             counts[r["p"]] = r["count"]
         d.split(counts, capacity)
         new = _combined(docs, text) if old is None else _combined(docs, text).unionByName(old)
-        slots, depth = self._slots(), d.depth
+        slots, depth = self._slots(d), d.depth
         routed = new.withColumn("slot", _prefix("key", depth)).join(slots, "slot")
         owned = routed.repartition(owners, "bucket").sortWithinPartitions("bucket", "key").select(*_NAMES).mapInArrow(_own, _ENTRY)
-        self.version += 1
-        owned.withColumn("slot", _prefix("key", depth)).join(slots, "slot").select("bucket", *_NAMES).write.parquet(f"{self.path}/v{self.version}")
+        owned.withColumn("slot", _prefix("key", depth)).join(slots, "slot").select("bucket", *_NAMES).write.mode("overwrite").parquet(f"{self.path}/v{version}")
         for bucket in d.buckets:
             if not changed.isdisjoint(_line(bucket)):
-                d.buckets[bucket] = self.version
-        spark.createDataFrame([(*b, v, self.rows) for b, v in d.buckets.items()], "depth int, prefix bigint, version int, rows bigint").write.parquet(f"{self.path}/directory-{self.version}")
+                d.buckets[bucket] = version
+        spark.createDataFrame([(*b, v, rows) for b, v in d.buckets.items()], "depth int, prefix bigint, version int, rows bigint").write.mode("overwrite").parquet(f"{self.path}/directory-{version}")
+        self.directory, self.rows, self.version = d, rows, version
         return self
 
     def lookup(self, signed: DataFrame) -> DataFrame:

@@ -110,11 +110,23 @@ class CuckooFilter:
 
     def remove(self, h: np.ndarray) -> None:
         """Forget hashes that were added before."""
-        for p, a, b in zip(*self._places(h), strict=True):
-            for at in (a, b):
-                if len(k := np.flatnonzero(self.cells[at] == p)):
-                    self.cells[at, k[0]] = 0
-                    break
+        prints, at, other = self._places(h)
+        for _ in range(2):
+            missed = []
+            while len(prints):
+                match = self.cells[at] == prints[:, None]
+                there = match.any(1)
+                missed.append((prints[~there], other[~there]))
+                prints, at, other, cell = prints[there], at[there], other[there], match[there].argmax(1)
+                first = np.unique(at.astype(np.int64) * _SLOTS + cell, return_index=True)[1]  # equal prints take a cell each
+                self.cells[at[first], cell[first]] = 0
+                again = np.ones(len(at), bool)
+                again[first] = False
+                prints, at, other = prints[again], at[again], other[again]
+            if not missed:
+                return
+            prints, at = (np.concatenate(x) for x in zip(*missed, strict=True))
+            other = at
 
     @classmethod
     def build(cls, h: np.ndarray) -> CuckooFilter:
@@ -150,12 +162,21 @@ def _pairs(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
 
 
 class LineIndex:
-    """Counts and filters at ``path`` in a shared folder; each batch writes a new version."""
+    """Counts and filters at ``path`` in a shared folder; each batch writes a new version, last of all
+    its state (shards, threshold and least characters), from which ``open`` goes on."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS):
         self.spark, self.path = spark, path or new_path(spark, "line-index")
         self.shards, self.threshold, self.min_chars, self.version = shards or 16, threshold, min_chars, 0
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, version: int) -> LineIndex:
+        """The index as its ``version`` left it, in this session or another one."""
+        r = spark.read.schema("shards int, threshold int, min_chars int").parquet(f"{path}/state-{version}").first()
+        out = cls(spark, path, r["shards"], r["threshold"], r["min_chars"])
+        out.version = version
+        return out
+
     def counts(self) -> DataFrame:
         return self.spark.read.schema("digest binary, h bigint, n bigint, before bigint").parquet(f"{self.path}/counts-{self.version}").select("digest", "h", "n")
 
@@ -166,6 +187,8 @@ class LineIndex:
         return self._fold(docs, text, 1)
 
     def delete(self, docs: DataFrame, text: str = "text") -> LineIndex:
+        """Take a batch out again. Lines that fewer documents hold than are deleted can't have been
+        inserted: the index then stays as it was and an error is raised."""
         return self._fold(docs, text, -1)
 
     def _shard(self) -> Column:
@@ -179,26 +202,29 @@ class LineIndex:
         old = self.version
         if old:
             delta = delta.withColumn("before", F.lit(0).cast("bigint")).unionByName(self.counts().withColumn("before", F.col("n")))
-            delta = delta.groupBy("digest", "h").agg(F.sum("n").alias("n"), F.sum("before").alias("before")).where("n > 0 or before > 0")
+            delta = delta.groupBy("digest", "h").agg(F.sum("n").alias("n"), F.sum("before").alias("before")).where("n <> 0 or before <> 0")
         else:
-            delta = delta.withColumn("before", F.lit(0).cast("bigint")).where("n > 0")
+            delta = delta.withColumn("before", F.lit(0).cast("bigint"))
         crossed = F.col("n") >= self.threshold, F.col("before") >= self.threshold
         full = f"{self.path}/changes-{old + 1}" if old else f"{self.path}/counts-1"
-        delta.write.parquet(full)
+        delta.write.mode("overwrite").parquet(full)
         changes = self.spark.read.schema("digest binary, h bigint, n bigint, before bigint").parquet(full)
+        if sign < 0 and (lost := changes.where("n < 0").first()) is not None:
+            raise ValueError(f"a line with SHA-256 {lost['digest'].hex()}... stands in {lost['before']} documents, {lost['before'] - lost['n']} are to be deleted")
         if old:
-            changes.where("n > 0").write.parquet(f"{self.path}/counts-{old + 1}")
-        self.version += 1
+            changes.where("n > 0").write.mode("overwrite").parquet(f"{self.path}/counts-{old + 1}")
         frequent = self._frequent(changes).count()
         shards = self.shards
         while shards * SHARD_KEYS < frequent:
             shards *= 2
-        grown, self.shards = shards > self.shards, shards
+        grown, shard = shards > self.shards, F.pmod("h", F.lit(shards)).cast("int")
         state = self.spark.read.schema("shard int, filter binary").parquet(f"{self.path}/filters-{old}") if old and not grown else self.spark.createDataFrame([], "shard int, filter binary")
-        moved = changes.where(crossed[0] != crossed[1]).groupBy(self._shard().alias("shard")).agg(F.collect_list(F.when(crossed[0], F.col("h"))).alias("add"), F.collect_list(F.when(crossed[1], F.col("h"))).alias("drop"))
-        all_ = self._frequent(changes).groupBy(self._shard().alias("shard")).agg(F.collect_list("h").alias("all"))
+        moved = changes.where(crossed[0] != crossed[1]).groupBy(shard.alias("shard")).agg(F.collect_list(F.when(crossed[0], F.col("h"))).alias("add"), F.collect_list(F.when(crossed[1], F.col("h"))).alias("drop"))
+        all_ = self._frequent(changes).groupBy(shard.alias("shard")).agg(F.collect_list("h").alias("all"))
         todo = state.join(moved, "shard", "full_outer").join(all_, "shard", "full_outer").withColumn("anew", F.lit(grown))
-        todo.select("shard", "filter", "add", "drop", "all", "anew").mapInArrow(_update, "shard int, filter binary").write.parquet(f"{self.path}/filters-{self.version}")
+        todo.select("shard", "filter", "add", "drop", "all", "anew").mapInArrow(_update, "shard int, filter binary").write.mode("overwrite").parquet(f"{self.path}/filters-{old + 1}")
+        self.spark.createDataFrame([(shards, self.threshold, self.min_chars)], "shards int, threshold int, min_chars int").write.mode("overwrite").parquet(f"{self.path}/state-{old + 1}")
+        self.version, self.shards = old + 1, shards
         return self
 
     def hits(self, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -212,7 +238,7 @@ class LineIndex:
         exact = self._frequent(self.counts()).groupBy(self._shard().alias("shard")).agg(F.collect_list("h").alias("hs"), F.collect_list("digest").alias("digests"))
         head = self.filters().join(exact, "shard").join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumns({"kind": F.lit(0)} | blank)
         pairs = _pairs(docs, text, self.min_chars).drop("digest").withColumn("shard", self._shard()).join(F.broadcast(salts), "shard")
-        pairs = pairs.withColumns({"salt": F.pmod(F.xxhash64("doc", "sum"), F.col("salts")).cast("int"), "kind": F.lit(1)}).drop("salts")
+        pairs = pairs.withColumns({"salt": F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int"), "kind": F.lit(1)}).drop("salts")
         both = head.unionByName(pairs, allowMissingColumns=True).select("shard", "salt", "kind", "doc", "sum", "h", "filter", "hs", "digests")
         return both.repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_probe, "doc bigint, sum bigint, digest binary")
 

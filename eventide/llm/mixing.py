@@ -10,8 +10,7 @@ A row's name is its doc_id (or the word null), the MD5 of its text and its numbe
 rows. So rows without a doc_id, rows that repeat one and rows that repeat whole draw each for
 itself and are dealt like any others. A missing source (null) is a source of its own. Weights
 must be finite, not negative and one a source, or an error is raised. An empty table gives an
-empty result. Extra columns travel with their row; columns named like those added are replaced;
-columns of map type can't be counted.
+empty result. Extra columns travel with their row; columns named like those added are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, shuffle_partitions, stored
+from .common import COPIES, numbered, shuffle_partitions, stored
 
 SEED, TEMPERATURE = 20240501, 0.5
 #: A mean above this is drawn as the sum of several draws, so that exp(-mean) stays exact.
@@ -74,7 +73,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", seed: int =
     """Every document as often as drawn, in a global shuffle, with ``copies`` (drawn in all),
     ``copy`` (from 0) and ``shuffle_key``; tasks hold ascending keys."""
     table = stored(_inverse(means(docs, source, **targets)), "means").withColumnRenamed("source", "_source")
-    few = table.count() <= BROADCAST_SOURCES
+    seen = table.agg(F.count("*").alias("n"), F.max("mean").alias("most")).first()
+    few = seen["n"] <= BROADCAST_SOURCES
     own = [c for c in docs.columns if c not in ("copies", "copy", "shuffle_key")]
     body = F.coalesce(F.col("_own")[text], F.lit("")) if text in own else F.lit("")
     name = F.concat_ws(":", F.coalesce(F.col("_own.doc_id").cast("string"), F.lit("null")), F.md5(body.cast("binary")), F.col("_k").cast("string"))
@@ -82,7 +82,13 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", seed: int =
     named = named.join(F.broadcast(table) if few else table, F.col("_of").eqNullSafe(F.col("_source")))
     draw = lambda j: F.size(F.filter("cdf", lambda c: c <= F.least(uniform(F.lit(seed), F.col("_name"), j), F.lit(_TOP)))).cast("bigint")
     copies = F.aggregate(F.sequence(F.lit(0), F.col("draws") - 1), F.lit(0).cast("bigint"), lambda acc, j: acc + draw(j))
-    drawn = named.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    zero, drawn = F.lit(0).cast("bigint"), named.withColumn("copies", copies).where("copies > 0")
+    if (seen["most"] or 0) * 2 > COPIES:  # one row may be drawn without end: its copies are made in pieces
+        pieces = drawn.withColumn("_at", F.explode(F.sequence(zero, F.col("copies") - 1, F.lit(COPIES).cast("bigint"))))
+        drawn = pieces.repartition(shuffle_partitions(docs.sparkSession), "_name", "_at")
+        drawn = drawn.withColumn("copy", F.explode(F.sequence("_at", F.least(F.col("_at") + (COPIES - 1), F.col("copies") - 1))))
+    else:
+        drawn = drawn.withColumn("copy", F.explode(F.sequence(zero, F.col("copies") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(str(seed + 1)), "_name", F.col("copy").cast("string")).cast("binary"))
     keyed = drawn.select("_own.*", "copies", "copy", key.alias("shuffle_key"))
     return keyed.repartition(shuffle_partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")

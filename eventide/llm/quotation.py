@@ -135,7 +135,7 @@ def format_chats(messages: DataFrame, text: str = "text") -> DataFrame:
     """The rows with parent_conv, parent_turn, thread_conv, thread_turn, depth, place (in the
     thread, from 0), quote_levels (the deepest), n_quoted (lines) and own_text."""
     kept = [c for c in messages.columns if c not in _NEW]
-    parsed = messages.select(*kept, parse(F.col(text)).alias("_lines"))
+    parsed = messages.select(F.struct(*kept).alias("_own"), "conv_id", "turn", parse(F.col(text)).alias("_lines"))
     name = F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t"))
     names = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
     chain = previous_turns(names)
@@ -147,7 +147,7 @@ def format_chats(messages: DataFrame, text: str = "text") -> DataFrame:
     n = F.size(F.filter("_lines", lambda x: x["level"] > 0)).cast("bigint")
     own = F.trim(F.array_join(F.transform(own_lines(), lambda x: x["body"]), "\n"), F.lit(SPACE))
     lone = {"thread_conv": F.coalesce("thread_conv", "conv_id"), "thread_turn": F.coalesce("thread_turn", "turn"), "depth": F.coalesce("depth", F.lit(0).cast("bigint")), "place": F.coalesce("place", F.lit(0).cast("bigint"))}
-    return out.withColumns(lone | {"quote_levels": levels, "n_quoted": n, "own_text": own}).select(*kept, *_NEW)
+    return out.withColumns(lone | {"quote_levels": levels, "n_quoted": n, "own_text": own}).select("_own.*", *_NEW)
 
 
 def parts(formatted: DataFrame) -> DataFrame:

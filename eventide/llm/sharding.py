@@ -14,7 +14,7 @@ by one: no task or shuffle sees more buckets than that, at any size.
 Rows scatter by the hash of all columns and their number among equal rows, so a row that
 repeats without end is spread like any other. Null texts have size 16; null and repeated ids
 are columns like others. An empty table gives an empty result. Extra columns travel with their
-row; columns named like those added are replaced. Columns of map type can't be hashed.
+row; columns named like those added are replaced.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def _bucketed(rows: DataFrame, buckets: int, first: int, seed: int) -> DataFrame
     """Pass 2 over rows that carry their bucket (from ``first`` on): each is put in the order of a
     hash, shuffled, and written with places."""
     tasks = max(min(buckets, OWN_TASKS), -(-buckets // BUCKETS_A_TASK))
-    row = F.struct(F.xxhash64(F.lit(seed + 1), "_own", "_k").alias("h"), F.col("_own").alias("r"))
+    row = F.struct(F.xxhash64(F.lit(seed + 1), "_hash", "_k").alias("h"), F.col("_own").alias("r"))
     one = rows.select("bucket", row.alias("row")).repartition(tasks, "bucket").groupBy("bucket").agg(F.collect_list("row").alias("rows"))
     by_hash = lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0)
     mixed = one.select("bucket", F.array_sort("rows", by_hash).alias("rows")).sortWithinPartitions("bucket").select("bucket", F.shuffle("rows", seed + first).alias("rows"))
@@ -59,7 +59,7 @@ def shuffled(docs: DataFrame, row_bytes: Column, seed: int = SEED) -> list[tuple
     total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")).first()
     buckets = max(1, -(-total["n"] // BUCKET_ROWS), -(-total["b"] // BUCKET_BYTES))
     own = [c for c in docs.columns if c not in _ADDED]
-    rows = numbered(docs.select(*own)).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "_own", "_k"), F.lit(buckets)))
+    rows = numbered(docs.select(*own)).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "_hash", "_k"), F.lit(buckets)))
     groups = -(-buckets // FANOUT)
     if groups == 1:
         return [(_bucketed(rows, buckets, 0, seed), 0)]
