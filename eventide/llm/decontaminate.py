@@ -11,8 +11,8 @@ start. What is left is compared word by word with the stored words, so matches a
 
 Postings stay in the shard of their document: a term that a third of all words repeat is spread
 like the documents. Windows travel to the shards, ``BLOCK`` asked terms at a time, so what is
-broadcast has a fixed bound; candidates are counted in the tasks that find them before they are
-shuffled by (window, document, start).
+broadcast has a fixed bound. The asked terms' bare postings are dealt by document, so that
+candidates (many windows ask for one term) are counted where they are made, never shuffled.
 
 Terms are compared by a 64-bit hash until the words themselves are. Null and empty texts have no
 words; such a document has a row of zeros and such an item no window. An item of fewer than ``n``
@@ -110,11 +110,18 @@ def _blocks(asked: DataFrame) -> list[DataFrame]:
     return [asked.where(F.pmod(F.xxhash64("wid"), F.lit(n)) == k) for k in range(n)] if n > 1 else [asked]
 
 
+def _lists(index: Index, block: DataFrame) -> DataFrame:
+    """The postings of the terms that a block asks for, each beside every window that asks. Bare
+    postings are dealt by document first: their windows, which are many more rows, then meet in place."""
+    bare = index.postings.join(F.broadcast(block.select("term").distinct()), "term", "left_semi").repartition("uid")
+    return bare.join(F.broadcast(block), "term")
+
+
 def phrase_matches(index: Index, windows: Windows, lists: int = LISTS) -> DataFrame:
     """wid, uid, start and size (words) of every occurrence of a window in the documents."""
     found = []
     for block in _blocks(rarest(index, windows, lists)):
-        at = index.postings.join(F.broadcast(block), "term").select("wid", "need", "uid", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+        at = _lists(index, block).select("wid", "need", "uid", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
         agree = at.groupBy("wid", "uid", "start").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need").select("wid", "uid", "start")
         words = windows.words.join(F.broadcast(block.select("wid").distinct()), "wid", "left_semi")
         found.append(agree.join(F.broadcast(words), "wid"))
@@ -129,7 +136,7 @@ def proximity_matches(index: Index, windows: Windows, span: int = 30, lists: int
     ``span`` words in any order, ended by a term and begun as late as can be."""
     found = []
     for block in _blocks(rarest(index, windows, lists, apart=True)):
-        at = index.postings.join(F.broadcast(block), "term").select("wid", "need", "rank", "uid", "pos")
+        at = _lists(index, block).select("wid", "need", "rank", "uid", "pos")
         order = Window.partitionBy("wid", "uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
         last = [F.last(F.when(F.col("rank") == r, F.col("pos")), ignorenulls=True).over(order) for r in range(lists)]
         seen = F.array_compact(F.array(*last))
