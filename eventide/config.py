@@ -46,6 +46,9 @@ SCORE_INVALID_FLAGS = ("incomparable_scores", "freshness_only_change", "sampling
 # Where a news page's text stands, and how lines begin that aren't part of it.
 ARTICLE_CONTAINERS = ("left_zw", "leftzw", "rm_txt_con", "article-content", "article_content", "articlecontent", "content_area", "main-aticle", "xlcontent", "main-content", "rich_media_content", "article-body", "articlebody", "detail")
 ARTICLE_NOISE = r"^(?:责任编辑|相关阅读|推荐阅读|版权声明|扫码|分享到|广告|返回顶部|总监制|监制[丨：:]|主编[丨：:]|编辑[丨：:&]|制图[丨：:]|策划[丨：:])"
+#: Elements whose text isn't shown, and elements that have no end tag.
+SILENT_ELEMENTS = ("script", "style", "nav", "footer", "aside", "noscript")
+VOID_ELEMENTS = ("meta", "link", "img", "br", "hr", "input", "source", "wbr", "area")
 SENTENCE_FACTS = r"\d|发生|发布|通报|宣布|救援|调查|发运|获悉|启动"
 
 # Orders of the sort key, lower first.

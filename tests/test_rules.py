@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
@@ -159,6 +160,56 @@ def test_articles_by_container(spark):
     assert "1051列" in summary and all(x in BODY for x in summary.split("\n"))
 
 
+def plain_article(html):
+    """The rule of articles read from a tree of tags, for pages whose tags are all closed."""
+    tree, at = ["", "", []], []
+    node = tree
+    for m in re.finditer(r"<(/?)([a-z0-9]+)([^>]*)>|([^<]+)", html):
+        end, tag, attrs, text = m.groups()
+        if text:
+            node[2] += [] if any(x[0] in ("nav", "script") for x in [*at, node]) else [text]
+        elif end:
+            node = at.pop()
+        else:
+            new = [tag, attrs, []]
+            node[2].append(new)
+            if tag not in ("br", "meta"):
+                at.append(node)
+                node = new
+    said = lambda n: " ".join(n if isinstance(n, str) else " ".join(map(said, n[2])) for n in [n]).strip()
+    line = lambda n: " ".join(said(n).split())
+    below = lambda n: [x for c in n[2] if not isinstance(c, str) for x in [c, *below(c)]]
+    every = below(tree)
+    heads = [t for k in ("h1", "title") for t in (line(n) for n in every if n[0] == k) if t]
+    best = []
+    for n in every:
+        if n[0] == "article" or re.search(r'"(detail|left_zw x)"', n[1]):
+            own = [line(p) for p in [n, *below(n)] if p[0] == "p"] or [line(n)]
+            own = [x for x in dict.fromkeys(own) if len(x) >= 15 and not x.startswith("广告")]
+            best = own if sum(map(len, own)) > sum(map(len, best)) else best
+    body = "\n".join(best)
+    return (heads[0] if heads else None), ("article_title_mismatch" if not heads else "article_body_missing" if not best else "article_body_too_short" if len(body) < 80 else None), body
+
+
+def test_articles_against_a_tree(spark):
+    rng = random.Random(6)
+
+    def grow(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            tag, attrs = rng.choice([("p", ""), ("p", ' class="detail"'), ("div", ' id="detail"'), ("div", ' class="left_zw x"'), ("div", ""), ("article", ""), ("nav", ""), ("h1", ""), ("script", "")])
+            text = rng.choice(["", " ", "short", "广告 of some length and more", "a line of words that is long enough\n for it", f"line {rng.random()} with some more words in it"])
+            inside = text if depth == 0 or tag == "script" else text + grow(depth - 1) + rng.choice(["", " tail of text that goes on<br>and on"])
+            out.append(f"<{tag}{attrs}>{inside}</{tag}>")
+        return "".join(out)
+
+    html = [f"<html><title>{rng.choice(['', 'A title'])}</title><body>{grow(rng.randint(0, 3))}</body></html>" for _ in range(250)]
+    got = readers.articles(spark.createDataFrame([*enumerate(html)], "page_id int, html string").repartition(4)).collect()
+    want = {k: plain_article(h) for k, h in enumerate(html)}
+    assert {r["page_id"]: (r["title"], r["problem"], r["body"]) for r in got} == {k: (t, p, None if p else b) for k, (t, p, b) in want.items()}
+    assert len({p for _, p, _ in want.values()}) == 4 and sum(p is None for _, p, _ in want.values()) > 40
+
+
 # retrieval and pairs
 
 
