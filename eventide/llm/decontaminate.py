@@ -6,7 +6,8 @@ postings (term, document, position), sorted by term within each shard of documen
 cut into windows of ``n`` consecutive words, equal windows of all items being one. Of each window
 the ``LISTS`` terms that are rarest in the index are looked up; a position less the term's offset
 is where the window would start, and lists are intersected by counting the terms that agree on a
-start. What is left is compared word by word with the stored words, so matches are exact.
+start. What is left is compared word by word with the stored words, so matches are exact; rows of words
+without a candidate are told by a bitmap of bounded size and stay where they are.
 ``proximity_matches`` asks instead for a window's rarest terms within a span, in any order.
 
 Postings stay in the shard of their document: a term that a third of all words repeat is spread
@@ -40,6 +41,8 @@ LISTS = 3
 #: Asked terms (of some 24 bytes) that are sent to the postings at once; as many bytes are
 #: broadcast for their windows' words again, eightfold.
 BLOCK = 300_000
+#: Bits (as a power of two) that mark the rows of words which candidates lie in: 32 MB at most.
+MARK_BITS = 28
 #: Distinct benchmark terms up to which the index keeps their postings only.
 BROADCAST_TERMS = 2_000_000
 
@@ -117,6 +120,17 @@ def _lists(index: Index, block: DataFrame) -> DataFrame:
     return bare.join(F.broadcast(block), "term")
 
 
+def _marked(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that (uid, at) of ``asked`` may name: a bitmap of their hashes, of
+    ``MARK_BITS`` bits at most whatever there is to mark, goes to the texts, so that few others are shuffled."""
+    bits = min(MARK_BITS, max(15, (64 * asked.count()).bit_length()))
+    h = F.pmod(F.xxhash64("uid", "at"), F.lit(1 << bits))
+    marks = asked.groupBy(F.bitmap_bucket_number(h).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("_bitmap"))
+    at = texts.withColumns({"_bucket": F.bitmap_bucket_number(h), "_bit": F.bitmap_bit_position(h)}).join(F.broadcast(marks), "_bucket")
+    byte = F.expr("cast(conv(hex(substring(_bitmap, cast(_bit div 8 + 1 as int), 1)), 16, 10) as int)")
+    return at.where(F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)) % 2 == 1).select(*texts.columns)
+
+
 def phrase_matches(index: Index, windows: Windows, lists: int = LISTS) -> DataFrame:
     """wid, uid, start and size (words) of every occurrence of a window in the documents."""
     found = []
@@ -126,7 +140,8 @@ def phrase_matches(index: Index, windows: Windows, lists: int = LISTS) -> DataFr
         words = windows.words.join(F.broadcast(block.select("wid").distinct()), "wid", "left_semi")
         found.append(agree.join(F.broadcast(words), "wid"))
     asked = reduce(DataFrame.unionByName, found).withColumnRenamed("words", "window").withColumn("at", F.expr(f"start div {CHUNK} * {CHUNK}").cast("int"))
-    text = index.texts.select("uid", "at", "words").hint("merge")
+    asked = stored(asked, "candidates")
+    text = _marked(index.texts.select("uid", "at", "words"), asked).hint("merge")
     same = F.slice("words", F.col("start") - F.col("at") + 1, F.size("window")) == F.col("window")
     return stored(asked.join(text, ["uid", "at"]).where(same).select("wid", "uid", F.col("start").cast("bigint"), F.size("window").cast("bigint").alias("size")), "matches")
 
