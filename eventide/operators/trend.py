@@ -61,7 +61,8 @@ def latest_pair(obs: DataFrame, cfg: TrendConfig = TrendConfig()) -> DataFrame:
     agree = lambda n: yes(c(n) == p(n))
     gap = (F.unix_micros("observed_at") - F.unix_micros(p("observed_at"))) / 6e7
     known = lambda q: q("score").isNotNull() & (q("score_status") != "unknown")
-    invalid = F.exists(F.concat(c("flags"), p("flags")), lambda f: f.isin(*SCORE_INVALID_FLAGS))
+    flags = [F.coalesce(q("flags"), F.array().cast("array<string>")) for q in (c, p)]  # null flags forbid nothing
+    invalid = yes(F.exists(F.concat(*flags), lambda f: f.isin(*SCORE_INVALID_FLAGS)))
     comparable = agree("config_version") & agree("sampling_signature") & agree("component_signature") & c("score_basis").eqNullSafe(p("score_basis")) & ~invalid & both(known)
     qa = c("platform") == "zhihu"
     heats = c("native_heat").isNotNull().cast("int") + p("native_heat").isNotNull().cast("int")
@@ -117,6 +118,11 @@ def decayed_heat(latest: DataFrame, end: Column, hours: float = 24.0, half_life:
     """event_id, platform, estimated_heat at ``end`` for microblog events that were seen in the last
     ``hours`` but have no current samples: seen rounds give the height, the time since the last the
     decay. ``latest``: event_id, platform, last_seen_at, rounds, current (samples of this round)."""
+    return latest.withColumn("estimated_heat", estimated_heat(end, hours, half_life, scale)).where("estimated_heat is not null").select("event_id", "platform", "estimated_heat")
+
+
+def estimated_heat(end: Column, hours: float = 24.0, half_life: float = 2.0, scale: float = 0.2) -> Column:
+    """``decayed_heat`` of a row; null for rows that have none."""
     age = (F.unix_micros(end) - F.unix_micros("last_seen_at")) / 3.6e9
     open_ = (F.col("platform") == "weibo") & ~F.coalesce("current", F.lit(False)) & (age < hours) & (age >= 0)
-    return latest.where(open_).select("event_id", "platform", N.rss_decay(F.col("rounds"), age, half_life=half_life, scale=scale).alias("estimated_heat"))
+    return F.when(open_, N.rss_decay(F.col("rounds"), age, half_life=half_life, scale=scale))

@@ -12,17 +12,27 @@ from ..functions import numbers as N
 from ..operators import classify, observe, trend
 
 
-def window_report(observations: DataFrame, start: datetime, end: datetime, cfg: TrendConfig = TrendConfig()) -> DataFrame:  # noqa: B008
-    """event_id, platform, place, presence, rounds, duration and trend for (start, end]."""
+def window_report(observations: DataFrame, start: datetime, end: datetime, cfg: TrendConfig = TrendConfig(), categories: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """event_id, platform, place, presence, rounds, duration and trend for (start, end].
+
+    ``categories``: event_id and category; places are then given within a category of a platform (null
+    for events without one). A microblog event that its last observation doesn't show has an
+    ``estimated_heat``, which ranks it instead of its last score."""
     s, e = F.lit(start), F.lit(end)
     inside = trend.in_window(observe.dedup_observations(observations), s, e).where("not out_of_window").drop("out_of_window")
     latest = inside.groupBy("event_id", "platform").agg(*[F.max_by(c, F.struct("observed_at", "observation_id")).alias(c) for c in ("present", "rank", "score")])
     out = latest.join(trend.analyze(inside, e, cfg), ["event_id", "platform"], "left").join(observe.distinct_rounds(inside, e, 24 * 7), ["event_id", "platform"], "left")
-    return trend.platform_ranking(out)
+    current = out.withColumn("current", F.coalesce("present", F.lit(False)))
+    out = current.withColumn("estimated_heat", trend.estimated_heat(e)).drop("current")
+    if categories is not None:
+        out = out.join(categories.select("event_id", "category"), "event_id", "left")
+    ranks = trend.platform_ranking(out.withColumn("_score", F.col("score")).withColumn("score", F.coalesce("estimated_heat", "score")))
+    return ranks.withColumn("score", F.col("_score")).drop("_score")
 
 
 def rebuilt_window(items: DataFrame, support: DataFrame, observations: DataFrame, start: datetime, end: datetime, cfg: TrendConfig = TrendConfig()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """Classifications and analyses of a window, from saved rounds and current associations alone.
+    """Classifications and analyses of a window, from saved rounds and current associations alone; events
+    are ranked within their class.
 
     ``items``: event_id, item_id, platform, signal_role, source_type, observed_at, published_at, rank,
     audit_only, contributes, one row a round in which the item stood; its last one in (start, end] counts. Official
@@ -43,7 +53,8 @@ def rebuilt_window(items: DataFrame, support: DataFrame, observations: DataFrame
     unknown = {"relation_confidence": F.lit(None).cast("double"), "presence": F.lit(1), "rank_delta": F.lit("unknown"), "search_hit": F.lit("unknown"), "health": F.lit("unknown"), "flags": F.array().cast("array<string>")}
     rows = known.withColumns(unknown | {"freshness": N.freshness_bucket(N.hours_between(e, F.col("_at")))}).drop("_found", "_at")
     classes = classify.classify(rows)
-    return classes, window_report(observations.join(found.select("event_id"), "event_id", "left_semi"), start, end, cfg)
+    named = classes.select("event_id", "category")
+    return classes, window_report(observations.join(found.select("event_id"), "event_id", "left_semi"), start, end, cfg, named)
 
 
 def rounds_in_window(rounds: DataFrame, windows: DataFrame) -> DataFrame:

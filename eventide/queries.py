@@ -42,7 +42,7 @@ OBS = """obs AS (
            value / (value + 100) AS score, CASE WHEN event_id % 2 = 0 AND event_type IN ('view', 'click') THEN value * 1000 END AS native_heat,
            CAST(floor(value) AS BIGINT) AS activity, CASE WHEN event_id % 29 = 0 THEN 'c2' ELSE 'c1' END AS component_signature,
            CASE WHEN event_id % 37 = 0 THEN 'rss_presence_only' ELSE 'samples' END AS score_basis, CASE WHEN event_id % 41 = 0 THEN 'unknown' ELSE 'ok' END AS score_status,
-           CASE WHEN event_id % 43 = 0 THEN 'sampling_changed' ELSE 'x' END AS flag
+           CASE WHEN event_id % 43 = 0 THEN 'sampling_changed' WHEN event_id % 7 <> 0 THEN 'x' END AS flag
     FROM events)"""
 
 
@@ -53,7 +53,7 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
         F.when(i % 17 == 0, "failed").otherwise("succeeded").alias("collection_status"), (i % 11 != 0).alias("list_complete"), F.when(i % 23 == 0, "top20").otherwise("top30").alias("topn_scope"),
         F.when(i % 13 == 0, False).when(i % 19 != 0, True).alias("present"), F.when(qa & (i % 13 != 0) & (i % 19 != 0), 1 + i % 30).alias("rank"), (F.col("value") / (F.col("value") + 100)).alias("score"),
         F.when(qa & (i % 2 == 0), F.col("value") * 1000).alias("native_heat"), F.floor("value").alias("activity"), F.lit("v1").alias("config_version"), F.lit("s").alias("sampling_signature"),
-        F.when(i % 29 == 0, "c2").otherwise("c1").alias("component_signature"), F.when(i % 37 == 0, "rss_presence_only").otherwise("samples").alias("score_basis"), F.when(i % 41 == 0, "unknown").otherwise("ok").alias("score_status"), F.array(F.when(i % 43 == 0, "sampling_changed").otherwise("x")).alias("flags"),
+        F.when(i % 29 == 0, "c2").otherwise("c1").alias("component_signature"), F.when(i % 37 == 0, "rss_presence_only").otherwise("samples").alias("score_basis"), F.when(i % 41 == 0, "unknown").otherwise("ok").alias("score_status"), F.when((i % 43 == 0) | (i % 7 != 0), F.array(F.when(i % 43 == 0, "sampling_changed").otherwise("x"))).alias("flags"),
     )
 
 
@@ -163,7 +163,7 @@ def _pair(obs: str) -> str:
            row_number() OVER (PARTITION BY event_id, platform ORDER BY observed_at DESC, observation_id DESC) AS n
     FROM obs WINDOW w AS (PARTITION BY event_id, platform ORDER BY observed_at, observation_id)),
 u AS (
-    SELECT *, component_signature = p_comp AND score_basis = p_basis AND flag <> 'sampling_changed' AND p_flag <> 'sampling_changed' AND score_status <> 'unknown' AND p_known <> 'unknown'
+    SELECT *, component_signature = p_comp AND score_basis = p_basis AND coalesce(flag, '') <> 'sampling_changed' AND coalesce(p_flag, '') <> 'sampling_changed' AND score_status <> 'unknown' AND p_known <> 'unknown'
               AND score IS NOT NULL AND p_score IS NOT NULL AS comp,
            activity IS NOT NULL AND p_act IS NOT NULL AND score_basis <> 'rss_presence_only' AND p_basis <> 'rss_presence_only' AS active FROM l WHERE n = 1),
 v AS (
@@ -497,11 +497,15 @@ seg AS (SELECT event_id, platform, count(*) AS n, least(1440, date_diff('microse
 la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, platform ORDER BY observed_at DESC, observation_id DESC) AS n FROM obs) WHERE n = 1),
 j AS (SELECT la.event_id, la.platform, la.present, la.rank, la.score, st.last_seen, date_diff('microsecond', st.last_seen, TIMESTAMP '2024-01-20') / 6e7 > 1440 AS stale, tr.trend, seg.n, seg.minutes
       FROM la JOIN st USING (event_id, platform) LEFT JOIN tr USING (event_id, platform) LEFT JOIN seg USING (event_id, platform)),
-rr AS (SELECT event_id, platform, count(DISTINCT run_id) AS recent FROM obs WHERE present AND observed_at > TIMESTAMP '2024-01-13' GROUP BY ALL)
-SELECT event_id, platform, row_number() OVER (PARTITION BY platform ORDER BY CASE WHEN present THEN 0 ELSE 1 END, CASE WHEN platform = 'zhihu' THEN rank END NULLS LAST, score DESC NULLS LAST, coalesce(CASE WHEN NOT stale AND n > 1 THEN minutes END, 0) DESC, event_id) AS place, present, recent AS rounds,
-       CASE WHEN last_seen IS NULL THEN NULL WHEN stale THEN 'unknown' ELSE coalesce(trend, 'unknown') END AS trend, round(CASE WHEN NOT stale AND n > 1 THEN minutes END, 6)::DOUBLE AS duration_minutes FROM j LEFT JOIN rr USING (event_id, platform)""")
+rr AS (SELECT event_id, platform, count(DISTINCT run_id) AS recent FROM obs WHERE present AND observed_at > TIMESTAMP '2024-01-13' GROUP BY ALL),
+es AS (SELECT *, date_diff('microsecond', last_seen, TIMESTAMP '2024-01-20') / 3.6e9 AS age, CASE event_id % 3 WHEN 0 THEN 'A_x' WHEN 1 THEN 'C_x' END AS category FROM j LEFT JOIN rr USING (event_id, platform)),
+ed AS (SELECT *, CASE WHEN platform = 'weibo' AND NOT coalesce(present, false) AND age < 24 AND age >= 0 THEN 0.2 * (0.6 + 0.4 * least(recent, 5) / 5) * pow(2, -age / 2.0::DOUBLE) END AS estimated FROM es)
+SELECT event_id, platform, category, round(estimated, 6) AS estimated_heat, row_number() OVER (PARTITION BY platform, category ORDER BY CASE WHEN present THEN 0 ELSE 1 END, CASE WHEN platform = 'zhihu' THEN rank END NULLS LAST, coalesce(estimated, score) DESC NULLS LAST, coalesce(CASE WHEN NOT stale AND n > 1 THEN minutes END, 0) DESC, event_id) AS place, present, recent AS rounds,
+       CASE WHEN last_seen IS NULL THEN NULL WHEN stale THEN 'unknown' ELSE coalesce(trend, 'unknown') END AS trend, round(CASE WHEN NOT stale AND n > 1 THEN minutes END, 6)::DOUBLE AS duration_minutes FROM ed""")
 def window_report_ranking(spark, d):
-    return window_report.window_report(observations(spark, d).withColumn("ingested_at", F.col("observed_at")), START, END, _wide()).select("event_id", "platform", "place", "present", "rounds", "trend", F.round("duration_minutes", 6).alias("duration_minutes"))
+    o, k = observations(spark, d).withColumn("ingested_at", F.col("observed_at")), F.col("event_id")
+    named = o.select("event_id").distinct().where("event_id % 3 < 2").withColumn("category", F.when(k % 3 == 0, "A_x").otherwise("C_x"))
+    return window_report.window_report(o, START, END, _wide(), named).select("event_id", "platform", "category", F.round("estimated_heat", 6).alias("estimated_heat"), "place", "present", "rounds", "trend", F.round("duration_minutes", 6).alias("duration_minutes"))
 
 
 @query()

@@ -120,6 +120,8 @@ def pair(spark, platform, old, new, gap=30):
         ("weibo", {"score": 0.5}, {"score": 0.6, "activity": 9}, ("rising", "score", None)),
         ("weibo", {"score": 0.5}, {"score": 0.6}, ("unknown", None, "incomparable_scores")),
         ("weibo", {"score": 0.5}, {"score": 0.6, "activity": 9, "flags": ["sampling_changed"]}, ("unknown", None, "incomparable_scores")),
+        ("weibo", {"score": 0.5, "flags": ["sampling_changed"]}, {"score": 0.6, "activity": 9, "flags": None}, ("unknown", None, "incomparable_scores")),
+        ("weibo", {"score": 0.5, "flags": None}, {"score": 0.6, "activity": 9, "flags": None}, ("rising", "score", None)),
         ("weibo", {"score": 0.5}, {"score": 0.6, "activity": None}, ("unknown", None, "insufficient_trend_metrics")),
         ("weibo", {"score": 0.5, "score_basis": "rss_presence_only"}, {"activity": 9}, ("unknown", None, "insufficient_trend_metrics")),
         ("weibo", {"present": False}, {"activity": 9}, ("unknown", None, "insufficient_trend_metrics")),
