@@ -15,7 +15,7 @@ from ..config import Bm25Config
 from ..functions import text as X
 from ..sources.shared import stored
 
-#: Distinct query terms that are sent to the documents; more meet them by a shuffle.
+#: Distinct query terms that are sent to the documents at once.
 BROADCAST_TERMS = 100_000
 #: Queries that are sent to the documents at once.
 BLOCK_QUERIES = 10_000
@@ -106,20 +106,45 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str,
     best of each of its values). Scores tie in nine digits; then the smaller doc_id is first.
     ``only``: pairs (query_id, doc_id) that may be found; counts are still over all documents.
 
-    A bounded query set travels to the documents, which are read twice, for the counts and for
-    the scores. A task sums the scores of some documents for all queries at once and keeps the
-    best, so that no posting is shuffled and a frequent term is no hot key. A query set of more
-    than ``BLOCK_QUERIES`` queries or ``BROADCAST_TERMS`` terms meets the documents on terms instead."""
+    Queries travel to the documents, which are read twice, for the counts and for the scores. A task
+    sums the scores of some documents for all queries at once and keeps the best, so that no posting
+    is shuffled and a frequent term is no hot key. A query set of more than ``BLOCK_QUERIES`` queries
+    or ``BROADCAST_TERMS`` terms is cut into blocks that follow each other: the documents' tokens
+    are then written once, and each block's results when it is done, so one block is held at a time."""
+    asked = queries.select(F.col(query_id).alias("_id"), F.array_distinct(X.lexical_tokens(F.col(query_text))).alias("w"))
+    tokens = lambda: docs.select(F.col(doc_id).alias("_id"), (F.col(per) if per else F.lit(None).cast("string")).alias("_g"), X.lexical_tokens(F.col(doc_text)).alias("w"))
+    find = lambda rows, read: _bm25_block(rows, read, queries, docs, query_id, doc_id, k, per, only, cfg)
+    rows = _fitting(asked)
+    if rows is not None:
+        return find(rows, tokens())
+    asked, read = stored(asked, "queries"), stored(tokens(), "tokens")
+    return reduce(DataFrame.unionByName, [stored(find(rows, read), "bm25") for rows in _query_blocks(asked)])
+
+
+def _fitting(asked: DataFrame) -> list | None:
+    """The queries (id, terms) if they are one block, else null."""
+    rows = _block(asked, F.col("_id"), F.col("w"))
+    return rows if rows is not None and (len(rows) <= 1 or len({t for _, w in rows for t in w}) <= BROADCAST_TERMS) else None
+
+
+def _query_blocks(asked: DataFrame, depth: int = 0) -> Iterator[list]:
+    """The queries in blocks that fit, halved by a hash of their ids as often as needed. A single
+    query is a block, however many terms it has."""
+    for half in (0, 1):
+        part = asked.where(F.pmod(F.xxhash64(F.lit(depth), "_id"), F.lit(2)) == half)
+        rows = _fitting(part)
+        if rows is None and depth == 40:
+            raise ValueError("more queries than a block holds have one id")
+        if rows is None:
+            yield from _query_blocks(part, depth + 1)
+        elif rows:
+            yield rows
+
+
+def _bm25_block(rows: list, read: DataFrame, queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, k: int, per: str | None, only: DataFrame | None, cfg: Bm25Config) -> DataFrame:
+    """``bm25_top_k`` for one block of queries (id, terms). ``read``: _id, _g and w of the documents."""
     order = [query_id, per] if per else [query_id]
-    rows = _block(queries, F.col(query_id), F.array_distinct(X.lexical_tokens(F.col(query_text))))
-    terms = sorted({t for _, w in rows or () for t in w})
-    if rows is None or len(terms) > BROADCAST_TERMS:
-        scored = bm25(queries, docs, query_id, doc_id, query_text, doc_text, cfg=cfg)
-        if only is not None:
-            scored = scored.join(only.select(query_id, doc_id).distinct(), [query_id, doc_id])
-        if per:
-            scored = scored.join(docs.select(doc_id, per), doc_id)
-        return top_k(scored, order, k, F.desc(F.round("score", 9)), F.asc(doc_id))
+    terms = sorted({t for _, w in rows for t in w})
     spark, number = docs.sparkSession, {t: i for i, t in enumerate(terms)}
     owners = [(number[t], q) for q, (_, w) in enumerate(rows) for t in w]
     owners.sort()
@@ -145,15 +170,13 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str,
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hit, [-1, -2]]), pa.int64()), pa.array(np.concatenate([df[hit], [n, total]]), pa.int64())], names=["term", "n"])
 
-    text = X.lexical_tokens(F.col(doc_text)).alias("w")
-    seen = {r["term"]: r["n"] for r in docs.select(text).mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    seen = {r["term"]: r["n"] for r in read.select("w").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n, total = seen.get(-1, 0), seen.get(-2, 0)
     average = total / n if total else 1.0
     df = np.array([seen.get(t, 0) for t in range(len(terms))], float)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     groups = docs.schema[per].dataType.simpleString() if per else "string"
     id_kind = docs.schema[doc_id].dataType.simpleString()
-    read = docs.select(F.col(doc_id).alias("_id"), (F.col(per) if per else F.lit(None).cast("string")).alias("_g"), text)
     if only is not None:
         ids = spark.createDataFrame([(r[0], q) for q, r in enumerate(rows)], f"_name {queries.schema[query_id].dataType.simpleString()}, _q int")
         allowed = only.select(F.col(query_id).alias("_name"), F.col(doc_id).alias("_id")).join(F.broadcast(ids), "_name").groupBy("_id").agg(F.collect_set("_q").alias("_only"))  # as many as queries at most

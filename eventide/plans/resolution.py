@@ -51,10 +51,10 @@ def resolve_in_order(signals: DataFrame, events: DataFrame, cfg: MatchConfig = M
     signal may join the event that an earlier one founded (named ``new:<signal_id>``), by its text,
     or any event that an earlier one joined, by a hard identity. Signals under review join nothing.
 
-    Pairs with events and with earlier signals are compared once and written. Then all signals
-    are decided together, again and again, with what the last pass says of earlier ones: a pass
-    settles every signal whose earlier candidates are settled, so passes are as many as the longest
-    chain of candidates, and the result is that of going one by one. Scores of pairs of signals have
+    Pairs with events and with earlier signals are compared once and written. All signals are
+    decided by themselves first. A pass then decides those again that have a candidate whose
+    founder's outcome changed in the pass before, and carries the others on: passes are as many as the
+    longest chain of candidates, and the result is that of going one by one. Scores of pairs of signals have
     the earlier one's ``new:`` name. Candidates are the best of BM25 among the whole round."""
     old = stored(compared(signals, events, cfg, scores).withColumn("event_id", F.col("event_id").cast("string")), "pairs")
     others = signals.drop("event_ids").withColumn("event_id", F.concat(F.lit("new:"), F.col("signal_id").cast("string")))
@@ -63,21 +63,23 @@ def resolve_in_order(signals: DataFrame, events: DataFrame, cfg: MatchConfig = M
     inner = compared(signals, others, cfg, scores)
     inner = inner.join(order, inner["signal_id"] == order["_s"]).join(first, inner["event_id"] == first["_e"]).where("_first < _seq").drop("_s", "_e", "_seq", "_first")
     inner = stored(inner.withColumnRenamed("event_id", "founder"), "pairs")
-    last = None
+    name = F.concat(F.lit("new:"), F.col("signal_id").cast("string"))
+    target = F.when((F.col("decision") == "merge") & ~F.col("review_required"), F.col("event_id")).when((F.col("decision") == "create") & ~F.col("review_required"), name)
+    decided = lambda features, of: _decide(features, of, cfg).withColumn("target", target)
+    last = stored(decided(old, signals), "resolved")
+    again = stored(inner.select("signal_id").distinct(), "unsettled")
     for _ in range(rounds):
-        features = old
-        if last is not None:
-            at = last.select(F.concat(F.lit("new:"), F.col("signal_id").cast("string")).alias("founder"), F.col("target").alias("event_id"), F.col("decision").alias("_made"))
-            joined = inner.join(at, "founder").where("event_id is not null and (_made = 'create' or hard)").drop("founder", "_made")
-            both = old.unionByName(joined).withColumn("_c", match.confidence(cfg))
-            w = Window.partitionBy("signal_id", "event_id").orderBy(F.desc("_c"), F.desc(F.coalesce("rerank", F.lit(-1.0))))
-            features = both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_c")
-        target = F.when((F.col("decision") == "merge") & ~F.col("review_required"), F.col("event_id")).when((F.col("decision") == "create") & ~F.col("review_required"), F.concat(F.lit("new:"), F.col("signal_id").cast("string")))
-        now = stored(_decide(features, signals, cfg).withColumn("target", target), "resolved")
-        if last is not None:
-            before = last.select("signal_id", F.col("target").alias("_t"), F.col("decision").alias("_d"), F.col("event_id").alias("_e"))
-            moved = now.join(before, "signal_id").where("not (target <=> _t and decision <=> _d and event_id <=> _e)")
-            if moved.isEmpty():
-                return now
-        last = now
+        if again.isEmpty():
+            return last
+        mine = lambda df: df.join(again, "signal_id", "left_semi")  # noqa: E731, B023
+        at = last.select(name.alias("founder"), F.col("target").alias("event_id"), F.col("decision").alias("_made"))
+        joined = mine(inner).join(at, "founder").where("event_id is not null and (_made = 'create' or hard)").drop("founder", "_made")
+        both = mine(old).unionByName(joined).withColumn("_c", match.confidence(cfg))
+        w = Window.partitionBy("signal_id", "event_id").orderBy(F.desc("_c"), F.desc(F.coalesce("rerank", F.lit(-1.0))))
+        features = both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_c")
+        new = stored(decided(features, mine(signals)), "decided")
+        before = last.select("signal_id", F.col("target").alias("_t"), F.col("decision").alias("_d"))
+        moved = new.join(before, "signal_id").where("not (target <=> _t and decision <=> _d)").select(name.alias("founder"))
+        last = stored(last.join(again, "signal_id", "left_anti").unionByName(new), "resolved")
+        again = stored(inner.join(moved, "founder", "left_semi").select("signal_id").distinct(), "unsettled")
     raise RuntimeError(f"the round did not settle in {rounds} passes")

@@ -226,7 +226,13 @@ def test_one_pass_retrieval_equals_the_join(spark, monkeypatch):
     fast = [read(retrieve.bm25_top_k(queries, docs, "q", "id", "text", "text", 5, **c)) for c in cases]
     monkeypatch.setattr(retrieve, "_CELLS", 60)
     assert [read(retrieve.bm25_top_k(queries, docs, "q", "id", "text", "text", 5, **c)) for c in cases] == fast
-    monkeypatch.setattr(retrieve, "BROADCAST_TERMS", 3)
+    monkeypatch.setattr(retrieve, "BLOCK_QUERIES", 3)
+    assert [read(retrieve.bm25_top_k(queries, docs, "q", "id", "text", "text", 5, **c)) for c in cases[:2]] == fast[:2]
+    scored = retrieve.bm25(queries, docs, "q", "id", "text", "text")
+    joined = retrieve.top_k(scored, ["q"], 5, F.desc(F.round("score", 9)), F.asc("id"))
+    assert read(joined) == fast[0]  # the join on terms
+    monkeypatch.setattr(retrieve, "BLOCK_QUERIES", 10_000)
+    monkeypatch.setattr(retrieve, "BROADCAST_TERMS", 3)  # a query with more terms is a block by itself
     assert [read(retrieve.bm25_top_k(queries, docs, "q", "id", "text", "text", 5, **c)) for c in cases] == fast
     assert fast[0] and retrieve.bm25_top_k(queries.limit(0), docs, "q", "id", "text", "text", 5).count() == 0
     assert retrieve.bm25_top_k(queries, docs.limit(0), "q", "id", "text", "text", 5).count() == 0
