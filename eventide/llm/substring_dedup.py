@@ -16,6 +16,11 @@ repeat a doc_id are judged each by its own text and never against each other; ro
 in doc_id and text are one document, whose places count once however often it stands in the
 table. Repeats inside one document stay. Extra columns are ignored.
 
+A string that stands more than ``FEW`` times in what a task sends at once goes to its bucket with
+its smallest doc_id alone, under a name of its own. Its places go round the judge: they meet
+the judge's answer, the smallest doc_id of each window of the string, by that name. So what a
+bucket holds doesn't grow with the documents that share a passage.
+
 A document is named by its doc_id, and where ids repeat or are null also by the 64-bit hash of
 its text.
 
@@ -34,11 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices
+from .common import shuffle_partitions, slices, stored
 
 WINDOW, MMER, LONG_MMER = 13, 3, 8
 #: Documents in which frequent minimisers are looked for: this many, or this share if it is more;
@@ -58,9 +64,13 @@ TASK_BYTES = 128_000_000
 FLUSH_BYTES = 24_000_000
 #: Zstandard level of what is sent: 7 % smaller than at 3 for some 20 CPU seconds more a GB of text.
 LEVEL = 6
+#: Occurrences of a string, in what a task sends at once, up to which they travel with it.
+FEW = 64
 #: Occurrences that are judged at once.
 GATHER = 40_000
 _LAST = 2**63 - 1
+#: The position that marks an occurrence as a name for many.
+_MANY = 2**32 - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _OCC = np.dtype([("doc", "<i8"), ("sum", "<i8"), ("at", "<u4")])
 _NONE = np.zeros(0, np.uint64)
@@ -221,14 +231,35 @@ def _open(blob: bytes) -> Iterator[tuple[bytes, bytes]]:
         yield packed, data[a:b]
 
 
+def _signed(data: bytes) -> int:
+    h = xxhash.xxh64_intdigest(data)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _aside(found: dict[bytes, list]) -> list[tuple[int, int, bytes]]:
+    """Take the places of frequent strings out: (name, hash of the string, places). What names them is
+    a hash of the places, so that a task that runs again gives the same name."""
+    out = []
+    for packed, e in found.items():
+        if len(e[1]) > FEW * _OCC.itemsize:
+            ref = _signed(e[1])
+            out.append((ref, _signed(packed), zstandard.ZstdCompressor().compress(e[1])))
+            e[1] = np.array([(np.frombuffer(e[1], _OCC)["doc"].min(), ref, _MANY)], _OCC).tobytes()
+    return out
+
+
 def _send(found: dict[bytes, list], buckets: int) -> pa.RecordBatch:
+    aside = _aside(found)
     items = list(found.items())
     bucket = (np.array([e[0] for _, e in items], np.uint64) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     stops = np.flatnonzero(np.diff(bucket[order])) + 1
     groups = np.split(order, stops)
-    blobs = [_blob([items[i] for i in g.tolist()]) for g in groups]
-    return pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]]) for g in groups], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+    none = [None] * len(groups)
+    refs, shas, places = zip(*aside, strict=True) if aside else ([], [], [])
+    at = [*(int(bucket[g[0]]) for g in groups), *(r % buckets for r in refs)]
+    blobs = [*(_blob([items[i] for i in g.tolist()]) for g in groups), *places]
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(blobs, pa.binary()), pa.array([*none, *refs], pa.int64()), pa.array([*none, *shas], pa.int64())], names=["bucket", "blob", "ref", "sha"])
 
 
 def _frequent(docs: DataFrame, buckets: int, n: int, window: int, mmer: int) -> np.ndarray:
@@ -255,7 +286,8 @@ def _frequent(docs: DataFrame, buckets: int, n: int, window: int, mmer: int) ->
 
 def super_kmers(docs: DataFrame, buckets: int, window: int = WINDOW, mmer: int = MMER, hot: np.ndarray = _NONE) -> DataFrame:
     """bucket, blob: the distinct packed strings of a task's documents (doc, sum, text), with the
-    documents and word positions where they begin."""
+    documents and word positions where they begin; and, as ref and sha with a blob of their own, the
+    places of frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, list] = {}
@@ -282,7 +314,7 @@ def super_kmers(docs: DataFrame, buckets: int, window: int = WINDOW, mmer: int =
         if found:
             yield _send(found, buckets)
 
-    return docs.select("doc", "sum", "text").mapInArrow(run, "bucket bigint, blob binary")
+    return docs.select("doc", "sum", "text").mapInArrow(run, "bucket bigint, blob binary, ref bigint, sha bigint")
 
 
 def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -311,11 +343,36 @@ def _once(occ: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return occ[stay], np.bincount(owner[stay], minlength=len(counts))
 
 
-def _judge(packed: dict[bytes, bytes], window: int) -> pa.RecordBatch | None:
-    """Spans of words to remove, from all packed strings of some minimisers."""
+def _spans(occ: np.ndarray, wins: np.ndarray, least: np.ndarray, window: int) -> list[np.ndarray]:
+    """doc, sum, start and stop of the runs of words to remove. ``wins``: windows of each occurrence;
+    ``least``: the smallest doc_id of each of those windows, one after the other."""
+    begin = np.cumsum(wins) - wins
+    who = np.repeat(np.arange(len(occ)), wins)
+    inner = np.arange(len(who)) - begin[who]
+    cut = least < occ["doc"][who]
+    edge = np.diff(np.concatenate([[False], cut, [False]]).astype(np.int8))
+    s = np.flatnonzero(cut & ((inner == 0) | (edge[:-1] == 1)))
+    e = np.flatnonzero(cut & ((inner == wins[who] - 1) | (edge[1:] == -1)))
+    at = occ["at"].astype(np.int64)
+    return [occ["doc"][who[s]], occ["sum"][who[s]].astype(np.int64), at[who[s]] + inner[s], at[who[e]] + inner[e] + window]
+
+
+_SPANS = ("doc", "sum", "start", "stop")
+_JUDGED = pa.schema([*((c, pa.int64()) for c in (*_SPANS, "ref", "sha")), ("answer", pa.list_(pa.int64())), ("places", pa.binary())])
+
+
+def _row_batch(**cols: pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(cols.values())))
+    return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in _JUDGED], schema=_JUDGED)
+
+
+def _judge(packed: dict[bytes, list[bytes]], window: int) -> Iterator[pa.RecordBatch]:
+    """Spans of words to remove, from all packed strings of some minimisers; and the smallest doc_id
+    of each window of frequent strings."""
     flat = b"\n".join(packed)
-    occ = np.frombuffer(b"".join(packed.values()), _OCC)
-    counts = np.fromiter(map(len, packed.values()), np.int64, len(packed)) // _OCC.itemsize
+    whole = [b"".join(x) for x in packed.values()]
+    occ = np.frombuffer(b"".join(whole), _OCC)
+    counts = np.fromiter(map(len, whole), np.int64, len(packed)) // _OCC.itemsize
     occ, counts = _once(occ, counts)
     base = np.cumsum(counts) - counts
     lowest = np.minimum.reduceat(occ["doc"], base)
@@ -350,27 +407,22 @@ def _judge(packed: dict[bytes, bytes], window: int) -> pa.RecordBatch | None:
     # Each occurrence of a packed string against the smallest doc_id of each of its windows.
     wins = np.bincount(owner, minlength=len(packed))
     first = np.cumsum(wins) - wins
-    touched = np.flatnonzero((counts > 1) | np.logical_or.reduceat(smallest < lowest[owner], first))
-    out = []
-    step = max(1, GATHER)
-    which = np.repeat(touched, counts[touched])
-    index = np.arange(len(which)) - np.repeat(np.cumsum(counts[touched]) - counts[touched], counts[touched]) + base[which]
-    for k in range(0, len(which), step):
-        r, o = which[k : k + step], index[k : k + step]
-        n = wins[r]
-        begin = np.cumsum(n) - n
-        who = np.repeat(np.arange(len(r)), n)
-        inner = np.arange(int(n.sum())) - begin[who]
-        cut = smallest[first[r][who] + inner] < occ["doc"][o][who]
-        edge = np.diff(np.concatenate([[False], cut, [False]]).astype(np.int8))
-        edge_start = cut & ((inner == 0) | (edge[:-1] == 1))
-        edge_end = cut & ((inner == n[who] - 1) | (edge[1:] == -1))
-        s, e = np.flatnonzero(edge_start), np.flatnonzero(edge_end)
-        at = occ["at"][o].astype(np.int64)
-        out.append((occ["doc"][o][who[s]], occ["sum"][o][who[s]].astype(np.int64), at[who[s]] + inner[s], at[who[e]] + inner[e] + window))
-    if not out:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["doc", "sum", "start", "stop"])
+    touched = (counts > 1) | np.logical_or.reduceat(smallest < lowest[owner], first)
+    of = np.repeat(np.arange(len(packed)), counts)
+    many = occ["at"] == _MANY
+    names = np.flatnonzero(many)
+    if len(names):
+        strings = list(packed)
+        answers = [smallest[first[r] : first[r] + wins[r]] for r in of[names].tolist()]
+        yield _row_batch(ref=pa.array(occ["sum"][names], pa.int64()), sha=pa.array([_signed(strings[r]) for r in of[names].tolist()], pa.int64()), answer=pa.array(answers, pa.list_(pa.int64())))
+    real = np.flatnonzero(touched[of] & ~many)
+    for k in range(0, len(real), max(1, GATHER)):
+        o = real[k : k + GATHER]
+        n = wins[of[o]]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        cols = _spans(occ[o], n, smallest[np.repeat(first[of[o]], n) + inner], window)
+        if len(cols[0]):
+            yield _row_batch(**{c: pa.array(x, pa.int64()) for c, x in zip(_SPANS, cols, strict=True)})
 
 
 def _named(docs: DataFrame, text: str) -> DataFrame:
@@ -387,25 +439,45 @@ def repeated_spans(named: DataFrame, window: int = WINDOW, mmer: int = MMER) ->
     overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, bytes] = {}
+        held: dict[bytes, list[bytes]] = {}
         at = None
         for batch in batches:
+            aside = batch.filter(batch.column("ref").is_valid())
+            if aside.num_rows:
+                yield _row_batch(ref=aside.column("ref"), sha=aside.column("sha"), places=aside.column("blob"))
+            batch = batch.filter(batch.column("ref").is_null())
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
                 if bucket != at:
-                    if held and (out := _judge(held, window)) is not None:
-                        yield out
+                    if held:
+                        yield from _judge(held, window)
                     held, at = {}, bucket
                 for packed, occ in _open(blob.as_py()):
-                    held[packed] = held[packed] + occ if packed in held else occ
-        if held and (out := _judge(held, window)) is not None:
-            yield out
+                    held.setdefault(packed, []).append(occ)
+        if held:
+            yield from _judge(held, window)
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, answer in zip(batch.column("places"), batch.column("answer"), strict=True):
+                occ, least = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw.as_py()), _OCC), answer.values.to_numpy()
+                step = max(1, GATHER // 8)
+                for k in range(0, len(occ), step):
+                    part = occ[k : k + step]
+                    cols = _spans(part, np.full(len(part), len(least)), np.tile(least, len(part)), window)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=[*_SPANS])
 
     total = named.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     tasks = max(shuffle_partitions(named.sparkSession), total["b"] // TASK_BYTES)
     buckets = max(BUCKETS_A_TASK * tasks, total["b"] // BUCKET_BYTES)
     packed = super_kmers(named, buckets, window, mmer, _frequent(named, buckets, total["n"], window, mmer))
     dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "doc bigint, sum bigint, start bigint, stop bigint")
+    spans = "doc bigint, sum bigint, start bigint, stop bigint"
+    judged = stored(dealt.mapInArrow(run, f"{spans}, ref bigint, sha bigint, answer array<bigint>, places binary"), "judged")
+    found, places = judged.where("doc is not null").select(*_SPANS), judged.where("places is not null").select("ref", "sha", "places")
+    if places.isEmpty():
+        return found
+    answers = judged.where("answer is not null").select("ref", "sha", "answer")
+    return found.unionByName(places.join(answers.hint("merge"), ["ref", "sha"]).select("places", "answer").mapInArrow(answered, spans))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, mmer: int = MMER) -> DataFrame:

@@ -106,6 +106,24 @@ def test_substrings_of_equal_rows_and_null_ids(spark, monkeypatch):
     assert {tuple(r) for r in got} == {(1, 400, 0, 1), (None, 400, 400, 10_000), (None, 401, 400, 2), (7, 401, 400, 1), (7, 7, 0, 1)}
 
 
+@pytest.mark.parametrize("few,flush", [(1, 24_000_000), (2, 4_000)])
+def test_places_of_frequent_strings_go_round_the_judge(spark, docs, odd, monkeypatch, few, flush):
+    monkeypatch.setattr(substring_dedup, "FEW", few)
+    monkeypatch.setattr(substring_dedup, "FLUSH_BYTES", flush)
+    monkeypatch.setattr(substring_dedup, "GATHER", 50)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(docs, window=5, mmer=2).collect()}
+    assert got == brute_substrings(fixture_docs(), 5)
+    assert substring_dedup.remove_repeats(odd, window=5, mmer=2).count() == odd.count()
+
+
+def test_a_passage_in_very_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FLUSH_BYTES", 200_000)  # many blobs
+    passage = " ".join(f"p{i}" for i in range(30))
+    df = spark.range(100_000).selectExpr("id as doc_id", f"concat('own', id, ' {passage} end', id) as text").repartition(8)
+    got = substring_dedup.remove_repeats(df).groupBy("n_words", "n_removed").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).collect()
+    assert {tuple(r) for r in got} == {(32, 0, 1, 0), (32, 30, 99_999, 1)}
+
+
 def test_frequent_minimisers_are_split(spark, docs, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", 1)
     monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0.01)
@@ -118,7 +136,8 @@ def test_frequent_minimisers_are_split(spark, docs, monkeypatch):
 def test_hash_collisions_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring_dedup._Bytes, "hash", lambda self, a, b: np.zeros(len(a), np.uint64))
     occ = lambda d: np.array([(d, 0, 0)], substring_dedup._OCC).tobytes()
-    out = substring_dedup._judge({b"a b c": occ(1), b"a b c d": occ(2), b"x y z": occ(3)}, 3).to_pydict()
+    (batch,) = substring_dedup._judge({b"a b c": [occ(1)], b"a b c d": [occ(2)], b"x y z": [occ(3)]}, 3)
+    out = batch.to_pydict()
     assert out["doc"] == [2] and out["start"] == [0] and out["stop"] == [3]
 
 
@@ -565,6 +584,29 @@ def test_bpe_of_odd_texts():
         assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_bpe_of_more_pieces_than_the_cache(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    ids = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 400))) for _ in range(100)]
+    for pieces, learn, held in ((40, 7, 50), (1000, 25_000, 400_000), (40, 25_000, 90)):
+        monkeypatch.setattr(bpe, "CACHE_PIECES", pieces)
+        monkeypatch.setattr(bpe, "LEARN_PIECES", learn)
+        monkeypatch.setattr(bpe, "HELD_PIECES", held)
+        b = bpe.Bpe(path)
+        assert b.encode(texts) == [ids(x) for x in texts]
+        assert b.encode(texts[50:] + texts[:10]) == [ids(x) for x in texts[50:] + texts[:10]]
+    monkeypatch.undo()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: letters[k % 26] + letters[k // 26 % 26] + letters[k // 676 % 26] + letters[k // 17576 % 26] + letters[k // 456976]
+    long = " ".join(map(word, range(600_000)))
+    assert bpe.Bpe(path).encode(["ab cd", long, "ef"]) == [ids("ab cd"), ids(long), ids("ef")]
+
+
 def test_bpe_caches_are_bounded(monkeypatch):
     import public_tokenizers
 
