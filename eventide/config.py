@@ -138,3 +138,8 @@ def profile(name: str) -> MatchConfig:
     if name not in ("rules", "hybrid", "hybrid_rerank"):
         raise ValueError(f"unknown matching profile: {name}")
     return MatchConfig(use_embedding=name != "rules", use_reranker=name == "hybrid_rerank")
+
+# Where a search response keeps its list and its number of hits, and what a status has.
+ENVELOPE_LISTS = ("statuses", "items", "Items", "list", "List", "results", "Results")
+ENVELOPE_TOTALS = ("total_number", "total", "Total", "count", "Count")
+STATUS_KEYS = ("text", "text_raw", "id", "idstr", "mid")

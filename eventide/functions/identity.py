@@ -70,3 +70,10 @@ def event_signal_id(run_id: Column, source_signal: Column) -> Column:
 
 def observation_id(run_id: Column, source_id: Column, observed: Column) -> Column:
     return F.concat_ws(":", run_id, source_id, F.date_format(observed, "yyyy-MM-dd'T'HH:mm:ss"))
+
+
+def canonical_json(c: Column) -> Column:
+    """JSON with the keys of all objects in order, without white space, escapes and decimals in one form
+    (1.50 as 1.5, 2.0 as 2); null for what isn't JSON or repeats a key. Numbers with an exponent are
+    doubles and stay apart from the same number without one."""
+    return F.to_json(F.try_parse_json(c))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import similarity
+from .operators import review, similarity
 from .plans import duplicate_scan
 from .queries import _t, query
+from .sources import envelopes
 from .sources.shared import new_path
 
 #: Words and CJK pairs as ``lexical_tokens`` cuts them, for texts without CJK characters.
@@ -50,3 +51,52 @@ def duplicate_scan_slices(spark, d):
         scan = duplicate_scan.DuplicateScan.open(spark, path, "rule-1", scan.slice)
     places = spark.read.parquet(f"{path}/pairs").select("a", "b", F.expr("(place - 1) div 40 + 1").alias("slice"))
     return scan.verdicts().join(places, ["a", "b"])
+
+
+#: Responses in eight shapes, with the same statuses: arrays, known lists, envelopes to four levels, a lone status.
+_STATUS = """'{{"id":' || {i} || ',"text":"t' || {i} || '","reposts_count":"' || {i} % 7 || '","user":{{"name":"u' || {i} % 5 || '"}},"createdAt":"2024-01-05T00:00:00Z"}}'"""
+_TWO = f"""'[' || {_STATUS.format(i='event_id')} || ',{{"junk":1}},5,' || {_STATUS.format(i='(event_id + 1)')} || ']'"""
+_SHAPES = (
+    _TWO, f"""'{{"statuses":' || {_TWO} || ',"total":9}}'""", f"""'{{"data":{{"Results":' || {_TWO} || '}},"count":true,"Data":{{"Total":"12"}}}}'""",
+    f"""'{{"data":{{"x":1}},"Data":{{"data":{{"Data":{{"data":{{"items":' || {_TWO} || '}}}}}}}}}}'""", f"""'{{"data":' || {_STATUS.format(i='event_id')} || ',"id":1}}'""",
+    f"""'{{"id":' || event_id || ',"data":{{"list":[]}}}}'""", f"""'{{"list":[],"data":' || {_TWO} || '}}'""", "'not json {'",
+)
+
+
+def _payload() -> str:
+    return "CASE event_id % 8 " + " ".join(f"WHEN {k} THEN {s}" for k, s in enumerate(_SHAPES)) + " END"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT event_id, {_payload()} AS payload FROM events),
+    n AS (SELECT event_id, '' AS level, CASE WHEN json_valid(payload) THEN payload::JSON END AS v FROM p
+          UNION ALL SELECT event_id, level || k, json_extract(v, CASE k WHEN '0' THEN '$.data' ELSE '$.Data' END) FROM n, (SELECT unnest(['0', '1']) AS k)
+          WHERE json_type(v) = 'OBJECT' AND json_extract(v, CASE k WHEN '0' THEN '$.data' ELSE '$.Data' END) IS NOT NULL),
+    m AS (SELECT *, CASE WHEN json_type(v) = 'ARRAY' THEN v ELSE coalesce({", ".join(f"CASE WHEN json_type(v->'$.{k}') = 'ARRAY' THEN v->'$.{k}' END" for k in ("statuses", "items", "Items", "list", "List", "results", "Results"))}) END AS l,
+          coalesce({", ".join(f"CASE WHEN json_type(v->'$.{k}') IN ('UBIGINT', 'BIGINT') OR (json_type(v->'$.{k}') = 'VARCHAR' AND regexp_full_match(v->>'$.{k}', '[0-9]+')) THEN CAST(v->>'$.{k}' AS BIGINT) END" for k in ("total_number", "total", "Total", "count", "Count"))}) AS total FROM n),
+    looks AS (SELECT *, list_filter(CASE WHEN l IS NULL THEN [v] ELSE CAST(l AS JSON[]) END, lambda x: json_type(x) = 'OBJECT' AND len(list_intersect(json_keys(x), ['text', 'text_raw', 'id', 'idstr', 'mid'])) > 0) AS items FROM m),
+    free AS (SELECT * FROM looks a WHERE len(items) > 0 AND NOT EXISTS (SELECT 1 FROM m b WHERE b.event_id = a.event_id AND b.l IS NOT NULL AND len(b.level) < len(a.level) AND starts_with(a.level, b.level))),
+    best AS (SELECT event_id, arg_min(items, level || '2') AS items FROM free GROUP BY event_id),
+    tot AS (SELECT event_id, arg_min(total, level) AS total FROM m WHERE total IS NOT NULL GROUP BY event_id),
+    e AS (SELECT event_id, unnest(items) AS x, generate_subscripts(items, 1) - 1 AS pos FROM best)
+    SELECT event_id, CAST(pos AS INT) AS pos, total, x->>'$.id' AS status_id, x->>'$.text' AS text, CAST(x->>'$.reposts_count' AS BIGINT) AS reposts, x->>'$.user.name' AS author,
+           CASE WHEN x->>'$.text' IS NULL THEN 'missing_text,missing_created_at' ELSE '' END AS flags FROM e LEFT JOIN tot USING (event_id)""")
+def nested_envelopes(spark, d):
+    rows = _t(spark, d, "events").select("event_id", F.expr(_payload()).alias("payload"))
+    out = envelopes.statuses(rows, "event_id")
+    return out.select("event_id", "pos", "total", "status_id", "text", "reposts", "author", F.array_join("flags", ",").alias("flags"))
+
+
+@query("""WITH e AS (SELECT *, event_id % 4 AS k FROM events),
+    i AS (SELECT user_id, id, min(event_id * 10 + pos) AS seen FROM (SELECT user_id, event_id, unnest([CAST(event_id % 9 AS VARCHAR), 'r' || event_id % 5]) AS id, unnest([0, 1]) AS pos FROM e) GROUP BY ALL),
+    c AS (SELECT user_id, '{"a":{"x":' || event_id % 3 || ',"y":[1,2.5]},"b":"' || event_type || '"}' AS json, min(event_id) AS seen FROM e WHERE k <> 3 GROUP BY ALL)
+    SELECT user_id, any_value(ids) AS ids, any_value(objects) AS objects, count(*) AS rows
+    FROM e LEFT JOIN (SELECT user_id, string_agg(id, ',' ORDER BY seen) AS ids FROM i GROUP BY ALL) USING (user_id)
+           LEFT JOIN (SELECT user_id, string_agg(json, ';' ORDER BY seen) AS objects FROM c GROUP BY ALL) USING (user_id) GROUP BY user_id""")
+def merged_evidence(spark, d):
+    """Citations whose keys stand in another order, at both levels, are one; broken ones are none."""
+    x, t, k = (F.expr("event_id % 3").cast("string"), F.col("event_type"), F.col("event_id") % 4)
+    plain = F.concat(F.lit('{"a": {"x": '), x, F.lit(', "y": [1, 2.50]}, "b": "'), t, F.lit('"}'))
+    turned = F.concat(F.lit('{"b":"'), t, F.lit('","a":{"y":[1.0,2.5],"x":'), x, F.lit("}}"))
+    rows = _t(spark, d, "events").select("user_id", "event_id", F.array((F.col("event_id") % 9).cast("string")).alias("item_ids"), F.concat(F.lit("r"), (F.col("event_id") % 5).cast("string")).alias("run_id"), F.when(k == 0, F.array(plain)).when(k == 1, F.array(turned, plain)).when(k == 2, F.array(turned, F.lit(None).cast("string"))).otherwise(F.array(F.lit("{broken"))).alias("citations"))
+    out = review.merge_evidence(rows, "user_id", "event_id", {"item_ids": "run_id"}, ("citations",))
+    return out.select("user_id", F.array_join("item_ids", ",").alias("ids"), F.nullif(F.array_join("citations", ";"), F.lit("")).alias("objects"), "rows")

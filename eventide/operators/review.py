@@ -162,3 +162,27 @@ def recover(reviews: DataFrame, accepted: DataFrame, hours: float = 24) -> DataF
     late = (F.unix_micros("observed_at") - F.unix_micros("first_failed_at")) / 3.6e9
     ok = hits.where((F.col("observed_at") > F.col("last_failed_at")) & (~weak | (late <= hours)))
     return ok.groupBy("review_id").agg(F.min(F.struct("observed_at", "event_id", "basis")).alias("x")).select("review_id", "x.event_id", "x.basis", F.col("x.observed_at").alias("success_at"))
+
+
+def merge_evidence(rows: DataFrame, key: str, order: str, ids: dict[str, str | None], objects: tuple[str, ...] = ()) -> DataFrame:
+    """Evidence of one key folded in the order of its rows: key, a list for each of ``ids`` and of
+    ``objects``, and rows (how many).
+
+    ``ids``: array columns of ids, each perhaps with a column of one id more, whose values follow the
+    row's list; once each, in the order they come. ``objects``: array columns of JSON texts; objects that
+    agree but for the order of keys are one, shown in its canonical form. Nulls, and texts that aren't
+    JSON, are left out. Values meet one by one, so that a key's rows are never gathered."""
+    named = []
+    for name, single in ids.items():
+        own = F.coalesce(F.col(name).cast("array<string>"), F.array().cast("array<string>"))
+        named.append((name, F.concat(own, F.array(F.col(single).cast("string"))) if single else own))
+    for name in objects:
+        named.append((name, F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), I.canonical_json)))
+    lists = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("values")) for n, v in named])).alias("x")
+    flat = rows.select(key, F.col(order).alias("_at"), lists).select(key, "_at", "x.name", F.posexplode("x.values").alias("_pos", "value")).where("value is not null")
+    first = flat.groupBy(key, "name", "value").agg(F.min(F.struct("_at", "_pos")).alias("at"))
+    inside = lambda n: F.transform(F.array_sort(F.filter(F.collect_list(F.when(F.col("name") == n, F.struct("at", "value"))), lambda v: v.isNotNull())), lambda v: v["value"]).alias(n)
+    merged = first.groupBy(key).agg(*[inside(n) for n, _ in named])
+    total = rows.groupBy(key).agg(F.count("*").alias("rows"))
+    none = {n: F.coalesce(n, F.array().cast("array<string>")) for n, _ in named}
+    return total.join(merged, key, "left").withColumns(none).select(key, *[n for n, _ in named], "rows")
