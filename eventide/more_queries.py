@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import review, similarity
 from .plans import duplicate_scan
-from .queries import _t, query
-from .sources import envelopes
-from .sources.shared import new_path
+from .queries import OBS, _t, _utc, observations, query
+from .sources import envelopes, versions
+from .sources.shared import new_path, stored
 
 #: Words and CJK pairs as ``lexical_tokens`` cuts them, for texts without CJK characters.
 _TOKENS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+|[一-鿿]+)'))"
@@ -100,3 +100,45 @@ def merged_evidence(spark, d):
     rows = _t(spark, d, "events").select("user_id", "event_id", F.array((F.col("event_id") % 9).cast("string")).alias("item_ids"), F.concat(F.lit("r"), (F.col("event_id") % 5).cast("string")).alias("run_id"), F.when(k == 0, F.array(plain)).when(k == 1, F.array(turned, plain)).when(k == 2, F.array(turned, F.lit(None).cast("string"))).otherwise(F.array(F.lit("{broken"))).alias("citations"))
     out = review.merge_evidence(rows, "user_id", "event_id", {"item_ids": "run_id"}, ("citations",))
     return out.select("user_id", F.array_join("item_ids", ",").alias("ids"), F.nullif(F.array_join("citations", ";"), F.lit("")).alias("objects"), "rows")
+
+
+@query(f"""WITH {OBS} SELECT event_id, platform, run_id, arg_max(observation_id, observed_at) AS observation_id, round(arg_max(score, observed_at), 6) AS score, 3 AS versions
+    FROM (SELECT * FROM obs WHERE score IS NOT NULL) GROUP BY event_id, platform, run_id""")
+def score_upserts(spark, d):
+    """Scores by event, platform and round, in three uneven batches and a replay of the second."""
+    o = observations(spark, d).where("score is not null")
+    table = versions.Upserts(spark, new_path(spark, "scores"), "event_id bigint, platform string, run_id bigint, observed_at timestamp, observation_id bigint, score double", ["event_id", "platform", "run_id"], "observed_at", buckets=16)
+    for part in ("observation_id % 10 < 8", "observation_id % 10 = 8", "observation_id % 10 = 9"):
+        table.upsert(o.where(part))
+    table.upsert(o.where("observation_id % 10 = 8"))
+    return table.read().select("event_id", "platform", "run_id", "observation_id", F.round("score", 6).alias("score"), F.lit(table.version()).alias("versions"))
+
+
+@query("""WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, * FROM events)
+    SELECT day, count(*) AS lines, sum(value)::DECIMAL(18, 2)::DOUBLE AS total, min(day) OVER () > '2024-01-10' AS pruned, (SELECT count(*) FROM events) AS before FROM e WHERE day >= '2024-01-15' GROUP BY day""")
+def pruned_log(spark, d):
+    """Log lines of the days that a pruning left, beside those that a reader from before still has."""
+    log = versions.DayLog(spark, new_path(spark, "log"), "ts timestamp, event_type string, value double")
+    e = _t(spark, d, "events").select(_utc("ts").alias("ts"), "event_type", "value", "event_id")
+    log.append(e.where("event_id % 2 = 0"))
+    log.append(e.where("event_id % 2 = 1"))
+    before = log.read()
+    log.prune("2024-01-15")
+    now = log.read().groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("lines"), F.round(F.sum("value"), 2).alias("total"))
+    return now.crossJoin(before.agg(F.count("*").alias("before"))).select("day", "lines", "total", (F.col("day") > "2024-01-10").alias("pruned"), "before")
+
+
+@query(f"""WITH {_similar('benchmark', 'item_id', 0.1)}, t2 AS (SELECT item_id, length(text) AS n FROM benchmark)
+    SELECT a, b, (x.n + y.n)::DOUBLE AS score, a % 2 = 0 AS known FROM p JOIN t2 x ON x.item_id = a JOIN t2 y ON y.item_id = b""")
+def cached_scores(spark, d):
+    """Pairs of similar items scored in two runs: the second scores only those the first hadn't."""
+    items = _t(spark, d, "benchmark")
+    _, pairs = similarity.similarity_join(items, "item_id", X.lexical_tokens(F.col("text")), 0.1)
+    side = lambda c: items.select(F.col("item_id").alias(c), F.col("text").alias(f"text_{c}"))
+    both = stored(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b"), "pairs")
+    run = lambda name: lambda missing: missing.select("_name", (F.length("text_a") + F.length("text_b") + F.lit(name)).cast("double").alias("score"))
+    cache = versions.ScoreCache(spark, new_path(spark, "cache"), "length-1", buckets=8)
+    cache.scored(both.where("a % 2 = 0"), "text_a", "text_b", run(0)).count()
+    out = cache.scored(both, "text_a", "text_b", run(1000))  # what the second run scores is told by its number
+    fresh = F.col("score") - F.length("text_a") - F.length("text_b") >= 1000
+    return out.select("a", "b", F.when(fresh, F.col("score") - 1000).otherwise(F.col("score")).alias("score"), (~fresh).alias("known"))
