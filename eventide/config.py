@@ -143,3 +143,7 @@ def profile(name: str) -> MatchConfig:
 ENVELOPE_LISTS = ("statuses", "items", "Items", "list", "List", "results", "Results")
 ENVELOPE_TOTALS = ("total_number", "total", "Total", "count", "Count")
 STATUS_KEYS = ("text", "text_raw", "id", "idstr", "mid")
+
+# Characters that part a title's tokens, and that terms lose at both ends.
+TOKEN_BREAKS = r"[\s,，。.!！？?;；:：、/\\|()\[\]{}<>《》「」『』“”\"'`~]+"
+TERM_EDGES = " #，。！？!?;；:：、/\\|()[]{}<>《》「」『』“”\"'`~"

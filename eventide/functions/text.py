@@ -23,8 +23,10 @@ from ..config import (
     PLACE_PATTERN,
     QUESTION_SHELLS,
     TEMPLATE_PHRASES,
+    TERM_EDGES,
     TITLE_ACTIONS,
     TITLE_HAZARDS,
+    TOKEN_BREAKS,
 )
 
 CJK = r"\x{4e00}-\x{9fff}"
@@ -147,13 +149,15 @@ def entities(c: Column, markers: Sequence[str] = ENTITY_MARKERS) -> Column:
 
 
 def keywords(c: Column, generic: Sequence[str] = GENERIC_KEYWORDS, listed: Sequence[str] = ACTIONS, limit: int = 8) -> Column:
-    """Phrases, words and short CJK runs, then CJK n-grams; without generic and action terms; the
-    first ``limit``."""
-    runs = F.regexp_extract_all(c, F.lit(rf"([{CJK}]+|[A-Za-z0-9]+)"), F.lit(1))
-    short = F.filter(runs, lambda r: (F.length(r) >= 2) & (F.length(r) <= 8))
-    long = F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) > 8), lambda r: ngrams(r, 2, 4)))
-    bad = lambda t: F.lit(False) if not generic else t.rlike("|".join(generic)) | t.isin(*listed)
-    return F.slice(F.filter(F.array_distinct(F.concat(phrases(c), short, long)), lambda t: ~bad(t) & (F.length(t) >= 2)), 1, limit)
+    """Phrases, then tokens between spaces and punctuation, then each CJK run (whole if it has at
+    most 8 characters) and its n-grams of 2, 3 and 4; without marks at their ends, generic and
+    action terms; the first ``limit``, once each. Null without a text."""
+    parts = F.split(c, f"(?U){TOKEN_BREAKS}")
+    runs = F.regexp_extract_all(c, F.lit(rf"([{CJK}]{{2,}})"), F.lit(1))
+    cut = F.flatten(F.transform(runs, lambda r: F.concat(F.when(F.length(r) <= 8, F.array(r)).otherwise(empty()), ngrams(r, 2, 4))))
+    terms = F.transform(F.concat(phrases(c), parts, cut), lambda t: F.btrim(t, F.lit(TERM_EDGES)))
+    bad = lambda t: (t == "") | (t.rlike("|".join(generic)) if generic else F.lit(False)) | (t.isin(*listed) if listed else F.lit(False))
+    return F.slice(F.array_distinct(F.filter(terms, lambda t: ~bad(t))), 1, limit)
 
 
 def strip_question(c: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import review, similarity
+from .operators import judge, official, review, similarity
 from .plans import duplicate_scan
-from .queries import OBS, _t, _utc, observations, query
+from .queries import END, OBS, START, _t, _title, _utc, observations, query
 from .sources import envelopes, versions
 from .sources.shared import new_path, stored
 
@@ -142,3 +143,80 @@ def cached_scores(spark, d):
     out = cache.scored(both, "text_a", "text_b", run(1000))  # what the second run scores is told by its number
     fresh = F.col("score") - F.length("text_a") - F.length("text_b") >= 1000
     return out.select("a", "b", F.when(fresh, F.col("score") - 1000).otherwise(F.col("score")).alias("score"), (~fresh).alias("known"))
+
+
+_FIRST = r"trim(regexp_replace(regexp_extract(coalesce(text, ''), '^\s*([^.!?。！？\n]*)', 1), '\s+', ' ', 'g'))"
+_GRAMS = "list_distinct(list_concat(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)), list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3))))"
+_BARE_TITLE = r"lower(regexp_replace(b_title, '\s+', '', 'g'))"
+_SUPPORT = rf"""e AS (SELECT item_id AS event_id, {_FIRST} AS title FROM benchmark),
+    ek AS (SELECT *, list_filter(w, lambda x, i: x <> '' AND list_position(w, x) = i)[1:8] AS kw FROM (
+        SELECT *, list_transform(regexp_split_to_array(title, '[\s,，。.!！？?;；:：、/\\|()\[\]{{}}<>《》「」『』“”"''`~]+'), lambda x: trim(x, ' #，。！？!?;；:：、/|()[]{{}}<>《》「」『』“”"''`~')) AS w FROM e)),
+    eq AS (SELECT *, CASE WHEN len(kw) > 0 THEN array_to_string(kw[1:3], ' ') ELSE title END AS query FROM ek),
+    dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+|[一-鿿]+)') AS w FROM documents),
+    tf AS (SELECT doc_id, term, any_value(len) AS len, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM dw) GROUP BY doc_id, term),
+    f AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s AS (SELECT count(*) AS n, avg(len(w)) AS a FROM dw),
+    q AS (SELECT event_id, unnest(list_distinct(regexp_extract_all(lower(query), '([a-z0-9]+|[一-鿿]+)'))) AS term FROM eq),
+    sc AS (SELECT event_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS score FROM q JOIN tf USING (term) JOIN f USING (term) CROSS JOIN s GROUP BY ALL),
+    c AS (SELECT event_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(score, 9) DESC, doc_id) AS n FROM sc) WHERE n <= 20),
+    p AS (SELECT c.event_id, c.doc_id, eq.kw, lower(regexp_replace(eq.title, '\s+', '', 'g')) AS ta, eq.title, {_FIRST} AS b_title, lower(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS b_text,
+        c.doc_id % 5 > 0 AND {_FIRST} <> '' AND c.doc_id % 3 > 0 AS good FROM c JOIN eq USING (event_id) JOIN documents USING (doc_id)),
+    g AS (SELECT *, len(list_filter(kw, lambda k: contains(b_text, k))) AS hits, {_GRAMS.format('ta')} AS ga, {_GRAMS.format(_BARE_TITLE)} AS gb,
+        lower(regexp_replace(title, '[^\p{{L}}\p{{N}}\p{{M}}_]+', '', 'g')) AS na, lower(regexp_replace(b_title, '[^\p{{L}}\p{{N}}\p{{M}}_]+', '', 'g')) AS nb FROM p),
+    h AS (SELECT *, CASE WHEN len(kw) > 0 THEN hits / len(kw) ELSE 0 END AS keyword, CASE WHEN len(ga) > 0 THEN len(list_intersect(ga, gb)) / len(ga) ELSE 0 END AS ngram FROM g),
+    o AS (SELECT *, CASE WHEN NOT ((length(na) >= 6 AND length(nb) >= 6 AND (contains(na, nb) OR contains(nb, na))) OR (keyword >= 0.5 AND hits >= 2) OR ngram >= 0.45) THEN 'weak_text' WHEN good THEN 'supported' ELSE 'weak_supported' END AS outcome FROM h),
+    z AS (SELECT *, CASE WHEN outcome <> 'weak_text' THEN struct_pack(s := outcome = 'supported', t := round(CASE WHEN outcome = 'supported' THEN 1.0 ELSE 0.5 END + keyword + ngram, 12), d := doc_id) END AS k FROM o),
+    r AS (SELECT event_id, count(*) AS candidates, count(*) FILTER (outcome = 'supported') AS supported, count(*) FILTER (outcome = 'weak_supported') AS weak_supported, count(*) FILTER (outcome = 'weak_text') AS weak_text, max(k).d AS best_item FROM z GROUP BY event_id)"""
+
+
+def _support_tables(spark, d):
+    i = F.col("doc_id")
+    e = _t(spark, d, "benchmark").select(F.col("item_id").alias("event_id"), _title().alias("title"), X.empty().alias("entities")).withColumn("keywords", X.keywords(F.col("title")))
+    pool = _t(spark, d, "documents").select(i.alias("item_id"), _title().alias("title"), "text", X.empty().alias("entities"), F.when(i % 5 == 0, "fallback").otherwise("use").alias("status"), F.lit("https://x.org").alias("url"), F.when(i % 3 == 0, F.lit(START)).otherwise(F.lit(END)).alias("published_at"))
+    return e, pool
+
+
+@query(f"""WITH {_SUPPORT} SELECT event_id, CASE WHEN supported > 0 THEN 'supported' WHEN weak_supported > 0 THEN 'weak_supported' ELSE 'not_found' END AS support_status, best_item, query,
+    coalesce(candidates, 0) AS candidates, coalesce(supported, 0) AS supported, coalesce(weak_supported, 0) AS weak_supported, 0 AS conflict, 0 AS other_entities, coalesce(weak_text, 0) AS weak_text,
+    (SELECT sum(candidates)::BIGINT FROM r) AS all_candidates FROM eq LEFT JOIN r USING (event_id)""")
+def official_support_audit(spark, d):
+    """Support of every event with the counts of its query, candidates and drops, and their sum as the
+    same pass observed it."""
+    seen = Observation("support")
+    out = stored(official.audited_support(*_support_tables(spark, d), F.lit(END), seen=seen), "support")
+    return out.select("event_id", "support_status", "best_item", "query", "candidates", *official.OUTCOMES, F.lit(seen.get["candidates"]).alias("all_candidates"))
+
+
+_JUDGED = """b AS (SELECT item_id AS i, text FROM benchmark), x AS (SELECT unnest([0, 1, 2]) AS k),
+    j AS (SELECT i, k, 's' || i AS signal_id, 'd' || doc_id AS candidate_id, b.text AS st, d.text AS dt, (i * 3 + k) % 11 AS m FROM b, x JOIN documents d ON d.doc_id = (i * 7 + k * 13) % 100),
+    v AS (SELECT *, CASE WHEN m IN (0, 1, 2) THEN 'same_event' WHEN m IN (3, 4, 5, 6) THEN 'insufficient_evidence' ELSE 'different_event' END AS decision,
+          CASE m WHEN 3 THEN 'possible_same_event' WHEN 4 THEN 'insufficient_context' WHEN 5 THEN 'other' END AS kind,
+          CASE WHEN i % 6 = 5 AND k = 1 THEN 'no such words here' ELSE substr(dt, 3, 12) END AS dq, substr(st, 5, 20) AS sq FROM j)"""
+
+
+@query(f"""WITH {_JUDGED}, c AS (SELECT *, CASE WHEN (length(trim(sq)) = 0 OR strpos(st, sq) = 0 OR length(trim(dq)) = 0 OR strpos(dt, dq) = 0) THEN 'quote_not_found' WHEN m = 1 AND i % 4 = 1 THEN 'same_event_has_conflicts' WHEN m = 6 THEN 'uncertainty_kind_missing'
+        WHEN m = 3 AND i % 5 = 4 THEN 'uncertainty_missing_critical_detail' END AS problem FROM v),
+    g AS (SELECT *, CASE WHEN problem IS NOT NULL THEN NULL WHEN decision = 'same_event' THEN 'same' WHEN m = 3 THEN 'plausible' WHEN m = 4 THEN 'context_only' WHEN m = 5 THEN 'legacy' ELSE 'different' END AS grp FROM c),
+    a AS (SELECT signal_id, arg_min(problem, k) FILTER (problem IS NOT NULL) AS problem, count(*) FILTER (grp = 'same') AS same, count(*) FILTER (grp IN ('plausible', 'legacy')) AS unsure, count(*) FILTER (grp = 'legacy') AS legacy,
+          coalesce(arg_min(candidate_id, k) FILTER (grp = 'same'), arg_min(candidate_id, k) FILTER (grp = 'plausible'), arg_min(candidate_id, k) FILTER (grp = 'legacy')) AS pick, string_agg(candidate_id, ',' ORDER BY k) FILTER (grp = 'context_only') AS context_only FROM g GROUP BY signal_id)
+    SELECT signal_id, CASE WHEN problem IS NOT NULL THEN 'candidate_review' WHEN same = 1 AND unsure = 0 THEN 'merge' WHEN same + unsure > 0 THEN 'candidate_review' ELSE 'create' END AS action,
+           CASE WHEN problem IS NULL AND same + unsure > 0 THEN pick END AS event_id, CASE WHEN problem IS NOT NULL THEN 0.0 WHEN same = 1 AND unsure = 0 THEN 1.0 WHEN same + unsure > 0 THEN 0.6 ELSE 0.75 END::DOUBLE AS confidence,
+           CASE WHEN problem IS NOT NULL THEN 'technical_error' WHEN same > 1 THEN 'competing_matches' WHEN legacy > 0 THEN 'legacy_uncertainty' WHEN unsure > 0 THEN 'plausible_uncertainty' WHEN same = 1 THEN 'automatic_merge' ELSE 'independent_topic' END AS category,
+           problem, coalesce(context_only, '') AS context_only FROM a""")
+def judged_signals(spark, d):
+    """Judgments of each benchmark item against three documents, with quotes from both texts, replayed."""
+    b = _t(spark, d, "benchmark").select(F.col("item_id").alias("i"), F.col("text").alias("st"))
+    k = b.withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    docs = _t(spark, d, "documents").select("doc_id", F.col("text").alias("dt"))
+    j = k.join(docs, F.col("doc_id") == (F.col("i") * 7 + F.col("k") * 13) % 100).withColumn("m", (F.col("i") * 3 + F.col("k")) % 11)
+    m, text = F.col("m"), lambda c: F.array(F.lit(c))
+    s, c = F.concat(F.lit("s"), F.col("i")), F.concat(F.lit("d"), F.col("doc_id"))
+    dq = F.when((F.col("i") % 6 == 5) & (F.col("k") == 1), "no such words here").otherwise(F.substring("dt", 3, 12))
+    quotes = F.array(F.struct(s.alias("source_id"), F.substring("st", 5, 20).alias("quote")), F.struct(c.alias("source_id"), dq.alias("quote")))
+    rows = j.select(
+        s.alias("signal_id"), c.alias("candidate_id"), F.col("k").alias("place"), F.when(m < 3, "same_event").when(m < 7, "insufficient_evidence").otherwise("different_event").alias("decision"),
+        F.when(m == 3, "possible_same_event").when(m == 4, "insufficient_context").when(m == 5, "other").alias("uncertainty_kind"), quotes.alias("evidence"), F.when(m == 3, quotes).alias("clues"),
+        F.when((m == 1) & (F.col("i") % 4 == 1), text("date")).alias("conflicts"), F.when((m == 3) & (F.col("i") % 5 != 4), text("when")).alias("missing_information"),
+    )
+    documents = b.select(s.alias("source_id"), F.lit(None).cast("string").alias("title"), F.col("st").alias("text")).unionByName(docs.select(c.alias("source_id"), F.lit(None).cast("string").alias("title"), F.col("dt").alias("text")))
+    out = judge.decided(rows.select("signal_id").distinct(), judge.checked(rows, documents))
+    return out.select("signal_id", "action", "event_id", "confidence", "category", "problem", F.array_join("context_only", ",").alias("context_only"))

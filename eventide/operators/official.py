@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import COMPARABLE_ENTITY_SUFFIXES, SupportConfig
@@ -11,7 +11,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..functions.settle import settled
 from .ranking import ranked
-from .retrieve import bm25_top_k
+from .retrieve import bm25_top_k, capped
 
 
 def query_text(title: Column, entities: Column, keywords: Column) -> Column:
@@ -20,16 +20,21 @@ def query_text(title: Column, entities: Column, keywords: Column) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(title)
 
 
-def support(events: DataFrame, pool: DataFrame, end: Column, cfg: SupportConfig = SupportConfig(), recall: int = 20) -> DataFrame:  # noqa: B008
-    """event_id, support_status, n_supported, best_item of every event.
+def compared(events: DataFrame, pool: DataFrame, end: Column, cfg: SupportConfig = SupportConfig(), recall: int = 20, per_source: int | None = None) -> DataFrame:  # noqa: B008
+    """Each event with its candidates, the ``recall`` best of BM25 (at most ``per_source`` of a source,
+    if the pool has source_id): event_id, item_id, query, outcome and score.
 
-    Candidates are the best of BM25. A pair drops on conflicts or disjoint
-    entities; it counts with strong text agreement; it is supported if the source is in use, has
-    link, title and time, and is fresh; else weakly."""
+    A pair drops on conflicting facts or entities (conflict), disjoint entities (other_entities) or weak
+    agreement of the texts (weak_text). The others are supported if the source is in use, has link,
+    title and time, and is fresh; else weak_supported."""
     e = events.withColumn("q", query_text(F.col("title"), F.col("entities"), F.col("keywords")))
-    cand = bm25_top_k(e, pool, "event_id", "item_id", "q", "text", recall)
+    if per_source is None:
+        cand = bm25_top_k(e, pool, "event_id", "item_id", "q", "text", recall)
+    else:
+        each = bm25_top_k(e, pool, "event_id", "item_id", "q", "text", per_source, per="source_id")
+        cand = capped(each, "source_id", per_source, recall, "event_id", F.desc(F.round("score", 9)), F.asc("item_id"))
     b = pool.select("item_id", *[F.col(c).alias(f"b_{c}") for c in ("title", "text", "entities", "status", "url", "published_at")])
-    p = cand.join(events, "event_id").join(b, "item_id")
+    p = cand.select("event_id", "item_id").join(e, "event_id").join(b, "item_id")
     p = settled(p, _fa=X.facts(F.col("title")), _fb=X.facts(F.col("b_title")), _text=X.normalize_space(F.col("b_text")), _ta=X.normalize_space(F.col("title")), _tb=X.normalize_space(F.col("b_title")))
     p = settled(p, _clash=F.size(X.conflicts(F.col("_fa"), F.col("_fb"))) > 0, _ga=X.ngrams(F.col("_ta"), 2, 3), _gb=X.ngrams(F.col("_tb"), 2, 3))
     clash = F.col("_clash") | X.entity_conflict(F.col("entities"), F.col("b_entities"), COMPARABLE_ENTITY_SUFFIXES, F.col("title"), F.col("b_title"))
@@ -41,10 +46,35 @@ def support(events: DataFrame, pool: DataFrame, end: Column, cfg: SupportConfig
     strong = X.title_containment(F.col("title"), F.col("b_title")) | ((keyword >= cfg.keyword_min) & (hits >= cfg.keyword_count)) | (ngram >= cfg.ngram_min)
     fresh = N.hours_between(end, F.col("b_published_at")) <= cfg.fresh_days * 24
     good = (F.col("b_status") == "use") & I.safe_url(F.col("b_url")) & (F.col("b_title") != "") & fresh
-    scored = p.where(~clash & ~apart & strong).withColumns({"supported": F.coalesce(good, F.lit(False)), "total": F.when(F.coalesce(good, F.lit(False)), 1.0).otherwise(0.5) + keyword + ngram + X.jaccard(F.col("entities"), F.col("b_entities"))})
-    got = scored.groupBy("event_id").agg(F.count_if("supported").alias("n_supported"), F.count("*").alias("n"), F.max_by("item_id", F.struct("supported", "total", "item_id")).alias("best_item"))
-    out = events.select("event_id").join(got, "event_id", "left")
-    return out.select("event_id", F.when(F.col("n_supported") > 0, "supported").when(F.col("n") > 0, "weak_supported").otherwise("not_found").alias("support_status"), F.coalesce("n_supported", F.lit(0)).alias("n_supported"), "best_item")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    outcome = F.when(yes(clash), "conflict").when(yes(apart), "other_entities").when(~yes(strong), "weak_text").when(yes(good), "supported").otherwise("weak_supported")
+    total = F.when(F.col("outcome") == "supported", 1.0).otherwise(0.5) + keyword + ngram + X.jaccard(F.col("entities"), F.col("b_entities"))
+    return p.withColumn("outcome", outcome).select("event_id", "item_id", F.col("q").alias("query"), "outcome", total.alias("score"))
+
+
+#: Outcomes of a pair, the first two of which count.
+OUTCOMES = ("supported", "weak_supported", "conflict", "other_entities", "weak_text")
+
+
+def audited_support(events: DataFrame, pool: DataFrame, end: Column, cfg: SupportConfig = SupportConfig(), recall: int = 20, per_source: int | None = None, seen: Observation | None = None) -> DataFrame:  # noqa: B008
+    """event_id, support_status, n_supported, best_item, query, candidates and the number of candidates
+    of each of ``OUTCOMES``, of every event. ``seen`` gets the sums of all counts, and events, by the
+    pass that makes the result."""
+    pairs = compared(events, pool, end, cfg, recall, per_source)
+    counts = [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
+    best = F.max_by("item_id", F.when(F.col("outcome").isin(*OUTCOMES[:2]), F.struct(F.col("outcome") == "supported", "score", "item_id")))
+    got = pairs.groupBy("event_id").agg(F.count("*").alias("candidates"), *counts, best.alias("best_item"))
+    asked = events.select("event_id", query_text(F.col("title"), F.col("entities"), F.col("keywords")).alias("query"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("candidates", *OUTCOMES)}
+    out = asked.join(got, "event_id", "left").withColumns(zero)
+    status = F.when(F.col("supported") > 0, "supported").when(F.col("weak_supported") > 0, "weak_supported").otherwise("not_found")
+    out = out.select("event_id", status.alias("support_status"), F.col("supported").alias("n_supported"), "best_item", "query", "candidates", *OUTCOMES)
+    return out if seen is None else out.observe(seen, F.count("*").alias("events"), *[F.sum(c).alias(c) for c in zero])
+
+
+def support(events: DataFrame, pool: DataFrame, end: Column, cfg: SupportConfig = SupportConfig(), recall: int = 20) -> DataFrame:  # noqa: B008
+    """event_id, support_status, n_supported, best_item of every event (see ``compared``)."""
+    return audited_support(events, pool, end, cfg, recall).select("event_id", "support_status", "n_supported", "best_item")
 
 
 def best_freshness(refs: DataFrame, end: Column) -> DataFrame:

@@ -97,6 +97,27 @@ def test_search_relevance(spark, title, text, flags, pu, eu, want):
     assert tuple(one(spark, r, p="某品牌汽车召回", t=title, x=text, f=flags, pu=pu, eu=eu)) == want
 
 
+def plain_keywords(title, generic, actions):
+    breaks = " \t\n\u3000,，。.!！？?;；:：、/\\|()[]{}<>《》「」『』“”\"'`~"
+    phrases = list(dict.fromkeys(re.findall(r"#([^#\s]+)#?", title) + re.findall(r"[《「『“\"']([^》」』”\"']{2,30})[》」』”\"']", title)))
+    tokens = "".join(" " if c in breaks else c for c in title).split(" ")
+    out = phrases + tokens
+    for run in re.findall("[\u4e00-\u9fff]{2,}", title):
+        out += ([run] if len(run) <= 8 else []) + [run[i : i + n] for n in (2, 3, 4) for i in range(len(run) - n + 1)]
+    out = [t.strip(" #，。！？!?;；:：、/\\|()[]{}<>《》「」『』“”\"'`~") for t in out]
+    return list(dict.fromkeys(t for t in out if t and t not in actions and not any(g in t for g in generic)))[:8]
+
+
+def test_keywords(spark):
+    rng = random.Random(12)
+    pieces = ["江城", "大桥", "召回", "最新", "网友热议", "突然停电一小时又恢复", "Acme", "X9", "#话题#", "《新书》", "“引语”", "，", "！", " ", " ", "a", "v2.0", "~"]
+    titles = ["".join(rng.choices(pieces, k=rng.randint(0, 9))) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in titles], "t string").repartition(1)
+    for generic, actions in ((("最新", "网友"), ("召回",)), ((), ())):
+        got = {r["t"]: r["k"] for r in df.select("t", X.keywords(F.col("t"), generic, actions).alias("k")).collect()}
+        assert got == {t: plain_keywords(t, generic, actions) for t in titles}
+
+
 # pairs of rounds
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from eventide.operators import match, similarity
+from eventide.operators import judge, match, similarity
 from eventide.plans.duplicate_scan import VERDICT, DuplicateScan, all_verdicts
 from eventide.sources.shared import new_path
 
@@ -92,3 +92,56 @@ def test_duplicate_scan_goes_on_where_it_was(spark):
     assert sorted(x[:2] for x in seen) == every  # nothing was judged twice
     with pytest.raises(ValueError, match="stale"):
         DuplicateScan.open(spark, path, "p2", 1)
+
+
+# judged pairs
+
+
+def judged(spark, *rows):
+    names = ("signal_id", "candidate_id", "place", "decision", "uncertainty_kind", "evidence", "clues", "conflicts", "missing_information")
+    blank = {n: None for n in names} | {"evidence": []}
+    full = [tuple((blank | {"place": k} | r)[n] for n in names) for k, r in enumerate(rows)]
+    quotes = "array<struct<source_id:string,quote:string>>"
+    return spark.createDataFrame(full, f"signal_id string, candidate_id string, place int, decision string, uncertainty_kind string, evidence {quotes}, clues {quotes}, conflicts array<string>, missing_information array<string>")
+
+
+def test_judged_pairs(spark):
+    docs = spark.createDataFrame([("s", "The bridge closed", "It closed on Monday"), ("c1", None, "the bridge closed"), ("c2", "other", "text é quote"), ("c3", "x", None), ("t", "t", "t")], "source_id string, title string, text string")
+    s, c1, c2 = ("s", "bridge"), ("c1", "bridge"), ("c2", "é quote")
+    base = {"signal_id": "s", "decision": "same_event"}
+    unsure = {"signal_id": "s", "decision": "insufficient_evidence"}
+    cases = [
+        (base | {"candidate_id": "c1", "evidence": [s, c1]}, None, "same"),
+        (base | {"candidate_id": "c1", "evidence": [s]}, "evidence_missing_side", None),
+        (base | {"candidate_id": "c1", "evidence": [s, ("c1", "Bridge")]}, "quote_not_found", None),
+        (base | {"candidate_id": "c1", "evidence": [s, c1, ("c1", " ")]}, "quote_not_found", None),
+        (base | {"candidate_id": "c1", "evidence": [s, c2, c1]}, "quote_not_found", None),  # of a text outside the pair
+        (base | {"candidate_id": "c1", "evidence": [s, c1], "conflicts": ["date"]}, "same_event_has_conflicts", None),
+        (base | {"candidate_id": "s", "evidence": [s]}, "candidate_set_mismatch", None),
+        (unsure | {"candidate_id": "c2"}, "uncertainty_kind_missing", None),
+        (unsure | {"candidate_id": "c2", "uncertainty_kind": "possible_same_event", "clues": [s, c2], "missing_information": [" ", "when"]}, None, "plausible"),
+        (unsure | {"candidate_id": "c2", "uncertainty_kind": "possible_same_event", "clues": [s, c2], "missing_information": [" "]}, "uncertainty_missing_critical_detail", None),
+        (unsure | {"candidate_id": "c2", "uncertainty_kind": "possible_same_event", "clues": [s], "missing_information": ["when"]}, "clues_missing_side", None),
+        (unsure | {"candidate_id": "c2", "uncertainty_kind": "insufficient_context"}, None, "context_only"),
+        (unsure | {"candidate_id": "c2", "uncertainty_kind": "insufficient_context", "clues": [s]}, "context_only_has_clues", None),
+        (unsure | {"candidate_id": "c3", "uncertainty_kind": "old"}, None, "legacy"),
+        (base | {"candidate_id": "c3", "decision": "different_event"}, None, "different"),
+    ]
+    for row, problem, group in cases:
+        r = judge.checked(judged(spark, row), docs).first()
+        assert (r["problem"], r["group"]) == (problem, group), row
+    spans = {(r["source_id"], r["field"], r["start"], r["stop"]) for r in judge.aligned_quotes(judged(spark, base | {"candidate_id": "c2", "evidence": [s, c2, ("s", "Monday"), ("c2", "no")]}), docs).collect()}
+    assert spans == {("s", "title", 4, 10), ("c2", "text", 5, 12), ("s", "text", 13, 19), ("c2", None, None, None)}
+    signals = docs.select(F.col("source_id").alias("signal_id")).where("signal_id in ('s', 't')")
+
+    def action(*rows):
+        out = {r["signal_id"]: r for r in judge.decided(signals, judge.checked(judged(spark, *rows), docs)).collect()}
+        assert (out["t"]["action"], out["t"]["category"]) == ("create", "independent_topic")
+        return tuple(out["s"])[1:6]
+
+    assert action(cases[0][0], cases[14][0]) == ("merge", "c1", 1.0, "automatic_merge", None)
+    assert action(cases[13][0], cases[0][0]) == ("candidate_review", "c1", 0.6, "legacy_uncertainty", None)
+    assert action(cases[13][0], cases[8][0]) == ("candidate_review", "c2", 0.6, "legacy_uncertainty", None)
+    assert action(cases[11][0]) == ("create", None, 0.75, "independent_topic", None)
+    assert action(cases[0][0], cases[7][0]) == ("candidate_review", None, 0.0, "technical_error", "uncertainty_kind_missing")
+    assert action(cases[0][0], cases[0][0])[3] == "technical_error"  # one candidate judged twice
