@@ -6,7 +6,8 @@ most similar event decides (Jaccard of the token sets, then the smallest id): me
 ``review``, a new event named after the signal. A merge keeps the event alive and adds the
 signal's identities to it; its tokens stay those of the founder. A signal under review joins nothing.
 
-``transformWithState`` keeps events by key; a timer an event drops it when it can't be met any more.
+``transformWithState`` keeps the events of a key that can still be met, and a timer a key drops them
+when none can any more.
 Signals of a key are taken in the order (time, signal_id) within a batch, and batches in their own
 order, so the result is that of a loop over signals, however they are cut into batches, as long as
 they arrive in order; a signal older than the key's last one is decided at that one's time. A null
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 RESOLVED = "signal_id string, event_id string, decision string, score double"
-_EVENT = "tokens array<string>, ids array<string>, seen bigint"
+_EVENT = "event_id string, tokens array<string>, ids array<string>, seen bigint"
 
 
 class Events:
@@ -31,7 +32,6 @@ class Events:
 
     def __init__(self, held: dict[str, tuple[frozenset, frozenset, int]], keep: int, merge: float, review: float):
         self.held, self.keep, self.merge, self.review = held, keep, merge, review
-        self.changed: set[str] = set()
         self.tokens: dict[str, set[str]] = {}  # token -> events
         self.owners: dict[str, set[str]] = {}  # identity -> events
         for e in held:
@@ -59,14 +59,12 @@ class Events:
             return event, "candidate_review", score
         event = f"new:{signal}"
         self.held[event] = (tokens, ids, at)
-        self.changed.add(event)
         self._index(event)
         return event, "create", score
 
     def _join(self, event: str, ids: frozenset, at: int, score: float) -> tuple[str, str, float]:
         tokens, old, seen = self.held[event]
         self.held[event] = (tokens, old | ids, max(seen, at))
-        self.changed.add(event)
         for i in ids:
             self.owners.setdefault(i, set()).add(event)
         return event, "merge", score
@@ -78,30 +76,32 @@ class _Resolver(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getMapState("events", "event_id string", _EVENT)
+        self.events = handle.getListState("events", _EVENT)  # read and written whole, once a batch and key
         self.last = handle.getValueState("last", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["at", "signal_id"], kind="stable")
-        held = {k[0]: (frozenset(v[0]), frozenset(v[1]), v[2]) for k, v in self.events.iterator()}
+        held = {e: (frozenset(tokens), frozenset(ids), seen) for e, tokens, ids, seen in self.events.get()}
         live = Events(held, self.keep, self.merge, self.review)
         now = self.last.get()[0] if self.last.exists() else None
         out = []
         for signal, tokens, ids, at in zip(batch["signal_id"], batch["tokens"], batch["ids"], batch["at"], strict=True):
             now = int(at) if now is None else max(now, int(at))
             out.append((signal, *live.put(signal, frozenset(tokens), frozenset(ids), now)))
-        for e in live.changed:
-            tokens, ids, seen = live.held[e]
-            self.events.updateValue((e,), (sorted(tokens), sorted(ids), seen))
-            self.handle.registerTimer((seen + self.keep) // 1000 + 1)
+        self._keep([(e, sorted(tokens), sorted(ids), seen) for e, (tokens, ids, seen) in live.held.items() if now - seen <= self.keep])
         self.last.update((now,))
         yield pd.DataFrame(out, columns=["signal_id", "event_id", "decision", "score"])
 
+    def _keep(self, events: list[tuple]) -> None:
+        if not events:
+            self.events.clear()
+            return
+        self.events.put(events)
+        self.handle.registerTimer((max(e[3] for e in events) + self.keep) // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         past = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        gone = [k for k, v in self.events.iterator() if v[2] + self.keep < past]
-        for k in gone:
-            self.events.removeKey(k)
+        self._keep([tuple(e) for e in self.events.get() if e[3] + self.keep >= past])
         return iter(())
 
     def close(self) -> None:
