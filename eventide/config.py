@@ -27,6 +27,7 @@ HARMLESS_FLAGS = ("missing_summary", "missing_author", "html_summary", "no_raw_m
 PLATFORM_LABELS = {"zhihu": "知乎", "weibo": "微博", "official": "官媒"}
 RELATIVE_TIMES = ("今天", "昨天", "昨日", "今日", "明天", "前天", "本周", "上周", "这周", "今年", "去年", "本月", "上月", "刚刚", "小时前", "分钟前")
 TECHNICAL_REVIEWS = ("technical_error",)
+TECHNICAL_ERRORS = ("llm_unverifiable_evidence", "llm_invalid_response", "llm_timeout", "llm_network_error", "llm_candidate_retrieval_unavailable", "llm_input_budget_exceeded", "llm_cache_miss")
 COMPARABLE_ENTITY_SUFFIXES = ("公司", "大学", "医院", "法院")
 
 # What a title states that two titles can disagree on.

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import TECHNICAL_REVIEWS
+from ..config import TECHNICAL_ERRORS, TECHNICAL_REVIEWS
 from ..functions import identity as I
 from ..sources.shared import stored
 from .match import pairs_within
@@ -133,34 +133,59 @@ def latest_decision(history: DataFrame) -> DataFrame:
     return history.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def technical_only(category: Column, flags: Column) -> Column:
-    """A review that only a technical fault made: its category says so and no flag is a conflict."""
-    return F.coalesce(category.isin(*TECHNICAL_REVIEWS), F.lit(False)) & ~F.exists(F.coalesce(flags, F.array().cast("array<string>")), lambda f: F.contains(f, F.lit("conflict")))
+def technical_only(category: Column, flags: Column, semantic: Column | None = None, candidate: Column | None = None, past: Column | None = None) -> Column:
+    """A review that only a technical fault made: its category says so, or, of a review without one, its
+    ``semantic`` flags do and it has no ``candidate``; no flag is a conflict, and no category of its
+    ``past`` says otherwise."""
+    none = F.array().cast("array<string>")
+    old = F.lit(False) if semantic is None else category.isNull() & (candidate.isNull() if candidate is not None else F.lit(True)) & F.arrays_overlap(F.coalesce(semantic, none), F.array(*map(F.lit, TECHNICAL_ERRORS)))
+    before = F.lit(False) if past is None else F.exists(F.coalesce(past, none), lambda c: c.isNotNull() & ~c.isin(*TECHNICAL_REVIEWS))
+    return (F.coalesce(category.isin(*TECHNICAL_REVIEWS), F.lit(False)) | F.coalesce(old, F.lit(False))) & ~F.exists(F.coalesce(flags, none), lambda f: F.contains(f, F.lit("conflict"))) & ~before
+
+
+#: What else reviews and accepted results may say; null where a table doesn't.
+_REVIEW_MORE = {"attempt": "bigint", "created_at": "timestamp", "candidate_event_id": "string", "semantic_flags": "array<string>", "past_categories": "array<string>", "platforms": "array<string>"}
+_ACCEPTED_MORE = {"attempt": "bigint", "accepted_at": "timestamp", "by_human": "boolean"}
 
 
-def recover(reviews: DataFrame, accepted: DataFrame, hours: float = 24) -> DataFrame:
+def recover(reviews: DataFrame, accepted: DataFrame, hours: float = 24, owners: DataFrame | None = None) -> DataFrame:
     """review_id, event_id, basis, success_at: pending technical reviews that a later accepted
     result of the same topic retires.
 
     ``reviews``: review_id, status, category, flags, item_ids, identity (arrays), first_failed_at,
-    last_failed_at; ``accepted``: event_id, event_signal_id, action, review_required, blocked,
-    flags, item_ids, identity, observed_at. Topics are the same if all items of the review are
-    among the accepted ones, or if both have exactly the same identities and none is a mere
-    signal. A topic of the microblog platform is recovered within ``hours`` only. Reviews and
-    results meet on exploded items or on the whole identity, never all with all."""
+    last_failed_at, and perhaps attempt, created_at, candidate_event_id, semantic_flags, past_categories
+    and platforms; ``accepted``: event_id, event_signal_id, action, review_required, blocked,
+    flags, item_ids, identity, observed_at, and perhaps attempt, accepted_at and by_human. Topics are the
+    same if all items of the review are among the accepted ones, or if both have exactly the same
+    identities and none is a mere signal. A topic of the microblog platform is recovered within
+    ``hours`` only. A result of the very time of the failure counts if its attempt is the later one or,
+    where one isn't known, if a person made it or it was accepted over a second after the review began.
+    ``owners`` (item, event_id, one row an item): a review recovers only if all its items are there
+    and belong to nobody or to the result's event. Reviews and results meet on exploded items or on
+    the whole identity, never all with all."""
     none = F.array().cast("array<string>")
-    old = reviews.where((F.col("status") == "pending") & technical_only(F.col("category"), F.col("flags")))
-    old = old.select("review_id", F.array_distinct("item_ids").alias("items"), F.array_sort(F.array_distinct(F.coalesce("identity", none))).alias("ident"), "first_failed_at", "last_failed_at")
+    full = lambda df, more: df.withColumns({n: F.lit(None).cast(t) for n, t in more.items() if n not in df.columns})
+    old = full(reviews, _REVIEW_MORE)
+    old = old.where((F.col("status") == "pending") & technical_only(F.col("category"), F.col("flags"), F.col("semantic_flags"), F.col("candidate_event_id"), F.col("past_categories")))
+    old = old.select("review_id", F.array_distinct("item_ids").alias("items"), F.array_sort(F.array_distinct(F.coalesce("identity", none))).alias("ident"), "first_failed_at", "last_failed_at", F.col("attempt").alias("old_attempt"), "created_at", F.coalesce("platforms", none).alias("platforms"))
     good = F.col("action").isin("create", "merge") & ~F.col("review_required") & ~F.col("blocked") & ~F.exists(F.coalesce("flags", none), lambda f: F.contains(f, F.lit("conflict")))
-    new = accepted.where(good & F.col("observed_at").isNotNull()).select("event_id", "event_signal_id", F.array_distinct("item_ids").alias("items"), F.array_sort(F.array_distinct(F.coalesce("identity", none))).alias("ident"), "observed_at")
-    shared = old.select("review_id", F.size("items").alias("want"), F.explode("items").alias("item")).join(new.select("event_id", "event_signal_id", "observed_at", F.explode("items").alias("item")), "item")
-    by_items = shared.groupBy("review_id", "event_id", "event_signal_id", "observed_at", "want").agg(F.count("*").alias("n")).where("n = want").select("review_id", "event_id", "observed_at")
+    told = ["observed_at", "attempt", "accepted_at", "by_human"]
+    new = full(accepted, _ACCEPTED_MORE).where(good & F.col("observed_at").isNotNull()).select("event_id", "event_signal_id", F.array_distinct("item_ids").alias("items"), F.array_sort(F.array_distinct(F.coalesce("identity", none))).alias("ident"), *told)
+    shared = old.select("review_id", F.size("items").alias("want"), F.explode("items").alias("item")).join(new.select("event_id", "event_signal_id", *told, F.explode("items").alias("item")), "item")
+    by_items = shared.groupBy("review_id", "event_id", "event_signal_id", *told, "want").agg(F.count("*").alias("n")).where("n = want").select("review_id", "event_id", *told)
     strong = old.where((F.size("ident") > 0) & ~F.exists("ident", lambda k: F.startswith(k, F.lit("signal:"))))
-    by_topic = strong.select("review_id", "ident").join(new.select("event_id", "observed_at", "ident"), "ident").select("review_id", "event_id", "observed_at")
+    by_topic = strong.select("review_id", "ident").join(new.select("event_id", *told, "ident"), "ident").select("review_id", "event_id", *told)
     hits = by_items.withColumn("basis", F.lit("items")).unionByName(by_topic.withColumn("basis", F.lit("topic"))).join(old, "review_id")
-    weak = F.exists("ident", lambda k: F.startswith(k, F.lit("weibo:")))
+    weak = F.exists("ident", lambda k: F.startswith(k, F.lit("weibo:"))) | F.array_contains("platforms", "weibo")
     late = (F.unix_micros("observed_at") - F.unix_micros("first_failed_at")) / 3.6e9
-    ok = hits.where((F.col("observed_at") > F.col("last_failed_at")) & (~weak | (late <= hours)))
+    attempts = F.col("attempt").isNotNull() & F.col("old_attempt").isNotNull()
+    waited = F.coalesce("by_human", F.lit(False)) | F.coalesce(F.col("accepted_at") > F.col("created_at") + F.expr("interval 1 second"), F.lit(False))
+    tie = (F.col("observed_at") == F.col("last_failed_at")) & F.when(attempts, F.col("attempt") > F.col("old_attempt")).otherwise(waited)
+    ok = hits.where(((F.col("observed_at") > F.col("last_failed_at")) | tie) & (~weak | (late <= hours)))
+    if owners is not None:
+        held = old.select("review_id", F.explode("items").alias("item")).join(owners.select("item", F.col("event_id").alias("_owner"), F.lit(True).alias("_there")), "item", "left")
+        of = held.groupBy("review_id").agg(F.bool_and(F.coalesce("_there", F.lit(False))).alias("_all"), F.collect_set("_owner").alias("_owners"))
+        ok = ok.join(of, "review_id", "left").where(F.coalesce("_all", F.lit(True)) & (F.size(F.array_except(F.coalesce("_owners", F.array().cast(of.schema["_owners"].dataType)), F.array("event_id"))) == 0))
     return ok.groupBy("review_id").agg(F.min(F.struct("observed_at", "event_id", "basis")).alias("x")).select("review_id", "x.event_id", "x.basis", F.col("x.observed_at").alias("success_at"))
 
 
