@@ -185,11 +185,15 @@ class Bpe:
         return out
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece. Learning may empty the cache, so what these pieces need is held here."""
-        held = {p: i for p in set(pieces) if (i := self.pieces.get(p)) is not None}
-        new = list(set(pieces).difference(held))
+        """The ids of each piece. Where learning would empty the cache, what these pieces need is held."""
+        distinct = set(pieces)
+        new = list(distinct.difference(self.pieces))
+        room = len(self.pieces) + len(new) <= CACHE_PIECES
+        held = self.pieces if room else {p: self.pieces[p] for p in distinct.difference(new)}
         for at in range(0, len(new), LEARN_PIECES):
-            held |= self.learn(new[at : at + LEARN_PIECES])
+            learned = self.learn(new[at : at + LEARN_PIECES])
+            if not room:
+                held |= learned
         return list(map(held.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
