@@ -177,7 +177,7 @@ def match_documents(spark, d):
 
 
 @query("""WITH c AS (SELECT o_custkey AS rk, count(*) AS n, min(o_orderkey) AS task_id, max(o_orderdate) AS last_at, bool_or(o_orderkey % 2 = 0) AS weak FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
-dc AS (SELECT o_custkey AS rk, max_by('d' || (o_orderkey % 3), o_orderdate) AS decision, c.rk AS k FROM orders o JOIN c ON o.o_custkey = c.rk WHERE o_orderstatus = 'F' AND o_orderkey % 4 = 0 AND o_orderdate <= last_at AND (NOT weak OR date_diff('hour', o_orderdate, last_at) <= 2400) GROUP BY 1, 3),
+dc AS (SELECT o_custkey AS rk, max_by('d' || (o_orderkey % 3), o_orderdate) AS decision, c.rk AS k FROM orders o JOIN c ON o.o_custkey = c.rk WHERE o_orderstatus = 'F' AND o_orderdate <= last_at AND (NOT weak OR date_diff('hour', o_orderdate, last_at) <= 2400) GROUP BY 1, 3),
 w AS (SELECT o_custkey AS rk, max_by(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS old FROM orders JOIN c ON o_custkey = c.rk WHERE o_orderstatus = 'P' AND abs(date_diff('hour', o_orderdate, last_at)) <= 2400 GROUP BY 1)
 SELECT c.rk AS relation_key, coalesce(old, task_id) AS task_id, CASE WHEN decision IS NOT NULL THEN 'reuse' WHEN old IS NOT NULL THEN 'update' ELSE 'create' END AS action, n FROM c LEFT JOIN dc USING (rk) LEFT JOIN w USING (rk)""")
 def review_queue(spark, d):
@@ -185,7 +185,7 @@ def review_queue(spark, d):
     ev = F.array((F.col("k") % 5).cast("string"))
     candidates = o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("relation_key"), F.col("k").alias("task_id"), F.col("at").alias("observed_at"), (F.col("k") % 2 == 0).alias("weak"), ev.alias("evidence"))
     pending = o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("relation_key"), F.col("k").alias("task_id"), F.col("at").alias("observed_at"), ev.alias("evidence"))
-    decided = o.where("o_orderstatus = 'F' and k % 4 = 0").select(F.col("o_custkey").alias("relation_key"), F.col("at").alias("decided_at"), F.concat(F.lit("d"), (F.col("k") % 3).cast("string")).alias("decision"))
+    decided = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("relation_key"), F.col("at").alias("decided_at"), F.concat(F.lit("d"), (F.col("k") % 3).cast("string")).alias("decision"))
     return review.build_queue(candidates, pending, decided, 2400).select("relation_key", "task_id", "action", "n")
 
 
