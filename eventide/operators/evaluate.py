@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
+
 
 def confusion(rows: DataFrame, label: Column, predicted: Column, by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, tn and precision, recall, f1, accuracy (null on a zero denominator)."""
@@ -70,3 +74,60 @@ def suite(cases: DataFrame, actual: DataFrame) -> DataFrame:
     (case_id, actual). A case without a result fails."""
     done = compare(cases.select("case_id", "expected"), actual)
     return cases.join(done, "case_id", "left").groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.coalesce("passed", F.lit(False))).alias("passed")).withColumns({"failed": F.col("n") - F.col("passed"), "rate": F.round(F.col("passed") / F.col("n"), 6)})
+
+
+#: What finds the actual values of a kind of case: a function of its cases (case_id, input: a map of
+#: texts) that returns case_id and actual (such a map).
+EVALUATORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def evaluator(kind: str) -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[DataFrame], DataFrame]]:
+    """Register a function for a kind; a kind has one."""
+
+    def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        if kind in EVALUATORS:
+            raise ValueError(f"kind {kind} has an evaluator already")
+        EVALUATORS[kind] = f
+        return f
+
+    return add
+
+
+def evaluated(cases: DataFrame, evaluators: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """kind, n, passed, failed, rate of cases (case_id, kind, input, expected: maps of texts), each run by
+    the evaluator of its kind. Kinds are few; a kind without an evaluator passes no case."""
+    known = EVALUATORS if evaluators is None else evaluators
+    kinds = [r["kind"] for r in cases.select("kind").distinct().collect()]
+    found = cases.sparkSession.createDataFrame([], f"case_id {cases.schema['case_id'].dataType.simpleString()}, actual map<string,string>")
+    for kind in kinds:
+        if kind in known:
+            mine = known[kind](cases.where(F.col("kind") == kind).select("case_id", "input"))
+            found = found.unionByName(mine.select("case_id", F.col("actual").cast("map<string,string>").alias("actual")))
+    return suite(cases, found)
+
+
+def _number(name: str) -> Column:
+    return F.col("input")[name].try_cast("double")
+
+
+@evaluator("rank_bucket")
+def _rank_bucket(cases: DataFrame) -> DataFrame:
+    return cases.select("case_id", F.create_map(F.lit("bucket"), N.rank_bucket(_number("rank"))).alias("actual"))
+
+
+@evaluator("strength")
+def _strength(cases: DataFrame) -> DataFrame:
+    return cases.select("case_id", F.create_map(F.lit("strength"), N.strength(_number("score"))).alias("actual"))
+
+
+@evaluator("freshness")
+def _freshness(cases: DataFrame) -> DataFrame:
+    return cases.select("case_id", F.create_map(F.lit("bucket"), N.freshness_bucket(_number("hours")), F.lit("score"), N.freshness_score(_number("hours")).cast("string")).alias("actual"))
+
+
+@evaluator("direction")
+def _direction(cases: DataFrame) -> DataFrame:
+    limit = F.coalesce(_number("limit"), F.lit(0.05))
+    change = _number("now") - _number("before")
+    label = F.when(change.isNull(), "unknown").when(change >= limit, "rising").when(change <= -limit, "cooling").otherwise("stable")
+    return cases.select("case_id", F.create_map(F.lit("trend"), label).alias("actual"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import numbers as N
 from .functions import text as X
-from .operators import evaluate, filters, guardrails, heat, normalize, official, report
+from .operators import evaluate, filters, guardrails, heat, normalize, official, report, review
 from .plans import briefing
 from .queries import END, START, _t, _title, _utc, query
 from .sources import readers
@@ -221,3 +221,107 @@ def streamed_identities(spark, d):
     source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
     resolve.resolve_stream(source, keep="6 hours").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(resolve.RESOLVED).parquet(f"{base}/out")
+
+
+@query("""WITH k AS (SELECT event_id, ['rank_bucket', 'strength', 'freshness', 'direction', 'unheard'][1 + event_id % 5] AS kind, event_id % 30 + 1 AS rank, value / 100 AS score, event_id % 400 AS hours, (event_id % 3 - 1) / 10.0 AS change, event_id % 7 = 0 AS wrong FROM events),
+    c AS (SELECT kind, CASE kind WHEN 'unheard' THEN false ELSE NOT wrong END AS ok FROM k)
+    SELECT kind, count(*) AS n, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) / count(*)::DOUBLE, 6) AS rate FROM c GROUP BY kind""")
+def evaluated_kinds(spark, d):
+    """A case an event, of five kinds, one of which nobody evaluates; one expectation in seven is wrong."""
+    i, v = F.col("event_id"), F.col("value")
+    kind = F.element_at(F.array(*map(F.lit, ("rank_bucket", "strength", "freshness", "direction", "unheard"))), (1 + i % 5).cast("int"))
+    text = lambda c: c.cast("string")
+    rank, hours, score = i % 30 + 1, i % 400, v / 100
+    given = F.create_map(F.lit("rank"), text(rank), F.lit("score"), text(score), F.lit("hours"), text(hours), F.lit("now"), text((i % 3) / 10.0), F.lit("before"), F.lit("0.1"))
+    right = {
+        "rank_bucket": F.create_map(F.lit("bucket"), F.when(rank <= 3, "top3").when(rank <= 10, "top10").when(rank <= 20, "top20").otherwise("tail")),
+        "strength": F.create_map(F.lit("strength"), F.when(score >= 0.7, "strong").when(score >= 0.45, "medium").otherwise("weak")),
+        "freshness": F.create_map(F.lit("bucket"), F.when(hours <= 24, "24h").when(hours <= 72, "72h").when(hours <= 168, "7d").otherwise("stale")),
+        "direction": F.create_map(F.lit("trend"), F.when(i % 3 == 2, "rising").when(i % 3 == 0, "cooling").otherwise("stable")),
+    }
+    want = F.create_map(F.lit("any"), F.lit("thing"))
+    for name, m in right.items():
+        want = F.when(kind == name, m).otherwise(want)
+    expected = F.when(i % 7 == 0, F.transform_values(want, lambda k, x: F.concat(x, F.lit("!")))).otherwise(want)
+    return evaluate.evaluated(_t(spark, d, "events").select(i.alias("case_id"), kind.alias("kind"), given.alias("input"), expected.alias("expected")))
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)(authorization|cookie|token|secret|password|api[_-]?key)("?[\s\x0B]*[:=][\s\x0B]*"?)[^\s\x0B",;]+', '\1\2***', 'g'), '(?i)bearer[\s\x0B]+[A-Za-z0-9._-]+', 'Bearer ***', 'g')) AS redacted,
+    sha256(regexp_replace(text, '[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]|\[[^\[\]\s\x0B]{1,8}\]', '', 'g')) AS without_emoji FROM documents""")
+def redacted_texts(spark, d):
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return _t(spark, d, "documents").select("doc_id", sha(X.redact(F.col("text"))).alias("redacted"), sha(X.strip_emoji(F.col("text"))).alias("without_emoji"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, lang, text, trim(regexp_replace(regexp_extract(coalesce(text, ''), '^\s*([^.!?。！？\n]*)', 1), '\s+', ' ', 'g')) AS title FROM documents),
+    w AS (SELECT *, list_concat(list_distinct([]::VARCHAR[]), regexp_extract_all(title, '#([^#\s]+)#?', 1), regexp_extract_all(title, '[《「『“"'']([^》」』”"'']{2,30})[》」』”"'']', 1), regexp_split_to_array(title, '[\s,，。.!！？?;；:：、/\\|()\[\]{}<>《》「」『』“”"''`~]+')) AS raw FROM t),
+    k AS (SELECT *, list_transform(raw, lambda x: trim(x, ' #，。！？!?;；:：、/\|()[]{}<>《》「」『』“”"''`~')) AS terms FROM w),
+    f AS (SELECT *, list_filter(terms, lambda x, i: x <> '' AND list_position(terms, x) = i)[1:8] AS kw FROM k)
+    SELECT doc_id, array_to_string(kw, '|') AS keywords, round(CASE WHEN len(kw) > 0 THEN len(list_filter(kw, lambda x: contains(text, x))) / len(kw) ELSE 0 END, 6)::DOUBLE AS overlap,
+           CASE WHEN lang = 'en' THEN 'missing_url' ELSE '' END || CASE WHEN lang = 'en' AND title = '' THEN ',' ELSE '' END || CASE WHEN title = '' THEN 'missing_title' ELSE '' END AS flags FROM f""")
+def title_keywords(spark, d):
+    """Keywords of every document's title, how many of them its text has, and what the row lacks."""
+    t = _t(spark, d, "documents").select("doc_id", "lang", "text", _title().alias("title"))
+    t = t.withColumn("kw", X.keywords(F.col("title")))
+    flags = normalize.quality_flags({"url": F.when(F.col("lang") != "en", "u"), "title": F.col("title")})
+    return t.select("doc_id", F.array_join("kw", "|").alias("keywords"), F.round(X.term_overlap(F.col("kw"), F.col("text")), 6).alias("overlap"), F.array_join(flags, ",").alias("flags"))
+
+
+@query("""WITH e AS (SELECT *, user_id AS u, 'c' || event_id % 40 AS ctx, event_id % 3 = 0 AS ex FROM events),
+    c AS (SELECT u, ctx, max(ex) AS ex FROM e GROUP BY ALL),
+    j AS (SELECT u, substr(string_agg(ctx, chr(10) ORDER BY CASE WHEN ex THEN 0 ELSE 1 END, ctx), 1, 1200) AS context FROM c GROUP BY u),
+    o AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids FROM events GROUP BY 1)
+    SELECT c_custkey AS event_id, coalesce(context, '') AS context, coalesce(array_to_string(list_filter(CASE WHEN len(ids) > 2 THEN [ids[1], ids[-2], ids[-1]] ELSE ids END, lambda x: x IS NOT NULL), ','), '') AS documents
+    FROM customer LEFT JOIN j ON u = c_custkey LEFT JOIN o ON user_id = c_custkey""")
+def event_contexts(spark, d):
+    """What a candidate event brings to matching: its contexts, excerpts first, and its first and latest documents."""
+    e, i = _events(spark, d), F.col("event_id")
+    customers = _t(spark, d, "customer").select(F.col("c_custkey").alias("event_id"))
+    contexts = e.select(F.col("user_id").alias("event_id"), F.concat(F.lit("c"), (i % 40).cast("string")).alias("text"), (i % 3 == 0).alias("has_excerpt"))
+    one = contexts.groupBy("event_id", "text").agg(F.max("has_excerpt").alias("has_excerpt"))
+    documents = e.groupBy(F.col("user_id").alias("event_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"].cast("string")).alias("ids"))
+    out = filters.candidate_context(customers, one).join(documents, "event_id", "left")
+    return out.select("event_id", "context", F.coalesce(F.array_join(filters.representatives(F.col("ids")), ","), F.lit("")).alias("documents"))
+
+
+@query("""WITH p AS (SELECT user_id AS cid, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1)
+    SELECT e.event_id AS child_id, p.event_id FROM events e JOIN p ON p.cid = e.user_id WHERE e.event_type = 'click' AND (e.event_id % 4 <> 0 OR e.event_id % 8 = 0)""")
+def reattached_children(spark, d):
+    """Children of decided questions that nobody else owns."""
+    e, i = _t(spark, d, "events"), F.col("event_id")
+    decided = e.where("event_type = 'view'").groupBy(F.col("user_id").alias("canonical_id")).agg(F.max("event_id").alias("event_id"))
+    own = decided.withColumnRenamed("event_id", "own")
+    children = e.where("event_type = 'click'").join(own, F.col("user_id") == F.col("canonical_id"), "left").select(i.alias("child_id"), F.col("user_id").alias("canonical_id"), F.when(i % 8 == 0, F.col("own")).when(i % 4 == 0, F.lit(-1).cast("bigint")).alias("owner_event_id"))
+    return filters.reattach(children, decided)
+
+
+@query("""WITH r AS (SELECT user_id % 60 AS run_id, max(event_id) AS report_id FROM events GROUP BY 1)
+    SELECT run_id, report_id, (SELECT count(*) FROM events e WHERE e.user_id % 60 = r.run_id) AS revisions FROM r ORDER BY run_id DESC LIMIT 20 OFFSET 5""")
+def report_page(spark, d):
+    """One page of the latest revision of every run (the limit is the page)."""
+    e = _t(spark, d, "events").select((F.col("user_id") % 60).alias("run_id"), F.col("event_id").alias("report_id"))
+    last = report.latest_by(e, ["run_id"], "report_id").join(e.groupBy("run_id").agg(F.count("*").alias("revisions")), "run_id")
+    return report.page(last, 20, 5, F.desc("run_id"))
+
+
+@query("""WITH t AS (SELECT event_id AS task_id, ['run' || user_id % 90, 'run' || event_id % 70] AS runs, event_type AS review_type, event_id % 3 = 0 AS pending FROM events), s AS (SELECT 'run' || c_custkey AS run FROM customer WHERE c_custkey % 9 = 0)
+    SELECT review_type, count(*) AS n, count(*) FILTER (pending) AS pending FROM t WHERE len(list_intersect(runs, (SELECT list(run) FROM s))) > 0 GROUP BY review_type""")
+def scoped_reviews(spark, d):
+    i, run = F.col("event_id"), lambda c: F.concat(F.lit("run"), c.cast("string"))
+    tasks = _t(spark, d, "events").select(i.alias("task_id"), F.array(run(F.col("user_id") % 90), run(i % 70)).alias("run_ids"), F.col("event_type").alias("review_type"), F.when(i % 3 == 0, "pending").otherwise("done").alias("status"))
+    return review.queue(tasks, _t(spark, d, "customer").where("c_custkey % 9 = 0").select(run(F.col("c_custkey")).alias("run_id")))
+
+
+@query("""SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS observations FROM events GROUP BY event_type""")
+def streamed_observations(spark, d):
+    """Observations that each come twice, in two files of a stream: replays are dropped."""
+    from .streaming import rounds
+
+    base = new_path(spark, "observations")
+    rows = _events(spark, d).select("event_id", F.col("event_id").alias("observation_id"), F.col("ts").alias("observed_at"), "event_type")
+    for k in range(2):
+        rows.write.parquet(f"{base}/in/part={k}")
+    source = spark.readStream.schema(rows.schema).parquet(f"{base}/in/*")
+    rounds.distinct_observations(source, "90 days").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(rows.schema).parquet(f"{base}/out")
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("observations"))
