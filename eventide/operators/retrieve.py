@@ -106,9 +106,10 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str,
     best of each of its values). Scores tie in nine digits; then the smaller doc_id is first.
     ``only``: pairs (query_id, doc_id) that may be found; counts are still over all documents.
 
-    Queries travel to the documents, which are read twice, for the counts and for the scores. A task
-    sums the scores of some documents for all queries at once and keeps the best, so that no posting
-    is shuffled and a frequent term is no hot key. A query set of more than ``BLOCK_QUERIES`` queries
+    Queries travel to the documents, which are read once: what each holds of the queries' terms is
+    written beside it, and counts and scores are taken from that. A task sums the scores of some
+    documents for all queries at once and keeps the best, so that no posting is shuffled and a
+    frequent term is no hot key. A query set of more than ``BLOCK_QUERIES`` queries
     or ``BROADCAST_TERMS`` terms is cut into blocks that follow each other: the documents' tokens
     are then written once, and each block's results when it is done, so one block is held at a time."""
     asked = queries.select(F.col(query_id).alias("_id"), F.array_distinct(X.lexical_tokens(F.col(query_text))).alias("w"))
@@ -152,7 +153,7 @@ def _bm25_block(rows: list, read: DataFrame, queries: DataFrame, docs: DataFrame
     begin = np.searchsorted([t for t, _ in owners], np.arange(len(terms) + 1))
     wanted = pa.array(terms, pa.string())
 
-    def counts_of(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def counted(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Document, term and count of each posting of a wanted term, and the documents' lengths."""
         tokens = pa.ListArray.from_arrays(pa.array(np.asarray(tokens.offsets) - tokens.offsets[0].as_py(), pa.int32()), tokens.flatten())
         size = np.diff(np.asarray(tokens.offsets))
@@ -161,16 +162,30 @@ def _bm25_block(rows: list, read: DataFrame, queries: DataFrame, docs: DataFrame
         pair, tf = np.unique(doc * max(1, len(terms)) + term[term >= 0], return_counts=True)
         return pair // max(1, len(terms)), pair % max(1, len(terms)), tf, size
 
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, term, tf, size = counted(batch.column("w"))
+            offsets = pa.array(np.searchsorted(doc, np.arange(len(size) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (term, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_g"), pa.array(size, pa.int32()), *lists], names=["_id", "_g", "size", "terms", "tfs"])
+
+    def posted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        lists = batch.column("terms")
+        doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        return doc, lists.flatten().to_numpy(zero_copy_only=False), batch.column("tfs").flatten().to_numpy(zero_copy_only=False), batch.column("size").to_numpy(zero_copy_only=False)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(len(terms), np.int64), 0, 0
         for batch in batches:
-            _, term, _, size = counts_of(batch.column("w"))
+            _, term, _, size = posted(batch)
             df += np.bincount(term, minlength=len(terms))
             n, total = n + len(size), total + int(size.sum())
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hit, [-1, -2]]), pa.int64()), pa.array(np.concatenate([df[hit], [n, total]]), pa.int64())], names=["term", "n"])
 
-    seen = {r["term"]: r["n"] for r in read.select("w").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    kinds_ = f"_id {docs.schema[doc_id].dataType.simpleString()}, _g {docs.schema[per].dataType.simpleString() if per else 'string'}"
+    read = stored(read.mapInArrow(post, f"{kinds_}, size int, terms array<int>, tfs array<int>"), "postings")
+    seen = {r["term"]: r["n"] for r in read.mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n, total = seen.get(-1, 0), seen.get(-2, 0)
     average = total / n if total else 1.0
     df = np.array([seen.get(t, 0) for t in range(len(terms))], float)
@@ -191,7 +206,7 @@ def _bm25_block(rows: list, read: DataFrame, queries: DataFrame, docs: DataFrame
             kinds = whole.schema.field("_id").type, whole.schema.field("_g").type
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                doc, term, tf, size = counts_of(batch.column("w"))
+                doc, term, tf, size = posted(batch)
                 part = idf[term] * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * size[doc] / average))
                 many = begin[term + 1] - begin[term]  # queries of each posting's term
                 to = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[term], many)
