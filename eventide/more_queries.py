@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import judge, official, review, similarity
 from .plans import duplicate_scan
-from .queries import END, OBS, START, _t, _title, _utc, observations, query
+from .queries import END, OBS, SQL, START, _t, _title, _utc, observations, query
 from .sources import envelopes, versions
 from .sources.shared import new_path, stored
 
@@ -160,14 +160,19 @@ _SUPPORT = rf"""e AS (SELECT item_id AS event_id, {_FIRST} AS title FROM benchma
     c AS (SELECT event_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(score, 9) DESC, doc_id) AS n FROM sc) WHERE n <= 20),
     p AS (SELECT c.event_id, c.doc_id, eq.kw, lower(regexp_replace(eq.title, '\s+', '', 'g')) AS ta, eq.title, {_FIRST} AS b_title, lower(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS b_text,
         c.doc_id % 5 > 0 AND {_FIRST} <> '' AND c.doc_id % 3 > 0 AS good FROM c JOIN eq USING (event_id) JOIN documents USING (doc_id)),
-    g AS (SELECT *, len(list_filter(kw, lambda k: contains(b_text, k))) AS hits, {_GRAMS.format('ta')} AS ga, {_GRAMS.format(_BARE_TITLE)} AS gb,
-        lower(regexp_replace(title, '[^\p{{L}}\p{{N}}\p{{M}}_]+', '', 'g')) AS na, lower(regexp_replace(b_title, '[^\p{{L}}\p{{N}}\p{{M}}_]+', '', 'g')) AS nb FROM p),
+    pb AS (SELECT *, {_BARE_TITLE} AS tb FROM p),
+    g AS (SELECT *, len(list_filter(kw, lambda k: contains(b_text, k))) AS hits, {_GRAMS.format('ta')} AS ga, {_GRAMS.format('tb')} AS gb,
+        lower(regexp_replace(title, '[^\p{{L}}\p{{N}}\p{{M}}_]+', '', 'g')) AS na, lower(regexp_replace(b_title, '[^\p{{L}}\p{{N}}\p{{M}}_]+', '', 'g')) AS nb FROM pb),
     h AS (SELECT *, CASE WHEN len(kw) > 0 THEN hits / len(kw) ELSE 0 END AS keyword, CASE WHEN len(ga) > 0 THEN len(list_intersect(ga, gb)) / len(ga) ELSE 0 END AS ngram FROM g),
     o AS (SELECT *, CASE WHEN NOT ((length(na) >= 6 AND length(nb) >= 6 AND (contains(na, nb) OR contains(nb, na))) OR (keyword >= 0.5 AND hits >= 2) OR ngram >= 0.45) THEN 'weak_text' WHEN good THEN 'supported' ELSE 'weak_supported' END AS outcome FROM h),
     z AS (SELECT *, CASE WHEN outcome <> 'weak_text' THEN struct_pack(s := outcome = 'supported', t := round(CASE WHEN outcome = 'supported' THEN 1.0 ELSE 0.5 END + keyword + ngram, 12), d := doc_id) END AS k FROM o),
     r AS (SELECT event_id, count(*) AS candidates, count(*) FILTER (outcome = 'supported') AS supported, count(*) FILTER (outcome = 'weak_supported') AS weak_supported, count(*) FILTER (outcome = 'weak_text') AS weak_text, max(k).d AS best_item FROM z GROUP BY event_id)"""
 
 
+#: The query of that name has a pool of articles that are all too old to be more than weak support.
+SQL["official_support"] = f"""WITH {_SUPPORT.replace("c.doc_id % 5 > 0 AND", "false AND")} SELECT event_id, CASE WHEN weak_supported > 0 THEN 'weak_supported' ELSE 'not_found' END AS support_status, 0 AS n_supported, best_item FROM eq LEFT JOIN r USING (event_id)"""
+
+
 def _support_tables(spark, d):
     i = F.col("doc_id")
     e = _t(spark, d, "benchmark").select(F.col("item_id").alias("event_id"), _title().alias("title"), X.empty().alias("entities")).withColumn("keywords", X.keywords(F.col("title")))

@@ -474,7 +474,7 @@ def _title():
 
 @query()
 def resolved_round(spark, d):
-    w = F.slice(F.split(_title(), " "), 1, 12)  # an event's keywords are few
+    w = X.keywords(_title())
     side = lambda name, key, text, i: _t(spark, d, name).select(F.concat(F.lit(i), F.col(key).cast("string")).alias(i), F.col(key).alias("seq"), _title().alias("title"), F.col(text).alias("text"), w.alias("keywords"), *[X.empty().alias(c) for c in ("entities", "actions", *match.IDENTITIES)], F.lit(None).cast("timestamp").alias("time"), F.lit(False).alias("weak"))
     out = resolution.resolve_in_order(side("benchmark", "item_id", "text", "signal_id"), side("documents", "doc_id", "text", "event_id"))
     return out.select("signal_id", "event_id", "decision", "confidence", "status", "target")
@@ -510,8 +510,7 @@ def window_report_ranking(spark, d):
 
 @query()
 def official_support(spark, d):
-    w = F.slice(F.split(_title(), " "), 1, 8)  # an event's keywords are few
-    e = _t(spark, d, "benchmark").select(F.col("item_id").alias("event_id"), _title().alias("title"), X.empty().alias("entities"), w.alias("keywords"))
+    e = _t(spark, d, "benchmark").select(F.col("item_id").alias("event_id"), _title().alias("title"), X.empty().alias("entities"), X.keywords(_title()).alias("keywords"))
     pool = _t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), _title().alias("title"), "text", X.empty().alias("entities"), F.lit("use").alias("status"), F.lit("https://x.org").alias("url"), F.lit(START).alias("published_at"))
     return official.support(e, pool, F.lit(END))
 
