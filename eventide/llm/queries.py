@@ -317,4 +317,62 @@ ORACLE_SQL: dict[str, str] = {
                kept, removed, redundant, unique_fails, good_lost, toxic_lost,
                (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
         FROM r""",
+    "op13_turn_repair": r"""
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes
+            FROM conversations),
+        h AS (
+            SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda crc, b:
+                       list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i:
+                           CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS k
+            FROM c),
+        m AS (
+            SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE k WHEN 3 THEN [0, 1] ELSE [0] END) AS twin
+            FROM h WHERE k <> 0),
+        o AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text)) AS i,
+                   rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown,
+                   CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS r FROM m),
+        f AS (
+            SELECT *, CASE WHEN shown = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                           WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault,
+                   lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM o),
+        a AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+                   list(struct_pack(role := role, text := text, fine := fault NOT IN ('b', 'd'), e := CASE fault WHEN 't' THEN 1 ELSE 0 END,
+                       keep := [CASE r WHEN 's' THEN 2 WHEN 'u' THEN 3 END, CASE r WHEN 'u' THEN 3 END, CASE r WHEN 'a' THEN 4 END, CASE r WHEN 'u' THEN 3 END]) ORDER BY i) AS rows
+            FROM f GROUP BY conv_id),
+        -- costs to go, from the last turn back; states: 1 nothing yet, 2 system, 3 user, 4 assistant last; [3, 3, 4, 3] after an insert
+        v AS (
+            SELECT conv_id, n AS i, [[0, 4, 2, 0]] AS costs FROM a
+            UNION ALL
+            SELECT v.conv_id, v.i - 1, list_concat([list_transform([1, 2, 3, 4], lambda q: least(z[q], 2 + z[[3, 3, 4, 3][q]]))], v.costs)
+            FROM (SELECT v.conv_id, v.i, v.costs, list_transform([1, 2, 3, 4], lambda q: least(y[q], 2 + y[[3, 3, 4, 3][q]])) AS z
+                  FROM (SELECT v.conv_id, v.i, v.costs, list_transform([1, 2, 3, 4], lambda q: least(x[q], 2 + x[[3, 3, 4, 3][q]])) AS y
+                        FROM (SELECT v.conv_id, v.i, v.costs, list_transform([1, 2, 3, 4], lambda q: least(
+                                  3 + v.costs[1][q], CASE WHEN t.fine THEN 2 + t.e + v.costs[1][[3, 3, 4, 3][q]] END,
+                                  CASE WHEN t.fine AND t.keep[q] IS NOT NULL THEN t.e + v.costs[1][t.keep[q]] END)) AS x
+                              FROM (SELECT v.*, a.rows[v.i] AS t FROM v JOIN a ON a.conv_id IS NOT DISTINCT FROM v.conv_id WHERE v.i > 0) v) v) v) v),
+        w AS (
+            SELECT a.conv_id, a.n, a.rows, v.costs, 0::BIGINT AS i, 1 AS q, '' AS audit, []::VARCHAR[] AS turns, 0 AS cost
+            FROM a JOIN v ON v.conv_id IS NOT DISTINCT FROM a.conv_id AND v.i = 0
+            UNION ALL
+            SELECT conv_id, n, rows, costs, CASE l WHEN 'I' THEN i ELSE i + 1 END, CASE l WHEN 'D' THEN q WHEN 'K' THEN t.keep[q] ELSE ins END, audit || l,
+                   CASE l WHEN 'D' THEN turns WHEN 'K' THEN list_append(turns, t.role || ':' || t.text)
+                          ELSE list_append(turns, CASE ins WHEN 3 THEN 'user:' ELSE 'assistant:' END || CASE l WHEN 'R' THEN t.text ELSE '' END) END,
+                   cost + CASE l WHEN 'D' THEN 3 WHEN 'I' THEN 2 WHEN 'R' THEN 2 + t.e ELSE t.e END
+            FROM (SELECT *, [3, 3, 4, 3][q] AS ins, rows[i + 1] AS t,
+                         CASE WHEN i = n THEN 'I' WHEN costs[i + 1][q] = 3 + costs[i + 2][q] THEN 'D' WHEN costs[i + 1][q] = 2 + costs[i + 1][[3, 3, 4, 3][q]] THEN 'I'
+                              WHEN rows[i + 1].fine AND rows[i + 1].keep[q] IS NOT NULL AND costs[i + 1][q] = rows[i + 1].e + costs[i + 2][rows[i + 1].keep[q]] THEN 'K' ELSE 'R' END AS l
+                  FROM w WHERE i < n OR q IN (2, 3)) s)
+        SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(turns, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) d
+        LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM d.conv_id
+        LEFT JOIN (SELECT * FROM w WHERE i = n AND q IN (1, 4)) w ON w.conv_id IS NOT DISTINCT FROM d.conv_id""",
 }
