@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from eventide.operators import judge, match, similarity
+from eventide.operators import evaluate, judge, match, similarity
 from eventide.plans.duplicate_scan import VERDICT, DuplicateScan, all_verdicts
 from eventide.sources.shared import new_path
 
@@ -145,3 +145,13 @@ def test_judged_pairs(spark):
     assert action(cases[11][0]) == ("create", None, 0.75, "independent_topic", None)
     assert action(cases[0][0], cases[7][0]) == ("candidate_review", None, 0.0, "technical_error", "uncertainty_kind_missing")
     assert action(cases[0][0], cases[0][0])[3] == "technical_error"  # one candidate judged twice
+
+
+def test_evaluators_by_kind(spark):
+    rows = [(1, "rank_bucket", {"rank": "2"}, {"bucket": "top3"}), (2, "rank_bucket", {"rank": None}, {"bucket": "tail"}), (3, "direction", {"now": "0.5", "before": "0.1"}, {"trend": "rising"}), (4, "new", {"x": "1"}, {"y": "1"}), (5, "none", {}, {"y": "1"})]
+    cases = spark.createDataFrame(rows, "case_id int, kind string, input map<string,string>, expected map<string,string>")
+    own = evaluate.EVALUATORS | {"new": lambda c: c.select("case_id", F.create_map(F.lit("y"), F.col("input")["x"]).alias("actual"))}
+    got = {r["kind"]: (r["n"], r["passed"]) for r in evaluate.evaluated(cases, own).collect()}
+    assert got == {"rank_bucket": (2, 1), "direction": (1, 1), "new": (1, 1), "none": (1, 0)}
+    with pytest.raises(ValueError, match="already"):
+        evaluate.evaluator("direction")(lambda c: c)
