@@ -28,6 +28,7 @@ from ..config import (
     TITLE_HAZARDS,
     TOKEN_BREAKS,
 )
+from .settle import let
 
 CJK = r"\x{4e00}-\x{9fff}"
 _NONE = "array<string>"
@@ -87,9 +88,15 @@ def lexical_tokens(c: Column) -> Column:
 
 
 def ngrams(c: Column, low: int, high: int) -> Column:
-    """The distinct character n-grams of low to high characters."""
-    one = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(empty())
-    return F.array_distinct(F.concat(*[one(n) for n in range(low, high + 1)]))
+    """The distinct character n-grams of low to high characters. The text is worked out and cut into
+    characters once, so a text's cost grows with its length alone."""
+
+    def of(v: Column) -> Column:
+        x = v["chars"]
+        one = lambda n: F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(0), F.size(x) - n), lambda i: F.concat(*[F.get(x, i + k) for k in range(n)]))).otherwise(empty())
+        return F.array_distinct(F.concat(*[one(n) for n in range(low, high + 1)]))
+
+    return let(of, chars=F.filter(F.split(c, ""), lambda x: x != ""))  # an empty text splits into one empty string
 
 
 def jaccard(a: Column, b: Column) -> Column:

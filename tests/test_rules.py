@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
@@ -65,6 +66,16 @@ def test_html(spark, raw, clean):
     assert one(spark, X.strip_html(F.col("t").cast("string")), t=raw) == clean
 
 
+def test_ngrams_of_a_long_text(spark):
+    """Once, each pair of characters worked the whole text out again: 40,000 characters took minutes."""
+    df = spark.createDataFrame([(f"{'ab c' * 10_000}😀d",)], "t string")
+    began = time.monotonic()
+    assert sorted(df.select(X.ngrams(X.normalize_words(F.col("t")), 2, 2)).first()[0]) == ["ab", "bc", "ca", "cd"]
+    assert time.monotonic() - began < 60
+    for t, want in (("a😀b", ["a😀", "😀b", "a😀b"]), ("a", []), ("", []), (None, [])):
+        assert one(spark, X.ngrams(F.col("t").cast("string"), 2, 3), t=t) == want
+
+
 def test_links_quotes_and_edges(spark):
     assert one(spark, X.clean_body(F.col("t")), t="see www.x.org/a and HTTPS://y.org now") == "see and now"
     assert one(spark, X.phrases(F.col("t")), t="it's 'quoted words' here") == ["s ", "quoted words"] or "quoted words" in one(spark, X.phrases(F.col("t")), t="say 'quoted words' here")
