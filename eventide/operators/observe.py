@@ -70,7 +70,9 @@ def trailing_rounds(obs: DataFrame, hours: int = 24) -> DataFrame:
 
 def attach_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
     """child_id, parent_id where exactly one discovery parent matches on platform and either id
-    or link."""
-    p = parents.select("platform", "parent_id", F.explode(F.array_compact(F.array("ref", "url"))).alias("k")).distinct()
-    c = children.select("platform", "child_id", F.explode(F.array_compact(F.array("ref", "url"))).alias("k")).distinct()
-    return c.join(p, ["platform", "k"]).groupBy("child_id").agg(F.count_distinct("parent_id").alias("n"), F.min("parent_id").alias("parent_id")).where("n = 1").drop("n")
+    or link. A key's parents meet its children as their smallest and largest, so no pairs are made: a
+    child has one parent if both are the same over all its keys."""
+    ends = lambda low, high: (F.min(low).alias("parent_id"), F.max(high).alias("_last"))
+    p = parents.select("platform", "parent_id", F.explode(F.array_compact(F.array("ref", "url"))).alias("k")).groupBy("platform", "k").agg(*ends("parent_id", "parent_id"))
+    c = children.select("platform", "child_id", F.explode(F.array_distinct(F.array_compact(F.array("ref", "url")))).alias("k"))
+    return c.join(p, ["platform", "k"]).groupBy("child_id").agg(*ends("parent_id", "_last")).where(F.col("parent_id") == F.col("_last")).drop("_last")

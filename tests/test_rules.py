@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from eventide.config import MatchConfig, TrendConfig
 from eventide.functions import numbers as N
 from eventide.functions import text as X
-from eventide.operators import evaluate, filters, guardrails, match, normalize, official, ranking, report, retrieve, review, trend
+from eventide.operators import evaluate, filters, guardrails, match, normalize, observe, official, ranking, report, retrieve, review, trend
 from eventide.plans import briefing, resolution
 from eventide.sources import readers, shared
 
@@ -76,6 +76,18 @@ def test_ngrams_of_a_long_text(spark):
         assert one(spark, X.ngrams(F.col("t").cast("string"), 2, 3), t=t) == want
 
 
+def test_parents_of_a_frequent_key(spark):
+    """100,000 children and as many parents of one key: no pairs are made."""
+    n = 100_000
+    parents = spark.range(n).selectExpr("'p' as platform", "id as parent_id", "'r' as ref", "concat('u', id) as url")
+    children = spark.range(n).selectExpr("'p' as platform", "id as child_id", "if(id % 2 = 0, 'r', null) as ref", "if(id % 4 = 0, null, concat('u', id)) as url")
+    got = observe.attach_parents(children, parents)
+    assert got.columns == ["child_id", "parent_id"] and got.where("child_id <> parent_id or child_id % 2 = 0").isEmpty() and got.count() == n // 2
+    parents = spark.createDataFrame([("p", 1, "a", "b"), ("p", 2, "c", None), ("q", 3, "a", "a"), ("p", 1, "d", None), ("p", None, "e", None)], "platform string, parent_id int, ref string, url string")
+    children = spark.createDataFrame([("p", 1, "a", "b"), ("p", 2, "a", "c"), ("p", 3, None, None), ("q", 4, "a", None), ("p", 5, "b", "d"), ("p", 6, "e", None), ("p", 7, "a", "e")], "platform string, child_id int, ref string, url string")
+    assert {tuple(r) for r in observe.attach_parents(children, parents).collect()} == {(1, 1), (4, 3), (5, 1), (7, 1)}
+
+
 def test_links_quotes_and_edges(spark):
     assert one(spark, X.clean_body(F.col("t")), t="see www.x.org/a and HTTPS://y.org now") == "see and now"
     assert one(spark, X.phrases(F.col("t")), t="it's 'quoted words' here") == ["s ", "quoted words"] or "quoted words" in one(spark, X.phrases(F.col("t")), t="say 'quoted words' here")
