@@ -19,6 +19,9 @@ IDENTITIES = ("signal_ids", "source_ids", "platform_ids", "canonical_ids", "urls
 #: Rows of one key that meet each other in one task at most.
 CHUNK = 1_000
 
+#: Identities that a row takes along into a join at most.
+CARRIED = 32
+
 
 def _chunks(rows: DataFrame, key: list[str], name: str) -> DataFrame:
     """Keys with more than ``CHUNK`` rows, and into how many chunks each is cut."""
@@ -51,15 +54,28 @@ def pairs_within(rows: DataFrame, id_col: str, key: str) -> DataFrame:
 
 def hard_identities(signals: DataFrame, events: DataFrame) -> DataFrame:
     """signal_id, event_id, id_match, url_match: equality of any identity, as one equi-join on
-    (kind, key) of exploded keys rather than a join with or."""
+    (kind, key) of exploded keys rather than a join with or.
 
-    def keys(df: DataFrame, id_col: str) -> DataFrame:
-        of = lambda kind: F.transform(F.coalesce(kind, X.empty()), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
-        pairs = F.explode(F.flatten(F.array(*[of(k) for k in IDENTITIES]))).alias("p")
-        return df.select(id_col, pairs).select(id_col, "p.kind", "p.key").where("key <> ''").distinct()
+    A pair is made at the smallest key that both have, which their rows carry, so pairs aren't
+    shuffled to be told apart. Only pairs with a row of more than ``CARRIED`` keys are."""
 
-    hit = pairs_between(keys(signals, "signal_id"), keys(events, "event_id"), ["kind", "key"])
-    return hit.groupBy("signal_id", "event_id").agg(F.bool_or(F.col("kind") != "urls").alias("id_match"), F.bool_or(F.col("kind") == "urls").alias("url_match"))
+    def keys(df: DataFrame, id_col: str, n: str, every: str) -> DataFrame:
+        of = lambda kind: F.transform(F.coalesce(kind, X.empty()), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+        flat = df.select(id_col, F.explode(F.flatten(F.array(*[of(k) for k in IDENTITIES]))).alias("p")).where("p.key <> ''")
+        own = Window.partitionBy(id_col)
+        counted = flat.repartition(id_col).distinct().withColumn(n, F.count("*").over(own))
+        carried = F.collect_list(F.when(F.col(n).between(2, CARRIED), F.col("p"))).over(own)
+        return counted.withColumn(every, carried).select(id_col, "p.kind", "p.key", n, every)
+
+    s, e = keys(signals, "signal_id", "_ns", "_s"), keys(events, "event_id", "_ne", "_e")
+    url, few_s, few_e, both = F.col("kind") == "urls", F.col("_ns") <= CARRIED, F.col("_ne") <= CARRIED, F.array_intersect("_s", "_e")
+    lone = (F.col("_ns") == 1) | (F.col("_ne") == 1)
+    met = pairs_between(s.where(few_s), e.where(few_e), ["kind", "key"]).where(lone | (F.array_min(both) == F.struct("kind", "key")))
+    match = lambda own, f: F.when(lone, own).otherwise(F.exists(both, f))
+    once = met.select("signal_id", "event_id", match(~url, lambda p: p["kind"] != "urls").alias("id_match"), match(url, lambda p: p["kind"] == "urls").alias("url_match"))
+    bare = lambda df: df.drop("_ns", "_s", "_ne", "_e")
+    hit = pairs_between(bare(s.where(~few_s)), bare(e), ["kind", "key"]).unionByName(pairs_between(bare(s.where(few_s)), bare(e.where(~few_e)), ["kind", "key"]))
+    return once.unionByName(hit.groupBy("signal_id", "event_id").agg(F.bool_or(~url).alias("id_match"), F.bool_or(url).alias("url_match")))
 
 
 def embedding_gate(score: Column, anchored: Column) -> Column:

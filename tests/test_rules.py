@@ -88,6 +88,28 @@ def test_parents_of_a_frequent_key(spark):
     assert {tuple(r) for r in observe.attach_parents(children, parents).collect()} == {(1, 1), (4, 3), (5, 1), (7, 1)}
 
 
+def test_hard_identities_make_a_pair_once(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(match, "CHUNK", 6)
+    monkeypatch.setattr(match, "CARRIED", 4)
+
+    def side(n, most):
+        return [(i, [[f"k{rng.randint(0, 12)}" for _ in range(rng.choice([0, 1, 1, 2, most]) if rng.random() < 0.5 else 0)] + [""] * rng.randint(0, 1) for _ in match.IDENTITIES]) for i in range(n)]
+
+    left, right = [*side(60, 3), (3, [["k1"], None, [None], [], ["k2", "k2"]])], side(50, 4)
+    made = lambda rows, name: spark.createDataFrame([(i, *v) for i, v in rows], f"{name} int, " + ", ".join(f"{k} array<string>" for k in match.IDENTITIES)).repartition(4)
+    of = lambda rows: {(i, k, x) for i, v in rows for k, xs in zip(match.IDENTITIES, v, strict=True) for x in xs or () if x}
+    want = defaultdict(set)
+    for (a, k, x), (b, j, y) in itertools.product(of(left), of(right)):
+        if (k, x) == (j, y):
+            want[a, b].add(k)
+    got = match.hard_identities(made(left, "signal_id"), made(right, "event_id"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((a, b, bool(k - {"urls"}), "urls" in k) for (a, b), k in want.items())
+    assert {len(k) for k in want.values()} > {1, 2}
+    sizes = [Counter(i for i, *_ in of(rows)).values() for rows in (left, right)]
+    assert all(min(n) <= 4 < max(n) for n in sizes)
+
+
 def test_links_quotes_and_edges(spark):
     assert one(spark, X.clean_body(F.col("t")), t="see www.x.org/a and HTTPS://y.org now") == "see and now"
     assert one(spark, X.phrases(F.col("t")), t="it's 'quoted words' here") == ["s ", "quoted words"] or "quoted words" in one(spark, X.phrases(F.col("t")), t="say 'quoted words' here")
