@@ -19,11 +19,18 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.shared import new_path
+
 RESOLVED = "signal_id string, event_id string, decision string, score double"
+_INPUT = pa.schema([("signal_id", pa.string()), ("tokens", pa.list_(pa.string())), ("ids", pa.list_(pa.string())), ("at", pa.int64())])
+#: Signals of a key that are Python's objects at once.
+STEP = 10_000
 _EVENT = "event_id string, tokens array<string>, ids array<string>, seen bigint"
 
 
@@ -32,11 +39,19 @@ class Events:
 
     def __init__(self, held: dict[str, tuple[frozenset, frozenset, int]], keep: int, merge: float, review: float):
         self.held, self.keep, self.merge, self.review = held, keep, merge, review
+        self._index_all()
+
+    def _index_all(self) -> None:
         self.tokens: dict[str, set[str]] = {}  # token -> events
         self.owners: dict[str, set[str]] = {}  # identity -> events
-        for e in held:
+        for e in self.held:
             self._index(e)
 
+    def forget(self, at: int) -> None:
+        """Drop the events that no signal of ``at`` or later can meet."""
+        self.held = {e: x for e, x in self.held.items() if at - x[2] <= self.keep}
+        self._index_all()
+
     def _index(self, event: str) -> None:
         tokens, ids, _ = self.held[event]
         for table, values in ((self.tokens, tokens), (self.owners, ids)):
@@ -80,17 +95,22 @@ class _Resolver(StatefulProcessor):
         self.last = handle.getValueState("last", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "signal_id"], kind="stable")
+        batch = pa.concat_tables([pa.Table.from_pandas(r, _INPUT, preserve_index=False) for r in rows]).combine_chunks()
+        order = pc.sort_indices(batch, [("at", "ascending"), ("signal_id", "ascending")])
         held = {e: (frozenset(tokens), frozenset(ids), seen) for e, tokens, ids, seen in self.events.get()}
-        live = Events(held, self.keep, self.merge, self.review)
+        live, known = Events(held, self.keep, self.merge, self.review), len(held)
         now = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for signal, tokens, ids, at in zip(batch["signal_id"], batch["tokens"], batch["ids"], batch["at"], strict=True):
-            now = int(at) if now is None else max(now, int(at))
-            out.append((signal, *live.put(signal, frozenset(tokens), frozenset(ids), now)))
+        for k in range(0, len(order), STEP):
+            part, out = batch.take(order.slice(k, STEP)), []
+            for signal, tokens, ids, at in zip(*(part.column(c).to_pylist() for c in _INPUT.names), strict=True):
+                now = at if now is None else max(now, at)
+                out.append((signal, *live.put(signal, frozenset(tokens), frozenset(ids), now)))
+            if len(live.held) > 2 * known + STEP:  # most of them may be gone
+                live.forget(now)
+                known = len(live.held)
+            yield pd.DataFrame(out, columns=["signal_id", "event_id", "decision", "score"])
         self._keep([(e, sorted(tokens), sorted(ids), seen) for e, (tokens, ids, seen) in live.held.items() if now - seen <= self.keep])
         self.last.update((now,))
-        yield pd.DataFrame(out, columns=["signal_id", "event_id", "decision", "score"])
 
     def _keep(self, events: list[tuple]) -> None:
         if not events:
@@ -118,3 +138,21 @@ def resolve_stream(signals: DataFrame, keep: str = "72 hours", delay: str = "1 h
     rows = signals.where("time is not null").select(F.col("signal_id").cast("string").alias("signal_id"), F.coalesce(F.col("block").cast("string"), F.lit("\0null")).alias("block"), "time", F.unix_micros("time").alias("at"), list_("tokens"), list_("ids"))
     return rows.withWatermark("time", delay).groupBy("block").transformWithStateInPandas(_Resolver(keep_us, merge, review), RESOLVED, "Append", "EventTime")
 
+
+
+def resolve_table(signals: DataFrame, rows: int = 2_000_000, **how) -> DataFrame:
+    """``resolve_stream`` of a whole table in the order of time: slices of about ``rows`` signals are
+    appended to the stream's input and resolved one after the other, so what a task holds of a key
+    is bounded by a slice, not by the table. Signals of one time stay together."""
+    spark = signals.sparkSession
+    base, at = new_path(spark, "signals"), F.unix_micros("time")
+    n = -(-signals.where("time is not null").count() // rows)
+    shares = [k / n for k in range(1, n)]
+    cuts = sorted(set(signals.agg(F.percentile_approx(at, shares, 10_000)).first()[0])) if shares else []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        inside = (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
+        signals.where(inside).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(signals.schema).parquet(f"{base}/in")
+        q = resolve_stream(source, **how).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+        q.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(RESOLVED).parquet(f"{base}/out")

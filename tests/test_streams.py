@@ -65,6 +65,20 @@ def test_resolution_of_a_stream_is_that_of_a_loop(spark):
     assert run(spark, rows, [40, 25, 25]) == want
 
 
+def test_a_table_is_resolved_slice_by_slice(spark, monkeypatch):
+    """What a batch of a key holds stays small: dead events go while it is read."""
+    monkeypatch.setattr(resolve, "STEP", 4)
+    rows = signals(11, 120)
+    table = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), SIGNAL).repartition(3)
+    out = resolve.resolve_table(table, rows=50, keep="6 hours", delay="10 minutes", merge=0.5, review=0.3).collect()
+    assert len(out) == len(rows) and {r["signal_id"]: (r["event_id"], r["decision"], r["score"]) for r in out} == loop(rows, timedelta(hours=6), 0.5, 0.3)
+    live = resolve.Events({}, 100, 0.5, 0.3)
+    for k in range(1000):
+        live.put(str(k), frozenset({f"t{k}"}), frozenset({f"i{k}"}), k)
+    live.forget(999)
+    assert len(live.held) == len(live.tokens) == len(live.owners) == 101
+
+
 def test_events_of_a_key_forget_in_time():
     live = resolve.Events({}, 100, 0.5, 0.3)
     a = frozenset("abcd")
