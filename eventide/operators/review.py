@@ -161,8 +161,9 @@ def recover(reviews: DataFrame, accepted: DataFrame, hours: float = 24, owners:
     ``hours`` only. A result of the very time of the failure counts if its attempt is the later one or,
     where one isn't known, if a person made it or it was accepted over a second after the review began.
     ``owners`` (item, event_id, one row an item): a review recovers only if all its items are there
-    and belong to nobody or to the result's event. Reviews and results meet on exploded items or on
-    the whole identity, never all with all."""
+    and belong to nobody or to the result's event. Reviews and results of one topic (one set of items
+    or one whole identity) are read in the order of time, so a review sees the first result after it
+    without pairs; a result joins each set of several items that it holds, found by its rarest item."""
     none = F.array().cast("array<string>")
     full = lambda df, more: df.withColumns({n: F.lit(None).cast(t) for n, t in more.items() if n not in df.columns})
     old = full(reviews, _REVIEW_MORE)
@@ -171,22 +172,52 @@ def recover(reviews: DataFrame, accepted: DataFrame, hours: float = 24, owners:
     good = F.col("action").isin("create", "merge") & ~F.col("review_required") & ~F.col("blocked") & ~F.exists(F.coalesce("flags", none), lambda f: F.contains(f, F.lit("conflict")))
     told = ["observed_at", "attempt", "accepted_at", "by_human"]
     new = full(accepted, _ACCEPTED_MORE).where(good & F.col("observed_at").isNotNull()).select("event_id", "event_signal_id", F.array_distinct("item_ids").alias("items"), F.array_sort(F.array_distinct(F.coalesce("identity", none))).alias("ident"), *told)
-    shared = old.select("review_id", F.size("items").alias("want"), F.explode("items").alias("item")).join(new.select("event_id", "event_signal_id", *told, F.explode("items").alias("item")), "item")
-    by_items = shared.groupBy("review_id", "event_id", "event_signal_id", *told, "want").agg(F.count("*").alias("n")).where("n = want").select("review_id", "event_id", *told)
-    strong = old.where((F.size("ident") > 0) & ~F.exists("ident", lambda k: F.startswith(k, F.lit("signal:"))))
-    by_topic = strong.select("review_id", "ident").join(new.select("event_id", *told, "ident"), "ident").select("review_id", "event_id", *told)
-    hits = by_items.withColumn("basis", F.lit("items")).unionByName(by_topic.withColumn("basis", F.lit("topic"))).join(old, "review_id")
+    new = new.withColumn("by_human", F.coalesce("by_human", F.lit(False)))
     weak = F.exists("ident", lambda k: F.startswith(k, F.lit("weibo:"))) | F.array_contains("platforms", "weibo")
-    late = (F.unix_micros("observed_at") - F.unix_micros("first_failed_at")) / 3.6e9
-    attempts = F.col("attempt").isNotNull() & F.col("old_attempt").isNotNull()
-    waited = F.coalesce("by_human", F.lit(False)) | F.coalesce(F.col("accepted_at") > F.col("created_at") + F.expr("interval 1 second"), F.lit(False))
-    tie = (F.col("observed_at") == F.col("last_failed_at")) & F.when(attempts, F.col("attempt") > F.col("old_attempt")).otherwise(waited)
-    ok = hits.where(((F.col("observed_at") > F.col("last_failed_at")) | tie) & (~weak | (late <= hours)))
-    if owners is not None:
+    old = old.where(F.col("review_id").isNotNull() & F.col("last_failed_at").isNotNull()).withColumn("_weak", F.coalesce(weak, F.lit(True)))
+    old = old.where(~F.col("_weak") | F.col("first_failed_at").isNotNull()).withColumn("_since", F.when(F.col("_weak"), F.col("first_failed_at")))
+    if owners is None:
+        old = old.withColumn("_own", F.lit(None).cast(new.schema["event_id"].dataType))
+    else:
         held = old.select("review_id", F.explode("items").alias("item")).join(owners.select("item", F.col("event_id").alias("_owner"), F.lit(True).alias("_there")), "item", "left")
-        of = held.groupBy("review_id").agg(F.bool_and(F.coalesce("_there", F.lit(False))).alias("_all"), F.collect_set("_owner").alias("_owners"))
-        ok = ok.join(of, "review_id", "left").where(F.coalesce("_all", F.lit(True)) & (F.size(F.array_except(F.coalesce("_owners", F.array().cast(of.schema["_owners"].dataType)), F.array("event_id"))) == 0))
-    return ok.groupBy("review_id").agg(F.min(F.struct("observed_at", "event_id", "basis")).alias("x")).select("review_id", "x.event_id", "x.basis", F.col("x.observed_at").alias("success_at"))
+        of = held.groupBy("review_id").agg(F.bool_and(F.coalesce("_there", F.lit(False))).alias("_all"), F.min("_owner").alias("_own"), F.max("_owner").alias("_last"))
+        old = old.join(of, "review_id", "left").where(F.coalesce("_all", F.lit(True)) & (F.col("_own").isNull() | (F.col("_own") == F.col("_last"))))
+    asks = lambda df, items, ident: df.select(F.lit(True).alias("_asks"), items.alias("_items"), ident.alias("_ident"), "_own", F.col("last_failed_at").alias("_t"), F.col("old_attempt").alias("attempt"), (F.col("created_at") + F.expr("interval 1 second")).alias("_at"), F.lit(None).cast("boolean").alias("by_human"), "review_id", "_since")
+    tells = lambda df, items, ident: df.select(F.lit(False).alias("_asks"), items.alias("_items"), ident.alias("_ident"), F.col("event_id").alias("_own"), F.col("observed_at").alias("_t"), "attempt", F.col("accepted_at").alias("_at"), "by_human")
+    strong = (F.size("ident") > 0) & ~F.exists("ident", lambda k: F.startswith(k, F.lit("signal:")))
+    no_items, each, several = F.lit(None).cast(old.schema["items"].dataType), F.explode("items").alias("item"), old.where("size(items) > 1").select(F.array_sort("items").alias("_items"))
+    rows = asks(old.where(strong), no_items, F.col("ident")).unionByName(asks(old.where((F.size("items") > 0) & ~F.exists("items", F.isnull)), F.array_sort("items"), F.lit(None).cast("array<string>")))
+    told = [tells(new.where(strong), no_items, F.col("ident")), tells(new.select("*", each).where("item is not null"), F.array("item"), F.lit(None).cast("array<string>"))]
+    if not several.isEmpty():
+        in_sets = several.distinct().select("_items", F.explode("_items").alias("item"))
+        often = new.select(each).groupBy("item").agg(F.count("*").alias("_n"))
+        rarest = in_sets.join(often, "item").groupBy("_items").agg(F.count("*").alias("_known"), F.min_by("item", F.struct("_n", "item")).alias("item")).where(F.col("_known") == F.size("_items"))
+        holds = new.select("*", each).join(rarest, "item").where(F.size(F.array_except("_items", "items")) == 0)
+        told.append(tells(holds, F.col("_items"), F.lit(None).cast("array<string>")))
+    for part in told:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    # A result counts for reviews that nobody owns and for those of its own event.
+    rows = rows.repartition("_items", "_ident").withColumn("event_id", F.when(~F.col("_asks"), F.col("_own")))
+    if owners is not None:
+        nobody = F.lit(None).cast(rows.schema["_own"].dataType)
+        rows = rows.withColumn("_own", F.explode(F.when(F.col("_asks") | F.col("event_id").isNull(), F.array("_own")).otherwise(F.array(nobody, F.col("_own")))))
+    else:
+        rows = rows.withColumn("_own", F.lit(None))
+    topic, first, so_far = ["_items", "_ident", "_own"], F.desc("_asks"), (Window.unboundedPreceding, Window.currentRow)
+    hit = F.when(~F.col("_asks"), F.struct(F.col("_t").alias("observed_at"), "event_id"))
+    later = F.min(hit).over(Window.partitionBy(*topic).orderBy(F.desc("_t"), first).rowsBetween(*so_far))
+    # Of the very time: results of a later attempt; those of an unknown one that a person made or that waited.
+    known, now = F.col("attempt").isNotNull(), Window.partitionBy(*topic, "_t")
+    next_ = F.min(F.when(known, hit)).over(now.orderBy(F.desc_nulls_last("attempt"), first).rowsBetween(*so_far))
+    order = F.when(F.col("by_human"), 2).when(F.col("_asks") & F.col("_at").isNull(), 1).otherwise(0)
+    waited = F.when(F.col("by_human") | F.col("_at").isNotNull(), hit)
+    waits = now.orderBy(F.desc(order), F.desc_nulls_last("_at"), first).rowsBetween(*so_far)
+    tie = F.when(known, F.least("_next", "_waited_unknown")).otherwise(F.col("_waited"))
+    rows = rows.withColumn("_later", later).withColumn("_next", next_).withColumns({"_waited": F.min(waited).over(waits), "_waited_unknown": F.min(F.when(~known, waited)).over(waits)})
+    found = rows.where("_asks").select("review_id", "_since", F.coalesce(tie, F.col("_later")).alias("_x"), F.when(F.col("_items").isNotNull(), "items").otherwise("topic").alias("basis")).where("_x is not null")
+    late = (F.unix_micros("_x.observed_at") - F.unix_micros("_since")) / 3.6e9
+    ok = found.where(F.col("_since").isNull() | (late <= hours))  # a later result would be later still
+    return ok.groupBy("review_id").agg(F.min(F.struct("_x.observed_at", "_x.event_id", "basis")).alias("x")).select("review_id", "x.event_id", "x.basis", F.col("x.observed_at").alias("success_at"))
 
 
 def merge_evidence(rows: DataFrame, key: str, order: str, ids: dict[str, str | None], objects: tuple[str, ...] = ()) -> DataFrame:

@@ -110,6 +110,46 @@ def test_hard_identities_make_a_pair_once(spark, monkeypatch):
     assert all(min(n) <= 4 < max(n) for n in sizes)
 
 
+def test_recovery_equals_all_pairs(spark):
+    rng = random.Random(8)
+    at = lambda n: None if n is None else T0 + timedelta(hours=n)
+    some = lambda *v: rng.choice([*v, None])
+    reviews = [(i, rng.sample(range(6), rng.choice([0, 1, 1, 2, 3])), rng.sample(["url:a", "url:b", "weibo:c", "signal:d"], rng.choice([0, 1, 1, 2])), some(0, -30), rng.randint(0, 5), some(1, 2), some(1, 3)) for i in range(150)]
+    reviews += [(150, [None, 1], ["url:a"], 0, 1, None, None), (151, None, ["url:b"], 0, 1, 1, 1), (152, [1], ["url:a"], 0, None, 1, 1)]
+    results = [(f"e{rng.randint(0, 3)}", f"s{i}", rng.sample(range(6), rng.choice([0, 1, 2, 4])), rng.sample(["url:a", "url:b", "weibo:c", "signal:d"], rng.choice([0, 1, 1, 2])), rng.randint(0, 6), some(1, 2, 3), some(1, 2, 4), some(True, False)) for i in range(40)]
+    owned = [(i, rng.choice(["e0", "e1", None])) for i in range(5)]
+    old = spark.createDataFrame([(i, "pending", "technical_error", None, items, ident, at(a), at(b), n, at(c)) for i, items, ident, a, b, n, c in reviews], "review_id int, status string, category string, flags array<string>, item_ids array<int>, identity array<string>, first_failed_at timestamp, last_failed_at timestamp, attempt bigint, created_at timestamp")
+    new = spark.createDataFrame([(e, s, "merge", False, False, None, items, ident, at(t), n, at(a), h) for e, s, items, ident, t, n, a, h in results], "event_id string, event_signal_id string, action string, review_required boolean, blocked boolean, flags array<string>, item_ids array<int>, identity array<string>, observed_at timestamp, attempt bigint, accepted_at timestamp, by_human boolean")
+
+    def want(owners):
+        out = {}
+        for i, items, ident, since, failed, n, made in reviews:
+            for e, _, got, named, t, m, accepted, human in results:
+                bases = [b for b, ok in (("items", items and set(items) <= set(got)), ("topic", ident and set(ident) == set(named) and "signal:d" not in ident)) if ok]
+                tie = m > n if m is not None and n is not None else bool(human) or (accepted is not None and made is not None and accepted > made)
+                ok = bases and failed is not None and (t > failed or (t == failed and tie)) and ("weibo:c" not in ident or (since is not None and t - since <= 24))
+                if ok and owners is not None:
+                    ok = all(x in owners and owners[x] in (None, e) for x in items or ())
+                if ok:
+                    out[i] = min(out.get(i, (99,)), (t, e, bases[0]))
+        return {i: (e, b, at(t)) for i, (t, e, b) in out.items()}
+
+    for owners in (None, dict(owned)):
+        table = owners and spark.createDataFrame(owned, "item int, event_id string")
+        got = {r["review_id"]: (r["event_id"], r["basis"], r["success_at"]) for r in review.recover(old, new, 24, table).collect()}
+        assert got == want(owners) and len(got) > 20 and {b for _, b, _ in got.values()} == {"items", "topic"}
+
+
+def test_recovery_of_a_frequent_topic(spark):
+    """60,000 reviews and as many results of one topic and of one item: no pairs are made."""
+    n = 60_000
+    t = "timestamp_seconds(id * 10 + {})"
+    old = spark.range(n).selectExpr("id as review_id", "'pending' as status", "'technical_error' as category", "array('x') as flags", "array(1L) as item_ids", "array('url:a') as identity", f"{t.format(0)} as first_failed_at", f"{t.format(5)} as last_failed_at")
+    new = spark.range(n).selectExpr("id as event_id", "id as event_signal_id", "'merge' as action", "false as review_required", "false as blocked", "array('x') as flags", "array(1L, id + 2) as item_ids", "array('url:a') as identity", f"{t.format(5)} as observed_at")
+    got = review.recover(old, new)
+    assert got.count() == n - 1 and got.where("event_id <> review_id + 1 or basis <> 'items'").isEmpty()
+
+
 def test_links_quotes_and_edges(spark):
     assert one(spark, X.clean_body(F.col("t")), t="see www.x.org/a and HTTPS://y.org now") == "see and now"
     assert one(spark, X.phrases(F.col("t")), t="it's 'quoted words' here") == ["s ", "quoted words"] or "quoted words" in one(spark, X.phrases(F.col("t")), t="say 'quoted words' here")
